@@ -33,12 +33,12 @@ def _alphanumeric() -> np.ndarray:
     return table
 
 
-#: Bytes that belong to words of the class ``[^\x20\x09-\x0D]+``.
-SPACED = _space_separated()
-#: Bytes that belong to words of the class ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` once A-Z are lower-cased.
-ALNUM = _alphanumeric()
+#: Words of the class ``[^\x20\x09-\x0D]+``, and of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` with A-Z lower-cased.
+SPACED, ALNUM = "spaced", "alnum"
+#: Bytes that belong to such words.
+_IN_WORD = {SPACED: _space_separated(), ALNUM: _alphanumeric()}
 #: bytes.translate table that lower-cases A-Z and blanks what is not in an ALNUM word.
-FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if ALNUM[c] else 0x20 for c in range(256))
+FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if _IN_WORD[ALNUM][c] else 0x20 for c in range(256))
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -72,14 +72,14 @@ def range_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 class Words:
     """Words of a group of texts: starts and ends in ``buffer``, ``bounds`` the range of word numbers of each text."""
 
-    def __init__(self, texts: list[str | None], table: np.ndarray):
+    def __init__(self, texts: list[str | None], kind: str):
         raw = [b"" if t is None else t.encode() for t in texts]
         joined = b"\n".join(raw) + b"\n"
         self.raw = raw
-        self.bytes = joined.translate(FOLD) if table is ALNUM else joined
+        self.bytes = joined.translate(FOLD) if kind == ALNUM else joined
         self.buffer = np.frombuffer(self.bytes, np.uint8)
         inside = np.zeros(len(self.buffer) + 2, np.int8)
-        inside[1:-1] = table[self.buffer]
+        inside[1:-1] = _IN_WORD[kind][self.buffer]
         edges = np.diff(inside)
         self.starts, self.ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
         self.text_starts = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw]))).astype(np.int64)

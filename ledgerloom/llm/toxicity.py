@@ -1,6 +1,6 @@
 """Toxicity by cumulative-link ordinal regression over sparse text features.
 
-Grades are ordered: 0 clean, 1 mild, 2 severe (toxic, with at least the median density of toxic evidence). One weight
+Grades are ordered: 0 clean, 1 mild, 2 severe (toxic, with at least the median amount of toxic evidence). One weight
 vector is shared by both thresholds, P(grade >= k) = logistic(w.x - t_k) with t_1 < t_2, and the expected severity is
 P(grade >= 1) + P(grade >= 2).
 
@@ -109,7 +109,7 @@ def _tallied(seen: dict[str, list[int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], ["name", "clean", "toxic"])
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 500, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 1500, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending thresholds by maximum likelihood (Adam, with an L2 penalty)."""
     d = x.shape[1]
     p = np.zeros(d + GRADES)
@@ -151,9 +151,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     for i, r in enumerate(rows):
         x[i, r["at"]] = np.log1p(np.array(r["n"], np.float32))
     x[:, -1] = np.log1p(words)
-    pointed = [i for i, name in enumerate(names) if name[0] == "=" and x[toxic, i].sum() > x[~toxic, i].sum()]
-    density = np.expm1(x[:, pointed]).sum(axis=1) / np.maximum(words, 1)
-    y = np.where(toxic, np.where(density >= np.median(density[toxic]), 2, 1), 0)
+    pointed = [i for i in range(len(names)) if x[toxic, i].mean() > x[~toxic, i].mean()]
+    evidence = x[:, pointed].sum(axis=1)
+    y = np.where(toxic, np.where(evidence >= np.median(evidence[toxic]), 2, 1), 0)
     shares = labels.where(F.col(label).isNotNull()).agg(F.avg((F.col(label) > 0).cast("double"))).first()[0]
     weight = np.where(toxic, shares / toxic.mean(), (1 - shares) / (1 - toxic.mean()))
     w, thresholds = fit_ordinal(x.astype(np.float64), y, weight)
