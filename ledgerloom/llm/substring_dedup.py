@@ -36,7 +36,7 @@ from .store import Scratch, prepare
 
 LENGTH, ANCHOR = 35, 8
 #: Windows of a context at most (bits of a mask), contexts of an anchor that go to one shard, words of a shard.
-MOST, HOT, SHARD_WORDS = 60, 256, 20_000
+MOST, HOT, SHARD_WORDS = 60, 1024, 20_000
 
 
 def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
@@ -229,25 +229,44 @@ def _matched(shard: list[tuple[int, int, list[int]]], length: int) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in shard], pa.int64()), pa.array(masks, pa.int64())], ["content", "mask"])
 
 
+def _windows(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place and hash of each window of the contexts of a batch."""
+    rows, places, windows = [], [], []
+    for row, packed in enumerate(column(batch, "letters").to_pylist()):
+        codes = np.frombuffer(packed, np.uint32).astype(np.uint64)
+        starts = np.arange(len(codes) - length + 1)
+        windows.append(range_hashes(mix(codes + np.uint64(1)), starts, starts + length).view(np.int64))
+        places.append(starts)
+        rows.append(np.full(len(starts), row))
+    return np.concatenate(rows), np.concatenate(places), np.concatenate(windows)
+
+
 def _hot_masks(references: DataFrame, length: int) -> DataFrame:
-    """content, mask of the contexts of hot anchors, from counts of their windows."""
+    """content, mask of the contexts of hot anchors, from counts of their windows, summed where they are made."""
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            contents, counts, places, windows = [], [], [], []
-            for content, n, packed in zip(column(batch, "content").to_pylist(), column(batch, "n").to_pylist(), column(batch, "letters").to_pylist(), strict=True):
-                codes = np.frombuffer(packed, np.uint32).astype(np.uint64)
-                starts = np.arange(len(codes) - length + 1)
-                windows.append(range_hashes(mix(codes + np.uint64(1)), starts, starts + length).view(np.int64))
-                places.append(starts)
-                contents += [content] * len(starts)
-                counts += [n] * len(starts)
-            if contents:
-                yield pa.RecordBatch.from_arrays([pa.array(contents, pa.int64()), pa.array(counts, pa.int64()), pa.array(np.concatenate(places)), pa.array(np.concatenate(windows))], ["content", "n", "place", "window"])
-
-    windows = references.select("content", "n", "letters").mapInArrow(split, "content long, n long, place long, window long")
-    twice = windows.groupBy("window").agg(F.sum("n").alias("total")).where(F.col("total") > 1).select("window")
-    return windows.join(twice, "window").groupBy("content").agg(F.bit_or(F.expr("shiftleft(1L, cast(place as int))")).alias("mask"))
+            if batch.num_rows:
+                rows, _, windows = _windows(batch, length)
+                values, number = np.unique(windows, return_inverse=True)
+                sums = np.zeros(len(values), np.int64)
+                np.add.at(sums, number, np.asarray(column(batch, "n"))[rows])
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(sums)], ["window", "n"])
+
+    some = references.select("content", "n", "letters")
+    twice = some.mapInArrow(count, "window long, n long").groupBy("window").agg(F.sum("n").alias("total")).where(F.col("total") > 1).select("window")
+    written = Scratch(references.sparkSession).write(twice)
+    seen = Shipped(references.sparkSession.sparkContext.broadcast(bitmap.build(written, bitmap.cells_for(written.count()))))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                rows, places, windows = _windows(batch, length)
+                hit = bitmap.holds(seen.value, windows)
+                yield pa.RecordBatch.from_arrays([column(batch, "content").take(pa.array(rows[hit])), pa.array(places[hit]), pa.array(windows[hit])], ["content", "place", "window"])
+
+    found = some.mapInArrow(find, "content long, place long, window long").join(written, "window")
+    return found.groupBy("content").agg(F.bit_or(F.expr("shiftleft(1L, cast(place as int))")).alias("mask"))
 
 
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
