@@ -2,8 +2,9 @@
 
 A rotation of the centred principal axes is learned on a bounded sample (SAMPLE vectors, by hash) so that signs of rotated
 vectors make balanced binary codes; every vector is coded. Codes meet in multi-index Hamming tables (substrings of the
-code); within a bucket, codes at most RADIUS bits apart are candidates; candidates' components are reranked with the
-original vectors, cosine in double precision, block against block.
+code); within a bucket, codes at most a radius apart are candidates, reranked by half precision copies of the vectors so that
+unrelated vectors do not chain; what is left is reranked with the original vectors, cosine in double precision, block
+against block inside the candidates' components.
 
 Tables and substring lengths follow the number of vectors so that a bucket of unrelated vectors stays small and a pair at
 the threshold is found with probability RECALL or more; nearer pairs are found far more surely.
@@ -33,6 +34,8 @@ THRESHOLD, RECALL = 0.9, 0.99
 #: Bound of the sample that the rotation is learned on; bits of a code; learning rounds.
 SAMPLE, BITS, ROUNDS = 20_000, 64, 50
 BUCKET_BLOCK, COMPONENT_BLOCK = 2048, 1024
+#: More than half precision can move the cosine of unit vectors.
+SLACK = 0.01
 
 
 class Rotation:
@@ -76,9 +79,22 @@ def table_masks(n: int, bits: int, threshold: float, recall: float = RECALL) ->
     return np.array(masks[:tables], np.uint64)
 
 
-def hamming_within(radius: int) -> pairing.Similar:
-    def similar(codes: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
-        return others[np.bitwise_count(codes[others, 0] ^ codes[i, 0]) <= radius]
+def packed(codes: np.ndarray, unit: np.ndarray) -> list[bytes]:
+    """A bucket member's payload: its code, then its unit vector in half precision."""
+    return [c.tobytes() + v.tobytes() for c, v in zip(codes, unit.astype(np.float16), strict=True)]
+
+
+def near_codes(radius: int, threshold: float) -> pairing.Similar:
+    """Members at most ``radius`` bits away whose half precision vectors come within SLACK of the threshold."""
+
+    def similar(payloads: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+        codes = np.ascontiguousarray(payloads[others, :8]).view(np.uint64)[:, 0]
+        others = others[np.bitwise_count(codes ^ np.ascontiguousarray(payloads[i, :8]).view(np.uint64)[0]) <= radius]
+        if not len(others):
+            return others
+        vectors = np.ascontiguousarray(payloads[others, 8:]).view(np.float16).astype(np.float32)
+        own = np.ascontiguousarray(payloads[i, 8:]).view(np.float16).astype(np.float32)
+        return others[vectors @ own >= threshold - SLACK]
 
     return similar
 
@@ -146,11 +162,13 @@ def _candidates(classes: DataFrame, n: int, threshold: float, sample: int, scrat
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = shipped.value.codes(_vectors(batch, "v"))
+            vectors = _vectors(batch, "v")
+            codes, unit = shipped.value.codes(vectors), vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
             keys = [mix((codes & m) * np.uint64(2) + np.uint64(1) ^ mix(np.array([t + 1], np.uint64))).view(np.int64) for t, m in enumerate(masks)]
-            yield pa.RecordBatch.from_arrays([column(batch, "node"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(np.stack(keys, axis=1).tolist(), pa.list_(pa.int64()))], ["node", "payload", "keys"])
+            yield pa.RecordBatch.from_arrays([column(batch, "node"), pa.array(packed(codes, unit), pa.binary()), pa.array(np.stack(keys, axis=1).tolist(), pa.list_(pa.int64()))], ["node", "payload", "keys"])
 
     coded = scratch.write(classes.mapInArrow(code, "node long, payload binary, keys array<long>"))
-    tables = coded.select("node", "payload", F.explode("keys").alias("bucket"))
+    tables = coded.select("node", F.explode("keys").alias("bucket"))
     met = tables.groupBy("bucket").agg(F.count("node").alias("size")).where(F.col("size") > 1)
-    return scratch.write(pairing.bucket_edges(tables.join(met, "bucket"), hamming_within(radius), "uint64", BUCKET_BLOCK))
+    rows = tables.join(met, "bucket").join(coded.select("node", "payload"), "node")
+    return scratch.write(pairing.bucket_edges(rows, near_codes(radius, threshold), "uint8", BUCKET_BLOCK))
