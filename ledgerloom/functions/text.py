@@ -117,19 +117,27 @@ def is_note_token(x: Column) -> Column:
 
 def parse_text_line(x: Column) -> Column:
     """label, note_ref and up to two values of a line of running text; null if it has no value or a label under 3 characters."""
+    back = lambda w, i: F.try_element_at(w, F.lit(-i))
+    is_value = lambda w, i: F.coalesce(is_value_token(back(w, i)), F.lit(False))
+
+    def counted(w: Column) -> Column:
+        values = F.when(is_value(w, 1) & is_value(w, 2), 2).when(is_value(w, 1), 1).otherwise(0)
+        return let(values, lambda k: F.struct(w.alias("w"), k.alias("k"), F.try_element_at(w, F.when(k == 2, -3).otherwise(-2)).alias("before")))
+
+    def labelled(p: Column) -> Column:
+        noted = F.coalesce(is_note_token(p["before"]), F.lit(False))
+        size = lambda n: F.greatest(F.size(p["w"]) - p["k"] - n.cast("int"), F.lit(0))
+        return let(noted, lambda n: F.struct(p.alias("p"), n.alias("noted"), F.array_join(F.slice(p["w"], 1, size(n)), " ").alias("label")))
+
+    def fields(q: Column) -> Column:
+        w, k, before = q["p"]["w"], q["p"]["k"], q["p"]["before"]
+        glued = q["noted"] & F.lower(q["label"]).contains("total")
+        first = F.when(k == 2, back(w, 2)).otherwise(back(w, 1))
+        whole = F.struct(q["label"].alias("label"), F.when(q["noted"] & ~glued, before).alias("note_ref"), F.when(glued, F.concat(before, first)).otherwise(first).alias("first"), F.when(k == 2, back(w, 1)).alias("second"))
+        return F.when((k > 0) & (F.length(q["label"]) >= 3), whole)
+
     words = F.filter(F.split(strip(x), r"(?U)\s+"), lambda w: w != "")
-    n = F.size(words)
-    back = lambda i: F.try_element_at(words, F.lit(-i))
-    is_value = lambda i: F.coalesce(is_value_token(back(i)), F.lit(False))
-    values = F.when(is_value(1) & is_value(2) & (n >= 2), 2).when(is_value(1), 1).otherwise(0)
-    before = F.when(values == 2, back(3)).when(values == 1, back(2))
-    noted = F.coalesce(is_note_token(before), F.lit(False))
-    label = F.array_join(F.slice(words, 1, F.greatest(n - values - noted.cast("int"), F.lit(0))), " ")
-    glued = noted & F.lower(label).contains("total")
-    first = F.when(values == 2, back(2)).otherwise(back(1))
-    first = F.when(glued, F.concat(before, first)).otherwise(first)
-    fields = F.struct(label.alias("label"), F.when(noted & ~glued, before).alias("note_ref"), first.alias("first"), F.when(values == 2, back(1)).alias("second"))
-    return F.when((values > 0) & (F.length(label) >= 3), fields)
+    return let(let(let(words, counted), labelled), fields)
 
 
 #: Words whose first five letters tell text from its reversal.
