@@ -35,8 +35,8 @@ from .store import Scratch, prepare
 MIN_CELLS, MAX_CELLS = 1 << 14, 1 << 22
 #: Cells are merged in segments of 32 KB.
 SEGMENT = 1 << 12
-#: Digests to drop that may be broadcast (24 bytes each).
-MAX_BROADCAST_KEYS = 1 << 20
+#: Digests to drop that may be broadcast (about 180 bytes each in a worker).
+MAX_BROADCAST_KEYS = 1 << 18
 _STRIP = b" \t\n\x0b\x0c\r"
 
 
