@@ -613,5 +613,76 @@ def text_extracts(spark, sf_dir):
     return docs.select("doc_id", X.company_name(t).alias("company"), X.period(t).alias("period"), X.word_score(t).alias("score"), X.sheet_type(F.col("source"), t).alias("sheet_type"), X.standard_name(F.concat(F.lit("Ind AS 116 - "), "source", F.lit(".pdf"))).alias("standard"), X.format_note_refs(F.array(F.lit("7f"), F.lit("14a"))).alias("notes"))
 
 
+_RETRIEVED = "SELECT lang AS query, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS INT) AS rank, concat('Ind AS ', CAST(doc_id % 7 AS STRING), ' - x.pdf') AS source FROM documents"
+
+
+@_query("citations", f"SELECT query, string_agg(name, ' / ' ORDER BY r) AS citation FROM (SELECT query, regexp_replace(source, ' - x.pdf', '') AS name, min(rank) AS r FROM ({_RETRIEVED}) GROUP BY ALL) GROUP BY query")
+def citations(spark, sf_dir):
+    return narrate.citations(_derived(spark, sf_dir, _RETRIEVED, "documents"))
+
+
+_CITED = """SELECT CAST(o_orderkey AS BIGINT) AS id, concat('Ind AS ', CAST(o_orderkey % 3 AS STRING), ' para 5.', CAST(o_orderkey % 4 AS STRING)) AS citation, array('Ind AS 1 - a.pdf', 'Ind AS 2 - b.pdf') AS sources, array('see 5.1 here', 'and 5.2') AS passages FROM orders"""
+
+
+@_query("grounded_citation", "SELECT CAST(o_orderkey AS BIGINT) AS id, CASE WHEN o_orderkey % 3 IN (1, 2) AND o_orderkey % 4 IN (1, 2) THEN 'Ind AS ' || o_orderkey % 3 || ' para 5.' || o_orderkey % 4 ELSE 'Ind AS 1 / Ind AS 2' END AS citation FROM orders")
+def grounded_citation(spark, sf_dir):
+    found = _derived(spark, sf_dir, _CITED, "orders")
+    return found.select("id", narrate.grounded_citation(F.col("citation"), F.col("sources"), F.col("passages")).alias("citation"))
+
+
+_TOLD = "SELECT CAST(o_orderkey AS BIGINT) AS id, concat('rose from ', CAST(o_orderkey % 400 AS STRING), ' to 1,', CAST(100 + o_orderkey % 900 AS STRING)) AS told, CAST(1100 + o_orderkey % 900 AS DOUBLE) AS current, CAST(o_orderkey % 400 + CASE WHEN o_orderkey % 5 = 0 THEN 50 ELSE 0 END AS DOUBLE) AS prior FROM orders"
+
+
+@_query("missing_numbers", f"SELECT id, id % 5 = 0 AND prior >= 100 AND abs(id % 400 - prior) > prior * 0.01 AND abs(current - prior) > prior * 0.01 AS missing FROM ({_TOLD})")
+def missing_numbers(spark, sf_dir):
+    found = _derived(spark, sf_dir, _TOLD, "orders")
+    return found.select("id", narrate.missing_numbers(F.col("told"), F.col("current"), F.col("prior")).alias("missing"))
+
+
+@_query("prompts")
+def prompts(spark, sf_dir):
+    told = _flags(spark, sf_dir).withColumns({"note_text": F.repeat(F.col("flag_id"), 300), "passages": F.array(F.lit("one"), F.lit("two"))})
+    return told.select("doc_id", "flag_id", narrate.prompt(told).alias("prompt"))
+
+
+_SHEETS = "SELECT CAST(conv_id AS BIGINT) AS doc_id, CAST(turn AS INT) AS sheet_ord, CASE WHEN conv_id % 4 = 0 OR turn % 3 = 1 THEN 'unknown' ELSE 'pnl' END AS sheet_type FROM conversations"
+
+
+@_query("face_sheets", f"WITH s AS ({_SHEETS}), k AS (SELECT doc_id, bool_or(sheet_type <> 'unknown') AS typed FROM s GROUP BY doc_id) SELECT doc_id, sheet_ord, sheet_type FROM s JOIN k USING (doc_id) WHERE sheet_type <> 'unknown' OR NOT typed")
+def face_sheets(spark, sf_dir):
+    return mapping.face_sheets(_derived(spark, sf_dir, _SHEETS, "conversations"))
+
+
+@_query("safe_div", "SELECT CAST(o_orderkey AS BIGINT) AS id, round(o_totalprice / nullif(o_orderkey % 5, 0), 4) AS q FROM orders")
+def safe_div(spark, sf_dir):
+    return _views(spark, sf_dir, "orders")["orders"].select(F.col("o_orderkey").cast("long").alias("id"), F.round(X.safe_div(F.col("o_totalprice"), (F.col("o_orderkey") % 5).cast("double")), 4).alias("q"))
+
+
+_HEADED = "SELECT CAST(o_orderkey AS BIGINT) AS id, array('Particulars', concat('31 March ', CAST(2015 + o_orderkey % 9 AS STRING)), concat('Year ', CAST(2015 + o_orderkey % 7 AS STRING)), CASE WHEN o_orderkey % 2 = 0 THEN 'Total' ELSE 'x' END) AS headers FROM orders"
+
+
+@_query("header_columns", "SELECT CAST(o_orderkey AS BIGINT) AS id, CAST(CASE WHEN o_orderkey % 9 > o_orderkey % 7 THEN 1 WHEN o_orderkey % 9 < o_orderkey % 7 THEN 2 END AS INTEGER) AS current_col, CAST(CASE WHEN o_orderkey % 9 > o_orderkey % 7 THEN 2 WHEN o_orderkey % 9 < o_orderkey % 7 THEN 1 END AS INTEGER) AS prior_col, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 3 END AS INTEGER) AS total_col FROM orders")
+def header_columns(spark, sf_dir):
+    found = _derived(spark, sf_dir, _HEADED, "orders").withColumn("y", X.year_columns(F.col("headers")))
+    return found.select("id", F.col("y.current_col"), F.col("y.prior_col"), X.total_column(F.col("headers")).alias("total_col"))
+
+
+@_query("best_by_cosine", """WITH p AS (SELECT a.vec_id AS query, b.vec_id AS candidate, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, candidate) AS n FROM p) SELECT query, candidate, cosine FROM r WHERE n = 1 AND cosine > 0.3""")
+def best_by_cosine(spark, sf_dir):
+    """Every vector against a short list of candidates, as labels are against the chart's variants."""
+    e = _views(spark, sf_dir, "embeddings")["embeddings"]
+    candidates = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("candidate"), F.col("vec_id").alias("ord"), "embedding")
+    return retrieval.best_by_cosine(e.select(F.col("vec_id").alias("query"), "embedding"), candidates, 0.3)
+
+
+@_query("chosen_tables")
+def chosen_tables(spark, sf_dir):
+    lines = "SELECT CAST(l_orderkey AS BIGINT) AS doc_id, CAST(1 AS INT) AS page_num, array_join(collect_list(concat('Line item ', CAST(l_linenumber AS STRING), 'a 1,', CAST(100 + l_linenumber AS STRING), ' 2,345')), '\n') AS raw_text FROM lineitem GROUP BY l_orderkey"
+    rebuilt = tables_ops.reconstruct(_derived(spark, sf_dir, lines, "lineitem"))
+    there = _derived(spark, sf_dir, "SELECT CAST(o_orderkey AS BIGINT) AS doc_id, CAST(1 AS INT) AS page_num, CAST(0 AS INT) AS table_ord, array('a') AS headers, array(array(CASE WHEN o_orderkey % 2 = 0 THEN 'x' ELSE '' END)) AS rows FROM orders", "orders")
+    return tables_ops.choose_tables(there, rebuilt)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return movements_by_nation(spark, sf_dir)
