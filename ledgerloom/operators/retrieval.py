@@ -34,6 +34,8 @@ def nearest(queries: DataFrame, passages: DataFrame, k: int = 3, tie: str = "chu
 
 def best_by_cosine(queries: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
     """The candidate of greatest cosine (unit vectors) of each query, if above the threshold; the first of equals."""
+    if candidates.count() > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} candidates")
     pairs = queries.join(F.broadcast(candidates.select("candidate", "ord", F.col("embedding").alias("__c"))))
     scored = pairs.withColumn("cosine", F.round(dot(F.col("embedding"), F.col("__c")), 6))
     best = scored.groupBy("query").agg(F.max_by(F.struct("candidate", "cosine"), F.struct(F.col("cosine"), -F.col("ord"))).alias("b"))

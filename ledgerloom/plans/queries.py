@@ -93,7 +93,7 @@ SELECT doc_id, CAST(c AS DOUBLE) / 100 AS current, CAST(p AS DOUBLE) / 100 AS pr
 
 def _revenue_moves(spark, sf_dir, key: str) -> DataFrame:
     t = _views(spark, sf_dir, "orders", "customer", "nation")
-    sold = t["orders"].join(t["customer"], t["orders"].o_custkey == t["customer"].c_custkey).join(F.broadcast(t["nation"]), F.col("c_nationkey") == F.col("n_nationkey"))
+    sold = t["orders"].join(t["customer"], t["orders"].o_custkey == t["customer"].c_custkey).join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
     year = lambda y: F.sum(F.when(F.year("o_orderdate") == y, cents)).cast("double") / 100
     best = sold.groupBy(F.col(key).alias("doc_id")).agg(year(1997).alias("current_value"), year(1996).alias("prior_value"))
