@@ -10,7 +10,8 @@ words, where there are fewer), and texts are linked if the Jaccard similarity of
 4. What is left is verified exactly on whole shingle sets, block against block, inside the candidates' components.
 
 Defined cases: a null text, or one without words, links with nothing and is a class of its own; repeated rows are copies (each
-counts the others as links); rows that share a doc_id but not a text are told apart by their content; an empty table gives
+counts the others as links); rows with a null doc_id count as copies but never stand for a class and never link to other texts unless a
+copy with an id does; rows that share a doc_id but not a text are told apart by their content; an empty table gives
 an empty result; other columns are not read by ``near_duplicates`` and pass through ``keep_one`` untouched.
 """
 

@@ -19,8 +19,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Arrow batches of at most 1000 rows, so that long texts keep Python workers small."""
+    """Arrow batches of at most 1000 rows and 16 MB, so that long texts keep Python workers small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 class Scratch:
