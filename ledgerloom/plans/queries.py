@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.vocabulary import DISPLAY, variants_frame
 from ..operators import analytics, mapping, narrate, notes, pages as pages_ops, records, report, retrieval, rules, tables as tables_ops
+from ..sources import writers
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -613,6 +614,15 @@ def text_extracts(spark, sf_dir):
     return docs.select("doc_id", X.company_name(t).alias("company"), X.period(t).alias("period"), X.word_score(t).alias("score"), X.sheet_type(F.col("source"), t).alias("sheet_type"), X.standard_name(F.concat(F.lit("Ind AS 116 - "), "source", F.lit(".pdf"))).alias("standard"), X.format_note_refs(F.array(F.lit("7f"), F.lit("14a"))).alias("notes"))
 
 
+@_query("word_reports")
+def word_reports(spark, sf_dir):
+    best = analytics.best_items(_items(spark, sf_dir))
+    observed, moves = _observed(spark, sf_dir), analytics.movements(best)
+    counted = report.summary(observed)
+    parts = {"summary": counted, "observations": observed, "movements": report.movement_table(report.key_movements(moves)), "ratios": report.ratio_table(analytics.ratios(best))}
+    return writers.word_reports(parts, report.next_steps(counted)).select("doc_id", F.length("content").alias("n_bytes"))
+
+
 _RETRIEVED = "SELECT lang AS query, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS INT) AS rank, concat('Ind AS ', CAST(doc_id % 7 AS STRING), ' - x.pdf') AS source FROM documents"
 
 

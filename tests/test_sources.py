@@ -6,7 +6,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from ledgerloom.sources import readers
+from ledgerloom.sources import readers, writers
 from ledgerloom.streaming import ingest
 
 NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
@@ -62,6 +62,17 @@ def test_recognised_text(spark):
     assert [(r.doc_id, r.ocr) for r in readers.prefer_recognised(pages).orderBy("doc_id").collect()] == [("a", True), ("b", False), ("c", False)]
 
 
+def test_word_reports(spark):
+    one = lambda **c: spark.createDataFrame([("d", *c.values())], "doc_id string, " + ", ".join(f"{k} {'int' if isinstance(v, int) else 'string'}" for k, v in c.items()))
+    parts = {
+        "summary": one(rating_ord=0, rating="High", count=1, areas="A & B"), "observations": one(number=1, area="A", observation="<seen>", notes="Note 1", rating="High", citation="", recommendation="do"),
+        "movements": one(row=1, line_item="Cash", current="1", prior="2", change="-50.0%"), "ratios": one(ratio_ord=0, name="Current Ratio", current="1.50", prior="-"),
+    }
+    made = writers.word_reports(parts, one(number=1, step="Go on")).first()
+    text, tables = readers.read_docx(bytes(made.content))
+    assert "1. Go on" in text and tables[0][1] == ["High", "1", "A & B"] and tables[1][1][2] == "<seen>" and len(tables) == 4
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     folder(tmp_path / "in")
