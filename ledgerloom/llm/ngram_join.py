@@ -35,6 +35,8 @@ BANDS, ROWS, STEP = 32, 4, 16
 HASHES = BANDS * ROWS
 #: Members of one block of a bucket, and of a component.
 BUCKET_BLOCK, COMPONENT_BLOCK = 2048, 512
+#: Ids of dropped documents that may be broadcast to the texts.
+MAX_BROADCAST_IDS = 1 << 20
 
 _random = np.random.default_rng(5_1337)
 _FACTORS = _random.integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -194,6 +196,9 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thr
     """The documents, with all their columns: the one of smallest doc_id of each class, once, and all documents without words."""
     scratch = Scratch(docs.sparkSession)
     found = near_duplicates(docs, doc_id=doc_id, text=text, threshold=threshold, scratch=scratch)
-    kept = scratch.write(found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__kept")).distinct())
-    rows = docs.join(kept, docs[doc_id].eqNullSafe(kept["__kept"]), "left_semi")
+    gone = found.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("class_id")).alias("gone"))
+    lost = scratch.write(gone.where("gone").select(F.col("doc_id").alias("__lost")))
+    # Few enough ids travel to the texts; else the texts are shuffled to meet them.
+    few = lost.count() <= MAX_BROADCAST_IDS
+    rows = docs.join(F.broadcast(lost) if few else lost, docs[doc_id] == F.col("__lost"), "left_anti")
     return rows.dropDuplicates([doc_id, text]) if _ids_repeat(docs.select(F.col(doc_id).alias("doc_id"))) else rows

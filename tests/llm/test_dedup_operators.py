@@ -160,6 +160,7 @@ def test_rows_that_share_an_id(spark):
     docs = spark.createDataFrame([(5, "p q r s t u v w"), (5, "p q r s t u v w"), (5, "entirely other words than the ones above are"), (3, "p q r s t u v w")], "doc_id long, text string")
     got = Counter(tuple(r) for r in ngram_join.near_duplicates(docs).collect())
     assert got == Counter({(5, 3, 2): 2, (5, 5, 0): 1, (3, 3, 2): 1})
+    assert sorted(r.doc_id for r in ngram_join.keep_one(docs).collect()) == [3, 5, 5]  # an id stays while any of its texts does
 
 
 def test_pruning_spares_pairs_at_the_threshold():
