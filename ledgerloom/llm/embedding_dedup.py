@@ -6,8 +6,11 @@ code); within a bucket, codes at most a radius apart are candidates, reranked by
 unrelated vectors do not chain; what is left is reranked with the original vectors, cosine in double precision, block
 against block inside the candidates' components.
 
-Tables and substring lengths follow the number of vectors so that a bucket of unrelated vectors stays small and a pair at
-the threshold is found with probability RECALL or more; nearer pairs are found far more surely.
+Bits flip more often between centred codes than the cosine says, and tables share bits, so nothing is derived from the angle:
+pairs at the threshold are made from the sample and coded, and tables are added until they find AIM of them, together and with
+the radius. The substrings' length is the cheapest for the number of vectors: long ones make small buckets, but take more tables.
+A pair at the threshold is found with probability RECALL or more at any number of vectors;
+nearer pairs are found far more surely.
 
 Defined cases: a vector that is null, empty, zero, or has null or non-finite components links with nothing and is its own
 component; vectors of different lengths never link; equal vectors are linked, repeated rows included; a null id is carried along
@@ -34,6 +37,14 @@ THRESHOLD, RECALL = 0.9, 0.99
 #: Bound of the sample that the rotation is learned on; bits of a code; learning rounds.
 SAMPLE, BITS, ROUNDS = 20_000, 64, 50
 BUCKET_BLOCK, COMPONENT_BLOCK = 2048, 1024
+#: Share of the measured pairs that the tables must find, so that RECALL holds beyond the sample, and share that the radius may lose.
+AIM, WITHIN = 0.995, 0.001
+#: Measured pairs of each kind, width of the band of the sample's own pairs, and how many of those are enough to count.
+PAIRS, BAND, ENOUGH = 4000, 0.02, 200
+#: What a row of a table costs to shuffle and take up, in comparisons of two codes; most tables.
+ROW_COST, MAX_TABLES = 2000, 1024
+#: Members of a bucket below which no fewer are wanted for parallel work, and the bits that always make enough buckets.
+BUCKET, SPREAD = 512, 8
 #: More than half precision can move the cosine of unit vectors.
 SLACK = 0.01
 
@@ -62,21 +73,86 @@ class Rotation:
         return bits @ (np.uint64(1) << np.arange(self.bits, dtype=np.uint64))
 
 
-def flip_probability(threshold: float) -> float:
-    """That a bit of two vectors' codes differs, at this cosine."""
-    return math.acos(threshold) / math.pi
-
-
-def table_masks(n: int, bits: int, threshold: float, recall: float = RECALL) -> np.ndarray:
-    """The code bits that each table indexes."""
-    width = min(bits, 14, max(6, math.ceil(math.log2(max(n, 2))) - 4))
-    found = (1 - flip_probability(threshold)) ** width
-    tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - found)))
+def threshold_pairs(sample: np.ndarray, threshold: float, pairs: int = PAIRS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Unit vectors in pairs at the threshold, of several kinds: sample vectors moved by isotropic noise, moved towards other
+    sample vectors, and the sample's own pairs just above the threshold, where it has enough of them."""
+    random = np.random.default_rng(13)
+    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    x = unit[random.integers(0, len(unit), pairs)]
+    kinds = []
+    for noise in (random.standard_normal(x.shape), unit[random.integers(0, len(unit), pairs)]):
+        noise = noise - (noise * x).sum(axis=1, keepdims=True) * x
+        norms = np.linalg.norm(noise, axis=1, keepdims=True)
+        some = norms[:, 0] > 1e-9
+        if some.any():
+            kinds.append((x[some], threshold * x[some] + math.sqrt(max(0.0, 1 - threshold**2)) * noise[some] / norms[some]))
+    narrow, own, other = unit.astype(np.float32), [], []
+    for at in range(0, min(pairs, len(unit)), 500):
+        cosines = narrow[at : min(at + 500, pairs)] @ narrow.T
+        i, j = np.nonzero((cosines >= threshold) & (cosines < threshold + BAND))
+        later = i + at < j
+        own.append(i[later][:pairs] + at)
+        other.append(j[later][:pairs])
+    i, j = np.concatenate(own), np.concatenate(other)
+    if len(i) >= ENOUGH:
+        kinds.append((unit[i[:pairs]], unit[j[:pairs]]))
+    return kinds
+
+
+def flipped(rotation: Rotation, kinds: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Per kind of pairs: the code bits in which each pair differs."""
+    return [rotation.codes(x) ^ rotation.codes(y) for x, y in kinds]
+
+
+def radius_of(flips: list[np.ndarray]) -> int:
+    """Bits that all but WITHIN of the pairs of each kind differ in at most."""
+    return max((int(np.quantile(np.bitwise_count(f), 1 - WITHIN, method="higher")) for f in flips), default=0)
+
+
+def recall_of(masks: np.ndarray, radius: int, flips: np.ndarray) -> float:
+    """Share of pairs that meet in some table, within the radius."""
+    met = np.zeros(len(flips), bool)
+    for m in masks:
+        met |= flips & m == 0
+    return float((met & (np.bitwise_count(flips) <= radius)).mean())
+
+
+def masks_of(width: int, bits: int, flips: list[np.ndarray], most: int) -> np.ndarray | None:
+    """The code bits that each table of this width indexes: as many as find AIM of the pairs of each kind, or None beyond ``most``."""
     random, masks = np.random.default_rng(11), []
-    while len(masks) < tables:
+    radius = radius_of(flips)
+    near = [np.bitwise_count(f) <= radius for f in flips]
+    met = [np.zeros(len(f), bool) for f in flips]
+    while len(masks) < most:
         order = random.permutation(bits)
-        masks += [sum(1 << int(b) for b in order[at : at + width]) for at in range(0, bits - width + 1, width)]
-    return np.array(masks[:tables], np.uint64)
+        for at in range(0, bits - width + 1, max(width, 1)):
+            masks.append(np.uint64(sum(1 << int(b) for b in order[at : at + width])))
+            met = [m | (f & masks[-1] == 0) for m, f in zip(met, flips, strict=True)]
+            if all((m & n).mean() >= AIM for m, n in zip(met, near, strict=True)):
+                return np.array(masks, np.uint64)
+            if len(masks) == most:
+                break
+    return None
+
+
+def table_masks(n: int, bits: int, flips: list[np.ndarray]) -> np.ndarray:
+    """Tables of the width that costs least for n vectors: a row a table and vector, and the comparisons in its bucket.
+
+    Buckets are many enough to be dealt over tasks, up to SPREAD bits; only where no tables of such width do, they are fewer.
+    """
+    lowest = min(bits, SPREAD, max(0, math.ceil(math.log2(max(n, 2) / BUCKET))))
+    while (best := masks_of(lowest, bits, flips, MAX_TABLES)) is None:
+        lowest -= 1
+    least = math.inf
+    for width in range(lowest, min(bits, math.ceil(math.log2(max(n, 2)))) + 1):
+        masks = masks_of(width, bits, flips, MAX_TABLES)
+        if masks is None:
+            break
+        bucket = n / 2**width
+        cost = len(masks) * (ROW_COST + bucket * (0.5 if bucket <= BUCKET_BLOCK else 1))
+        if cost < least:
+            best, least = masks, cost
+    return best
 
 
 def packed(codes: np.ndarray, unit: np.ndarray) -> list[bytes]:
@@ -154,10 +230,10 @@ def _candidates(classes: DataFrame, n: int, threshold: float, sample: int, scrat
     """u, v edges between codes that are near in some table; classes: node and v, all of one length."""
     spark = classes.sparkSession
     chosen = classes.orderBy("node").limit(sample).select("v").toArrow().column("v").combine_chunks()  # nodes are hashes
-    rotation = Rotation(np.asarray(chosen.flatten(), np.float64).reshape(len(chosen), -1))
-    masks = table_masks(n, rotation.bits, threshold)
-    flips = flip_probability(threshold) * rotation.bits
-    radius = math.ceil(flips + 3.5 * math.sqrt(flips * (1 - flip_probability(threshold))))
+    learned = np.asarray(chosen.flatten(), np.float64).reshape(len(chosen), -1)
+    rotation = Rotation(learned)
+    flips = flipped(rotation, threshold_pairs(learned, threshold))
+    masks, radius = table_masks(n, rotation.bits, flips), radius_of(flips)
     shipped = Shipped(spark.sparkContext.broadcast(rotation))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -215,3 +215,35 @@ def test_rotation_balances_and_keeps_near_vectors_near():
     bits = (codes[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
     assert abs(bits.mean(axis=0) - 0.5).max() < 0.1
     assert np.bitwise_count(codes ^ near).mean() < 8
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.4, 0.6])
+@pytest.mark.parametrize("width", [None, 10, 14])
+def test_tables_find_pairs_at_the_threshold(mean, width):
+    rng = np.random.default_rng(21)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    shared = unit(rng.standard_normal(64))
+    spread = lambda n: unit(mean**0.5 * shared + (1 - mean) ** 0.5 * unit(rng.standard_normal((n, 64))))
+    sample, x = spread(5000), spread(3000)
+    noise = rng.standard_normal(x.shape)
+    y = 0.903 * x + (1 - 0.903**2) ** 0.5 * unit(noise - (noise * x).sum(axis=1, keepdims=True) * x)
+    rotation = embedding_dedup.Rotation(sample)
+    flips = embedding_dedup.flipped(rotation, embedding_dedup.threshold_pairs(sample, 0.9))
+    masks = embedding_dedup.table_masks(1 << 20, 64, flips) if width is None else embedding_dedup.masks_of(width, 64, flips, 5000)
+    found = embedding_dedup.recall_of(masks, embedding_dedup.radius_of(flips), rotation.codes(x) ^ rotation.codes(y))
+    print(f"mean {mean} width {int(np.bitwise_count(masks[0]))} tables {len(masks)} recall {found:.4f}")
+    assert found >= 0.99
+
+
+def test_embeddings_with_a_shared_direction_are_found(spark):
+    rng = np.random.default_rng(22)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(0.6**0.5 * unit(rng.standard_normal(64)) + 0.4**0.5 * unit(rng.standard_normal((2000, 64))))
+    noise = rng.standard_normal(x.shape)
+    y = 0.903 * x + (1 - 0.903**2) ** 0.5 * unit(noise - (noise * x).sum(axis=1, keepdims=True) * x)
+    v = np.concatenate([x, y])
+    df = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(v)], "vec_id long, embedding array<double>")
+    got = embedding_dedup.near_duplicates(df).agg({"n_links": "sum"}).first()[0]
+    true = int((v @ v.T >= 0.9).sum()) - len(v)
+    print(f"links {got} of {true}")
+    assert true >= got >= 0.99 * true
