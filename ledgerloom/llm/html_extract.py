@@ -6,12 +6,12 @@ greatest entropy that so many pages can have. A node that looks and reads the sa
 element is for is a prior: navigation, adverts, forms and the like lower a branch's importance below any entropy, an article
 raises it; between the two, entropy decides. Low branches are removed from each page, and what is left are its text blocks.
 
-Statistics are counts per (host, node, fingerprint), aggregated before the shuffle and spread over all fingerprints, so a
-host with a third of all pages is no hot spot; only the low nodes travel back to the pages.
+Statistics are counts per (host, node, fingerprint) over the distinct pages of a host (pages of the same text count once, else
+copies would look like boilerplate), aggregated before the shuffle and spread over all pages, so a host with a third of all
+pages is no hot spot; only the low nodes travel back to the pages. A page never loses all its blocks to them.
 
 Defined cases: null or empty html gives an empty text of 0 characters; a null url, or one without a host, belongs to the host
-''; nodes seen on fewer than MIN_PAGES pages of a host have no statistics and count as important; repeated rows count as pages of
-their own; an empty table gives an empty result; other columns are not read.
+''; nodes seen on fewer than MIN_PAGES distinct pages of a host have no statistics and count as important; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -165,15 +165,15 @@ def main_text(page: Page, low) -> str:
     """low(path): whether the site's statistics find the branch of low importance."""
     quiet = [b for b in page.blocks if not b[2]]
     inside = [b for b in quiet if b[3]]
-    return "\n\n".join(text for _, text, *_ in inside or [b for b in quiet if not low(b[0])])
+    return "\n\n".join(text for _, text, *_ in inside or [b for b in quiet if not low(b[0])] or quiet)
 
 
 def node_counts(own: DataFrame) -> DataFrame:
-    """node, kind (0 presentation, 1 content) and fingerprint of each node of each page, counted."""
+    """node, kind (0 presentation, 1 content) and fingerprint of each node of each distinct page, counted."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups(batches, "html"):
-            nodes, kinds, prints = [], [], []
+            nodes, kinds, prints, numbers = [], [], [], []
             for url, source in zip(texts_of(batch, "url"), texts_of(batch, "html"), strict=True):
                 page, host = Page(source), host_of(url)
                 looks: dict[str, list] = {}
@@ -184,14 +184,17 @@ def node_counts(own: DataFrame) -> DataFrame:
                 for path, text, noise, _ in page.blocks:
                     if not noise:
                         reads.setdefault(path, []).append(text)
+                number = xxhash.xxh3_64_intdigest("\0".join(b[1] for b in page.blocks if not b[2]).encode()) - (1 << 63)
                 for kind, found in ((0, looks), (1, reads)):
                     for path, values in found.items():
                         nodes.append(node_key(host, path))
                         kinds.append(kind)
                         prints.append(xxhash.xxh3_64_intdigest("\n".join(values).encode()) - (1 << 63))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(kinds, pa.int32()), pa.array(prints, pa.int64())], ["node", "kind", "print"])
+                        numbers.append(number)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(kinds, pa.int32()), pa.array(prints, pa.int64()), pa.array(numbers, pa.int64())], ["node", "kind", "print", "page"])
 
-    return own.mapInArrow(merge, "node long, kind int, print long").groupBy("node", "kind", "print").count()
+    distinct = own.mapInArrow(merge, "node long, kind int, print long, page long").groupBy("node", "kind", "page").agg(F.min("print").alias("print"))
+    return distinct.groupBy("node", "kind", "print").count()
 
 
 def importance(own: DataFrame) -> DataFrame:

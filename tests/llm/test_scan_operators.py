@@ -71,6 +71,26 @@ def test_extraction_keeps_articles_of_copied_pages(spark):
     assert {r.text for r in html_extract.extract(pages).collect()} == {"Head&line\n\nOne two three\n\nNext bold text"}
 
 
+def plain(i):
+    return f"<html><body><div>Welcome to our site</div><div><p>Story number {i} is here.</p><p>It goes on for {i} lines.</p></div></body></html>"
+
+
+@pytest.mark.parametrize("copies, others", [(4, 0), (30, 0), (20, 20), (45, 5)])
+def test_extraction_of_copied_pages_without_article(spark, copies, others):
+    pages = spark.createDataFrame([(i, "https://p.example/x", plain(0)) for i in range(copies)] + [(100 + i, "https://p.example/y", plain(1 + i)) for i in range(others)], "page_id long, url string, html string")
+    for bound in (html_extract.MAX_BROADCAST_NODES, 0):
+        got = {r.page_id: r.text for r in html_extract.extract(pages, max_broadcast_nodes=bound).collect()}
+        story = lambda i: f"Story number {i} is here.\n\nIt goes on for {i} lines."
+        head = "" if others else "Welcome to our site\n\n"
+        assert got == {i: head + story(0) for i in range(copies)} | {100 + i: story(1 + i) for i in range(others)}
+
+
+def test_extraction_leaves_no_page_empty(spark):
+    pages = spark.createDataFrame([(i, "https://e.example/", "<html><body><div>All read this</div>" + f"<p>and {i}</p>" * (i > 0) + "</body></html>") for i in range(9)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert got == {0: "All read this"} | {i: f"and {i}" for i in range(1, 9)}
+
+
 def brute_base(text):
     words, places, labels = words_of(text), [], set()
     for phrase, label in license_scan.PHRASES.items():
