@@ -3,8 +3,9 @@
 Pages of one host are merged into one tree whose nodes are element paths (tag, classes, id). Each node gets the entropy of
 its presentation (the child elements it has on the host's pages) and of its content (its own text there), both as a share of the
 greatest entropy that so many pages can have. A node that looks and reads the same everywhere is of low importance. What an
-element is for is a prior: navigation, adverts, forms and the like lower a branch's importance below any entropy, an article
-raises it; between the two, entropy decides. Low branches are removed from each page, and what is left are its text blocks.
+element is for is a prior: elements that are navigation, footers, scripts and the like by their tag or role lower a branch's
+importance below any entropy, an article raises it; between the two, entropy decides. Forms, and elements that only a word of
+their class or id names, are doubtful: they go, unless they hold an article, or TEXT_SHARE of the text that entropy leaves of the page (of the article, if there is one). Low branches are removed from each page, and what is left are its text blocks.
 
 Statistics are counts per (host, node, fingerprint) over the distinct pages of a host (pages of the same text count once, else
 copies would look like boilerplate), aggregated before the shuffle and spread over all pages, so a host with a third of all
@@ -33,6 +34,8 @@ from .store import Scratch, prepare
 
 #: Pages that a node's statistics need, weight of presentation in importance, least importance of what stays.
 MIN_PAGES, PRESENTATION, LEAST = 4, 0.1, 0.6
+#: Share of a page's text with which a doubtful element is no noise.
+TEXT_SHARE = 0.5
 #: Low nodes that may be broadcast (8 bytes each).
 MAX_BROADCAST_NODES = 1 << 21
 
@@ -41,7 +44,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements, roles and words of class or id that mark what is not the article.
-NOISE_TAGS = frozenset("nav footer aside form script style noscript template iframe button select textarea svg canvas menu dialog object head header title option label input".split())
+NOISE_TAGS = frozenset("nav footer aside script style noscript template iframe button select textarea svg canvas menu dialog object head header title option label input".split())
+DOUBTFUL_TAGS, ROOTS = frozenset(("form",)), frozenset(("html", "body"))
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement banner sponsor sponsored promo cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup sidebar widget menu nav navbar navigation breadcrumb breadcrumbs topbar masthead footer comments comment reply replies respond disqus share sharing social related recommended toolbar login search pagination pager skip copyright".split())
 CONTENT_TAGS = frozenset(("article", "main"))
@@ -55,10 +59,20 @@ _DIGITS = regex.compile(r"\d+")
 
 
 class Element:
-    __slots__ = ("tag", "path", "noise", "content", "children")
+    """noise: by tag or role, its own or an ancestor's; doubtful: by a word of its own; holds: an article is in it."""
 
-    def __init__(self, tag: str, path: str, noise: bool, content: bool):
-        self.tag, self.path, self.noise, self.content, self.children = tag, path, noise, content, []
+    __slots__ = ("tag", "path", "parent", "noise", "doubtful", "content", "holds", "children")
+
+    def __init__(self, tag: str, path: str, parent: Element | None, noise: bool, doubtful: bool, content: bool):
+        self.tag, self.path, self.parent, self.noise, self.doubtful, self.content, self.holds, self.children = tag, path, parent, noise, doubtful, content, False, []
+
+    def doubts(self) -> Iterator[Element]:
+        """The doubtful elements among itself and its ancestors that no article clears, innermost first."""
+        e = self
+        while e is not None:
+            if e.doubtful and not e.holds:
+                yield e
+            e = e.parent
 
 
 def _opened(tag: str, attributes: str, parent: Element) -> Element:
@@ -67,20 +81,31 @@ def _opened(tag: str, attributes: str, parent: Element) -> Element:
         value = next((v for v in values if v), "")
         (roles if kind.lower() == "role" else names).append(value)
     words = {w.lower() for n in names for w in _WORDS.findall(n)}
-    noise = parent.noise or (tag in NOISE_TAGS and not (tag == "header" and parent.content)) or bool(words & NOISE_WORDS) or bool(NOISE_ROLES & {r.lower() for r in roles})
-    content = not noise and (parent.content or tag in CONTENT_TAGS or "main" in (r.lower() for r in roles))
+    roles = {r.lower() for r in roles}
+    root = tag in ROOTS
+    noise = parent.noise or (tag in NOISE_TAGS and not (tag == "header" and parent.content)) or (not root and bool(NOISE_ROLES - DOUBTFUL_TAGS & roles))
+    doubtful = not root and (tag in DOUBTFUL_TAGS or bool(words & NOISE_WORDS) or bool(DOUBTFUL_TAGS & roles))
+    article = tag in CONTENT_TAGS or "main" in roles
+    # An article's own words tell nothing ("tag-related"), but comments and teasers are articles inside of such elements.
+    doubtful = doubtful and not (article and not parent.content and next(parent.doubts(), None) is None)
+    content = not noise and (parent.content or (article and not doubtful))
     own = ".".join([tag, *sorted(_DIGITS.sub("0", x) for n in names for x in n.split())])
-    return Element(tag, f"{parent.path}>{own}", noise, content)
+    element = Element(tag, f"{parent.path}>{own}", parent, noise, doubtful, content)
+    if content and not parent.content:
+        above = parent
+        while above is not None and not above.holds:
+            above.holds, above = True, above.parent
+    return element
 
 
 class Page:
-    """Blocks of a page, (path, text, noise, content) in page order, and the presentation of its block elements."""
+    """Blocks of a page, (element, text) in page order, and the presentation of its block elements."""
 
     def __init__(self, source: str | None):
-        self.blocks: list[tuple[str, str, bool, bool]] = []
+        self.blocks: list[tuple[Element, str]] = []
         self.elements: list[Element] = []
         self.buffer: list[str] = []
-        self.stack = [Element("", "", False, False)]
+        self.stack = [Element("", "", None, False, False, False)]
         self._parse(source or "")
 
     def _flush(self) -> None:
@@ -88,8 +113,8 @@ class Page:
             text = " ".join(entities.unescape("".join(self.buffer)).split())
             self.buffer = []
             if text:
-                top = next(e for e in reversed(self.stack) if e.tag in BLOCK or e.noise or not e.tag)
-                self.blocks.append((top.path, text, top.noise, top.content))
+                top = next(e for e in reversed(self.stack) if e.tag in BLOCK or e.noise or e.doubtful or not e.tag)
+                self.blocks.append((top, text))
 
     def _parse(self, source: str) -> None:
         at = 0
@@ -163,9 +188,18 @@ def node_key(host: str, path: str) -> int:
 
 def main_text(page: Page, low) -> str:
     """low(path): whether the site's statistics find the branch of low importance."""
-    quiet = [b for b in page.blocks if not b[2]]
-    inside = [b for b in quiet if b[3]]
-    return "\n\n".join(text for _, text, *_ in inside or [b for b in quiet if not low(b[0])] or quiet)
+    heard = [b for b in page.blocks if not b[0].noise]
+    kept = [b for b in heard if b[0].content or not low(b[0].path)] or heard
+    inside = [b for b in kept if b[0].content]
+    # Beside an article that is free of doubt, doubtful elements are what they are called; else the share of the text decides.
+    pool = inside if any(next(e.doubts(), None) is None for e, _ in inside) else kept
+    held: dict[Element, int] = {}
+    for e, text in pool:
+        for d in e.doubts():
+            held[d] = held.get(d, 0) + len(text)
+    enough = TEXT_SHARE * sum(len(text) for _, text in pool)
+    quiet = [b for b in kept if all(held.get(d, 0) >= enough for d in b[0].doubts())]
+    return "\n\n".join(text for _, text in [b for b in quiet if b[0].content] or quiet or kept)
 
 
 def node_counts(own: DataFrame) -> DataFrame:
@@ -181,10 +215,10 @@ def node_counts(own: DataFrame) -> DataFrame:
                 for e in page.elements:
                     if not e.noise:
                         looks.setdefault(e.path, []).append(",".join(e.children))
-                for path, text, noise, _ in page.blocks:
-                    if not noise:
-                        reads.setdefault(path, []).append(text)
-                number = xxhash.xxh3_64_intdigest("\0".join(b[1] for b in page.blocks if not b[2]).encode()) - (1 << 63)
+                for e, text in page.blocks:
+                    if not e.noise:
+                        reads.setdefault(e.path, []).append(text)
+                number = xxhash.xxh3_64_intdigest("\0".join(text for e, text in page.blocks if not e.noise).encode()) - (1 << 63)
                 for kind, found in ((0, looks), (1, reads)):
                     for path, values in found.items():
                         nodes.append(node_key(host, path))
@@ -240,7 +274,7 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
         for batch in groups(batches, "html"):
             rows, nodes = [], []
             for row, u, source in zip(texts_of(batch, "row"), texts_of(batch, "url"), texts_of(batch, "html"), strict=True):
-                own_nodes = {node_key(host_of(u), path) for path, _, noise, content in Page(source).blocks if not noise and not content}
+                own_nodes = {node_key(host_of(u), e.path) for e, _ in Page(source).blocks if not e.noise}
                 nodes += own_nodes
                 rows += [row] * len(own_nodes)
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(nodes, pa.int64())], ["row", "node"])

@@ -91,6 +91,35 @@ def test_extraction_leaves_no_page_empty(spark):
     assert got == {0: "All read this"} | {i: f"and {i}" for i in range(1, 9)}
 
 
+STORY = "A story of some length, which is what the page is for."
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f'<body class="has-sidebar"><p>{STORY}</p></body>',
+        f'<body class="has-sidebar" role="dialog"><article>{STORY}</article></body>',
+        f'<body><div id="page" class="no-comments"><article><p>{STORY}</p></article><div class="comments">{STORY * 3}</div></div></body>',
+        f'<body><article class="post related-tag"><p>{STORY}</p><div class="share">Tell it</div></article></body>',
+        f'<body><article class="post related-tag"><p>{STORY}</p></article><div class="ad">{STORY * 2}</div></body>',
+        f'<body><p class="ad">Buy</p><div class="share-enabled content"><p>{STORY}</p></div></body>',
+        f'<body><article><h1></h1><div class="share-enabled content">{STORY}</div></article></body>',
+        f'<body><form id="aspnetForm"><input name="x"><div>{STORY}</div><label>Name</label></form><footer>F</footer></body>',
+        f'<body><form id="aspnetForm" class="login-page"><main>{STORY}</main><div class="login">Log in</div></form></body>',
+        f'<body><main>{STORY}</main><div class="comments"><article class="comment">{STORY * 2}</article></div></body>',
+    ],
+)
+def test_noise_words_of_wrappers_are_no_verdict(body):
+    assert html_extract.main_text(html_extract.Page(f"<html class='no-overlay'>{body}</html>"), lambda path: False) == STORY
+
+
+def test_extraction_under_a_noise_word(spark):
+    page = lambda i: f'<html><body class="has-sidebar"><div class="menu">{"Go there. " * 20}</div><div class="share-enabled"><p>Story number {i} is here.</p></div></body></html>'
+    pages = spark.createDataFrame([(i, "https://w.example/x", page(i)) for i in range(12)], "page_id long, url string, html string")
+    for bound in (html_extract.MAX_BROADCAST_NODES, 0):
+        assert {r.page_id: r.text for r in html_extract.extract(pages, max_broadcast_nodes=bound).collect()} == {i: f"Story number {i} is here." for i in range(12)}
+
+
 def brute_base(text):
     words, places, labels = words_of(text), [], set()
     for phrase, label in license_scan.PHRASES.items():
