@@ -4,15 +4,17 @@ Pages of one host are merged into one tree whose nodes are element paths (tag, c
 its presentation (the child elements it has on the host's pages) and of its content (its own text there), both as a share of the
 greatest entropy that so many pages can have. A node that looks and reads the same everywhere is of low importance. What an
 element is for is a prior: elements that are navigation, footers, scripts and the like by their tag or role lower a branch's
-importance below any entropy, an article raises it; between the two, entropy decides. Forms, and elements that only a word of
+importance below any entropy, an article raises it: inside one, only what repeats nearly everywhere goes (below LEAST_INSIDE),
+beside it stays what entropy finds important (LEAST or more). Forms, and elements that only a word of
 their class or id names, are doubtful: they go, unless they hold an article, or TEXT_SHARE of the text that entropy leaves of the page (of the article, if there is one). Low branches are removed from each page, and what is left are its text blocks.
 
 Statistics are counts per (host, node, fingerprint) over the distinct pages of a host (pages of the same text count once, else
 copies would look like boilerplate), aggregated before the shuffle and spread over all pages, so a host with a third of all
-pages is no hot spot; only the low nodes travel back to the pages. A page never loses all its blocks to them.
+pages is no hot spot; only the nodes' importance travels back to the pages. A page never loses all its blocks to them.
 
 Defined cases: null or empty html gives an empty text of 0 characters; a null url, or one without a host, belongs to the host
-''; nodes seen on fewer than MIN_PAGES distinct pages of a host have no statistics and count as important; an empty table gives an empty result; other columns are not read.
+''; nodes seen on fewer than MIN_PAGES distinct pages of a host have no statistics and
+count as important, but beside an article only if the article is the lesser part of the text; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,10 +36,12 @@ from .store import Scratch, prepare
 
 #: Pages that a node's statistics need, weight of presentation in importance, least importance of what stays.
 MIN_PAGES, PRESENTATION, LEAST = 4, 0.1, 0.6
+#: Least importance of what stays inside an article.
+LEAST_INSIDE = 0.2
 #: Share of a page's text with which a doubtful element is no noise.
 TEXT_SHARE = 0.5
-#: Low nodes that may be broadcast (8 bytes each).
-MAX_BROADCAST_NODES = 1 << 21
+#: Nodes that may be broadcast (12 bytes each; about 150 in the driver while they are sorted).
+MAX_BROADCAST_NODES = 1 << 20
 
 #: HTML's void elements, elements whose content is no markup, and elements that stand as blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -186,20 +190,24 @@ def node_key(host: str, path: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{host}\0{path}".encode()) - (1 << 63)
 
 
-def main_text(page: Page, low) -> str:
-    """low(path): whether the site's statistics find the branch of low importance."""
-    heard = [b for b in page.blocks if not b[0].noise]
-    kept = [b for b in heard if b[0].content or not low(b[0].path)] or heard
+def main_text(page: Page, weight) -> str:
+    """weight(path): the importance that the site's statistics give the branch, None if they have none."""
+    heard = [(e, text, weight(e.path)) for e, text in page.blocks if not e.noise]
+    stays = lambda e, w: w is None or w >= (LEAST_INSIDE if e.content else LEAST)
+    kept = [b for b in heard if stays(b[0], b[2])] or heard
     inside = [b for b in kept if b[0].content]
     # Beside an article that is free of doubt, doubtful elements are what they are called; else the share of the text decides.
-    pool = inside if any(next(e.doubts(), None) is None for e, _ in inside) else kept
+    pool = inside if any(next(e.doubts(), None) is None for e, *_ in inside) else kept
     held: dict[Element, int] = {}
-    for e, text in pool:
+    for e, text, _ in pool:
         for d in e.doubts():
             held[d] = held.get(d, 0) + len(text)
-    enough = TEXT_SHARE * sum(len(text) for _, text in pool)
-    quiet = [b for b in kept if all(held.get(d, 0) >= enough for d in b[0].doubts())]
-    return "\n\n".join(text for _, text in [b for b in quiet if b[0].content] or quiet or kept)
+    enough = TEXT_SHARE * sum(len(text) for _, text, _ in pool)
+    quiet = [b for b in kept if all(held.get(d, 0) >= enough for d in b[0].doubts())] or kept
+    # Beside an article only what statistics find important stays, unless the article is the lesser part of the text.
+    share = sum(len(text) for e, text, _ in quiet if e.content)
+    lesser = share < TEXT_SHARE * sum(len(text) for _, text, _ in quiet)
+    return "\n\n".join(text for e, text, w in quiet if e.content or w is not None or not share or lesser)
 
 
 def node_counts(own: DataFrame) -> DataFrame:
@@ -248,29 +256,30 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
     prepare(spark)
     own = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     scratch = Scratch(spark)
-    low = scratch.write(importance(own).where(F.col("importance") < LEAST).select("node"))
+    known = scratch.write(importance(own).select("node", "importance"))
     schema = T.StructType([own.schema["page_id"], T.StructField("url", T.StringType()), T.StructField("text", T.StringType())])
-    if low.count() <= max_broadcast_nodes:
-        shipped = Shipped(spark.sparkContext.broadcast(np.sort(np.array([r.node for r in low.toLocalIterator()], np.int64))))
+    if known.count() <= max_broadcast_nodes:
+        table = np.array(sorted((r.node, r.importance) for r in known.toLocalIterator()), [("node", np.int64), ("importance", np.float32)])
+        shipped = Shipped(spark.sparkContext.broadcast(table))
 
         def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            nodes = shipped.value
+            nodes, values = np.ascontiguousarray(shipped.value["node"]), shipped.value["importance"]
 
-            def is_low(host: str, path: str) -> bool:
+            def weight(host: str, path: str) -> float | None:
                 key = node_key(host, path)
                 at = int(np.searchsorted(nodes, key))
-                return at < len(nodes) and int(nodes[at]) == key
+                return float(values[at]) if at < len(nodes) and int(nodes[at]) == key else None
 
             for batch in groups(batches, "html"):
-                texts = [main_text(Page(source), lambda path, host=host_of(u): is_low(host, path)) for u, source in zip(texts_of(batch, "url"), texts_of(batch, "html"), strict=True)]
+                texts = [main_text(Page(source), lambda path, host=host_of(u): weight(host, path)) for u, source in zip(texts_of(batch, "url"), texts_of(batch, "html"), strict=True)]
                 yield pa.RecordBatch.from_arrays([column(batch, "page_id"), column(batch, "url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
         return own.mapInArrow(prune, schema)
 
-    # Too many low nodes to broadcast: each page's undecided nodes meet them in a join keyed by the node, spread over all pages by a salt.
+    # Too many nodes to broadcast: each page's nodes meet them in a join keyed by the node, spread over all pages by a salt.
     numbered = scratch.write(own.withColumn("row", F.monotonically_increasing_id()))
 
-    def undecided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def heard_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups(batches, "html"):
             rows, nodes = [], []
             for row, u, source in zip(texts_of(batch, "row"), texts_of(batch, "url"), texts_of(batch, "html"), strict=True):
@@ -280,14 +289,14 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(nodes, pa.int64())], ["row", "node"])
 
     salts = 16
-    salted = numbered.mapInArrow(undecided, "row long, node long").withColumn("salt", F.pmod("row", F.lit(salts)))
-    spread = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
-    found = salted.join(spread, ["node", "salt"]).groupBy("row").agg(F.collect_set("node").alias("low_nodes"))
+    salted = numbered.mapInArrow(heard_nodes, "row long, node long").withColumn("salt", F.pmod("row", F.lit(salts)))
+    spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
+    found = salted.join(spread, ["node", "salt"]).groupBy("row").agg(F.collect_set(F.struct("node", "importance")).alias("weights"))
 
     def prune_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups(batches, "html"):
-            rows = zip(texts_of(batch, "url"), texts_of(batch, "html"), texts_of(batch, "low_nodes"), strict=True)
-            texts = [main_text(Page(source), lambda path, host=host_of(u), gone=set(gone or ()): node_key(host, path) in gone) for u, source, gone in rows]
+            rows = zip(texts_of(batch, "url"), texts_of(batch, "html"), texts_of(batch, "weights"), strict=True)
+            texts = [main_text(Page(source), lambda path, host=host_of(u), found={x["node"]: float(np.float32(x["importance"])) for x in weights or ()}: found.get(node_key(host, path))) for u, source, weights in rows]
             yield pa.RecordBatch.from_arrays([column(batch, "page_id"), column(batch, "url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return numbered.join(found, "row", "left").mapInArrow(prune_joined, schema)

@@ -110,7 +110,7 @@ STORY = "A story of some length, which is what the page is for."
     ],
 )
 def test_noise_words_of_wrappers_are_no_verdict(body):
-    assert html_extract.main_text(html_extract.Page(f"<html class='no-overlay'>{body}</html>"), lambda path: False) == STORY
+    assert html_extract.main_text(html_extract.Page(f"<html class='no-overlay'>{body}</html>"), lambda path: None) == STORY
 
 
 def test_extraction_under_a_noise_word(spark):
@@ -120,6 +120,16 @@ def test_extraction_under_a_noise_word(spark):
         assert {r.page_id: r.text for r in html_extract.extract(pages, max_broadcast_nodes=bound).collect()} == {i: f"Story number {i} is here." for i in range(12)}
 
 
+def test_entropy_judges_inside_and_beside_articles(spark):
+    page = lambda i: f"<html><body><div class='x'>Welcome to our site</div><div class='y'>Summary of story {i}</div><article><div class='z'>Read our terms</div><h1>Story {i}</h1><p>It goes on for {i} lines.</p></article></body></html>"
+    pages = spark.createDataFrame([(i, "https://r.example/x", page(i)) for i in range(20)] + [(100, "https://q.example/x", page(100))], "page_id long, url string, html string")
+    body = lambda i: f"Story {i}\n\nIt goes on for {i} lines."
+    for bound in (html_extract.MAX_BROADCAST_NODES, 0):
+        got = {r.page_id: r.text for r in html_extract.extract(pages, max_broadcast_nodes=bound).collect()}
+        assert [got[i] for i in range(20)] == [f"Summary of story {i}\n\n{body(i)}" for i in range(20)]
+        assert got[100] == "Read our terms\n\n" + body(100)  # one page of a host has no statistics
+
+
 def brute_base(text):
     words, places, labels = words_of(text), [], set()
     for phrase, label in license_scan.PHRASES.items():
