@@ -10,8 +10,8 @@ words, where there are fewer), and texts are linked if the Jaccard similarity of
 4. What is left is verified exactly on whole shingle sets, block against block, inside the candidates' components.
 
 Defined cases: a null text, or one without words, links with nothing and is a class of its own; repeated rows are copies (each
-counts the others as links); rows with a null doc_id count as copies but never stand for a class and never link to other texts unless a
-copy with an id does; rows that share a doc_id but not a text are told apart by their content; an empty table gives
+counts the others as links); rows with a null doc_id are linked and dropped like others, but name a class only (by null) where it has
+no id; rows that share a doc_id but not a text are told apart by their content; an empty table gives
 an empty result; other columns are not read by ``near_duplicates`` and pass through ``keep_one`` untouched.
 """
 
@@ -141,9 +141,28 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     A document without words has class_id = doc_id and no links.
     """
+    return _judged(docs, doc_id, text, threshold, tolerance, scratch or Scratch(docs.sparkSession))[0]
+
+
+def _node(s: np.ndarray) -> int | None:
+    """The class of a text, by its shingles."""
+    return int(mix(np.array([mix(s).sum() ^ np.uint64(len(s))]))[0].view(np.int64)) if len(s) else None
+
+
+def _with_nodes(texts: DataFrame) -> DataFrame:
+    """text, node of rows of one column, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in groups(batches, "text"):
+            yield pa.RecordBatch.from_arrays([column(batch, "text"), pa.array([_node(s) for s in shingle_sets(texts_of(batch, "text"))], pa.int64())], ["text", "node"])
+
+    return texts.mapInArrow(run, "text string, node long")
+
+
+def _judged(docs: DataFrame, doc_id: str, text: str, threshold: float, tolerance: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """near_duplicates' rows; per class of equal shingle sets node, class_id, n_links and head (the smallest node it reaches)."""
     spark = docs.sparkSession
     prepare(spark)
-    scratch = scratch or Scratch(spark)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +170,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             nodes, signatures, keys = [], [], []
             for s in shingle_sets(texts_of(batch, "text")):
                 least = minhash(s)
-                nodes.append(int(mix(np.array([mix(s).sum() ^ np.uint64(len(s))]))[0].view(np.int64)) if len(s) else None)
+                nodes.append(_node(s))
                 signatures.append(least.astype(np.uint16).tobytes())
                 keys.append(band_keys(least).view(np.int64))
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(nodes, pa.int64()), pa.array(signatures, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "payload", "bands"])
@@ -161,7 +180,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     worded = signed.where(F.col("node").isNotNull())
     classes = scratch.write(worded.groupBy("node").agg(F.count("node").alias("weight"), F.min("doc_id").alias("first")))
     first = classes.select("node", F.col("first").alias("doc_id"))
-    heads = scratch.write(worded.join(first, ["node", "doc_id"], "left_semi").dropDuplicates(["node"]))
+    nameless = first.where(F.col("doc_id").isNull()).select("node")
+    headed = worded.join(first, ["node", "doc_id"], "left_semi").unionByName(worded.where(F.col("doc_id").isNull()).join(nameless, "node", "left_semi"))
+    heads = scratch.write(headed.dropDuplicates(["node"]))
     bands = heads.select("node", F.explode("bands").alias("bucket"))
     met = bands.groupBy("bucket").agg(F.count("node").alias("size")).where(F.col("size") > 1)
     rows = bands.join(met, "bucket").join(heads.select("node", "payload"), "node")
@@ -169,11 +190,13 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     def with_shingles(members: DataFrame) -> DataFrame:
         texts = own.join(members.join(first, "node"), "doc_id").select("node", "component", "size", "weight", "text")
+        unnamed = _with_nodes(own.where(F.col("doc_id").isNull()).select("text")).dropDuplicates(["node"])
+        texts = texts.unionByName(unnamed.join(members.join(nameless, "node", "left_semi"), "node").select("node", "component", "size", "weight", "text"))
 
         def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in groups(batches, "text"):
                 sets = shingle_sets(texts_of(batch, "text"))
-                right = [len(s) and int(mix(np.array([mix(s).sum() ^ np.uint64(len(s))]))[0].view(np.int64)) == node for s, node in zip(sets, texts_of(batch, "node"), strict=True)]
+                right = [len(s) and _node(s) == node for s, node in zip(sets, texts_of(batch, "node"), strict=True)]
                 made = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "component", "size", "weight", "payload"])
                 yield made.filter(pa.array([bool(x) for x in right], pa.bool_()))
 
@@ -181,10 +204,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     links, parts = pairing.linked_nodes(classes, edges, with_shingles, verifier(threshold), COMPONENT_BLOCK, scratch)
     known = classes.join(links, "node", "left").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = known.groupBy("component").agg(F.min("first").alias("class_id"))
-    per_class = scratch.write(known.join(smallest, "component").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
-    joined = pairing.spread_join(signed.select("doc_id", "node"), per_class, "node", F.col("doc_id"))
-    return joined.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    smallest = known.groupBy("component").agg(F.min("first").alias("class_id"), F.min("node").alias("head"))
+    per_class = scratch.write(known.join(smallest, "component").select("node", "class_id", "head", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
+    joined = pairing.spread_join(signed.select("doc_id", "node"), per_class.drop("head"), "node", F.col("doc_id"))
+    return joined.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), per_class
 
 
 def _ids_repeat(own: DataFrame) -> bool:
@@ -193,12 +216,22 @@ def _ids_repeat(own: DataFrame) -> bool:
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, with all their columns: the one of smallest doc_id of each class, once, and all documents without words."""
+    """The documents, with all their columns: the one of smallest doc_id of each class, once, and all documents without words.
+
+    Of a class without any id the row of smallest node and text stays. An id stays, with all its rows, while any of its texts does.
+    """
     scratch = Scratch(docs.sparkSession)
-    found = near_duplicates(docs, doc_id=doc_id, text=text, threshold=threshold, scratch=scratch)
+    found, per_class = _judged(docs, doc_id, text, threshold, TOLERANCE, scratch)
     gone = found.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("class_id")).alias("gone"))
     lost = scratch.write(gone.where("gone").select(F.col("doc_id").alias("__lost")))
     # Few enough ids travel to the texts; else the texts are shuffled to meet them.
     few = lost.count() <= MAX_BROADCAST_IDS
     rows = docs.join(F.broadcast(lost) if few else lost, docs[doc_id] == F.col("__lost"), "left_anti")
-    return rows.dropDuplicates([doc_id, text]) if _ids_repeat(docs.select(F.col(doc_id).alias("doc_id"))) else rows
+    rows = rows.dropDuplicates([doc_id, text]) if _ids_repeat(docs.select(F.col(doc_id).alias("doc_id"))) else rows
+    if docs.where(F.col(doc_id).isNull()).isEmpty():
+        return rows
+    unnamed = _with_nodes(docs.where(F.col(doc_id).isNull()).select(F.col(text).alias("text")).distinct()).where(F.col("node").isNotNull())
+    stays = unnamed.join(per_class.where(F.col("class_id").isNull() & (F.col("node") == F.col("head"))), "node").groupBy("node").agg(F.min("text").alias("stays"))
+    copies = unnamed.join(stays, unnamed["text"] == F.col("stays"), "left_anti").select(F.col("text").alias("__copy"))
+    left = rows.where(F.col(doc_id).isNull()).join(scratch.write(copies), F.col(text) == F.col("__copy"), "left_anti")
+    return rows.where(F.col(doc_id).isNotNull()).unionByName(left)

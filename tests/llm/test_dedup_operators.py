@@ -163,6 +163,18 @@ def test_rows_that_share_an_id(spark):
     assert sorted(r.doc_id for r in ngram_join.keep_one(docs).collect()) == [3, 5, 5]  # an id stays while any of its texts does
 
 
+def test_rows_without_id_are_judged(spark):
+    long = [f"w{i}" for i in range(100)]
+    near, other = " ".join(long[:-1] + ["new"]), [f"o{i}" for i in range(100)]
+    rows = [(1, " ".join(long)), (None, " ".join(long)), (None, near), (None, " ".join(other)), (None, " ".join(other).upper()), (None, " ".join(other[:-1])), (None, "..."), (2, "alone here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in ngram_join.near_duplicates(docs).collect())
+    assert got == Counter({(1, 1, 2): 1, (None, 1, 2): 2, (None, None, 2): 3, (None, None, 0): 1, (2, 2, 0): 1})
+    kept = [tuple(r) for r in ngram_join.keep_one(docs).collect()]
+    assert len(kept) == 4 and {rows[0], rows[6], rows[7]} < set(kept)
+    assert sum(r in rows[3:6] for r in kept) == 1
+
+
 def test_pruning_spares_pairs_at_the_threshold():
     floors = ngram_join.fewest_matches(0.8, 1e-6)
     assert all(m < 0.8 * n for n, m in floors.items()) and floors[128] > 60
