@@ -1,57 +1,74 @@
 """Benchmark decontamination with one Aho-Corasick automaton over normalised benchmark texts.
 
-Texts are normalised (A-Z lower-cased, words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` joined by one space); every window of
-13 item words is a pattern, an item of fewer words is one pattern. Each document is scanned once and the matches are
-mapped back to words and to character offsets of the original text. No shuffle: benchmark patterns travel to the
-documents, in blocks of a checked size, never the other way.
-
-Defined cases: a null or empty document has no words and is clean; a null item, or one without words, has no windows;
-repeated documents are judged row by row; repeated items with different ids all count; an empty benchmark leaves every
-document clean; other columns, whatever their names, are not read.
+Texts are normalised (A-Z lower-cased, words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``); every window of 13 item words is a pattern, an
+item of fewer words is one pattern. The automaton's letters are words, numbered by the benchmark's vocabulary, which keeps it an order
+of magnitude smaller than one of characters. Each document is scanned once and the matches are mapped back to character
+offsets of the original text. No shuffle: benchmark patterns travel to the documents, never the other way.
+
+An automaton is bounded by BLOCK_BYTES, reckoned from its nodes before it is built. A larger benchmark is dealt in blocks of
+segments that overlap by a window; the driver holds one block at a time, each block's scan writes only what it hit, and the hits meet the documents
+at the end.
+
+Defined cases: a null or empty document has no words and is clean; a very long one is scanned whole, alone in its worker; a null item, or
+one without words, has no windows; items with a null id count as one item that has no name in item_ids; repeated documents
+are judged row by row; repeated items with different ids all count; an empty benchmark leaves every
+document clean; other columns, whatever their names, are not read by ``decontaminate`` and pass through ``drop_contaminated`` untouched.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytescan import FOLD, column, groups, texts_of
-from .store import Scratch, prepare
+from .store import Scratch, fresh, prepare
 
 WINDOW = 13
-#: One block of benchmark text that is broadcast as one automaton; a larger benchmark is scanned block after block.
-BLOCK_BYTES = 16 << 20
+#: Memory of one block's automaton in a worker, and of one of its nodes (32 bytes, and its share of the values).
+BLOCK_BYTES, NODE_BYTES = 128 << 20, 40
+#: Windows of a segment at least.
+SEGMENT = 1024
+#: Texts with hits that may be broadcast, where there are several blocks.
+MAX_BROADCAST_HITS = 1 << 16
 _WORD = regex.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+_JAVA_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def normal_words(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode().translate(FOLD).split()
 
 
-def windows(items: list[tuple], size: int = WINDOW) -> dict[str, list]:
-    """Window text, framed by spaces, to the ids of the items that hold it."""
-    found: dict[str, dict] = {}
-    for item_id, text in items:
-        words = normal_words(text)
+def windows(items: Iterable[tuple], size: int = WINDOW) -> Iterator[tuple[tuple, object]]:
+    """Windows (tuples of words) of (id, words) items, with the item's id."""
+    for item_id, words in items:
         span = min(size, len(words))
         for i in range(len(words) - span + 1 if span else 0):
-            found.setdefault((b" " + b" ".join(words[i : i + span]) + b" ").decode(), {})[item_id] = None
-    return {k: list(v) for k, v in found.items()}
+            yield tuple(words[i : i + span]), item_id
 
 
 class Automaton:
-    def __init__(self, patterns: dict[str, list]):
-        self.machine = ahocorasick.Automaton()
-        for text, ids in patterns.items():
-            self.machine.add_word(text, (len(text), text.count(" ") - 1, ids))
-        self.empty = not patterns
+    """Patterns of word numbers; items: (id, words)."""
+
+    def __init__(self, items: Iterable[tuple[object, list[bytes]]]):
+        self.numbers: dict[bytes, int] = {}
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        number = lambda w: self.numbers.setdefault(w, len(self.numbers) + 1)
+        for window, item_id in windows(items):
+            key = tuple(number(w) for w in window)
+            had = self.machine.get(key, None)
+            if had is None:
+                self.machine.add_word(key, (len(key), {item_id: None}))
+            else:
+                had[1][item_id] = None
+        self.empty = not self.numbers
         if not self.empty:
             self.machine.make_automaton()
 
@@ -60,16 +77,12 @@ class Automaton:
         words = normal_words(text)
         if self.empty or not words:
             return len(words), [], []
-        line = (b" " + b" ".join(words) + b" ").decode()
-        hits = list(self.machine.iter(line))
-        if not hits:
-            return len(words), [], []
-        gaps = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), np.uint32) == 32)
+        number = self.numbers.get
+        line = tuple([number(w, 0) for w in words])
         ids, spans = {}, []
-        for end, (length, n, items) in hits:
-            first = int(np.searchsorted(gaps, end - length + 1))
-            spans.append((first, first + n))
-            ids.update(dict.fromkeys(items))
+        for end, (n, items) in self.machine.iter(line):
+            spans.append((end - n + 1, end + 1))
+            ids.update(items)
         return len(words), merged(spans), list(ids)
 
 
@@ -117,13 +130,23 @@ class Shipped:
         return self.broadcast.value
 
 
-def blocks(benchmark: DataFrame, item_id: str, item_text: str, limit: int) -> list[dict[str, list]]:
-    """The benchmark as pattern tables of at most about ``limit`` bytes of text each (13 words share one text byte range)."""
-    items = benchmark.select(F.col(item_id).alias("id"), F.col(item_text).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // limit) or 1
-    parts = (items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k) for k in range(n))
-    return [windows([(r.id, r.text) for r in part.toLocalIterator()]) for part in parts]
+class Blocks:
+    """The benchmark dealt in blocks whose automata take about ``limit`` bytes each; a block is fetched when it is asked for."""
+
+    def __init__(self, benchmark: DataFrame, item_id: str, item_text: str, limit: int):
+        words = F.regexp_extract_all(F.translate(F.coalesce(F.col(item_text), F.lit("")), _UPPER, _UPPER.lower()), F.lit(_JAVA_WORD), F.lit(0))
+        items = benchmark.select(F.col(item_id).alias("id"), words.alias("words")).where(F.size("words") > 0)
+        most = max(SEGMENT, limit // NODE_BYTES // WINDOW // 8)
+        starts = F.sequence(F.lit(0), F.greatest(F.size("words") - WINDOW, F.lit(0)), F.lit(most))
+        cut = items.select("id", "words", F.explode(starts).alias("at"))
+        self.segments = cut.select("id", F.slice("words", F.col("at") + 1, F.lit(most + WINDOW - 1)).alias("words"))
+        span = F.least(F.size("words"), F.lit(WINDOW))
+        sums = self.segments.agg(F.sum((F.size("words") - span + 1).cast("long") * span).alias("nodes"), F.count("words").alias("n")).first()
+        self.count = max(1, min(sums.n, -(-(sums.nodes or 0) * NODE_BYTES // limit)))
+
+    def fetch(self, k: int) -> list[tuple[object, list[bytes]]]:
+        part = self.segments.where(F.pmod(F.xxhash64("id", "words"), F.lit(self.count)) == k) if self.count > 1 else self.segments
+        return [(r.id, [w.encode() for w in r.words]) for r in part.toLocalIterator()]
 
 
 SCHEMA = [
@@ -131,6 +154,71 @@ SCHEMA = [
     T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("contaminated", T.BooleanType()),
 ]
 _WORD_SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+_HITS = "array<struct<a: long, b: long>>"
+
+
+def _key(text: Column) -> Column:
+    """Tells texts apart by two hashes; equal texts are hit equally."""
+    return F.struct(F.xxhash64(text).alias("hash"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("check"))
+
+
+def _block_hits(texts: DataFrame, shipped: Shipped) -> DataFrame:
+    """key, spans (of words), items (their names) and nameless of each text that a block hits. texts: text, key."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in groups(batches, "text"):
+            got = [automaton(shipped).scan(t) for t in texts_of(batch, "text")]
+            at = [i for i, (_, spans, _) in enumerate(got) if spans]
+            spans = [[{"a": a, "b": b} for a, b in got[i][1]] for i in at]
+            names = [[str(x) for x in got[i][2] if x is not None] for i in at]
+            arrays = [column(batch, "key").take(pa.array(at, pa.int64())), pa.array(spans, _WORD_SPANS), pa.array(names, pa.list_(pa.string())), pa.array([None in got[i][2] for i in at], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "spans", "names", "nameless"])
+
+    return texts.mapInArrow(scan, f"key struct<hash: long, check: long>, spans {_HITS}, names array<string>, nameless boolean")
+
+
+def _all_hits(texts: DataFrame, blocks: Blocks, scratch: Scratch) -> DataFrame:
+    """One row a text that any block hits, with what all blocks hit in it."""
+    spark, parts = texts.sparkSession, []
+    for k in range(blocks.count):
+        broadcast = spark.sparkContext.broadcast(blocks.fetch(k))
+        parts.append(scratch.write(_block_hits(texts, Shipped(broadcast)).dropDuplicates(["key"])))
+        broadcast.destroy()
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.unionByName(more)
+    flat = lambda c: F.array_distinct(F.flatten(F.collect_set(c))).alias(c)
+    return scratch.write(found.groupBy("key").agg(flat("spans"), flat("names"), F.bool_or("nameless").alias("nameless")))
+
+
+def _with_hits(docs: DataFrame, text: str, blocks: Blocks, name: str) -> DataFrame:
+    """The documents with what all blocks hit in a struct column ``name`` (null: nothing)."""
+    scratch = Scratch(docs.sparkSession)
+    key = fresh(docs.columns, "hit_key", name)
+    hits = _all_hits(docs.select(F.col(text).alias("text"), _key(F.col(text)).alias("key")), blocks, scratch)
+    few = hits.count() <= MAX_BROADCAST_HITS
+    hits = hits.select(F.col("key").alias(key), F.struct("spans", "names", "nameless").alias(name))
+    return docs.withColumn(key, _key(F.col(text))).join(F.broadcast(hits) if few else hits, key, "left").drop(key)
+
+
+def _found(texts: list[str | None], machine: Automaton | None, hits: list[dict | None] | None) -> Iterator[tuple[int, list, list[str], bool]]:
+    """Number of words, hit intervals, names of items and whether a nameless one is among them, from a scan or from the blocks' hits."""
+    if machine is not None:
+        for t in texts:
+            n, spans, ids = machine.scan(t)
+            yield n, spans, sorted({str(x) for x in ids if x is not None}), None in ids
+        return
+    for t, hit in zip(texts, hits, strict=True):
+        n = len(normal_words(t))
+        if hit is None:
+            yield n, [], [], False
+        else:
+            yield n, merged([(x["a"], x["b"]) for x in hit["spans"]]), sorted(set(hit["names"])), hit["nameless"]
+
+
+def _bad(n: int, spans: list[tuple[int, int]], share: int) -> bool:
+    hit = sum(b - a for a, b in spans)
+    return hit > 0 and share * hit >= n
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -140,70 +228,39 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
     """
     spark = docs.sparkSession
     prepare(spark)
-    tables = blocks(benchmark, item_id, item_text, block_bytes)
-    found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    if len(tables) > 1:
-        scratch = Scratch(spark)
-        for table in tables[:-1]:
-            found = scratch.write(_scan_block(found, Shipped(spark.sparkContext.broadcast(table))))
-    shipped = Shipped(spark.sparkContext.broadcast(tables[-1]))
+    blocks = Blocks(benchmark, item_id, item_text, block_bytes)
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    one = Shipped(spark.sparkContext.broadcast(blocks.fetch(0))) if blocks.count == 1 else None
+    own = own if one else _with_hits(own, "text", blocks, "hits")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in groups(batches, "text"):
-            yield _finished(batch, automaton(shipped), share)
-
-    return found.mapInArrow(finish, T.StructType([T.StructField("doc_id", found.schema["doc_id"].dataType), *SCHEMA]))
-
-
-def _scan_block(found: DataFrame, shipped: Shipped) -> DataFrame:
-    """Adds what one block of the benchmark hits to the columns old_spans and old_items."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups(batches, "text"):
             texts = texts_of(batch, "text")
-            had = _had(batch)
-            got = [automaton(shipped).scan(t) for t in texts]
-            spans = [[{"a": a, "b": b} for a, b in merged(s + old)] for (_, s, _), (old, _) in zip(got, had, strict=True)]
-            ids = [sorted({*map(str, i), *old}) for (_, _, i), (_, old) in zip(got, had, strict=True)]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "text"), pa.array(spans, _WORD_SPANS), pa.array(ids, pa.list_(pa.string()))], ["doc_id", "text", "old_spans", "old_items"])
+            rows = list(_found(texts, automaton(one) if one else None, None if one else texts_of(batch, "hits")))
+            places = [[{"start": a, "end": b} for a, b in original_spans(t or "", spans)] for t, (_, spans, _, _) in zip(texts, rows, strict=True)]
+            arrays = [
+                column(batch, "doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([sum(b - a for a, b in r[1]) for r in rows], pa.int64()),
+                pa.array([len(r[2]) + r[3] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.string())),
+                pa.array(places, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([_bad(r[0], r[1], share) for r in rows], pa.bool_()),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *(f.name for f in SCHEMA)])
 
-    return found.mapInArrow(scan, T.StructType([found.schema["doc_id"], found.schema["text"], T.StructField("old_spans", T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))), T.StructField("old_items", T.ArrayType(T.StringType()))]))
-
-
-def _had(batch: pa.RecordBatch) -> list[tuple[list, list]]:
-    if "old_spans" not in batch.schema.names:
-        return [([], [])] * batch.num_rows
-    spans, ids = texts_of(batch, "old_spans"), texts_of(batch, "old_items")
-    return [([(x["a"], x["b"]) for x in s], i) for s, i in zip(spans, ids, strict=True)]
-
-
-def _finished(batch: pa.RecordBatch, machine: Automaton, share: int) -> pa.RecordBatch:
-    n_words, n_hit, ids, spans = [], [], [], []
-    for t, (old_spans, old_ids) in zip(texts_of(batch, "text"), _had(batch), strict=True):
-        n, found, items = machine.scan(t)
-        found = merged(found + old_spans)
-        n_words.append(n)
-        n_hit.append(sum(b - a for a, b in found))
-        ids.append(sorted({*map(str, items), *old_ids}))
-        spans.append([{"start": a, "end": b} for a, b in original_spans(t or "", found)])
-    bad = [h > 0 and share * h >= n for h, n in zip(n_hit, n_words, strict=True)]
-    arrays = [column(batch, "doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(bad, pa.bool_())]
-    return pa.RecordBatch.from_arrays(arrays, ["doc_id", *(f.name for f in SCHEMA)])
+    return own.mapInArrow(finish, T.StructType([T.StructField("doc_id", own.schema["doc_id"].dataType), *SCHEMA]))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents, with all their columns, that are not contaminated."""
-    prepare(docs.sparkSession)
-    tables = blocks(benchmark, item_id, item_text, block_bytes)
-    if len(tables) > 1:
-        numbered = Scratch(docs.sparkSession).write(docs.select(F.struct(*docs.columns).alias("doc_id"), F.col(text).alias("text")))
-        return decontaminate(numbered, benchmark, item_id=item_id, item_text=item_text, share=share, block_bytes=block_bytes).where(~F.col("contaminated")).select("doc_id.*")
-    shipped = Shipped(docs.sparkSession.sparkContext.broadcast(tables[0]))
+    spark = docs.sparkSession
+    prepare(spark)
+    blocks = Blocks(benchmark, item_id, item_text, block_bytes)
+    one = Shipped(spark.sparkContext.broadcast(blocks.fetch(0))) if blocks.count == 1 else None
+    name = fresh(docs.columns, "hits")
+    rows = docs if one else _with_hits(docs, text, blocks, name)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups(batches, text):
-            scanned = (automaton(shipped).scan(t) for t in texts_of(batch, text))
-            hits = [(n, sum(b - a for a, b in spans)) for n, spans, _ in scanned]
-            yield batch.filter(pa.array([not (h > 0 and share * h >= n) for n, h in hits], pa.bool_()))
+            found = _found(texts_of(batch, text), automaton(one) if one else None, None if one else texts_of(batch, name))
+            good = pa.array([not _bad(n, spans, share) for n, spans, _, _ in found], pa.bool_())
+            yield batch.filter(good) if one else batch.filter(good).drop_columns([name])
 
-    return docs.mapInArrow(keep, docs.schema)
+    return rows.mapInArrow(keep, docs.schema)

@@ -4,24 +4,39 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+#: Arrow batches of at most so many rows and bytes, so that long texts keep Python workers small.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of its own only where that is unset (a local test session)."""
+    """spark.checkpoint.dir of the session; where that is unset, a folder of its own, but only on a local master (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def prepare(spark: SparkSession) -> None:
-    """Arrow batches of at most 1000 rows and 16 MB, so that long texts keep Python workers small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    """Sets the batches' bounds where the session leaves them open; DataFrames run after the call, so they stay set."""
+    own = spark._jsparkSession.sessionState().conf()
+    for name, value in BATCH.items():
+        if not own.contains(name):
+            spark.conf.set(name, value)
+
+
+def fresh(taken: Iterable[str], name: str, *others: str) -> str:
+    """A column name like ``name`` that none of the taken ones clashes with, whatever their case."""
+    held = {c.lower() for c in (*taken, *others)}
+    while name.lower() in held:
+        name += "_"
+    return name
 
 
 class Scratch:
@@ -52,8 +67,3 @@ class Scratch:
         """Removes a table that nothing reads any more."""
         path = self._path(df._scratch_name)
         self._fs(path).delete(path, True)
-
-
-def row_key(doc_id: str, text: str):
-    """Tells rows apart by id and content; repeated rows share it."""
-    return F.xxhash64(F.col(doc_id), F.col(text))
