@@ -4,18 +4,19 @@ Words are ``[^\\x20\\x09-\\x0D]+``. A window of LENGTH consecutive words is repe
 
 1. Every window is owned by its anchor, the first least hash among its ANCHOR-word grams. Equal windows have equal anchors, so
    only anchors that occur twice matter. Consecutive windows of one anchor's place form a context; contexts are counted by content with
-   partial aggregation, so copies collapse. A context that occurs twice is repeated as a whole.
-2. Where an anchor has several contexts, they are its reference. Shards of such references become suffix automata with
-   occurrence counts, and the shard's contexts are streamed through for matching statistics: a window is repeated if the state
-   of its LENGTH words has occurred twice.
+   partial aggregation, so copies collapse.
+2. The contexts of such an anchor are its reference, each with its number of occurrences. Shards of references become suffix automata
+   with occurrence counts, and the shard's contexts are streamed through for matching statistics: a window is repeated if the
+   state of its LENGTH words has occurred twice. That holds for exact copies (one context that occurs often) as for others.
 3. Repeated windows go back to their documents, whose maximal covered spans are removed.
 
 The corpus is its own reference and grows, so shards are not broadcast to all documents: by their anchors, contexts go to the one
 shard that can match them. Anchors with more than HOT contexts (a passage that a large share of all documents embeds) would make
 unbounded shards; their windows are counted by hash with partial aggregation instead.
 
-Defined cases: a null text, or one without words, gives 0 words and an empty text; repeated rows repeat each other; rows that share
-a doc_id are told apart by their text; an empty table gives an empty result; other columns are not read.
+Defined cases: a null text, or one without words, gives 0 words and an empty text; repeated rows repeat each other (their marks are
+kept once, however many rows there are); rows that share a doc_id are told apart by their text; a very long text is one group of its
+own in a worker and is judged whole; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -78,8 +79,8 @@ class Contexts:
         self.content = mix(range_hashes(self.hashes, self.at, ends) + self.windows.astype(np.uint64)).view(np.int64)
 
     def letters(self, i: int, length: int) -> np.ndarray:
-        """32-bit word codes of a context; the anchor's own words agree by 64 bits already."""
-        return (self.hashes[self.at[i] : self.at[i] + self.windows[i] + length - 1] >> np.uint64(32)).astype(np.uint32)
+        """64-bit word codes of a context."""
+        return self.hashes[self.at[i] : self.at[i] + self.windows[i] + length - 1]
 
 
 class SuffixAutomaton:
@@ -179,9 +180,9 @@ def repeated_windows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
 
     found = scratch.write(keyed.mapInArrow(occurrences, "row long, check long, anchor long, content long, first long, windows long"))
     counted = scratch.write(found.groupBy("anchor", "content").agg(F.count("row").alias("n")))
-    kinds = counted.groupBy("anchor").agg(F.count("content").alias("kinds")).where(F.col("kinds") > 1)
-    several = scratch.write(counted.join(kinds, "anchor"))
-    wanted = ship(bitmap.build(several.select("content"), bitmap.cells_for(several.count())))
+    kinds = counted.groupBy("anchor").agg(F.count("content").alias("kinds"), F.sum("n").alias("places")).where(F.col("places") > 1).select("anchor", "kinds")
+    shared = scratch.write(counted.join(kinds, "anchor"))
+    wanted = ship(bitmap.build(shared.select("content"), bitmap.cells_for(shared.count())))
 
     def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
@@ -194,46 +195,44 @@ def repeated_windows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(c.content[hit]), pa.array([c.letters(i, length).tobytes() for i in hit], pa.binary())], ["content", "letters"])
 
     spelled = keyed.select("text").mapInArrow(letters, "content long, letters binary").dropDuplicates(["content"])
-    references = scratch.write(several.join(spelled, "content"))
+    references = scratch.write(shared.join(spelled, "content"))
     masks = _shard_masks(references.where(F.col("kinds") <= HOT), length).unionByName(_hot_masks(references.where(F.col("kinds") > HOT), length))
-    whole = counted.where(F.col("n") > 1).select("content", F.lit(-1).cast("long").alias("mask"))
-    known = scratch.write(whole.unionByName(masks.where(F.col("mask") != 0)).groupBy("content").agg(F.bit_or("mask").alias("mask")))
-    inside = F.when(F.col("mask") == -1, F.expr("shiftleft(1L, cast(windows as int)) - 1")).otherwise(F.col("mask"))
-    return scratch.write(found.join(known, "content").select("row", "check", "first", inside.alias("mask")))
+    known = scratch.write(masks.where(F.col("mask") != 0))
+    return scratch.write(found.join(known, ["anchor", "content"]).select("row", "check", "first", "mask"))
 
 
 def _shard_masks(references: DataFrame, length: int) -> DataFrame:
-    """content, mask from the automata of shards: whole anchors, gathered up to SHARD_WORDS words."""
+    """anchor, content, mask from the automata of shards: whole anchors, gathered up to SHARD_WORDS words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, list[int]]] = []
+        held: list[tuple[int, int, int, list[int]]] = []
         words = 0
         for g in sorted_groups(batches, ["anchor"]):
-            held += zip(column(g, "content").to_pylist(), column(g, "n").to_pylist(), (np.frombuffer(x, np.uint32).tolist() for x in column(g, "letters").to_pylist()), strict=True)
-            words += sum(len(x[2]) for x in held[-g.num_rows :])
+            held += zip(column(g, "anchor").to_pylist(), column(g, "content").to_pylist(), column(g, "n").to_pylist(), (np.frombuffer(x, np.uint64).tolist() for x in column(g, "letters").to_pylist()), strict=True)
+            words += sum(len(x[3]) for x in held[-g.num_rows :])
             if words >= SHARD_WORDS:
                 yield _matched(held, length)
                 held, words = [], 0
         yield _matched(held, length)
 
     dealt = references.select("anchor", "content", "n", "letters").repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, "content long, mask long")
+    return dealt.mapInArrow(run, "anchor long, content long, mask long")
 
 
-def _matched(shard: list[tuple[int, int, list[int]]], length: int) -> pa.RecordBatch:
+def _matched(shard: list[tuple[int, int, int, list[int]]], length: int) -> pa.RecordBatch:
     automaton = SuffixAutomaton()
-    for _, n, letters in shard:
+    for *_, n, letters in shard:
         automaton.add(letters, n)
     automaton.finish()
     masks = [automaton.repeated(letters, length) for *_, letters in shard]
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in shard], pa.int64()), pa.array(masks, pa.int64())], ["content", "mask"])
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in shard], pa.int64()), pa.array([x[1] for x in shard], pa.int64()), pa.array(masks, pa.int64())], ["anchor", "content", "mask"])
 
 
 def _windows(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, place and hash of each window of the contexts of a batch."""
     rows, places, windows = [], [], []
     for row, packed in enumerate(column(batch, "letters").to_pylist()):
-        codes = np.frombuffer(packed, np.uint32).astype(np.uint64)
+        codes = np.frombuffer(packed, np.uint64)
         starts = np.arange(len(codes) - length + 1)
         windows.append(range_hashes(mix(codes + np.uint64(1)), starts, starts + length).view(np.int64))
         places.append(starts)
@@ -242,7 +241,7 @@ def _windows(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _hot_masks(references: DataFrame, length: int) -> DataFrame:
-    """content, mask of the contexts of hot anchors, from counts of their windows, summed where they are made."""
+    """anchor, content, mask of the contexts of hot anchors, from counts of their windows, summed where they are made."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,7 +252,7 @@ def _hot_masks(references: DataFrame, length: int) -> DataFrame:
                 np.add.at(sums, number, np.asarray(column(batch, "n"))[rows])
                 yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(sums)], ["window", "n"])
 
-    some = references.select("content", "n", "letters")
+    some = references.select("anchor", "content", "n", "letters")
     twice = some.mapInArrow(count, "window long, n long").groupBy("window").agg(F.sum("n").alias("total")).where(F.col("total") > 1).select("window")
     written = Scratch(references.sparkSession).write(twice)
     seen = Shipped(references.sparkSession.sparkContext.broadcast(bitmap.build(written, bitmap.cells_for(written.count()))))
@@ -263,16 +262,18 @@ def _hot_masks(references: DataFrame, length: int) -> DataFrame:
             if batch.num_rows:
                 rows, places, windows = _windows(batch, length)
                 hit = bitmap.holds(seen.value, windows)
-                yield pa.RecordBatch.from_arrays([column(batch, "content").take(pa.array(rows[hit])), pa.array(places[hit]), pa.array(windows[hit])], ["content", "place", "window"])
+                at = pa.array(rows[hit])
+                yield pa.RecordBatch.from_arrays([column(batch, "anchor").take(at), column(batch, "content").take(at), pa.array(places[hit]), pa.array(windows[hit])], ["anchor", "content", "place", "window"])
 
-    found = some.mapInArrow(find, "content long, place long, window long").join(written, "window")
-    return found.groupBy("content").agg(F.bit_or(F.expr("shiftleft(1L, cast(place as int))")).alias("mask"))
+    found = some.mapInArrow(find, "anchor long, content long, place long, window long").join(written, "window")
+    return found.groupBy("anchor", "content").agg(F.bit_or(F.expr("shiftleft(1L, cast(place as int))")).alias("mask"))
 
 
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_text (kept words joined by one space), removed (spans of word numbers)."""
     found = repeated_windows(docs, doc_id=doc_id, text=text, length=length)
-    marks = found.groupBy("row", "check").agg(F.collect_list(F.struct("first", "mask")).alias("marks"))
+    # Sets: equal rows have equal marks, and each map task sends a mark once.
+    marks = found.groupBy("row", "check").agg(F.collect_set(F.struct("first", "mask")).alias("marks"))
     rows = _row_columns(docs, doc_id, text).join(marks, ["row", "check"], "left").select("doc_id", "text", "marks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
