@@ -1,13 +1,18 @@
 """Token counts of a byte-level BPE tokenizer by finite-state compilation.
 
-Words come from the transducer in pretokens.py. A word's bytes then run through a second transducer, compiled from the
-merges as words need it: a state stands for a prefix, each transition carries the change of the number of emitted
-tokens, and the sum along the path is the word's count. A prefix ends in the one token whose pair with the token before
-it survives the merges, which is how the next transition's annotation is found. Counts of distinct words are kept in a
-table of bounded size; nothing is approximate.
+Words come from the transducer in pretokens.py, whose chunk state maps compose by a prefix scan. A word's bytes then run
+through a second transducer, whose transitions carry the change of the number of emitted tokens; every word starts it anew, so its
+map over a word is one number, and the counts of a text compose by a prefix sum.
+
+A prefix ends in the one token whose pair with the token before it survives the merges. So of a prefix only this matters: its longest
+ends that may still grow into a token, and for each of them the token before it and the number of tokens up to there, relative
+to the prefix's own. Such a record is a state; there are finitely many, whatever the length of words, and prefixes that agree in it
+share one. States and transitions are compiled on first use, into a table of bounded size; one that is full starts anew from
+the current state. Words are told apart by 64-bit hashes within one slice of about 1 MB and by their bytes from slice to slice.
 
 Defined cases: a null text counts as empty (no bytes, no tokens); special strings inside a text are one token each, as the
-library has it by default; rows are independent, so repeated rows, empty tables and other columns change nothing.
+library has it by default; a very long text is a slice of its own and counted whole, a word of any length in the same bounded table; rows are
+independent, so repeated rows, ties, null ids, empty tables and other columns, whatever their names, change nothing.
 """
 
 from __future__ import annotations
@@ -27,7 +32,9 @@ from .pretokens import Pretokens
 from .store import prepare
 
 #: Bounds of what a worker keeps: transducer states, token pairs, distinct words.
-MAX_STATES, MAX_PAIRS, MAX_WORDS = 200_000, 500_000, 1_000_000
+MAX_STATES, MAX_PAIRS, MAX_WORDS = 200_000, 500_000, 500_000
+#: Longer words, in bytes, are counted each time they are met.
+LONG = 256
 LIMIT = 1024
 
 
@@ -65,19 +72,31 @@ class Merges:
 
 
 class CountTransducer:
-    """Deterministic transducer from bytes to changes of the token count, compiled state by state on first use."""
+    """Deterministic transducer from bytes to changes of the token count, compiled state by state on first use.
+
+    A state is the longest end of the prefix that may grow into a token, and for each such end, longest first: its length, the token
+    before it (-1 at the word's start) and the count there less the count here.
+    """
+
+    START = (b"", ((0, -1, 0),))
 
     def __init__(self, merges: Merges):
         self.merges = merges
-        self.longest = [1] * 256
-        for token in merges.ids:
-            self.longest[token[-1]] = max(self.longest[token[-1]], len(token))
+        self.growing = {token[:k] for token in merges.ids for k in range(1, len(token))}
         self.pairs: dict[tuple[int, int], bool] = {}
-        self._reset()
+        self._reset(self.START)
 
-    def _reset(self) -> None:
+    def _reset(self, *states: tuple) -> None:
         self.edges: dict[int, tuple[int, int]] = {}
-        self.last, self.total = [-1], [0]
+        self.states, self.numbers = [], {}
+        for state in (self.START, *states):
+            self._number(state)
+
+    def _number(self, state: tuple) -> int:
+        number = self.numbers.setdefault(state, len(self.states))
+        if number == len(self.states):
+            self.states.append(state)
+        return number
 
     def _survives(self, a: int, b: int) -> bool:
         """Whether the merges leave these two neighbours as they are."""
@@ -89,29 +108,34 @@ class CountTransducer:
             known = self.pairs[a, b] = m.merge([m.ids[bytes((c,))] for c in m.bytes[a] + m.bytes[b]]) == [a, b]
         return known
 
-    def _compile(self, word: bytes, path: list[int]) -> tuple[int, int]:
-        """The transition from the last state of path on the next byte of word: new state and change of the count."""
-        end = len(path)
-        ids = self.merges.ids
-        for start in range(max(0, end - self.longest[word[end - 1]]), end):
-            token = ids.get(word[start:end])
-            if token is not None and (start == 0 or self._survives(self.last[path[start]], token)):
-                self.last.append(token)
-                self.total.append(self.total[path[start]] + 1)
-                return len(self.last) - 1, self.total[-1] - self.total[path[-1]]
-        raise ValueError("the vocabulary lacks a byte")
+    def _compile(self, state: int, byte: int) -> tuple[int, int]:
+        """The transition of a state on a byte: new state and change of the count."""
+        end, live = self.states[state]
+        end += bytes((byte,))
+        grown = [(end[len(end) - length - 1 :], length, before, count) for length, before, count in live]
+        for text, _, before, count in grown:
+            token = self.merges.ids.get(text)
+            if token is not None and (before < 0 or self._survives(before, token)):
+                break
+        else:
+            raise ValueError("the vocabulary lacks a byte")
+        change = count + 1
+        kept = tuple((length + 1, before, count - change) for text, length, before, count in grown if text in self.growing)
+        longest = kept[0][0] if kept else 0
+        return self._number((end[len(end) - longest :], (*kept, (0, token, 0)))), change
 
     def count(self, word: bytes) -> int:
-        if len(self.last) >= MAX_STATES:
-            self._reset()
-        path, total, edges, state = [0], 0, self.edges, 0
+        total, edges, state = 0, self.edges, 0
         for byte in word:
             edge = edges.get(state << 8 | byte)
             if edge is None:
-                edge = edges[state << 8 | byte] = self._compile(word, path)
-            state = edge[0]
-            total += edge[1]
-            path.append(state)
+                if len(self.states) >= MAX_STATES:
+                    now = self.states[state]
+                    self._reset(now)
+                    edges, state = self.edges, self.numbers[now]
+                edge = edges[state << 8 | byte] = self._compile(state, byte)
+            state, change = edge
+            total += change
         return total
 
 
@@ -121,7 +145,7 @@ class Counter:
     def __init__(self, path: str):
         merges = Merges(path)
         self.transducer = CountTransducer(merges)
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.special = regex.compile("|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True)))) if merges.special else None
 
     def count(self, texts: list[str]) -> list[int]:
@@ -134,14 +158,17 @@ class Counter:
                 parts += pieces
                 owners += [i] * len(pieces)
         words = Pretokens(parts)
-        hashes, first, numbers = words.distinct()
+        _, first, numbers = words.distinct()
         if len(self.known) > MAX_WORDS:
             self.known.clear()
-        known, counts = self.known, np.empty(len(hashes), np.int64)
-        for k, h in enumerate(hashes.tolist()):
-            c = known.get(h)
+        known, counts = self.known, np.empty(len(first), np.int64)
+        for k, i in enumerate(first.tolist()):
+            word = words.word(i)
+            c = known.get(word)
             if c is None:
-                c = known[h] = self.transducer.count(words.word(first[k]))
+                c = self.transducer.count(word)
+                if len(word) <= LONG:
+                    known[word] = c
             counts[k] = c
         sums = np.concatenate(([0], np.cumsum(counts[numbers])))
         out = np.array(extra, np.int64)
