@@ -106,11 +106,25 @@ def replay(words: list[bytes], table: Ranks) -> list[list[int]]:
 
 def _one_by_one(parts: list[int], pairs: dict[int, int]) -> list[int]:
     """A single word, always the lowest and then leftmost rank: for words whose merges do not come in rank order."""
-    while True:
-        best = min(((pairs[a << 20 | b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a << 20 | b in pairs), default=None)
-        if best is None:
-            return parts
-        parts[best[1] : best[1] + 2] = [best[0]]
+    n = len(parts)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(rank, p) for p in range(n - 1) if (rank := pairs.get(parts[p] << 20 | parts[p + 1])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        rank, p = heapq.heappop(heap)
+        q = after[p]
+        if parts[p] < 0 or q >= n or pairs.get(parts[p] << 20 | parts[q]) != rank:
+            continue  # one of the two has merged meanwhile
+        parts[p], parts[q] = rank, -1
+        r = after[p] = after[q]
+        if r < n:
+            before[r] = p
+        for left, right in ((before[p], p), (p, r)):
+            if left >= 0 and right < n:
+                new = pairs.get(parts[left] << 20 | parts[right])
+                if new is not None:
+                    heapq.heappush(heap, (new, left))
+    return [t for t in parts if t >= 0]
 
 
 def _gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
