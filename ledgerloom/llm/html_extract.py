@@ -1,25 +1,34 @@
 """Main text of web pages by a site style tree.
 
-Pages of one host are merged into one tree whose nodes are element paths (tag, classes, id). Each node gets the entropy of
-its presentation (the child elements it has on the host's pages) and of its content (its own text there), both as a share of the
-greatest entropy that so many pages can have. A node that looks and reads the same everywhere is of low importance. What an
-element is for is a prior: elements that are navigation, footers, scripts and the like by their tag or role lower a branch's
-importance below any entropy, an article raises it: inside one, only what repeats nearly everywhere goes (below LEAST_INSIDE),
-beside it stays what entropy finds important (LEAST or more). Forms, and elements that only a word of
-their class or id names, are doubtful: they go, unless they hold an article, or TEXT_SHARE of the text that entropy leaves of the page (of the article, if there is one). Low branches are removed from each page, and what is left are its text blocks.
+Pages of one host are merged into one style tree. Its nodes are the elements of the pages: pages share a node if their elements have
+the same name (tag, classes, id) under the same parent node. A node has the presentations (sequences of child elements) and the
+contents (own texts) that the host's pages show there; the entropy of each, as a share of the greatest that so many pages can have,
+makes its importance. A node that looks and reads the same everywhere is of low importance.
+
+What an element is for is a prior, a weight on the importance: an article triples it (inside one only what repeats nearly everywhere
+goes, below LEAST_INSIDE), elements that are navigation, footers, scripts and the like by their tag or role have weight 0. Forms, and
+elements that only a word of their class or id names, are doubtful: they go, unless they hold an article, or TEXT_SHARE of the text
+that importance leaves of the page (of the article, if there is one).
+
+From each page go the branches of low importance: blocks whose weighted importance is below LEAST, and outside articles whole branches
+whose text has a mean importance below LEAST_BRANCH, with the odd line in them that differs. What is left are the page's text blocks. A page never
+loses all its blocks to the statistics.
 
 Statistics are counts per (host, node, fingerprint) over the distinct pages of a host (pages of the same text count once, else
 copies would look like boilerplate), aggregated before the shuffle and spread over all pages, so a host with a third of all
-pages is no hot spot; only the nodes' importance travels back to the pages. A page never loses all its blocks to them.
+pages is no hot spot; only the nodes' importance travels back to the pages.
 
 Defined cases: null or empty html gives an empty text of 0 characters; a null url, or one without a host, belongs to the host
 ''; nodes seen on fewer than MIN_PAGES distinct pages of a host have no statistics and
-count as important, but beside an article only if the article is the lesser part of the text; an empty table gives an empty result; other columns are not read.
+count as important, but beside an article only if the article is the lesser part of the text; elements nested deeper than DEPTH count as
+parts of the one there, as in browsers, so the work on a very long page is in proportion to its length and its elements take some
+300 bytes each; repeated rows are extracted row by row; a null page_id is carried along; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import html as entities
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +45,10 @@ from .store import Scratch, prepare
 
 #: Pages that a node's statistics need, weight of presentation in importance, least importance of what stays.
 MIN_PAGES, PRESENTATION, LEAST = 4, 0.1, 0.6
-#: Least importance of what stays inside an article.
-LEAST_INSIDE = 0.2
+#: Least importance of what stays inside an article, and least mean importance of a branch outside.
+LEAST_INSIDE, LEAST_BRANCH = 0.2, 0.2
+#: Elements in one another that are told apart.
+DEPTH = 512
 #: Share of a page's text with which a doubtful element is no noise.
 TEXT_SHARE = 0.5
 #: Nodes that may be broadcast (12 bytes each; about 150 in the driver while they are sorted).
@@ -63,20 +74,23 @@ _DIGITS = regex.compile(r"\d+")
 
 
 class Element:
-    """noise: by tag or role, its own or an ancestor's; doubtful: by a word of its own; holds: an article is in it."""
+    """A node on one page. key: of its node in the style tree; noise: by tag or role, its own or an ancestor's; doubt: the innermost
+    doubtful element (by a word of its own) among itself and its ancestors; holds: an article is in it."""
 
-    __slots__ = ("tag", "path", "parent", "noise", "doubtful", "content", "holds", "children")
+    __slots__ = ("tag", "name", "key", "parent", "noise", "doubt", "above", "content", "holds", "children")
 
-    def __init__(self, tag: str, path: str, parent: Element | None, noise: bool, doubtful: bool, content: bool):
-        self.tag, self.path, self.parent, self.noise, self.doubtful, self.content, self.holds, self.children = tag, path, parent, noise, doubtful, content, False, []
+    def __init__(self, tag: str, name: str, parent: Element | None, noise: bool, doubtful: bool, content: bool):
+        self.tag, self.name, self.parent, self.noise, self.content, self.holds, self.children = tag, name, parent, noise, content, False, []
+        self.key = xxhash.xxh3_64_intdigest(f"{parent.key}>{name}".encode()) if parent else 0
+        self.above = parent.doubt if parent else None
+        self.doubt = self if doubtful else self.above
 
-    def doubts(self) -> Iterator[Element]:
-        """The doubtful elements among itself and its ancestors that no article clears, innermost first."""
-        e = self
-        while e is not None:
-            if e.doubtful and not e.holds:
-                yield e
-            e = e.parent
+    def doubted(self) -> bool:
+        """Whether it is in a doubtful element that no article clears."""
+        d = self.doubt
+        while d is not None and d.holds:
+            d = d.above
+        return d is not None
 
 
 def _opened(tag: str, attributes: str, parent: Element) -> Element:
@@ -91,10 +105,10 @@ def _opened(tag: str, attributes: str, parent: Element) -> Element:
     doubtful = not root and (tag in DOUBTFUL_TAGS or bool(words & NOISE_WORDS) or bool(DOUBTFUL_TAGS & roles))
     article = tag in CONTENT_TAGS or "main" in roles
     # An article's own words tell nothing ("tag-related"), but comments and teasers are articles inside of such elements.
-    doubtful = doubtful and not (article and not parent.content and next(parent.doubts(), None) is None)
+    doubtful = doubtful and not (article and not parent.content and not parent.doubted())
     content = not noise and (parent.content or (article and not doubtful))
     own = ".".join([tag, *sorted(_DIGITS.sub("0", x) for n in names for x in n.split())])
-    element = Element(tag, f"{parent.path}>{own}", parent, noise, doubtful, content)
+    element = Element(tag, own, parent, noise, doubtful, content)
     if content and not parent.content:
         above = parent
         while above is not None and not above.holds:
@@ -103,13 +117,15 @@ def _opened(tag: str, attributes: str, parent: Element) -> Element:
 
 
 class Page:
-    """Blocks of a page, (element, text) in page order, and the presentation of its block elements."""
+    """Blocks of a page, (element, text) in page order, and its elements, parents first."""
 
     def __init__(self, source: str | None):
         self.blocks: list[tuple[Element, str]] = []
         self.elements: list[Element] = []
         self.buffer: list[str] = []
         self.stack = [Element("", "", None, False, False, False)]
+        self.open: Counter = Counter()
+        self.deeper: list[str] = []
         self._parse(source or "")
 
     def _flush(self) -> None:
@@ -117,7 +133,7 @@ class Page:
             text = " ".join(entities.unescape("".join(self.buffer)).split())
             self.buffer = []
             if text:
-                top = next(e for e in reversed(self.stack) if e.tag in BLOCK or e.noise or e.doubtful or not e.tag)
+                top = next(e for e in reversed(self.stack) if e.tag in BLOCK or e.noise or e.doubt is e or not e.tag)
                 self.blocks.append((top, text))
 
     def _parse(self, source: str) -> None:
@@ -150,31 +166,44 @@ class Page:
             return at
         if tag in BLOCK or tag in NOISE_TAGS:
             self._flush()
+        if self.deeper or len(self.stack) > DEPTH:
+            self.deeper.append(tag)
+            return at
         if tag in BLOCK:
-            self._end(lambda e: e.tag == "p", stop=BLOCK - {"p"})
+            self._end({"p"}, BLOCK - {"p"})
         if tag in CLOSES:
-            self._end(lambda e: e.tag in CLOSES[tag], stop={"ul", "ol", "dl", "table", "select"})
+            self._end(CLOSES[tag], {"ul", "ol", "dl", "table", "select"})
         element = _opened(tag, attributes, self.stack[-1])
         if not attributes.endswith("/") or tag in BLOCK:
             self.stack.append(element)
+            self.open[tag] += 1
+        self.elements.append(element)
         if tag in BLOCK:
-            self.elements.append(element)
             parent = next(e for e in reversed(self.stack[:-1]) if e.tag in BLOCK or not e.tag)
-            parent.children.append(element.path.rpartition(">")[2])
+            parent.children.append(element.name)
         return at
 
     def _close(self, tag: str) -> None:
-        if any(e.tag == tag for e in self.stack):
-            if tag in BLOCK or tag in NOISE_TAGS:
-                self._flush()
-            self._end(lambda e: e.tag == tag, stop=set())
-        elif tag in BLOCK:
+        if tag in BLOCK or (tag in NOISE_TAGS and (self.open[tag] or self.deeper)):
             self._flush()
+        if self.deeper:  # a tag that is not among the last few is taken for a stray one
+            for i in range(len(self.deeper) - 1, max(-1, len(self.deeper) - 1 - DEPTH), -1):
+                if self.deeper[i] == tag:
+                    del self.deeper[i:]
+                    return
+            if len(self.deeper) > DEPTH:
+                return
+            self.deeper.clear()
+        if self.open[tag]:
+            self._end({tag}, set())
 
-    def _end(self, wanted, stop) -> None:
+    def _end(self, wanted: set[str], stop: set[str]) -> None:
         """Closes the innermost wanted element, and what is open in it."""
+        if not any(self.open[t] for t in wanted):
+            return
         for i in range(len(self.stack) - 1, 0, -1):
-            if wanted(self.stack[i]):
+            if self.stack[i].tag in wanted:
+                self.open.subtract(e.tag for e in self.stack[i:])
                 del self.stack[i:]
                 return
             if self.stack[i].tag in stop:
@@ -186,30 +215,70 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def node_key(host: str, path: str) -> int:
-    return xxhash.xxh3_64_intdigest(f"{host}\0{path}".encode()) - (1 << 63)
+def node_key(host: str, key: int) -> int:
+    """The node of the host's style tree."""
+    return xxhash.xxh3_64_intdigest(f"{host}\0{key}".encode()) - (1 << 63)
+
+
+def _low_branches(page: Page, heard: list[tuple[Element, str, float | None]]) -> set[Element]:
+    """Elements outside articles, with all that is in them, of whose text nearly all repeats on the host's pages."""
+    size: dict[Element, list[float]] = {}
+    for e, text, weight in heard:
+        sums = size.setdefault(e, [0.0, 0.0])
+        sums[0] += len(text)
+        sums[1] += len(text) * (1.0 if weight is None else weight)
+    for e in reversed(page.elements):
+        if e in size and e.parent is not None:
+            above = size.setdefault(e.parent, [0.0, 0.0])
+            above[0] += size[e][0]
+            above[1] += size[e][1]
+    low: set[Element] = set()
+    for e in page.elements:
+        mean_is_low = e in size and size[e][1] < LEAST_BRANCH * size[e][0] and e.tag not in ROOTS
+        if e.parent in low or (mean_is_low and not e.holds and not e.content):
+            low.add(e)
+    return low
 
 
 def main_text(page: Page, weight) -> str:
-    """weight(path): the importance that the site's statistics give the branch, None if they have none."""
-    heard = [(e, text, weight(e.path)) for e, text in page.blocks if not e.noise]
-    stays = lambda e, w: w is None or w >= (LEAST_INSIDE if e.content else LEAST)
+    """weight(key): the importance that the site's statistics give the node, None if they have none."""
+    heard = [(e, text, weight(e.key)) for e, text in page.blocks if not e.noise]
+    low = _low_branches(page, heard) if any(w is not None for *_, w in heard) else ()
+    stays = lambda e, w: e not in low and (w is None or w >= (LEAST_INSIDE if e.content else LEAST))
     kept = [b for b in heard if stays(b[0], b[2])] or heard
     inside = [b for b in kept if b[0].content]
     # Beside an article that is free of doubt, doubtful elements are what they are called; else the share of the text decides.
-    pool = inside if any(next(e.doubts(), None) is None for e, *_ in inside) else kept
-    held: dict[Element, int] = {}
+    pool = inside if any(not e.doubted() for e, *_ in inside) else kept
+    doubtful = [e for e in page.elements if e.doubt is e]
+    held: Counter = Counter()
     for e, text, _ in pool:
-        for d in e.doubts():
-            held[d] = held.get(d, 0) + len(text)
+        held[e.doubt] += len(text)
+    for d in reversed(doubtful):
+        held[d.above] += held[d]
     enough = TEXT_SHARE * sum(len(text) for _, text, _ in pool)
-    quiet = [b for b in kept if all(held.get(d, 0) >= enough for d in b[0].doubts())] or kept
+    clear = {None: True}
+    for d in doubtful:
+        clear[d] = clear[d.above] and (d.holds or held[d] >= enough)
+    quiet = [b for b in kept if clear[b[0].doubt]] or kept
     # Beside an article only what statistics find important stays, unless the article is the lesser part of the text.
     share = sum(len(text) for e, text, _ in quiet if e.content)
     lesser = share < TEXT_SHARE * sum(len(text) for _, text, _ in quiet)
     return "\n\n".join(text for e, text, w in quiet if e.content or w is not None or not share or lesser)
 
 
+def fingerprints(page: Page) -> dict[int, dict[int, int]]:
+    """For kind 0 (presentation) and 1 (content): the fingerprint of each node of the page that is not noise."""
+    looks: dict[int, list] = {}
+    reads: dict[int, list] = {}
+    for e in page.elements:
+        if e.tag in BLOCK and not e.noise:
+            looks.setdefault(e.key, []).append(",".join(e.children))
+    for e, text in page.blocks:
+        if not e.noise:
+            reads.setdefault(e.key, []).append(text)
+    return {kind: {key: xxhash.xxh3_64_intdigest("\n".join(values).encode()) - (1 << 63) for key, values in found.items()} for kind, found in ((0, looks), (1, reads))}
+
+
 def node_counts(own: DataFrame) -> DataFrame:
     """node, kind (0 presentation, 1 content) and fingerprint of each node of each distinct page, counted."""
 
@@ -218,21 +287,12 @@ def node_counts(own: DataFrame) -> DataFrame:
             nodes, kinds, prints, numbers = [], [], [], []
             for url, source in zip(texts_of(batch, "url"), texts_of(batch, "html"), strict=True):
                 page, host = Page(source), host_of(url)
-                looks: dict[str, list] = {}
-                reads: dict[str, list] = {}
-                for e in page.elements:
-                    if not e.noise:
-                        looks.setdefault(e.path, []).append(",".join(e.children))
-                for e, text in page.blocks:
-                    if not e.noise:
-                        reads.setdefault(e.path, []).append(text)
                 number = xxhash.xxh3_64_intdigest("\0".join(text for e, text in page.blocks if not e.noise).encode()) - (1 << 63)
-                for kind, found in ((0, looks), (1, reads)):
-                    for path, values in found.items():
-                        nodes.append(node_key(host, path))
-                        kinds.append(kind)
-                        prints.append(xxhash.xxh3_64_intdigest("\n".join(values).encode()) - (1 << 63))
-                        numbers.append(number)
+                for kind, found in fingerprints(page).items():
+                    nodes += [node_key(host, key) for key in found]
+                    kinds += [kind] * len(found)
+                    prints += found.values()
+                    numbers += [number] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(kinds, pa.int32()), pa.array(prints, pa.int64()), pa.array(numbers, pa.int64())], ["node", "kind", "print", "page"])
 
     distinct = own.mapInArrow(merge, "node long, kind int, print long, page long").groupBy("node", "kind", "page").agg(F.min("print").alias("print"))
@@ -265,13 +325,13 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
         def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nodes, values = np.ascontiguousarray(shipped.value["node"]), shipped.value["importance"]
 
-            def weight(host: str, path: str) -> float | None:
-                key = node_key(host, path)
+            def weight(host: str, node: int) -> float | None:
+                key = node_key(host, node)
                 at = int(np.searchsorted(nodes, key))
                 return float(values[at]) if at < len(nodes) and int(nodes[at]) == key else None
 
             for batch in groups(batches, "html"):
-                texts = [main_text(Page(source), lambda path, host=host_of(u): weight(host, path)) for u, source in zip(texts_of(batch, "url"), texts_of(batch, "html"), strict=True)]
+                texts = [main_text(Page(source), lambda node, host=host_of(u): weight(host, node)) for u, source in zip(texts_of(batch, "url"), texts_of(batch, "html"), strict=True)]
                 yield pa.RecordBatch.from_arrays([column(batch, "page_id"), column(batch, "url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
         return own.mapInArrow(prune, schema)
@@ -283,7 +343,7 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
         for batch in groups(batches, "html"):
             rows, nodes = [], []
             for row, u, source in zip(texts_of(batch, "row"), texts_of(batch, "url"), texts_of(batch, "html"), strict=True):
-                own_nodes = {node_key(host_of(u), e.path) for e, _ in Page(source).blocks if not e.noise}
+                own_nodes = {node_key(host_of(u), e.key) for e, _ in Page(source).blocks if not e.noise}
                 nodes += own_nodes
                 rows += [row] * len(own_nodes)
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(nodes, pa.int64())], ["row", "node"])
@@ -296,7 +356,7 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
     def prune_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups(batches, "html"):
             rows = zip(texts_of(batch, "url"), texts_of(batch, "html"), texts_of(batch, "weights"), strict=True)
-            texts = [main_text(Page(source), lambda path, host=host_of(u), found={x["node"]: float(np.float32(x["importance"])) for x in weights or ()}: found.get(node_key(host, path))) for u, source, weights in rows]
+            texts = [main_text(Page(source), lambda node, host=host_of(u), found={x["node"]: float(np.float32(x["importance"])) for x in weights or ()}: found.get(node_key(host, node))) for u, source, weights in rows]
             yield pa.RecordBatch.from_arrays([column(batch, "page_id"), column(batch, "url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return numbered.join(found, "row", "left").mapInArrow(prune_joined, schema)
