@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from .bytescan import column, groups, texts_of
 from .pretokens import Pretokens
-from .store import prepare
+from .store import fresh, prepare
 
 #: Ids of distinct words that a worker keeps; beyond it starts anew.
 MAX_IDS = 4_000_000
@@ -211,7 +211,8 @@ def encode(docs: DataFrame, ranks: str, *, doc_id: str = "doc_id", text: str = "
 
 
 def decode(encoded: DataFrame, ranks: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """The rows with the bytes of their packed ids added; null ids stay null."""
+    """The rows with the bytes of their packed ids added as ``out`` (underscores added until the name is free); null ids stay null."""
+    out = fresh(encoded.columns, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -11,8 +11,9 @@ The filters' size follows the input up to a fixed bound, and so does what the dr
 
 Key of a line: stripped of ``[\\x20\\x09-\\x0D]`` at both ends, A-Z lower-cased. Defined cases: a null or empty text is one
 empty line; rows that share a doc_id count as one document; a row with a null doc_id is no document (it does not count, and it
-loses lines that other documents repeat); an empty table gives an empty result; other columns are not read by
-``dedup_lines`` and pass through ``with_kept_lines`` whatever their names.
+loses lines that other documents repeat); of ties (the largest doc_id in several rows) all rows keep the line; a very long text is split
+whole, alone in its worker; an empty table gives an empty result; other columns are not read by
+``dedup_lines`` and pass through ``with_kept_lines`` whatever their names, which for its own three have to be free.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 
 from .bytescan import column, groups, texts_of
 from .decontaminate import Shipped
-from .store import Scratch, prepare
+from .store import Scratch, fresh, prepare
 
 #: Bounds of a filter in 64-bit cells: 128 KB to 32 MB.
 MIN_CELLS, MAX_CELLS = 1 << 14, 1 << 22
@@ -158,9 +159,20 @@ def _kept(text: str | None, own_id, drop, min_chars: int) -> tuple[str, int, int
     return kept.decode(), len(lines), len(gone)
 
 
+def free_names(docs: DataFrame, names: tuple[str, str, str]) -> tuple[str, str, str]:
+    """The names under which with_kept_lines gives its results beside the documents' own columns."""
+    a = fresh(docs.columns, names[0])
+    b = fresh(docs.columns, names[1], a)
+    return a, b, fresh(docs.columns, names[2], a, b)
+
+
 def with_kept_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5, names: tuple[str, str, str] = ("kept_text", "n_lines", "n_dropped"), max_broadcast_keys: int = MAX_BROADCAST_KEYS) -> DataFrame:
-    """The documents with the text that is left, the number of lines and the number dropped, under ``names``."""
+    """The documents with the text that is left, the number of lines and the number dropped, under ``names``.
+
+    A name that the documents have already, in whatever case, gets underscores until it is free (store.fresh, in turn).
+    """
     spark = docs.sparkSession
+    names = free_names(docs, names)
     scratch = Scratch(spark)
     table = repeated_lines(docs, doc_id=doc_id, text=text, min_chars=min_chars, min_docs=min_docs, scratch=scratch)
     fields = [T.StructField(n, k) for n, k in zip(names, (T.StringType(), T.LongType(), T.LongType()), strict=True)]
@@ -178,8 +190,8 @@ def with_kept_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     # Too many digests to broadcast: each row's own digests meet them in a join, and come back to the row by a key of its content.
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     lost = _digests(own, min_chars).join(table, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("row").agg(F.collect_set("key").alias("keys"))
-    mark = "__lost_keys"
-    rows = docs.withColumn("__row", F.xxhash64(F.col(doc_id), F.col(text))).join(lost.withColumnsRenamed({"row": "__row", "keys": mark}), "__row", "left").drop("__row")
+    mark, row = fresh(docs.columns, "lost_keys", *names), fresh(docs.columns, "row_key", *names)
+    rows = docs.withColumn(row, F.xxhash64(F.col(doc_id), F.col(text))).join(lost.withColumnsRenamed({"row": row, "keys": mark}), row, "left").drop(row)
 
     def strip_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups(batches, text):

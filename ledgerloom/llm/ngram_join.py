@@ -12,7 +12,8 @@ words, where there are fewer), and texts are linked if the Jaccard similarity of
 Defined cases: a null text, or one without words, links with nothing and is a class of its own; repeated rows are copies (each
 counts the others as links); rows with a null doc_id are linked and dropped like others, but name a class only (by null) where it has
 no id; rows that share a doc_id but not a text are told apart by their content; an empty table gives
-an empty result; other columns are not read by ``near_duplicates`` and pass through ``keep_one`` untouched.
+an empty result; a very long text is shingled whole, alone in its worker; other columns are not read by ``near_duplicates`` and pass
+through ``keep_one`` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 
 from . import pairing
 from .bytescan import ALNUM, Words, column, gram_starts, grams, groups, mix, texts_of
-from .store import Scratch, prepare
+from .store import Scratch, fresh, prepare
 
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS, STEP = 32, 4, 16
@@ -216,22 +217,24 @@ def _ids_repeat(own: DataFrame) -> bool:
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, with all their columns: the one of smallest doc_id of each class, once, and all documents without words.
+    """The documents, with all their columns: the one of smallest doc_id of each class, and all documents without words.
 
-    Of a class without any id the row of smallest node and text stays. An id stays, with all its rows, while any of its texts does.
+    Rows equal in id and text are one document and stay once, with words or without. Of a class without any id the row of smallest node
+    and text stays. An id stays, with all its other texts, while any of its texts does.
     """
     scratch = Scratch(docs.sparkSession)
     found, per_class = _judged(docs, doc_id, text, threshold, TOLERANCE, scratch)
     gone = found.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("class_id")).alias("gone"))
-    lost = scratch.write(gone.where("gone").select(F.col("doc_id").alias("__lost")))
+    name, copy = fresh(docs.columns, "lost_id"), fresh(docs.columns, "copied_text")
+    lost = scratch.write(gone.where("gone").select(F.col("doc_id").alias(name)))
     # Few enough ids travel to the texts; else the texts are shuffled to meet them.
     few = lost.count() <= MAX_BROADCAST_IDS
-    rows = docs.join(F.broadcast(lost) if few else lost, docs[doc_id] == F.col("__lost"), "left_anti")
+    rows = docs.join(F.broadcast(lost) if few else lost, docs[doc_id] == F.col(name), "left_anti")
     rows = rows.dropDuplicates([doc_id, text]) if _ids_repeat(docs.select(F.col(doc_id).alias("doc_id"))) else rows
     if docs.where(F.col(doc_id).isNull()).isEmpty():
         return rows
     unnamed = _with_nodes(docs.where(F.col(doc_id).isNull()).select(F.col(text).alias("text")).distinct()).where(F.col("node").isNotNull())
     stays = unnamed.join(per_class.where(F.col("class_id").isNull() & (F.col("node") == F.col("head"))), "node").groupBy("node").agg(F.min("text").alias("stays"))
-    copies = unnamed.join(stays, unnamed["text"] == F.col("stays"), "left_anti").select(F.col("text").alias("__copy"))
-    left = rows.where(F.col(doc_id).isNull()).join(scratch.write(copies), F.col(text) == F.col("__copy"), "left_anti")
+    copies = unnamed.join(stays, unnamed["text"] == F.col("stays"), "left_anti").select(F.col("text").alias(copy))
+    left = rows.where(F.col(doc_id).isNull()).join(scratch.write(copies), F.col(text) == F.col(copy), "left_anti")
     return rows.where(F.col(doc_id).isNotNull()).unionByName(left)
