@@ -1,11 +1,17 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-The distinct words of a batch of texts are laid side by side as bytes. An inverted index leads from a merge's rank to the
-positions of its token pair; ranks are replayed in order, each at all its positions in all words at once, and only the
-neighbours of a merged position are looked at again. Texts are then put together from their words' ids.
-
-Defined cases: a null text counts as empty (no ids, no bytes); no special tokens; rows are independent, so repeated
-rows, empty tables and other columns change nothing; invalid ids raise an error when decoded.
+1. The distinct words of all texts that are more than one token are counted, with partial aggregation.
+2. They are dealt over tasks and laid side by side as bytes. An inverted index leads from a merge's rank to the positions of its
+   token pair; ranks are replayed in order, each at all its positions in all words at once, and only the neighbours of a merged
+   position are looked at again. A word's merges depend on that word alone, so an index over a task's share of the words merges
+   as one over the whole corpus would.
+3. The most frequent words (MAX_SHIPPED at most, all of them where they are no more) travel to the texts, which are put together from
+   their words' ids. Words beyond, and words longer than LONG bytes, are replayed where they are met.
+
+Words are told apart by 64-bit hashes within one slice of about 1 MB and by their bytes beyond it.
+
+Defined cases: a null text counts as empty (no ids, no bytes); no special tokens; a very long text is a slice of its own and encoded whole;
+rows are independent, so repeated rows, null ids, empty tables and other columns change nothing; invalid ids raise an error when decoded.
 """
 
 from __future__ import annotations
@@ -21,11 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytescan import column, groups, texts_of
+from .decontaminate import Shipped
 from .pretokens import Pretokens
-from .store import fresh, prepare
+from .store import Scratch, fresh, prepare
 
 #: Ids of distinct words that a worker keeps; beyond it starts anew.
 MAX_IDS = 4_000_000
+#: Words that may travel to the texts, most bytes of a word of the table, words of one index, and words a task counts before it passes them on.
+MAX_SHIPPED, LONG, INDEXED, HELD = 1 << 17, 64, 50_000, 200_000
 
 
 class Ranks:
@@ -136,71 +145,141 @@ def _gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
 
 
 class Codec:
-    def __init__(self, path: str):
-        self.table = Ranks(path)
+    """Encodes texts; given: words whose ids are known beforehand, as (bytes, their lengths, ids, their numbers)."""
+
+    def __init__(self, path: str, given: tuple[bytes, np.ndarray, np.ndarray, np.ndarray] | None = None):
+        self.table, self.given = Ranks(path), given
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.starts, self.lengths = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.ids, self.used = np.zeros(4096, np.uint32), 0
-
-    def _learn(self, hashes: list[int], words: list[bytes]) -> None:
-        ranks = self.table.ranks
-        whole = [ranks.get(w) for w in words]
-        hard = iter(replay([w for w, r in zip(words, whole, strict=True) if r is None], self.table))
-        ids = [next(hard) if r is None else [r] for r in whole]
-        flat = [t for x in ids for t in x]
-        at, lengths = len(self.known), np.array([len(x) for x in ids], np.int64)
-        for name, need in (("starts", at + len(ids)), ("lengths", at + len(ids)), ("ids", self.used + len(flat))):
+        if self.given:
+            pool, sizes, ids, numbers = self.given
+            ends = np.cumsum(sizes)
+            self._store([pool[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], ids, numbers)
+
+    def _store(self, words: list[bytes], flat: np.ndarray, lengths: np.ndarray) -> None:
+        at = len(self.known)
+        for name, need in (("starts", at + len(words)), ("lengths", at + len(words)), ("ids", self.used + len(flat))):
             had = getattr(self, name)
             if need > len(had):
                 setattr(self, name, np.concatenate((had, np.zeros(max(need - len(had), len(had)), had.dtype))))
         self.ids[self.used : self.used + len(flat)] = flat
-        self.starts[at : at + len(ids)] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[at : at + len(ids)] = lengths
+        self.starts[at : at + len(words)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[at : at + len(words)] = lengths
         self.used += len(flat)
-        self.known.update(zip(hashes, range(at, at + len(ids)), strict=True))
+        self.known.update(zip(words, range(at, at + len(words)), strict=True))
+
+    def _learn(self, words: list[bytes]) -> None:
+        ranks = self.table.ranks
+        whole = [ranks.get(w) for w in words]
+        hard = iter(replay([w for w, r in zip(words, whole, strict=True) if r is None], self.table))
+        ids = [next(hard) if r is None else [r] for r in whole]
+        self._store(words, np.array([t for x in ids for t in x], np.uint32), np.array([len(x) for x in ids], np.int64))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         words = Pretokens(texts)
-        hashes, first, numbers = words.distinct()
-        if self.used > MAX_IDS:
+        _, first, numbers = words.distinct()
+        if self.used > MAX_IDS + (len(self.given[2]) if self.given else 0):
             self._forget()
-        listed = hashes.tolist()
-        new = [k for k, h in enumerate(listed) if h not in self.known]
+        listed = [words.word(i) for i in first.tolist()]
+        new = [w for w in listed if w not in self.known]
         if new:
-            self._learn([listed[k] for k in new], [words.word(first[k]) for k in new])
-        slots = np.array([self.known[h] for h in listed], np.int64)[numbers]
+            self._learn(new)
+        slots = np.array([self.known[w] for w in listed], np.int64)[numbers]
         lengths = self.lengths[slots]
         ids = _gather(self.ids, self.starts[slots], lengths).astype("<u4")
         cuts = np.concatenate(([0], np.cumsum(lengths)))[words.bounds]
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
+    def hard_words(self, texts: list[str]) -> dict[bytes, int]:
+        """Count of each word of the texts that is more than one token, and no longer than LONG."""
+        words = Pretokens(texts)
+        _, first, numbers = words.distinct()
+        listed, counts, ranks = [words.word(i) for i in first.tolist()], np.bincount(numbers, minlength=len(first)).tolist(), self.table.ranks
+        return {w: n for w, n in zip(listed, counts, strict=True) if len(w) <= LONG and w not in ranks}
+
     def decode(self, ids: np.ndarray) -> bytes:
         ids = ids.astype(np.int64)
         return _gather(self.table.pool, self.table.offsets[ids], self.table.lengths[ids]).tobytes()
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[str, tuple[int | None, Codec]] = {}
+
+
+def codec(path: str, shipped: Shipped | None = None) -> Codec:
+    """One codec per worker process, tokenizer and broadcast table of words."""
+    wanted = shipped.id if shipped else None
+    held = _codecs.get(path)
+    if held is None or (shipped and held[0] != wanted):
+        held = _codecs[path] = wanted, Codec(path, shipped.value if shipped else None)
+    return held[1]
+
+
+def corpus_words(texts: DataFrame, ranks: str) -> DataFrame:
+    """word, n of the distinct words of all texts (one column, text) that are more than one token."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
+        for batch in groups(batches, "text"):
+            for word, n in codec(ranks).hard_words([t or "" for t in texts_of(batch, "text")]).items():
+                seen[word] = seen.get(word, 0) + n
+            if len(seen) > HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+                seen = {}
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
+    return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-def codec(path: str) -> Codec:
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
 
+def replayed(words: DataFrame, ranks: str) -> DataFrame:
+    """word, n and ids (packed) of distinct words, by one index over up to INDEXED words at a time."""
 
-def round_trip(docs: DataFrame, ranks: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        ids = replay(column(batch, "word").to_pylist(), codec(ranks).table)
+        return pa.RecordBatch.from_arrays([column(batch, "word"), column(batch, "n"), pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary())], ["word", "n", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows >= INDEXED:
+                yield flush(held)
+                held, rows = [], 0
+        if held:
+            yield flush(held)
+
+    return words.mapInArrow(run, "word binary, n long, ids binary")
+
+
+def shipped_words(texts: DataFrame, ranks: str, most: int = MAX_SHIPPED) -> Shipped:
+    """The corpus's words with their ids, the most frequent ``most`` of them, as a broadcast."""
+    spark = texts.sparkSession
+    table = Scratch(spark).write(replayed(corpus_words(texts, ranks), ranks))
+    chosen = table if table.count() <= most else table.orderBy(F.desc("n"), "word").limit(most)
+    found = chosen.select("word", "ids").toArrow()  # at most ``most`` words of LONG bytes
+    words, ids = found.column("word").to_pylist(), found.column("ids").to_pylist()
+    value = b"".join(words), np.array([len(w) for w in words], np.int64), np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], np.int64)
+    return Shipped(spark.sparkContext.broadcast(value))
+
+
+def round_trip(docs: DataFrame, ranks: str, *, doc_id: str = "doc_id", text: str = "text", most: int = MAX_SHIPPED) -> DataFrame:
     """Per document: doc_id, n_tokens, ids (packed little-endian unsigned 32-bit) and decoded (the ids' bytes)."""
     prepare(docs.sparkSession)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    shipped = shipped_words(own.select("text"), ranks, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups(batches, "text"):
-            ids = codec(ranks).encode([t or "" for t in texts_of(batch, "text")])
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([codec(ranks).decode(x) for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
+            own_codec = codec(ranks, shipped)
+            ids = own_codec.encode([t or "" for t in texts_of(batch, "text")])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([own_codec.decode(x) for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return own.mapInArrow(run, T.StructType([T.StructField("doc_id", own.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())]))
 
