@@ -1,8 +1,9 @@
 """Benchmark decontamination with one Aho-Corasick automaton over normalised benchmark texts.
 
 Texts are normalised (A-Z lower-cased, words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``); every window of 13 item words is a pattern, an
-item of fewer words is one pattern. The automaton's letters are words, numbered by the benchmark's vocabulary, which keeps it an order
-of magnitude smaller than one of characters. Each document is scanned once and the matches are mapped back to character
+item of fewer words is one pattern. The automaton reads words, numbered by the benchmark's vocabulary, as two letters each (a node's edges are
+searched one by one, so an alphabet of the vocabulary's square root keeps steps short), which keeps it several times smaller than one
+of characters. Each document is scanned once and the matches are mapped back to character
 offsets of the original text. No shuffle: benchmark patterns travel to the documents, never the other way.
 
 An automaton is bounded by BLOCK_BYTES, reckoned from its nodes before it is built. A larger benchmark is dealt in blocks of
@@ -17,7 +18,8 @@ document clean; other columns, whatever their names, are not read by ``decontami
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import math
+from collections.abc import Iterable, Iterator, Sequence
 
 import ahocorasick
 import numpy as np
@@ -31,8 +33,8 @@ from .bytescan import FOLD, column, groups, texts_of
 from .store import Scratch, fresh, prepare
 
 WINDOW = 13
-#: Memory of one block's automaton in a worker, and of one of its nodes (32 bytes, and its share of the values).
-BLOCK_BYTES, NODE_BYTES = 128 << 20, 40
+#: Memory of one block's automaton in a worker, and of one of its nodes (32 bytes, and its share of the values); letters of a word.
+BLOCK_BYTES, NODE_BYTES, LETTERS = 256 << 20, 40, 2
 #: Windows of a segment at least.
 SEGMENT = 1024
 #: Texts with hits that may be broadcast, where there are several blocks.
@@ -55,33 +57,43 @@ def windows(items: Iterable[tuple], size: int = WINDOW) -> Iterator[tuple[tuple,
 
 
 class Automaton:
-    """Patterns of word numbers; items: (id, words)."""
+    """Patterns of word numbers, written as two letters each; items: (id, words)."""
 
-    def __init__(self, items: Iterable[tuple[object, list[bytes]]]):
+    def __init__(self, items: list[tuple[object, list[bytes]]]):
         self.numbers: dict[bytes, int] = {}
+        for _, words in items:
+            for w in words:
+                self.numbers.setdefault(w, len(self.numbers) + 1)
+        self.base = max(2, math.isqrt(len(self.numbers)) + 1)
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        number = lambda w: self.numbers.setdefault(w, len(self.numbers) + 1)
         for window, item_id in windows(items):
-            key = tuple(number(w) for w in window)
+            key = self._letters(window)
             had = self.machine.get(key, None)
             if had is None:
-                self.machine.add_word(key, (len(key), {item_id: None}))
+                self.machine.add_word(key, (len(window), {item_id: None}))
             else:
                 had[1][item_id] = None
         self.empty = not self.numbers
         if not self.empty:
             self.machine.make_automaton()
 
+    def _letters(self, words: Sequence[bytes]) -> tuple[int, ...]:
+        """First letters are 1 to base + 1, second ones greater; a word that no item has is two zeros."""
+        number = self.numbers.get
+        n = np.array([number(w, 0) for w in words], np.int64)
+        pairs = np.stack((n // self.base + 1, n % self.base + self.base + 2), axis=1)
+        pairs[n == 0] = 0
+        return tuple(pairs.ravel().tolist())
+
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], list]:
         """Number of words, hit word intervals (merged, end exclusive), ids of the items found."""
         words = normal_words(text)
         if self.empty or not words:
             return len(words), [], []
-        number = self.numbers.get
-        line = tuple([number(w, 0) for w in words])
         ids, spans = {}, []
-        for end, (n, items) in self.machine.iter(line):
-            spans.append((end - n + 1, end + 1))
+        for end, (n, items) in self.machine.iter(self._letters(words)):
+            last = end // LETTERS + 1
+            spans.append((last - n, last))
             ids.update(items)
         return len(words), merged(spans), list(ids)
 
@@ -136,13 +148,13 @@ class Blocks:
     def __init__(self, benchmark: DataFrame, item_id: str, item_text: str, limit: int):
         words = F.regexp_extract_all(F.translate(F.coalesce(F.col(item_text), F.lit("")), _UPPER, _UPPER.lower()), F.lit(_JAVA_WORD), F.lit(0))
         items = benchmark.select(F.col(item_id).alias("id"), words.alias("words")).where(F.size("words") > 0)
-        most = max(SEGMENT, limit // NODE_BYTES // WINDOW // 8)
+        most = max(SEGMENT, limit // NODE_BYTES // LETTERS // WINDOW // 8)
         starts = F.sequence(F.lit(0), F.greatest(F.size("words") - WINDOW, F.lit(0)), F.lit(most))
         cut = items.select("id", "words", F.explode(starts).alias("at"))
         self.segments = cut.select("id", F.slice("words", F.col("at") + 1, F.lit(most + WINDOW - 1)).alias("words"))
         span = F.least(F.size("words"), F.lit(WINDOW))
         sums = self.segments.agg(F.sum((F.size("words") - span + 1).cast("long") * span).alias("nodes"), F.count("words").alias("n")).first()
-        self.count = max(1, min(sums.n, -(-(sums.nodes or 0) * NODE_BYTES // limit)))
+        self.count = max(1, min(sums.n, -(-(sums.nodes or 0) * LETTERS * NODE_BYTES // limit)))
 
     def fetch(self, k: int) -> list[tuple[object, list[bytes]]]:
         part = self.segments.where(F.pmod(F.xxhash64("id", "words"), F.lit(self.count)) == k) if self.count > 1 else self.segments

@@ -43,7 +43,7 @@ def test_stages_pass_clashing_columns(spark, odd, stage):
 def test_other_pass_through_functions(spark, odd):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     one = decontaminate.drop_contaminated(odd, bench)
-    many = decontaminate.drop_contaminated(odd, bench, block_bytes=decontaminate.NODE_BYTES * 13 * 2000)
+    many = decontaminate.drop_contaminated(odd, bench, block_bytes=decontaminate.NODE_BYTES * 26 * 2000)
     assert many.columns == odd.columns and sorted(r.doc_id for r in many.select("doc_id").collect()) == sorted(r.doc_id for r in one.select("doc_id").collect())
     for bound in (0, line_dedup.MAX_BROADCAST_KEYS):
         kept = line_dedup.with_kept_lines(odd, max_broadcast_keys=bound)
@@ -98,7 +98,7 @@ def test_larger_benchmarks_go_in_blocks(spark):
     items = [(i, text(300)) for i in range(60)] + [(None, text(40)), (None, text(41)), (99, None)]
     docs = [(i, text(50) + " " + " ".join(items[i][1].split()[20:40]) + " " + text(30)) for i in range(40)] + [(100, text(60) + " " + items[60][1] + " " + items[61][1])]
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    limit = decontaminate.NODE_BYTES * 13 * 3000
+    limit = decontaminate.NODE_BYTES * 26 * 3000
     blocks = decontaminate.Blocks(b, "item_id", "text", limit)
     assert blocks.count == 6
     sizes = []
