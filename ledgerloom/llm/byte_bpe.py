@@ -185,7 +185,7 @@ class Codec:
         _, first, numbers = words.distinct()
         if self.used > MAX_IDS + (len(self.given[2]) if self.given else 0):
             self._forget()
-        listed = [words.word(i) for i in first.tolist()]
+        listed = words.words(first)
         new = [w for w in listed if w not in self.known]
         if new:
             self._learn(new)
@@ -199,7 +199,7 @@ class Codec:
         """Count of each word of the texts that is more than one token, and no longer than LONG."""
         words = Pretokens(texts)
         _, first, numbers = words.distinct()
-        listed, counts, ranks = [words.word(i) for i in first.tolist()], np.bincount(numbers, minlength=len(first)).tolist(), self.table.ranks
+        listed, counts, ranks = words.words(first), np.bincount(numbers, minlength=len(first)).tolist(), self.table.ranks
         return {w: n for w, n in zip(listed, counts, strict=True) if len(w) <= LONG and w not in ranks}
 
     def decode(self, ids: np.ndarray) -> bytes:

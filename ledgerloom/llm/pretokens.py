@@ -140,6 +140,7 @@ class Pretokens:
 
     def __init__(self, texts: list[str]):
         joined = "\n".join(texts) + "\n"
+        self.raw = joined.encode()
         self.points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         self.text_starts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts]))).astype(np.int64)
         classes = class_table()[self.points]
@@ -155,5 +156,12 @@ class Pretokens:
         """Distinct hashes, the first word of each, and for each word the number of its hash."""
         return np.unique(self.hashes, return_index=True, return_inverse=True)
 
+    def words(self, numbers: np.ndarray) -> list[bytes]:
+        """The bytes of the words of these numbers."""
+        at = np.zeros(len(self.points) + 1, np.int64)
+        np.cumsum(1 + (self.points >= 0x80) + (self.points >= 0x800) + (self.points >= 0x10000), out=at[1:])
+        raw = self.raw
+        return [raw[a:b] for a, b in zip(at[self.starts[numbers]].tolist(), at[self.ends[numbers]].tolist(), strict=True)]
+
     def word(self, i: int) -> bytes:
         return self.points[self.starts[i] : self.ends[i]].tobytes().decode("utf-32-le").encode()

@@ -32,7 +32,7 @@ from .pretokens import Pretokens
 from .store import prepare
 
 #: Bounds of what a worker keeps: transducer states, token pairs, distinct words.
-MAX_STATES, MAX_PAIRS, MAX_WORDS = 200_000, 500_000, 500_000
+MAX_STATES, MAX_PAIRS, MAX_WORDS = 300_000, 500_000, 1_000_000
 #: Longer words, in bytes, are counted each time they are met.
 LONG = 256
 LIMIT = 1024
@@ -162,8 +162,7 @@ class Counter:
         if len(self.known) > MAX_WORDS:
             self.known.clear()
         known, counts = self.known, np.empty(len(first), np.int64)
-        for k, i in enumerate(first.tolist()):
-            word = words.word(i)
+        for k, word in enumerate(words.words(first)):
             c = known.get(word)
             if c is None:
                 c = self.transducer.count(word)
