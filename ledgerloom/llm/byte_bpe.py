@@ -1,12 +1,13 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
 1. The distinct words of all texts that are more than one token are counted, with partial aggregation.
-2. They are dealt over tasks and laid side by side as bytes. An inverted index leads from a merge's rank to the positions of its
-   token pair; ranks are replayed in order, each at all its positions in all words at once, and only the neighbours of a merged
-   position are looked at again. A word's merges depend on that word alone, so an index over a task's share of the words merges
-   as one over the whole corpus would.
-3. The most frequent words (MAX_SHIPPED at most, all of them where they are no more) travel to the texts, which are put together from
-   their words' ids. Words beyond, and words longer than LONG bytes, are replayed where they are met.
+2. The most frequent of them, MAX_SHIPPED at most (all, where they are no more), are dealt over tasks and laid side by side as
+   bytes. An inverted index leads from a merge's rank to the positions of its token pair; ranks are replayed in order, each at all its
+   positions in all words at once, and only the neighbours of a merged position are looked at again. A word's merges depend on
+   that word alone, so an index over a task's share of the words merges as one over the whole corpus would.
+3. Their ids travel to the texts, which are put together from their words' ids. Rarer words, and words longer than LONG bytes, go
+   through an index of the same kind over the slice where they are met: their ids are as many as the words of the corpus and
+   would not fit a broadcast, and a shuffle of words would cost more than replaying them.
 
 Words are told apart by 64-bit hashes within one slice of about 1 MB and by their bytes beyond it.
 
@@ -34,7 +35,7 @@ from .store import Scratch, fresh, prepare
 #: Ids of distinct words that a worker keeps; beyond it starts anew.
 MAX_IDS = 4_000_000
 #: Words that may travel to the texts, most bytes of a word of the table, words of one index, and words a task counts before it passes them on.
-MAX_SHIPPED, LONG, INDEXED, HELD = 1 << 17, 64, 50_000, 200_000
+MAX_SHIPPED, LONG, INDEXED, HELD = 1 << 18, 64, 50_000, 200_000
 
 
 class Ranks:
@@ -258,12 +259,24 @@ def replayed(words: DataFrame, ranks: str) -> DataFrame:
     return words.mapInArrow(run, "word binary, n long, ids binary")
 
 
+def frequent(words: DataFrame, most: int) -> DataFrame:
+    """The words (word, n) from a frequency on that ``most`` words at most reach; no sort, whatever their number."""
+    steps = F.floor(F.log2("n") * 8)
+    found = words.groupBy(steps.alias("step")).count().orderBy(F.desc("step")).collect()  # some 8 rows for each power of two
+    total, least = 0, None
+    for r in found:
+        total += r["count"]
+        if total > most:
+            break
+        least = r.step
+    return words.where(steps >= least) if least is not None else words.limit(0)
+
+
 def shipped_words(texts: DataFrame, ranks: str, most: int = MAX_SHIPPED) -> Shipped:
-    """The corpus's words with their ids, the most frequent ``most`` of them, as a broadcast."""
+    """The corpus's most frequent words with their ids as a broadcast."""
     spark = texts.sparkSession
-    table = Scratch(spark).write(replayed(corpus_words(texts, ranks), ranks))
-    chosen = table if table.count() <= most else table.orderBy(F.desc("n"), "word").limit(most)
-    found = chosen.select("word", "ids").toArrow()  # at most ``most`` words of LONG bytes
+    counted = Scratch(spark).write(corpus_words(texts, ranks))
+    found = replayed(frequent(counted, most), ranks).select("word", "ids").toArrow()  # at most ``most`` words of LONG bytes
     words, ids = found.column("word").to_pylist(), found.column("ids").to_pylist()
     value = b"".join(words), np.array([len(w) for w in words], np.int64), np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], np.int64)
     return Shipped(spark.sparkContext.broadcast(value))
