@@ -1,18 +1,24 @@
-"""Text and number functions of disclosure tables, all as column expressions inside code generation."""
+"""Text and number functions of disclosure tables as column expressions.
+
+Cells are read by plain chains of string functions, which Spark compiles and whose common parts it evaluates once. Lambdas over
+arrays, which it interprets, are kept to functions of headers and of texts.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Cells that mean "nothing", and currency marks.
+#: Cells that mean "nothing" (none of them holds a digit), and currency marks.
 NIL = ("-", "–", "—", "NIL", "Nil", "N/A", "NA", "n/a")
 CURRENCY = ("₹", "Rs.", "Rs", "INR")
+#: White space, by the Unicode property and the separators U+001C to U+001F.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(x: Column) -> Column:
     """Without white space of any script at both ends."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.btrim(x, F.lit(WHITE))
 
 
 def blank(x: Column) -> Column:
@@ -30,25 +36,21 @@ def let(x: Column, body) -> Column:
 
 
 def parse_indian_number(x: Column) -> Column:
-    """A table cell as a double, or null: lakh commas, currency marks, parentheses or a minus for negatives."""
-
-    def unmarked(cell: Column) -> Column:
-        for mark in CURRENCY:
-            cell = F.replace(cell, F.lit(mark), F.lit(""))
-        return strip(cell)
-
-    def signed(bare: Column) -> Column:
-        wrapped = bare.rlike(r"(?s)^\(.*\)$")
-        inner = strip(F.regexp_replace(bare, r"(?s)^\((.*)\)$", "$1"))
-        return F.struct((wrapped | inner.startswith("-")).alias("negative"), strip(F.replace(F.regexp_replace(inner, "^-", ""), F.lit(","), F.lit(""))).alias("body"))
-
-    def number(part: Column) -> Column:
-        kept = F.regexp_replace(F.translate(part["body"], "०१२३४५६७८९", "0123456789"), r"[^0-9.\-]", "")
-        value = F.when(~part["body"].rlike(r"(?U)\s"), F.when(kept.rlike(r"^(?=.*[0-9])-?[0-9]*\.?[0-9]*$"), kept).try_cast("double"))
-        return let(value, lambda v: F.when(part["negative"], -F.abs(v)).otherwise(v))
-
-    read = lambda cell: let(let(unmarked(cell), signed), number)
-    return let(strip(x), lambda cell: F.when(~cell.isin("", *NIL), read(cell)))
+    """A table cell as a double, or null: lakh commas, currency marks, parentheses or a minus for negatives.
+
+    One chain without conditions but the sign: what is no number is left with characters, or with nothing, that the cast refuses.
+    """
+    bare = strip(x)
+    for mark in CURRENCY:
+        bare = F.replace(bare, F.lit(mark), F.lit(""))
+    bare = strip(bare)
+    open_ = F.regexp_replace(bare, r"(?s)^\((.*)\)$", "$1")
+    inner = strip(open_)
+    body = strip(F.replace(F.regexp_replace(inner, "^-", ""), F.lit(","), F.lit("")))
+    # White space inside marks several values in one cell: it becomes a letter that stays, all others go.
+    joined = F.translate(body, "०१२३४५६७८९" + WHITE, "0123456789" + "\ue000" * len(WHITE))
+    value = F.regexp_replace(joined, "[^0-9.\\-\ue000]", "").try_cast("double")
+    return F.when((bare != open_) | inner.startswith("-"), -F.abs(value)).otherwise(value)
 
 
 def format_indian_number(x: Column, decimals: int = 0) -> Column:
@@ -75,22 +77,30 @@ def money(x: Column) -> Column:
     return F.coalesce(format_indian_number(x), F.lit("N/A"))
 
 
+#: What is taken off a label, in this order, and the two spellings of a note reference.
+BRACKETS, COLONS, TRAILING_FIGURES, TRAILING_NOTE = (r"\([^)]*\)", r"\[[^\]]*\]"), ":+$", r"(?U)(?:\s+\(?-?\d[\d,]*\.?\d*\)?)+\s*$", r"(?U)\s+\d{1,3}[a-zA-Z]{0,2}\s*$"
+NAMED_NOTE, BRACKETED_NOTE = r"(?iU)\bnote\s*(?:no\.?)?\s*(\d+[a-zA-Z]?)\b", r"(?U)\((\d+[a-zA-Z]?)\)\s*$"
+
+
 def clean_label(x: Column) -> Column:
     """A line item's label for matching: lower case, without brackets, colon, trailing figures and note reference."""
-    text = F.regexp_replace(F.regexp_replace(F.lower(strip(x)), r"\([^)]*\)", ""), r"\[[^\]]*\]", "")
-    text = F.regexp_replace(strip(F.regexp_replace(text, ":+$", "")), r"(?U)\s+", " ")
-    text = F.regexp_replace(text, r"(?U)(?:\s+\(?-?\d[\d,]*\.?\d*\)?)+\s*$", "")
-    return F.coalesce(strip(F.regexp_replace(text, r"(?U)\s+\d{1,3}[a-zA-Z]{0,2}\s*$", "")), F.lit(""))
+    text = F.lower(strip(x))
+    for pattern in BRACKETS:
+        text = F.regexp_replace(text, pattern, "")
+    text = F.regexp_replace(strip(F.regexp_replace(text, COLONS, "")), r"(?U)\s+", " ")
+    for pattern in (TRAILING_FIGURES, TRAILING_NOTE):
+        text = F.regexp_replace(text, pattern, "")
+    return F.coalesce(strip(text), F.lit(""))
 
 
 def note_reference(x: Column) -> Column:
-    named = F.regexp_extract(x, r"(?i)\bnote\s*(?:no\.?)?\s*(\d+[a-zA-Z]?)\b", 1)
-    return F.coalesce(otherwise_null(named), otherwise_null(F.regexp_extract(x, r"\((\d+[a-zA-Z]?)\)\s*$", 1)))
+    """The note that a label or cell names, or has in brackets at its end."""
+    return F.coalesce(otherwise_null(F.regexp_extract(x, NAMED_NOTE, 1)), otherwise_null(F.regexp_extract(x, BRACKETED_NOTE, 1)))
 
 
 def period(x: Column) -> Column:
     """The date after "year ended" or "period ended", day first."""
-    return otherwise_null(F.regexp_extract(x, r"(?i)(?:year|period)\s+ended?\s+(\d{1,2}\s+[A-Za-z]+\s+\d{4})", 1))
+    return otherwise_null(F.regexp_extract(x, r"(?iU)(?:year|period)\s+ended?\s+(\d{1,2}\s+\w+\s+\d{4})", 1))
 
 
 def company_name(x: Column) -> Column:
@@ -102,9 +112,9 @@ def company_name(x: Column) -> Column:
 
 def recover_split_digit(x: Column) -> Column:
     """A leading digit that extraction cut off: "6 6,152.58" is 66152.58."""
-    pattern = r"^(\d{1,2})\s+([\d,]+\.?\d*|\([\d,]+\.?\d*\))$"
+    pattern = r"^(\d{1,2})(?U:\s)+([\d,]+\.?\d*|\([\d,]+\.?\d*\))$"
     text = strip(x)
-    return let(text, lambda t: F.when(t.rlike(pattern), parse_indian_number(F.regexp_replace(t, pattern, "$1$2"))))
+    return F.when(text.rlike(pattern), parse_indian_number(F.regexp_replace(text, pattern, "$1$2")))
 
 
 def is_value_token(x: Column) -> Column:
@@ -191,7 +201,8 @@ def safe_div(a: Column, b: Column) -> Column:
 
 
 def rate_cell(x: Column) -> Column:
-    return let(parse_indian_number(x), lambda v: F.when(F.abs(v) <= 30, v))
+    value = parse_indian_number(x)
+    return F.when(F.abs(value) <= 30, value)
 
 
 def format_note_refs(ids: Column) -> Column:

@@ -7,13 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.similarity import weighted_ratio
 from ..functions.text import clean_label
 from ..functions.vocabulary import STATEMENT, chart, lookup, variants_frame
+from .retrieval import best_by_cosine
 
 FUZZY, FUZZY_LEAST, COSINE = 90.0, 60.0, 0.82
 
@@ -26,9 +29,24 @@ def override(label: Column) -> Column:
     return F.when(others, "trade_payables_others").when(small, "trade_payables_mse")
 
 
+def _most(label: str, variant: str) -> float:
+    """A bound of the weighted ratio by the lengths alone."""
+    short, long = sorted((len(label), len(variant)))
+    if not short:
+        return 0.0
+    return 100.0 if long < 1.5 * short else max(200 * short / (short + long), 90.0 if long <= 8 * short else 60.0)
+
+
 def _best_variant(label: str, variants: list[tuple[str, str]]) -> tuple[str, float]:
-    best = max(range(len(variants)), key=lambda i: (weighted_ratio(label, variants[i][1]), -i))
-    return variants[best][0], weighted_ratio(label, variants[best][1])
+    """Key and score of the best variant, the first of equals; variants that cannot reach the best so far are not compared."""
+    best, score = 0, -1.0
+    for most, i in sorted(((_most(label, v), i) for i, (_, v) in enumerate(variants)), key=lambda x: (-x[0], x[1])):
+        if most < score or (most == score and i > best):
+            continue
+        found = weighted_ratio(label, variants[i][1])
+        if found > score or (found == score and i < best):
+            best, score = i, found
+    return variants[best][0], score
 
 
 def fuzzy_scores(labels: DataFrame) -> DataFrame:
@@ -106,3 +124,44 @@ def unmapped_labels(items: DataFrame) -> DataFrame:
     """Labels worth a look: no step resolved them, and they are neither empty nor "total"."""
     label = clean_label(F.col("raw_label"))
     return items.where((F.col("method") == "unknown") & ~label.isin("", "total")).groupBy("raw_label").agg(F.count("*").alias("n"))
+
+
+def unmapped_log(items: DataFrame) -> DataFrame:
+    """One line of text for each item that no step resolved, as it stands in the filing: for ``write.mode("append").text``."""
+    label = clean_label(F.col("raw_label"))
+    return items.where((F.col("method") == "unknown") & ~label.isin("", "total")).select(F.col("raw_label").alias("value"))
+
+
+Encoder = Callable[[list[str]], "np.ndarray"]
+
+
+def encoded(texts: DataFrame, column: str, encode: Encoder, out: str = "embedding", batch: int = 32) -> DataFrame:
+    """The rows with the unit vectors that the encoder gives for a text column, in batches of its size; null texts give null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            values = part.column(part.schema.get_field_index(column)).to_pylist()
+            known = [i for i, v in enumerate(values) if v is not None]
+            vectors: list[list[float] | None] = [None] * len(values)
+            for at in range(0, len(known), batch):
+                made = np.asarray(encode([values[i] for i in known[at : at + batch]]), np.float32)
+                for i, v in zip(known[at : at + batch], made / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-12), strict=True):
+                    vectors[i] = v.tolist()
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(vectors, pa.list_(pa.float32()))], [*part.schema.names, out])
+
+    return texts.mapInArrow(run, T.StructType([*texts.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))]))
+
+
+def embedding_step(spark: SparkSession, encode: Encoder, threshold: float = COSINE) -> Callable[[DataFrame], DataFrame]:
+    """The embedding step of map_labels: the chart's variants are encoded once, here, and travel to the labels."""
+    variants = [(key, v, i) for i, (key, v) in enumerate((key, v) for _, key, vs in chart() for v in vs)]
+    vectors = np.asarray(encode([v for _, v, _ in variants]), np.float32)
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    candidates = spark.createDataFrame([(key, i, x.tolist()) for (key, _, i), x in zip(variants, vectors, strict=True)], "candidate string, ord int, embedding array<float>")
+
+    def step(labels: DataFrame) -> DataFrame:
+        queries = encoded(labels.select(F.col("label").alias("query")), "query", encode)
+        best = best_by_cosine(queries, candidates, threshold)
+        return best.select(F.col("query").alias("label"), F.col("candidate").alias("embedding_key"), "cosine")
+
+    return step

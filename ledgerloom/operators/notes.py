@@ -1,11 +1,12 @@
 """Numbered notes of a document's text: header matches, blocks, merging, tables, cross-references.
 
-Only the header search needs match offsets of overlapping patterns with look-behind, which no column function gives; it
-runs in an Arrow batch function over whole texts. Everything after it is windows, joins and aggregates.
+Header and reference search need match offsets of overlapping patterns with look-behind, which no column function gives; they
+run in Arrow batch functions over whole texts. Everything after them is windows, joins and aggregates.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,10 +23,12 @@ LINE_HEADER = r"^(?:Note|NOTE)\s+(\d+)\s*(?:[\(\[]\s*([a-zA-Z])\s*[\)\]])?\s*[:\
 INLINE_HEADER = r"(?<=\S)\s+(?:Note|NOTE)\s+(\d+)\s*(?:[\(\[]\s*([a-zA-Z])\s*[\)\]])?\s*:\s*([^\n]*?)(?=\s+(?:Note|NOTE)\s+\d|$)"
 DECIMAL_HEADER = r"^(\d{1,2}\.\d{1,2})()\.?\s+([A-Z][^\n]*?)(?=\s+\d{1,2}\.\d{1,2}\.?\s+[A-Z]|$)"
 OPENING = r"Notes\s+to\s+(?:\S+\s+){0,5}?(?:Financial\s+Statements?|Accounts)"
-REFERENCES = (r"(?i)refer\s+note\s+no\.?\s*(\d+(?:\s*[\(\[]\s*[a-zA-Z]\s*[\)\]])?)", r"(?i)\(see\s+note\s+(\d+)\)", r"(?i)as\s+per\s+note\s+(\d+)", r"(?i)\(refer\s+note\s+(\d+)\)", r"(?i)note\s+no\.?\s*(\d+)\s+for\s+further")
+REFERENCES = (r"refer\s+note\s+no\.?\s*(\d+(?:\s*[\(\[]\s*[a-zA-Z]\s*[\)\]])?)", r"\(see\s+note\s+(\d+)\)", r"as\s+per\s+note\s+(\d+)", r"\(refer\s+note\s+(\d+)\)", r"note\s+no\.?\s*(\d+)\s+for\s+further")
+SENTENCE_END = r"(?<=[.!?])\s+"
 
 _STYLES = [regex.compile(p, regex.M) for p in (LINE_HEADER, INLINE_HEADER, DECIMAL_HEADER)]
 _OPENING = regex.compile(OPENING, regex.I)
+_REFERENCES, _SENTENCE_END = [regex.compile(p, regex.I) for p in REFERENCES], regex.compile(SENTENCE_END)
 
 
 def find_headers(text: str) -> list[tuple[int, int, str, str, str]]:
@@ -86,15 +89,51 @@ def note_tables(found: DataFrame, tables: DataFrame) -> DataFrame:
     return distinct_tables(tables.join(spread, ["doc_id", "page_num"]), ["doc_id", "note_id"])
 
 
+def sentence_around(text: str, starts: list[int], sentences: list[str], at: int) -> str:
+    """The sentence that a place falls in, counting one character between sentences; 80 characters each way behind the last."""
+    k = bisect_right(starts, at) - 1
+    if at <= starts[k] + len(sentences[k]):
+        return sentences[k].strip()
+    return text[max(0, at - 80) : at + 80].strip()
+
+
+def find_references(text: str) -> list[tuple[int, int, str, str]]:
+    """(style, position among the style's matches, reference, sentence around it)."""
+    found = [(k, n, m[1], m.start()) for k, style in enumerate(_REFERENCES) for n, m in enumerate(style.finditer(text))]
+    if not found:
+        return []
+    sentences, starts, at = _SENTENCE_END.split(text), [], 0
+    for s in sentences:
+        starts.append(at)
+        at += len(s) + 1
+    return [(k, n, ref, sentence_around(text, starts, sentences, place)) for k, n, ref, place in found]
+
+
+def mentions(found: DataFrame) -> DataFrame:
+    """doc_id, src, src_ord, style, pos, ref and context of each reference in the notes' texts, in one pass over them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, text in enumerate(batch.column(3).to_pylist()):
+                own = find_references(text or "")
+                rows += own
+                at += [i] * len(own)
+            taken = pa.array(at, pa.int64())
+            columns = [batch.column(i).take(taken) for i in range(3)]
+            kinds = (pa.int32(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], ["doc_id", "src", "src_ord", "style", "pos", "ref", "context"])
+
+    texts = found.select("doc_id", F.col("note_id").alias("src"), F.col("note_ord").cast("int").alias("src_ord"), "raw_text")
+    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, src string, src_ord int, style int, pos int, ref string, context string")
+
+
 def references(found: DataFrame) -> DataFrame:
-    """Edges from note to note, doc_id, src, dst, edge_ord (first mention) and mentions; not to itself or to unknown notes."""
-    sides = None
-    for k, pattern in enumerate(REFERENCES):
-        part = found.select("doc_id", F.col("note_id").alias("src"), F.col("note_ord").alias("src_ord"), F.lit(k).alias("style"), F.posexplode(F.regexp_extract_all("raw_text", F.lit(pattern), 1)).alias("pos", "ref"))
-        sides = part if sides is None else sides.unionByName(part)
-    named = sides.withColumn("dst", normalize_ref(F.col("ref"))).where(F.col("src") != F.col("dst"))
+    """Edges from note to note, doc_id, src, dst, edge_ord (first mention), mentions and context (of the last one); not to itself or to unknown notes."""
+    named = mentions(found).withColumn("dst", normalize_ref(F.col("ref"))).where(F.col("src") != F.col("dst"))
     known = named.join(found.select("doc_id", F.col("note_id").alias("dst")), ["doc_id", "dst"], "left_semi")
-    return known.groupBy("doc_id", "src", "dst").agg(F.min(F.struct("src_ord", "style", "pos")).alias("edge_ord"), F.count("*").alias("mentions"))
+    order = F.struct("src_ord", "style", "pos")
+    return known.groupBy("doc_id", "src", "dst").agg(F.min(order).alias("edge_ord"), F.count("*").alias("mentions"), F.max_by("context", order).alias("context"))
 
 
 def graph_counts(found: DataFrame, edges: DataFrame) -> DataFrame:
@@ -122,3 +161,10 @@ def resolved_texts(found: DataFrame, edges: DataFrame) -> DataFrame:
     joined = found.join(parts, ["doc_id", "note_id"], "left")
     own = F.concat(F.lit("=== "), "full_id", F.lit(" ===\n"), "raw_text")
     return joined.select("doc_id", "note_id", F.array_join(F.concat(F.array(own), F.coalesce(F.transform("parts", lambda p: p.piece), F.array().cast("array<string>"))), "\n\n").alias("resolved"))
+
+
+def flag_notes(flags: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The flags with note_text: the resolved text of the first note they name, empty where it is not there."""
+    wanted = flags.withColumn("__note", normalize_ref(F.get("note_ids", F.lit(0))))
+    texts = resolved.select("doc_id", F.col("note_id").alias("__note"), F.col("resolved").alias("note_text"))
+    return wanted.join(texts, ["doc_id", "__note"], "left").withColumn("note_text", F.coalesce("note_text", F.lit(""))).drop("__note")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import company_name, period
+
 #: Words of a chunk and the step between chunks (500 and 100 tokens at 0.75 words a token).
 CHUNK_WORDS, STEP_WORDS = 375, 300
 
@@ -23,11 +25,17 @@ def full_text(pages: DataFrame) -> DataFrame:
 
 
 def offsets_to_pages(offsets: DataFrame, placed: DataFrame, key: list[str], offset: str, out: str) -> DataFrame:
-    """For each offset the first page whose range holds it, both ends included, or else the document's last page."""
-    spans = placed.select("doc_id", F.col("page_num").alias("__page"), F.col("start").alias("__start"), F.col("end").alias("__end"))
-    inside = F.min(F.when(F.col(offset).between(F.col("__start"), F.col("__end")), F.col("__page")))
-    found = offsets.select("doc_id", *key, offset).join(spans, "doc_id").groupBy("doc_id", *key, offset).agg(F.coalesce(inside, F.max("__page")).alias(out))
-    return offsets.join(found, ["doc_id", *key, offset], "left")
+    """For each offset the page it falls on, ends included; beyond the text the document's last page.
+
+    Pages lie side by side (page_offsets), so it is the last one that starts at or before the offset: one window over both.
+    """
+    row = F.struct(*(F.col(c) for c in offsets.columns))
+    marks = offsets.select("doc_id", F.col(offset).cast("long").alias("at"), F.lit(None).cast(placed.schema["page_num"].dataType).alias("page"), row.alias("row"))
+    starts = placed.select("doc_id", F.col("start").cast("long").alias("at"), F.col("page_num").alias("page"), F.lit(None).cast(marks.schema["row"].dataType).alias("row"))
+    order = Window.partitionBy("doc_id").orderBy("at", F.col("row").isNotNull())
+    whole = Window.partitionBy("doc_id")
+    found = starts.unionByName(marks).withColumn(out, F.coalesce(F.last("page", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.max("page").over(whole)))
+    return found.where(F.col("row").isNotNull()).select("row.*", out)
 
 
 def uncovered_pages(pages: DataFrame, notes: DataFrame) -> DataFrame:
@@ -55,3 +63,13 @@ def chunk_index(pages: DataFrame) -> DataFrame:
 def is_typed(pages: DataFrame) -> DataFrame:
     """Whether a PDF has text: at least three of its first five pages with over 50 characters."""
     return pages.where(F.col("page_num") <= 5).groupBy("doc_id").agg(F.when(F.count_if(F.length("raw_text") > 50) >= 3, "typed").otherwise("scanned").alias("pdf_type"))
+
+
+#: Pages that tell whose report it is, and for which period.
+FIRST_PAGES = 3
+
+
+def identity(pages: DataFrame) -> DataFrame:
+    """doc_id, company and period, read from the first pages; documents of one page are read whole."""
+    first = full_text(pages.where(F.col("page_num") <= FIRST_PAGES))
+    return first.select("doc_id", company_name(F.col("full_text")).alias("company"), period(F.col("full_text")).alias("period"))

@@ -1,18 +1,28 @@
 """Nearest passages of a standards corpus, and its incremental index.
 
-Queries are few (one per rule) and bounded, passages many: queries are broadcast, and Spark's group limit keeps the k best
-a query and task before the shuffle, so passages times queries are never exchanged.
+Queries are few (one per rule), passages many: queries are broadcast, and Spark's group limit keeps the k best
+a query and task before the shuffle, so passages times queries are never exchanged. More queries than MAX_QUERIES go in blocks of
+about that size, each block against all passages; likewise candidates.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that may be broadcast; more are an error, since they would be data and need another join.
+#: Queries, or candidates, of one block, which is broadcast.
 MAX_QUERIES = 10_000
 
 
+def in_blocks(rows: DataFrame, by: str, block: int) -> list[DataFrame]:
+    """The rows in parts of about ``block`` at most, by hash of a column that tells them apart."""
+    n = -(-rows.count() // block)
+    # Twice as many parts as would do, where there are several: hashing spreads unevenly.
+    return [rows] if n <= 1 else [rows.where(F.pmod(F.xxhash64(by), F.lit(2 * n)) == k) for k in range(2 * n)]
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v)
 
@@ -21,10 +31,13 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def nearest(queries: DataFrame, passages: DataFrame, k: int = 3, tie: str = "chunk_index", digits: int = 5) -> DataFrame:
+def nearest(queries: DataFrame, passages: DataFrame, k: int = 3, tie: str = "chunk_index", digits: int = 5, block: int = MAX_QUERIES) -> DataFrame:
     """query, rank, score (1 - squared distance) and the passage's columns; equal rounded distances go by ``tie``."""
-    if queries.count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries")
+    found = [_nearest(part, passages, k, tie, digits) for part in in_blocks(queries.select("query", "embedding"), "query", block)]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _nearest(queries: DataFrame, passages: DataFrame, k: int, tie: str, digits: int) -> DataFrame:
     pairs = passages.join(F.broadcast(queries.select("query", F.col("embedding").alias("__q"))))
     scored = pairs.withColumn("distance", F.round(squared_distance(F.col("embedding"), F.col("__q")), digits)).drop("__q", "embedding")
     order = [F.col("distance"), F.col(tie)]
@@ -32,12 +45,13 @@ def nearest(queries: DataFrame, passages: DataFrame, k: int = 3, tie: str = "chu
     return near.withColumn("score", F.lit(1.0) - F.col("distance")).drop("distance")
 
 
-def best_by_cosine(queries: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
+def best_by_cosine(queries: DataFrame, candidates: DataFrame, threshold: float, block: int = MAX_QUERIES) -> DataFrame:
     """The candidate of greatest cosine (unit vectors) of each query, if above the threshold; the first of equals."""
-    if candidates.count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} candidates")
-    pairs = queries.join(F.broadcast(candidates.select("candidate", "ord", F.col("embedding").alias("__c"))))
-    scored = pairs.withColumn("cosine", F.round(dot(F.col("embedding"), F.col("__c")), 6))
+    bests = []
+    for part in in_blocks(candidates.select("candidate", "ord", "embedding"), "ord", block):
+        pairs = queries.join(F.broadcast(part.select("candidate", "ord", F.col("embedding").alias("__c"))))
+        bests.append(pairs.select("query", "candidate", "ord", F.round(dot(F.col("embedding"), F.col("__c")), 6).alias("cosine")))
+    scored = functools.reduce(DataFrame.unionByName, bests)
     best = scored.groupBy("query").agg(F.max_by(F.struct("candidate", "cosine"), F.struct(F.col("cosine"), -F.col("ord"))).alias("b"))
     return best.select("query", "b.*").where(F.col("cosine") > threshold)
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import shown, strip
+from ..functions.text import otherwise_null, parse_indian_number, shown, strip
 
 #: Keys that a rule of their own covers, and the bounds (lakh) of a small company.
 COVERED = (
@@ -130,55 +130,54 @@ LOW = [
     Rule("UNPAID_DIVIDEND", "Low", "Unpaid Dividend – IEPF", lambda: F.lower("note_7f").contains("unpaid dividend"), dict, ("7f",), "unpaid dividend IEPF investor education protection fund Companies Act 205C", "Unpaid dividend balance exists — check IEPF transfer compliance"),
 ]
 
-_CIN = r"\b[LUu]\d{5}[A-Za-z]{2}\d{4}[A-Za-z]{3}\d{6}\b"
-_AUDIT_EXCEPTION = r"(?i)\bexcept\b|not\s+(?:been\s+)?(?:enabled|operational|operat\w*)\b|(?:did|does)\s+not\s+(?:have|maintain|use)\b|\bdisabled\b|\bdiscontinued\b"
+#: A company number, and what tells of an exception to the audit trail.
+_CIN = r"(?U:\b[LUu]\d{5}[A-Za-z]{2}\d{4}[A-Za-z]{3}\d{6}\b)"
+_AUDIT_EXCEPTION = r"(?iU)\bexcept\b|not\s+(?:been\s+)?(?:enabled|operational|operat\w*)\b|(?:did|does)\s+not\s+(?:have|maintain|use)\b|\bdisabled\b|\bdiscontinued\b"
 
 
 def _starts(text: Column, pattern: str) -> Column:
-    """1-based places of all matches, by splitting before each of them."""
+    """1-based places of all matches, by splitting before each of them; one running sum of the parts' lengths."""
     parts = F.split(text, f"(?={pattern})")
-    lengths = F.transform(parts, F.length)
-    ends = F.transform(parts, lambda _, i: F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, n: a + n) + 1)
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("places"))
+    ends = F.aggregate(parts, start, lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.concat(a["places"], F.array(a["at"])).alias("places")), lambda a: a["places"])
     return F.filter(ends, lambda p: F.substring(text, p, 400).rlike(f"^(?:{pattern})"))
 
 
 def audit_trail_excerpt(text: Column) -> Column:
     """280 characters, white space collapsed, from the first "audit trail" whose next 400 characters tell of an exception."""
-    windows = F.transform(_starts(text, r"(?i:audit\s+trail)"), lambda p: F.substring(text, p, 400))
+    windows = F.regexp_extract_all(text, F.lit(r"(?sU)(?=(?i:audit\s+trail))(?=(.{1,400}))"), 1)
     hit = F.get(F.filter(windows, lambda w: w.rlike(_AUDIT_EXCEPTION)), F.lit(0))
     return strip(F.regexp_replace(F.substring(hit, 1, 280), r"(?U)\s+", " "))
 
 
 def distinct_cins(text: Column) -> Column:
     """Company numbers that are not named within 300 characters after talk of related parties."""
-    places = F.filter(_starts(text, _CIN), lambda p: ~F.substring(text, F.greatest(p - 300, F.lit(1)), F.least(p - 1, F.lit(300))).rlike(r"(?i)arm'?s\s+length|related\s+part(?:y|ies)"))
+    places = F.filter(_starts(text, _CIN), lambda p: ~F.substring(text, F.greatest(p - 300, F.lit(1)), F.least(p - 1, F.lit(300))).rlike(r"(?iU)arm'?s\s+length|related\s+part(?:y|ies)"))
     return F.array_sort(F.array_distinct(F.transform(places, lambda p: F.upper(F.substring(text, p, 21)))))
 
 
-_UNCERTAINTY, _EMPHASIS = r"(?i)material\s+uncertainty\s+related\s+to\s+going\s+concern", r"(?i)emphasis\s+of\s+matter"
+_UNCERTAINTY, _EMPHASIS = r"(?iU)material\s+uncertainty\s+related\s+to\s+going\s+concern", r"(?iU)emphasis\s+of\s+matter"
 
 
 def emphasis(text: Column) -> Column:
     """paragraph_type and excerpt of the auditor's paragraph, uncertainty before emphasis; null without one."""
-    first = lambda pattern: F.regexp_instr(text, F.lit(pattern))
-    at = F.when(first(_UNCERTAINTY) > 0, first(_UNCERTAINTY)).otherwise(first(_EMPHASIS))
-    kind = F.when(first(_UNCERTAINTY) > 0, "Material Uncertainty Related to Going Concern").otherwise("Emphasis of Matter")
-    excerpt = strip(F.regexp_replace(F.substring(text, at, F.lit(400)), r"(?U)\s+", " "))
-    return F.when(at > 0, F.struct(kind.alias("paragraph_type"), excerpt.alias("excerpt")))
+    from_ = lambda pattern: otherwise_null(F.regexp_extract(text, f"(?s){pattern}.*", 0))
+    uncertain = from_(_UNCERTAINTY)
+    kind = F.when(uncertain.isNotNull(), "Material Uncertainty Related to Going Concern").otherwise("Emphasis of Matter")
+    excerpt = strip(F.regexp_replace(F.substring(F.coalesce(uncertain, from_(_EMPHASIS)), 1, 400), r"(?U)\s+", " "))
+    return F.when(excerpt.isNotNull(), F.struct(kind.alias("paragraph_type"), excerpt.alias("excerpt")))
 
 
 def cash_flow_years(text: Column) -> Column:
     """Years of "31 March" in the first 500 characters of the cash flow statement."""
-    at = F.regexp_instr(text, F.lit(r"(?i)cash\s+flow\s+statement"))
-    return F.when(at > 0, F.regexp_extract_all(F.substring(text, at, F.lit(500)), F.lit(r"31\s+March\s+(\d{4})"), 1)).otherwise(F.array().cast("array<string>"))
+    head = F.regexp_extract(text, r"(?s)(?iU:cash\s+flow\s+statement).*", 0)
+    return F.regexp_extract_all(F.substring(head, 1, 500), F.lit(r"(?U)31\s+March\s+(\d{4})"), 1)
 
 
 def restricted_balance(text: Column) -> Column:
     """The first figure within 40 characters after "restricted" and up to 60 characters of its line."""
-    from ..functions.text import parse_indian_number
-
-    tails = F.regexp_extract_all(text, F.lit(r"(?is)restricted[^\n\d]{0,60}(.{0,40})"), 1)
-    return F.get(F.filter(F.transform(tails, lambda t: parse_indian_number(F.regexp_extract(t, r"[\d,]+\.?\d*", 0))), lambda v: v.isNotNull()), F.lit(0))
+    tails = F.regexp_extract_all(text, F.lit(r"(?isU)restricted[^\n\d]{0,60}(.{0,40})"), 1)
+    return F.get(F.filter(F.transform(tails, lambda t: parse_indian_number(F.regexp_extract(t, r"(?U)[\d,]+\.?\d*", 0))), lambda v: v.isNotNull()), F.lit(0))
 
 
 def _lease_gap() -> Column:
@@ -193,7 +192,7 @@ CONSISTENCY = [
     Rule("XNOTE_CSR_BANK_MISMATCH", "Low", "Data Consistency – CSR Bank Balance", lambda: F.abs(F.col("csr.amount_unspent") - F.col("restricted_balance")) > 1, lambda: {"csr_note_unspent": F.col("csr.amount_unspent"), "bank_note_restricted": F.col("restricted_balance"), "difference": F.abs(F.col("csr.amount_unspent") - F.col("restricted_balance"))}, ("25b", "7f"), "CSR unspent bank balance reconciliation", "CSR unspent in Note 25b does not match restricted balance in Note 7f"),
     Rule("XNOTE_LEASE_ROU_MISMATCH", "Medium", "Data Consistency – Lease ROU vs Liability", lambda: (F.col("lease_total") != 0) & (F.col("rou_additions") > 0) & (_lease_gap() > 15), lambda: {"rou_additions": F.col("rou_additions"), "lease_liability": F.col("lease_total"), "diff_pct": _lease_gap()}, ("5", "14b"), "right of use asset lease liability measurement Ind AS 116 commencement", "ROU asset additions and new lease liabilities differ by >15%"),
     Rule("TAX_RECONCILIATION_ERROR", "High", "Data Integrity – Tax Computation", lambda: F.abs(_tax_sum() - F.col("tax_total")) > 1, lambda: {"current_tax": F.col("tax_current"), "tax_prior_years": F.col("tax_prior"), "deferred_tax": F.col("tax_deferred"), "computed_total": _tax_sum(), "disclosed_total": F.col("tax_total"), "difference": F.abs(_tax_sum() - F.col("tax_total"))}, ("28",), "income tax expense current deferred reconciliation Ind AS 12", "Sum of current + prior year + deferred tax does not equal disclosed total"),
-    Rule("CASHFLOW_HEADER_ERROR", "Low", "Data Presentation – Cash Flow Headers", lambda: (F.size(cash_flow_years(F.col("full_text"))) >= 2) & (F.size(F.array_distinct(cash_flow_years(F.col("full_text")))) == 1), lambda: {"dates_found": cash_flow_years(F.col("full_text"))}, (), "financial statement presentation comparative period disclosure Ind AS 1", "Cash flow statement comparative column appears to have incorrect year label"),
+    Rule("CASHFLOW_HEADER_ERROR", "Low", "Data Presentation – Cash Flow Headers", lambda: (F.size("cash_flow_years") >= 2) & (F.size(F.array_distinct("cash_flow_years")) == 1), lambda: {"dates_found": F.col("cash_flow_years")}, (), "financial statement presentation comparative period disclosure Ind AS 1", "Cash flow statement comparative column appears to have incorrect year label"),
     Rule("MULTI_ENTITY_DOCUMENT", "High", "Document Scope", lambda: F.size("cins") > 1, lambda: {"distinct_cins": F.col("cins"), "count": F.size("cins")}, (), "single reporting entity separate financial statements Ind AS 1", lambda: F.concat(F.lit("Document contains "), F.size("cins").cast("string"), F.lit(" distinct company CINs — likely a multi-entity bundle"))),
     Rule("AUDIT_TRAIL_LAPSE", "Medium", "Audit Trail Compliance (Rule 11(g))", lambda: F.col("audit_trail").isNotNull(), lambda: {"excerpt": F.col("audit_trail")}, (), "audit trail edit log accounting software Rule 11(g) Companies Audit and Auditors Rules", "Auditor's report indicates the audit trail feature was not continuously operational"),
     Rule("AUDITOR_EMPHASIS_PARAGRAPH", lambda: F.when(F.col("emphasis.paragraph_type").startswith("Material"), "High").otherwise("Medium"), "Auditor's Report — Emphasis / Going Concern", lambda: F.col("emphasis").isNotNull(), lambda: {"paragraph_type": F.col("emphasis.paragraph_type"), "excerpt": F.col("emphasis.excerpt")}, (), "emphasis of matter material uncertainty going concern SA 570 SA 706", lambda: F.concat(F.lit("Auditor's report contains a '"), F.col("emphasis.paragraph_type"), F.lit("' paragraph"))),
@@ -267,5 +266,5 @@ def consistency_flags(facts: DataFrame) -> DataFrame:
     """Flags across notes and over whole texts. facts: doc_id and any of CONSISTENCY_FACTS."""
     full = _filled(facts, CONSISTENCY_FACTS)
     text = F.coalesce("full_text", F.lit(""))
-    read = full.withColumns({"full_text": text, "cins": distinct_cins(text), "audit_trail": audit_trail_excerpt(text), "emphasis": emphasis(text)})
+    read = full.withColumns({"full_text": text, "cins": distinct_cins(text), "audit_trail": audit_trail_excerpt(text), "emphasis": emphasis(text), "cash_flow_years": cash_flow_years(text)})
     return _unnested(read, [*enumerate(CONSISTENCY, 60)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, fix_reversed, label_fill, note_reference, parse_indian_number, parse_text_line, recover_split_digit, strip
+from ..functions.text import blank, fix_reversed, label_fill, note_reference, otherwise_null, parse_indian_number, parse_text_line, recover_split_digit, strip
 
 
 def _drop_blank_and_repeats(rows: Column) -> Column:
@@ -80,25 +80,58 @@ def distinct_tables(tables: DataFrame, by: list[str]) -> DataFrame:
 
 def note_columns(headers: Column) -> Column:
     """Numbers (from 0) of the columns whose header names notes or schedules."""
-    fits = lambda h: F.coalesce(strip(h).rlike(r"(?i)^(?:note|notes|schedule|schedules)\s*(?:no\.?|number)?$"), F.lit(False))
+    fits = lambda h: F.coalesce(strip(h).rlike(r"(?iU)^(?:note|notes|schedule|schedules)\s*(?:no\.?|number)?$"), F.lit(False))
     return F.filter(F.transform(headers, lambda h, i: F.when(fits(h), i)), lambda i: i.isNotNull())
 
 
+#: Cells after the label that are read by compiled columns; wider rows take a slower way, with the same result.
+WIDTH = 6
+
+
+def _value(cell: Column) -> Column:
+    return F.coalesce(parse_indian_number(cell), recover_split_digit(cell))
+
+
+def _short_reference(cell: Column, value: Column) -> Column:
+    """A short cell that is a reference and no number."""
+    return F.when(value.isNull() & (F.length(strip(cell)) <= 6), note_reference(cell))
+
+
+def _wide(cells: Column, notes: Column) -> tuple[Column, Column]:
+    """Numbers and references of a row of any width."""
+    value = lambda c, i: F.when((i > 0) & ~F.array_contains(notes, i), _value(c))
+    read = F.transform(cells, lambda c, i: F.struct(i.alias("i"), c.alias("c"), value(c, i).alias("v")))
+    numbers = F.filter(F.transform(read, lambda x: x["v"]), lambda v: v.isNotNull())
+    noted = lambda x: F.array_contains(notes, x["i"])
+    refs = F.transform(F.filter(read, lambda x: x["i"] > 0), lambda x: F.when(noted(x), otherwise_null(strip(x["c"]))).otherwise(_short_reference(x["c"], x["v"])))
+    return numbers, F.filter(refs, lambda r: r.isNotNull())
+
+
 def read_rows(tables: DataFrame) -> DataFrame:
-    """label, current, prior and note_ref of each row that has a label in its first cell."""
-    cells = tables.withColumn("notes", note_columns(F.col("headers"))).select(*[c for c in tables.columns if c not in ("headers", "rows")], "notes", F.posexplode("rows").alias("row_ord", "cells"))
+    """label, current, prior and note_ref of each row that has a label in its first cell.
+
+    current and prior are the first two numbers of the row outside note columns; note_ref is the label's, else the first that a note
+    column or a short cell gives.
+    """
+    keys = [c for c in tables.columns if c not in ("headers", "rows")]
+    cells = tables.withColumn("notes", note_columns(F.col("headers"))).select(*keys, "notes", F.posexplode("rows").alias("row_ord", "cells"))
+    at = range(1, WIDTH + 1)
+    noted = {i: F.coalesce(F.array_contains("notes", F.lit(i)), F.lit(False)) for i in at}
+    cell = {i: F.get("cells", F.lit(i)) for i in at}
     label = strip(F.get("cells", F.lit(0)))
-    value = lambda c: F.coalesce(parse_indian_number(c), recover_split_digit(c))
-    every = F.transform(F.col("cells"), lambda c, i: F.struct(i.alias("i"), c.alias("c"), F.array_contains("notes", i).alias("noted"), value(c).alias("v")))
-    cells = cells.withColumn("rest", F.filter(every, lambda x: x["i"] > 0))
-    rest = F.col("rest")
-    numbers = F.filter(F.transform(F.filter(rest, lambda x: ~x.noted), lambda x: x["v"]), lambda v: v.isNotNull())
-    # In column order: what a note column holds, or a short cell that is a reference and no number.
-    short = lambda x: F.when(x["v"].isNull() & (F.length(strip(x.c)) <= 6), note_reference(x.c))
-    refs = F.filter(F.transform(rest, lambda x: F.when(x.noted, F.when(~F.coalesce(blank(x.c), F.lit(True)), strip(x.c))).otherwise(short(x))), lambda r: r.isNotNull())
-    read = cells.withColumns({"label": label, "numbers": numbers, "note_ref": F.coalesce(note_reference(label), F.get(refs, F.lit(0)))})
-    kept = read.where((F.length("label") >= 3) & parse_indian_number(F.col("label")).isNull())
-    return kept.withColumns({"current": F.get("numbers", F.lit(0)), "prior": F.get("numbers", F.lit(1))}).drop("notes", "cells", "rest", "numbers")
+    # Two steps, so that each cell is parsed once: the values, then what is chosen from them.
+    read = cells.withColumns({"label": label, "is_number": parse_indian_number(label).isNotNull(), **{f"v{i}": _value(F.when(~noted[i], cell[i])) for i in at}})
+    kept = read.where((F.length("label") >= 3) & ~F.col("is_number"))
+    first = F.coalesce(*(F.when(F.col(f"v{i}").isNotNull(), i) for i in at))
+    second = F.coalesce(*(F.when(first < i, F.col(f"v{i}")) for i in at[1:]))
+    refs = [F.when(noted[i], otherwise_null(strip(cell[i]))).otherwise(_short_reference(cell[i], F.col(f"v{i}"))) for i in at]
+    numbers, more = _wide(F.col("cells"), F.col("notes"))
+    wide = F.size("cells") > WIDTH + 1
+    found = kept.withColumns({
+        "current": F.when(wide, F.get(numbers, F.lit(0))).otherwise(F.coalesce(*(F.col(f"v{i}") for i in at))), "prior": F.when(wide, F.get(numbers, F.lit(1))).otherwise(second),
+        "note_ref": F.coalesce(note_reference(F.col("label")), F.when(wide, F.get(more, F.lit(0))).otherwise(F.coalesce(*refs))),
+    })
+    return found.select(*keys, "row_ord", "label", "note_ref", "current", "prior")
 
 
 def fill_merged(cells: DataFrame, ranges: DataFrame) -> DataFrame:
