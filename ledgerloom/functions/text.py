@@ -18,7 +18,7 @@ WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u
 
 def strip(x: Column) -> Column:
     """Without white space of any script at both ends."""
-    return F.btrim(x, F.lit(WHITE))
+    return F.trim(x, F.lit(WHITE))  # no function that Spark replaces, as btrim is: those nest badly
 
 
 def blank(x: Column) -> Column:

@@ -107,7 +107,7 @@ def structural_total(items: DataFrame, table: list[str], order: str = "row_ord")
 def map_items(rows: DataFrame, table: list[str], embed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Read rows (doc_id, the table's keys, row_ord, sheet_type, label, current, prior, note_ref) as numbered line items."""
     named = rows.withColumnsRenamed({"label": "raw_label", "current": "current_value", "prior": "prior_value"})
-    found = map_labels(named, embed).drop("label")
+    found = map_labels(named, embed).drop("label").withColumn("unresolved", F.col("method") == "unknown")
     mapped = structural_total(guard_statement(named.join(found, "raw_label")), table)
     order = Window.partitionBy("doc_id").orderBy(*[c for c in table if c != "doc_id"], "row_ord")
     return mapped.withColumn("item_idx", F.row_number().over(order) - 1)
@@ -120,16 +120,20 @@ def face_sheets(sheets: DataFrame) -> DataFrame:
     return sheets.withColumn("__some", some).where(known | ~F.col("__some")).drop("__some")
 
 
+def _open(items: DataFrame) -> Column:
+    """Items that no step resolved, other than empty labels and "total"; those that only the statement's type refused are resolved."""
+    left = F.col("unresolved") if "unresolved" in items.columns else F.col("method") == "unknown"
+    return left & ~clean_label(F.col("raw_label")).isin("", "total")
+
+
 def unmapped_labels(items: DataFrame) -> DataFrame:
-    """Labels worth a look: no step resolved them, and they are neither empty nor "total"."""
-    label = clean_label(F.col("raw_label"))
-    return items.where((F.col("method") == "unknown") & ~label.isin("", "total")).groupBy("raw_label").agg(F.count("*").alias("n"))
+    """Labels worth a look, counted."""
+    return items.where(_open(items)).groupBy("raw_label").agg(F.count("*").alias("n"))
 
 
-def unmapped_log(items: DataFrame) -> DataFrame:
-    """One line of text for each item that no step resolved, as it stands in the filing: for ``write.mode("append").text``."""
-    label = clean_label(F.col("raw_label"))
-    return items.where((F.col("method") == "unknown") & ~label.isin("", "total")).select(F.col("raw_label").alias("value"))
+def write_unmapped(items: DataFrame, path: str) -> None:
+    """Appends the label of each unresolved item, as it stands in the filing, to a folder of text lines."""
+    items.where(_open(items)).select(F.regexp_replace("raw_label", r"\R", " ").alias("value")).write.mode("append").text(path)
 
 
 Encoder = Callable[[list[str]], "np.ndarray"]

@@ -1,12 +1,16 @@
-"""Observations: templated text, citations and checks over flags.
+"""Observations: templated text, citations and checks over flags, and a text generator's part in them.
 
-A template is text with slots, ``{money prior}``; slots read the flag's evidence. All templates become one CASE expression.
+A template is text with slots, ``{money prior}``; slots read the flag's evidence. All templates become one CASE expression. A generator is a
+function (system text, message, most tokens) to text, called in the tasks; how many instances run at once is the number of partitions.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,10 +123,106 @@ def prompt(flags: DataFrame, notes_column: str = "note_text", passages_column: s
     return F.concat_ws("\n", F.concat(F.lit("Flag: "), "flag_id"), F.concat(F.lit("Area: "), "area"), F.concat(F.lit("Severity: "), "severity"), F.concat(F.lit("Reason: "), "triggered_by"), F.concat(F.lit("Evidence: "), "evidence"), F.concat(F.lit("Note: "), note), F.concat(F.lit("Passages: "), F.array_join(passages_column, "\n---\n")))
 
 
-def observations(flags: DataFrame, cited: DataFrame | None = None) -> DataFrame:
-    """Observations in report order: by rating, then in the order of the rules."""
+Generator = Callable[[str, str, int], str]
+
+SYSTEM = (
+    "You write audit observations on Indian annual reports from a FLAG with its EVIDENCE, from STANDARD TEXT and from NOTE CONTENT. Use no figure that is not given. Cite the standard by "
+    "name, and a paragraph only if its number stands in the text. Say which document, schedule or confirmation is to be obtained. Amounts are in lakh unless stated. "
+    'Answer with one JSON object only: {"area": "...", "observation": "...", "risk_rating": "...", "standard_reference": "...", "recommendation": "..."}'
+)
+SYSTEM_ADDENDUM = (
+    "You are given a FACT of a company's accounts and the NOTE CONTENT about it. If the note explains the fact, answer NONE. If it does not, say so in one sentence of at most 25 words, "
+    "without any figure that is not in the note. Answer with that sentence or NONE, nothing else."
+)
+RETRY = "\n\nThe answer before was no valid JSON object. Answer with the JSON object only."
+#: Most tokens of an answer and of an addendum, characters of a note that are shown, attempts.
+ANSWER, ADDENDUM, NOTE_CHARS, ATTEMPTS = 800, 60, 1800, 2
+_FIELDS = ("area", "observation", "recommendation", "standard_reference")
+
+
+def parsed_answer(raw: str) -> dict | None:
+    """A generator's JSON answer, fenced or surrounded by prose; null if it lacks a text field."""
+    bare = re.sub(r"^\s*```(?:json)?|```\s*$", "", raw.strip()).strip()
+    whole = re.search(r"\{.*\}", bare, re.S)
+    for text in (bare, whole[0] if whole else ""):
+        try:
+            data = json.loads(text)
+        except ValueError:
+            continue
+        if isinstance(data, dict):
+            data.setdefault("standard_reference", "")
+            return data if all(isinstance(data.get(f), str) for f in _FIELDS) else None
+    return None
+
+
+def _answered(generate: Generator, message: str) -> dict | None:
+    """The first valid answer of the attempts; null if there is none, or if the generator fails."""
+    for attempt in range(ATTEMPTS):
+        try:
+            found = parsed_answer(generate(SYSTEM, message + (RETRY if attempt else ""), ANSWER))
+        except Exception:  # a failing generator leaves the flag without an observation, not the job without a result
+            return None
+        if found is not None:
+            return found
+    return None
+
+
+def _added(generate: Generator, fact: str, note: str) -> str:
+    if not note:
+        return fact
+    try:
+        text = generate(SYSTEM_ADDENDUM, f"FACT: {fact}\n\nNOTE CONTENT:\n{note[:NOTE_CHARS]}\n", ADDENDUM).strip().strip('"')
+    except Exception:  # an addendum is never required
+        return fact
+    return fact if not text or text.upper() == "NONE" else f"{fact} {text}"
+
+
+def generated(told: DataFrame, generate: Generator, templates: bool = True, addendum: bool = True, instances: int | None = None) -> DataFrame:
+    """Templated flags with the generator's part: an addendum where the note does not explain the fact, and whole observations for
+    flags without template (for all, with templates=False). Flags that get no valid answer go.
+
+    told: flags with observation and recommendation (templated), note_text and passages. The rating stays the rule's. Adds generated_citation
+    and doubtful (a figure of the evidence is missing from the generated text).
+    """
+    asked = told.withColumn("message", prompt(told)).withColumns({c: F.lit(None).cast("string") for c in ("generated_citation",)})
+    kept = [c for c in asked.columns if c != "message"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                message = row.pop("message")
+                if templates and row["observation"] is not None:
+                    if addendum:
+                        row["observation"] = _added(generate, row["observation"], row["note_text"] or "")
+                    rows.append(row)
+                    continue
+                answer = _answered(generate, message)
+                if answer is not None:
+                    rows.append(row | {"area": answer["area"], "observation": answer["observation"], "recommendation": answer["recommendation"], "generated_citation": answer["standard_reference"]})
+            yield pa.RecordBatch.from_pylist(rows, batch.schema.remove(batch.schema.get_field_index("message")))
+
+    dealt = asked.repartition(instances) if instances else asked
+    made = dealt.mapInArrow(run, asked.select(*kept).schema)
+    figure = lambda name: F.get_json_object("evidence", f"$.{name}").cast("double")
+    return made.withColumn("doubtful", F.col("generated_citation").isNotNull() & missing_numbers(F.col("observation"), figure("current"), figure("prior")))
+
+
+def observations(flags: DataFrame, cited: DataFrame | None = None, generate: Generator | None = None, templates: bool = True, addendum: bool = True, instances: int | None = None) -> DataFrame:
+    """Observations in report order: by rating, then in the order of the rules.
+
+    generate: a text generator; flags then have note_text and passages (and sources). Its citations hold only if they are grounded.
+    """
     told = templated(flags)
-    told = told.join(cited, told.standard_query == cited["query"], "left").drop("query") if cited is not None else told.withColumn("citation", F.lit(None).cast("string"))
+    if generate is not None:
+        for name, kind in (("note_text", "string"), ("passages", "array<string>"), ("sources", "array<string>")):
+            if name not in told.columns:
+                told = told.withColumn(name, F.lit(None).cast(kind))
+        told = generated(told.withColumns({"note_text": F.coalesce("note_text", F.lit("")), "passages": F.coalesce("passages", F.array().cast("array<string>"))}), generate, templates, addendum, instances)
+    told = told.join(F.broadcast(cited), told.standard_query == cited["query"], "left").drop("query") if cited is not None else told.withColumn("citation", F.lit(None).cast("string"))
+    if generate is not None:
+        grounded = grounded_citation(F.col("generated_citation"), F.coalesce("sources", F.array().cast("array<string>")), F.col("passages"))
+        told = told.withColumn("citation", F.when(F.col("generated_citation").isNotNull(), grounded).otherwise(F.col("citation")))
     rank = F.create_map(*(F.lit(x) for pair in RATING_RANK.items() for x in pair))[F.col("severity")]
     order = Window.partitionBy("doc_id").orderBy(rank, "rule_ord", "key_ord")
     return told.select("doc_id", F.row_number().over(order).alias("number"), "flag_id", "area", F.col("severity").alias("rating"), "observation", "recommendation", F.coalesce("citation", F.lit("")).alias("citation"), format_note_refs(F.col("note_ids")).alias("notes"), "evidence", "standard_query")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -203,15 +203,29 @@ def read_record(name: str, tables: DataFrame, compat: bool = False) -> DataFrame
     return matched.withColumn(name, F.when(~is_empty_table(F.col("headers"), F.col("rows")), reader())).drop("cols")
 
 
-def first_record(name: str, notes: DataFrame, tables: DataFrame, compat: bool = False) -> DataFrame:
-    """doc_id and the record: of the first table that fits, in the notes that its words lead to, or in all notes if none has them.
+def _led(notes: DataFrame, names: list[str]) -> DataFrame:
+    """The notes' ids and order, and for each record whether its words lead to the note, or to none of the document's."""
+    head = F.lower(F.concat("title", F.lit(" "), F.substring("raw_text", 1, 200)))
+    own = Window.partitionBy("doc_id")
+    hits = notes.select("doc_id", "note_id", "note_ord", *(any_of(head, RECORDS[n][0]).alias(f"__{n}") for n in names))
+    return hits.withColumns({f"__{n}": F.col(f"__{n}") | ~F.bool_or(f"__{n}").over(own) for n in names})
+
+
+def all_records(notes: DataFrame, tables: DataFrame, compat: bool = False, names: tuple[str, ...] = tuple(RECORDS)) -> DataFrame:
+    """doc_id and a column for each record: of the first table that fits, in the notes that its words lead to, or in all notes if none
+    has them; null where none fits. One pass over the notes and one over their tables.
 
     tables: note tables (doc_id, note_id, page_num, table_ord, headers, rows).
     """
-    words = RECORDS[name][0]
-    from pyspark.sql import Window
+    read = tables
+    for name in names:
+        read = read_record(name, read, compat)
+    tried = read.drop("note_ord").join(_led(notes, list(names)), ["doc_id", "note_id"])
+    order = F.struct("note_ord", "page_num", "table_ord")
+    fits = {n: F.col(f"__{n}") & F.col(n).isNotNull() for n in names}
+    return tried.groupBy("doc_id").agg(*(F.min_by(F.when(fits[n], F.col(n)), F.when(fits[n], order)).alias(n) for n in names))
 
-    head = F.lower(F.concat("title", F.lit(" "), F.substring("raw_text", 1, 200)))
-    marked = notes.select("doc_id", "note_id", "note_ord", any_of(head, words).alias("hit")).withColumn("some", F.bool_or("hit").over(Window.partitionBy("doc_id")))
-    tried = read_record(name, tables, compat).where(F.col(name).isNotNull()).drop("note_ord").join(marked.where(F.col("hit") | ~F.col("some")), ["doc_id", "note_id"])
-    return tried.groupBy("doc_id").agg(F.min_by(name, F.struct("note_ord", "page_num", "table_ord")).alias(name))
+
+def first_record(name: str, notes: DataFrame, tables: DataFrame, compat: bool = False) -> DataFrame:
+    """doc_id and one record, of documents that have it."""
+    return all_records(notes, tables, compat, (name,)).where(F.col(name).isNotNull())

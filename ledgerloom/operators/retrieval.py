@@ -8,10 +8,13 @@ about that size, each block against all passages; likewise candidates.
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pages import chunk_index
+
 #: Queries, or candidates, of one block, which is broadcast.
 MAX_QUERIES = 10_000
 
@@ -67,3 +70,16 @@ def upsert(index: DataFrame, chunks: DataFrame) -> DataFrame:
     both = index.withColumn("__new", F.lit(0)).unionByName(chunks.withColumn("__new", F.lit(1)))
     latest = F.max_by(F.struct(*[c for c in index.columns if c not in ("source_filename", "chunk_index")]), "__new")
     return both.groupBy("source_filename", "chunk_index").agg(latest.alias("c")).select("source_filename", "chunk_index", "c.*").select(*index.columns)
+
+
+def build_index(pages: DataFrame, index: DataFrame | None, encoded: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The index with the chunks of the pages' files (source_filename, page_number, text) that it does not have yet.
+
+    encoded: adds the embedding of a text column ``text``, see mapping.encoded. Columns: source_filename, page_number, chunk_index, text, embedding.
+    """
+    new = pages
+    if index is not None:
+        files = not_indexed(pages.select("source_filename").distinct(), index)
+        new = pages.join(files, "source_filename", "left_semi")
+    made = encoded(chunk_index(new))
+    return made if index is None else upsert(index, made.select(*index.columns))

@@ -1,37 +1,59 @@
-"""The whole analysis of many documents as one lazy plan: pages, tables and sheets in, flags, observations and reports out.
+"""The whole analysis of many filings: files in, notes, line items, flags, observations and reports out.
 
-Every relation carries doc_id. Results that several later steps read (notes, line items, movements) are computed once and
-kept by Spark with ``persist``; the caller releases them with ``Analysis.release``.
+``analyze_files`` reads files and hands them to ``analyze``, which takes pages, tables and sheets. Every relation carries doc_id. Results
+that several later steps read (notes, line items, movements, flags) are written once, as Parquet in a folder that driver and executors
+share: a lost executor costs no recomputation, and later plans start from a scan instead of growing with all that led to them. The caller
+removes them with ``Analysis.release``. Relations that are read once stay lazy.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of
-from ..operators import analytics, mapping, narrate, notes, pages as pages_ops, records, report, rules, tables as tables_ops
+from ..operators import analytics, mapping, narrate, notes, pages as pages_ops, records, report, retrieval, rules, tables as tables_ops
+from ..sources import readers
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; a temporary folder where it is unset, but only on a local master."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="ledgerloom-analysis-")
 
 
 @dataclass
 class Analysis:
+    """Relations by name; the kept ones are tables in ``root``."""
+
+    spark: SparkSession
+    root: str = ""
     relations: dict[str, DataFrame] = field(default_factory=dict)
-    held: list[DataFrame] = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        self.root = self.root or f"{shared_folder(self.spark)}/analysis-{uuid.uuid4().hex}"
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
-        self.relations[name] = df.persist(StorageLevel.MEMORY_AND_DISK)
-        self.held.append(self.relations[name])
+        df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
+        self.relations[name] = self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
         return self.relations[name]
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.relations[name]
 
     def release(self) -> None:
-        for df in self.held:
-            df.unpersist()
+        """Removes the kept tables; nothing can be read after it."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def row_value(rows: DataFrame, chosen: DataFrame, words: tuple[str, ...], name: str) -> DataFrame:
@@ -62,17 +84,40 @@ def consistency_facts(found: DataFrame, rows: DataFrame, texts: DataFrame, csr:
     return facts
 
 
-def analyze(pages: DataFrame, tables: DataFrame, sheets: DataFrame | None = None, cited: DataFrame | None = None, generated_at=None, compat: bool = False, embed=None) -> Analysis:
-    """pages: doc_id, page_num, raw_text. tables: doc_id, page_num, table_ord, headers, rows. sheets: doc_id, sheet_ord, sheet_type, headers, rows.
+def retrieve(flags: DataFrame, index: DataFrame, encode: mapping.Encoder, k: int = 3) -> DataFrame:
+    """query, rank, source, page_number, text and score of the k passages nearest to each distinct query of the flags.
+
+    index: source_filename, page_number, chunk_index, text, embedding, as ``retrieval.build_index`` makes it.
+    """
+    queries = mapping.encoded(flags.select(F.col("standard_query").alias("query")).distinct(), "query", encode)
+    order = F.struct("source_filename", "chunk_index")
+    return retrieval.nearest(queries, index.withColumn("place", order), k, tie="place").withColumnRenamed("source_filename", "source").drop("place")
+
+
+def passages_of(retrieved: DataFrame) -> DataFrame:
+    """query, passages and sources in rank order."""
+    told = F.concat(F.lit("[From "), "source", F.lit(", p."), F.col("page_number").cast("string"), F.lit("]\n"), "text")
+    listed = F.array_sort(F.collect_list(F.struct("rank", told.alias("text"), "source")))
+    return retrieved.groupBy("query").agg(F.transform(listed, lambda x: x["text"]).alias("passages"), F.transform(listed, lambda x: x["source"]).alias("sources"))
+
 
-    cited: query and citation, see narrate.citations. compat reproduces the first-match reading of work-in-progress ageing.
+def analyze(
+    pages: DataFrame, tables: DataFrame, sheets: DataFrame | None = None, cited: DataFrame | None = None, generated_at=None, compat: bool = False, embed=None,
+    *, out: Analysis | None = None, encode: mapping.Encoder | None = None, index: DataFrame | None = None, generate: narrate.Generator | None = None, templates: bool = True, addendum: bool = True, instances: int | None = None,
+) -> Analysis:
+    """out: an analysis to go on with. pages: doc_id, page_num, raw_text. tables: doc_id, page_num, table_ord, headers, rows. sheets: doc_id, sheet_ord, sheet_type, headers, rows.
+
+    encode: an encoder of texts; it turns on the embedding step of the mapping and, with index (the standards' passages), retrieval.
+    cited: query and citation (narrate.citations), instead of retrieval. generate: a text generator (narrate.observations).
+    compat reproduces the first-match reading of work-in-progress ageing.
     """
-    out = Analysis()
-    texts = pages_ops.full_text(pages)
+    spark = pages.sparkSession
+    out = out or Analysis(spark)
+    texts = out.keep("texts", pages_ops.full_text(pages))
     found = out.keep("notes", notes.notes(pages))
     note_tables = out.keep("note_tables", notes.note_tables(found, tables).drop("note_ord"))
     edges = out.keep("references", notes.references(found))
-    out.relations["resolved"] = notes.resolved_texts(found, edges)
+    resolved = out.keep("resolved", notes.resolved_texts(found, edges))
 
     face = pages_ops.uncovered_pages(tables.select("doc_id", "page_num").distinct(), found)
     read = tables_ops.read_rows(tables.join(face, ["doc_id", "page_num"], "left_semi")).withColumns({"source": F.lit(0), "sheet_type": F.lit(None).cast("string")})
@@ -80,25 +125,53 @@ def analyze(pages: DataFrame, tables: DataFrame, sheets: DataFrame | None = None
         typed = mapping.face_sheets(sheets).withColumnsRenamed({"sheet_ord": "page_num"}).withColumn("table_ord", F.lit(0))
         more = tables_ops.read_rows(typed.select("doc_id", "page_num", "table_ord", "sheet_type", "headers", "rows")).withColumn("source", F.lit(1))
         read = read.unionByName(more)
-    items = out.keep("line_items", mapping.map_items(read, ["doc_id", "source", "page_num", "table_ord"], embed))
-    best = analytics.best_items(items)
+    if embed is None and encode is not None:
+        embed = mapping.embedding_step(spark, encode)
+    rows = out.keep("rows", read)
+    items = out.keep("line_items", mapping.map_items(rows, ["doc_id", "source", "page_num", "table_ord"], embed))
+    best = out.keep("best_items", analytics.best_items(items))
     moves = out.keep("movements", analytics.movements(best))
     ratios = out.keep("ratios", analytics.ratios(best))
 
     names = {"contingent_liabilities": "contingent", "csr_details": "csr", "msmed_disclosure": "msmed", "actuarial_assumptions": "actuarial", "cwip_ageing": "cwip"}
-    facts = texts.select("doc_id")
+    read_records = out.keep("records", records.all_records(found, note_tables, compat))
     for record in records.RECORDS:
-        one = records.first_record(record, found, note_tables, compat)
-        out.relations[record] = one
-        if record in names:
-            value = F.col(f"{record}.projects") if record == "cwip_ageing" else F.col(record)
-            facts = facts.join(one.select("doc_id", value.alias(names[record])), "doc_id", "left")
+        out.relations[record] = read_records.where(F.col(record).isNotNull()).select("doc_id", record)
+    values = (F.col(f"{r}.projects" if r == "cwip_ageing" else r).alias(n) for r, n in names.items())
+    facts = texts.select("doc_id").join(read_records.select("doc_id", *values), "doc_id", "left")
     dividend = found.where(F.col("note_id") == "7f").select("doc_id", F.col("raw_text").alias("note_7f"))
     facts = out.keep("facts", facts.join(dividend, "doc_id", "left"))
-    note_rows = tables_ops.read_rows(note_tables)
+    note_rows = out.keep("note_rows", tables_ops.read_rows(note_tables))
     across = consistency_facts(found, note_rows, texts, facts.select("doc_id", "csr"))
     flags = out.keep("flags", rules.flags(moves, facts).unionByName(rules.consistency_flags(across)))
-    observed = out.keep("observations", narrate.observations(flags, cited))
-    out.relations["summary"] = report.summary(observed)
-    out.relations["reports"] = report.reports(observed, moves, ratios, generated_at if generated_at is not None else F.lit(None).cast("timestamp"))
+    told = flags
+    if cited is None and index is not None and encode is not None:
+        retrieved = out.keep("retrieved", retrieve(flags, index, encode))
+        cited = narrate.citations(retrieved)
+        if generate is not None:
+            told = told.join(F.broadcast(passages_of(retrieved)), told.standard_query == F.col("query"), "left").drop("query")
+    out.relations["flag_notes"] = notes.flag_notes(flags, resolved)
+    if generate is not None:
+        told = notes.flag_notes(told, resolved)
+    observed = out.keep("observations", narrate.observations(told, cited, generate, templates, addendum, instances))
+    summary = out.relations["summary"] = report.summary(observed)
+    out.relations["next_steps"] = report.next_steps(summary)
+    identity = out.relations["identity"] = pages_ops.identity(pages)
+    when = generated_at if generated_at is not None else F.lit(None).cast("timestamp")
+    out.relations["reports"] = report.reports(observed, moves, ratios, when).join(identity, "doc_id", "left")
     return out
+
+
+def analyze_files(files: DataFrame, read_pdf=None, recognise: readers.Recogniser | None = None, filing: Callable[[Column], Column] | None = None, **options) -> Analysis:
+    """The analysis of files (doc_id the path, kind, content; ``readers.files`` or a batch of ``streaming.ingest.file_stream``).
+
+    filing: from a path to the filing it belongs to; without it the path less its ending, so that a workbook goes with the report of the
+    same name. Files that cannot be read are in ``errors``. options: as for ``analyze``.
+    """
+    filing = filing or (lambda path: F.regexp_replace(path, r"\.[^./\\]*$", ""))
+    read = readers.documents(files, read_pdf, recognise)
+    own = lambda df: df.withColumn("doc_id", filing(F.col("doc_id")))
+    out = Analysis(files.sparkSession)
+    pages, tables, sheets = (out.keep(n, own(df)) for n, df in (("pages", read.pages), ("tables", read.tables), ("sheets", read.sheets)))
+    out.relations["errors"] = read.errors
+    return analyze(pages, tables, sheets, out=out, **options)

@@ -1,13 +1,15 @@
 """Document readers over Spark's binaryFile source: spreadsheets and word documents by the standard library, archives,
-and adapters for PDF and image text. One task reads one file at a time; a file that cannot be read gives an error row, never a
-failed job."""
+PDF by pdfplumber (or a reader passed in) and images by a recogniser passed in. One task reads one file at a time; a file that cannot be
+read, or whose ending is not known, gives an error row, never a failed job."""
 
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -15,9 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import sheet_type
+from ..operators import tables as tables_ops
 
 #: File endings and how they are read.
 KINDS = {".pdf": "pdf", ".docx": "docx", ".png": "image", ".jpg": "image", ".jpeg": "image", ".xlsx": "xlsx", ".zip": "zip"}
+#: Columns that a merged title spreads to beyond the used area at most, and cells up to which short rows are padded to the longest.
+MERGED_WIDTH, MAX_PADDED = 16, 1 << 20
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -66,16 +71,23 @@ def read_xlsx(content: bytes) -> list[dict]:
                 if value is not None:
                     cells[int(re.sub(r"\D", "", ref)) - 1, _column_number(ref)] = value
             merged = []
+            height, width = (max((x[i] for x in cells), default=-1) + 1 for i in (0, 1))
             for m in root.iter(f"{_S}mergeCell"):
                 a, _, b = m.get("ref").partition(":")
                 top, bottom = ((int(re.sub(r"\D", "", x)) - 1, _column_number(x)) for x in (a, b or a))
                 merged.append((*top, *bottom))
-                for r in range(top[0], bottom[0] + 1):
-                    for k in range(top[1], bottom[1] + 1):
-                        if top in cells:
-                            cells[r, k] = cells[top]
-            height, width = (max((x[i] for x in cells), default=-1) + 1 for i in (0, 1))
-            rows = [[cells.get((r, k)) for k in range(width)] for r in range(height)]
+            used = [(top, left, min(bottom, max(height - 1, top)), min(right, max(width - 1, left + MERGED_WIDTH))) for top, left, bottom, right in merged if (top, left) in cells]
+            for top, left, bottom, right in used:
+                for r in sorted({top, *(r for r, _ in cells if top <= r <= bottom)}) if bottom - top > len(cells) else range(top, bottom + 1):
+                    for k in range(left, right + 1):
+                        cells[r, k] = cells[top, left]
+            by_row: dict[int, dict[int, str]] = {}
+            for (r, k), value in cells.items():
+                by_row.setdefault(r, {})[k] = value
+            # The first row is the header even if it is empty; other empty rows say nothing and may be a million.
+            rows = [[by_row.get(r, {}).get(k) for k in range(max(by_row.get(r, {}), default=-1) + 1)] for r in sorted({0, *by_row})] if cells else []
+            longest = max(map(len, rows), default=0)
+            rows = [[*r, *[None] * (longest - len(r))] for r in rows] if longest * len(rows) <= MAX_PADDED else rows
             out.append({"name": sheet.get("name"), "rows": rows, "merged": merged, "comments": _comments(z, path, names)})
         return out
 
@@ -113,31 +125,49 @@ def read_docx(content: bytes) -> tuple[str, list[list[list[str]]]]:
     return text, tables
 
 
-def unzip(content: bytes, ending: str = ".pdf") -> list[tuple[str, bytes]]:
-    """Names and contents of an archive's files of one ending; none of a broken archive."""
+def unzip(content: bytes, ending: str = ".pdf") -> Iterator[tuple[str, bytes]]:
+    """Names and contents of an archive's files of one ending, one at a time; none of a broken archive."""
     try:
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            return [(n, z.read(n)) for n in sorted(z.namelist()) if n.lower().endswith(ending)]
+        z = zipfile.ZipFile(io.BytesIO(content))
     except zipfile.BadZipFile:
-        return []
+        return
+    with z:
+        for n in sorted(z.namelist()):
+            if n.lower().endswith(ending):
+                yield n, z.read(n)
+
 
+#: Rows of one file that are handed on together.
+ROWS = 64
 
-def _reader(frame: DataFrame, kind: str, read: Callable[[bytes], list[tuple]], schema: str, fields: list[tuple[str, pa.DataType]]) -> DataFrame:
-    """doc_id, the fields of each row read, and error."""
+
+def _reader(frame: DataFrame, kind: str, read: Callable[[bytes], Iterable[tuple]], schema: str, fields: list[tuple[str, pa.DataType]], rows: int = ROWS) -> DataFrame:
+    """doc_id, the fields of each row read, and error. A file that breaks off gives the rows read till then and an error row."""
+
+    def packed(doc_id: str, part: list[tuple], error: str | None) -> pa.RecordBatch:
+        columns = [pa.array([r[i] for r in part], t) for i, (_, t) in enumerate(fields)]
+        return pa.RecordBatch.from_arrays([pa.array([doc_id] * len(part), pa.string()), *columns, pa.array([error] * len(part), pa.string())], ["doc_id", *(n for n, _ in fields), "error"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i in range(batch.num_rows):  # one file's bytes at a time
+                doc_id, content = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 try:
-                    rows, error = read(content), None
+                    source = iter(read(content))
+                    while part := list(itertools.islice(source, rows)):
+                        yield packed(doc_id, part, None)
                 except Exception as e:  # a broken file is data, not a failure of the job
-                    rows, error = [(None,) * len(fields)], f"{type(e).__name__}: {e}"
-                columns = [pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(fields)]
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(rows), pa.string()), *columns, pa.array([error] * len(rows), pa.string())], ["doc_id", *(n for n, _ in fields), "error"])
+                    yield packed(doc_id, [(None,) * len(fields)], f"{type(e).__name__}: {e}")
 
     return frame.where(F.col("kind") == kind).select("doc_id", "content").mapInArrow(run, f"doc_id string, {schema}, error string")
 
 
+def unread(frame: DataFrame) -> DataFrame:
+    """doc_id, error of files whose ending no reader takes."""
+    name = F.regexp_extract("doc_id", r"(\.[^./\\]*)$", 1)
+    return frame.where(F.col("kind").isNull()).select("doc_id", F.concat(F.lit("Unsupported file type: "), F.lower(name)).alias("error"))
+
+
 _GRID = pa.list_(pa.list_(pa.string()))
 
 
@@ -149,7 +179,7 @@ def sheets(frame: DataFrame) -> DataFrame:
         return [(i, s["name"], s["rows"], [dict(zip(("cell_ref", "value", "author"), c, strict=True)) for c in s["comments"]]) for i, s in enumerate(read_xlsx(content))]
 
     raw = _reader(frame, "xlsx", read, "sheet_ord int, sheet_name string, grid array<array<string>>, comments array<struct<cell_ref:string,value:string,author:string>>", [("sheet_ord", pa.int32()), ("sheet_name", pa.string()), ("grid", _GRID), ("comments", comment)])
-    sample = F.array_join(F.flatten(F.slice("grid", 1, 50)), " ")
+    sample = F.array_join(F.flatten("grid"), " ")  # the whole sheet: a title may be missing, and line items tell as well
     return raw.select("doc_id", "sheet_ord", "sheet_name", sheet_type(F.col("sheet_name"), F.coalesce(sample, F.lit(""))).alias("sheet_type"), F.get("grid", F.lit(0)).alias("headers"), F.slice("grid", 2, F.greatest(F.size("grid"), F.lit(1))).alias("rows"), "comments", "error")
 
 
@@ -158,27 +188,56 @@ def word_documents(frame: DataFrame) -> DataFrame:
     return _reader(frame, "docx", lambda c: [(1, *read_docx(c))], "page_num int, raw_text string, tables array<array<array<string>>>", [("page_num", pa.int32()), ("raw_text", pa.string()), ("tables", pa.list_(_GRID))])
 
 
-def pdf_pages(frame: DataFrame, read: Callable[[bytes], list[tuple[int, str, list, bool]]] | None = None) -> DataFrame:
+#: Characters under which a page with images is read by the recogniser, pages looked at for a PDF's kind, and how many of them need text.
+BLANK, SAMPLED, TYPED_CHARS, TYPED_PAGES = 30, 5, 50, 3
+PAGE = "page_num int, raw_text string, tables array<array<array<string>>>, ocr boolean"
+Recogniser = Callable[[object], list[str]]
+
+
+def pdf_pages(frame: DataFrame, read: Callable[[bytes], Iterable[tuple[int, str, list, bool]]] | None = None, recognise: Recogniser | None = None) -> DataFrame:
     """doc_id, page_num, raw_text, tables, ocr, error of PDF files.
 
     read: gives (page number, text, tables, whether by OCR) of each page; pdfplumber if it is installed, else an error row.
     """
-    return _reader(frame, "pdf", read or _plumber, "page_num int, raw_text string, tables array<array<array<string>>>, ocr boolean", [("page_num", pa.int32()), ("raw_text", pa.string()), ("tables", pa.list_(_GRID)), ("ocr", pa.bool_())])
+    return _reader(frame, "pdf", read or plumber(recognise), PAGE, [("page_num", pa.int32()), ("raw_text", pa.string()), ("tables", pa.list_(_GRID)), ("ocr", pa.bool_())])
 
 
-def _plumber(content: bytes) -> list[tuple]:
+def plumber(recognise: Recogniser | None = None, opened: Callable[[bytes], object] | None = None) -> Callable[[bytes], Iterator[tuple]]:
+    """A reader of PDF pages. recognise: gives the lines of text of a page's picture; opened: stands in for pdfplumber.open.
+
+    A file with too little text on its first pages is scanned: its pages are pictures, read one at a time, without tables. In a typed file
+    a page that is nearly blank and holds images is read as a picture too, and the longer text stays.
+    """
+
+    def read(content: bytes) -> Iterator[tuple]:
+        with (opened or _plumber)(content) as pdf:
+            text = lambda page: page.extract_text(x_tolerance=3, y_tolerance=3) or ""
+            picture = lambda page: "\n".join(recognise(page.to_image(resolution=200).original))
+            typed = sum(len(text(p)) > TYPED_CHARS for p in pdf.pages[:SAMPLED]) >= TYPED_PAGES
+            for i, page in enumerate(pdf.pages, 1):
+                if not typed and recognise:
+                    yield i, picture(page), [], True
+                    continue
+                by = lambda how, page=page: page.extract_tables({"vertical_strategy": how, "horizontal_strategy": how})
+                found = by("lines") or by("text")
+                own, ocr = text(page), False
+                if recognise and len(own.strip()) < BLANK and page.images:
+                    seen = picture(page)
+                    if len(seen.strip()) > len(own.strip()):
+                        own, ocr = seen, True
+                yield i, own, found or [], ocr
+
+    return read
+
+
+def _plumber(content: bytes):
     import pdfplumber
 
-    with pdfplumber.open(io.BytesIO(content)) as pdf:
-        out = []
-        for i, page in enumerate(pdf.pages, 1):
-            found = page.extract_tables({"vertical_strategy": "lines", "horizontal_strategy": "lines"}) or page.extract_tables({"vertical_strategy": "text", "horizontal_strategy": "text"})
-            out.append((i, page.extract_text(x_tolerance=3, y_tolerance=3) or "", found, False))
-        return out
+    return pdfplumber.open(io.BytesIO(content))
 
 
-def image_pages(frame: DataFrame, recognise: Callable[[bytes], list[str]]) -> DataFrame:
-    """doc_id, page_num (1), raw_text, ocr, error of images; recognise gives the lines of text of an image."""
+def image_pages(frame: DataFrame, recognise: Recogniser) -> DataFrame:
+    """doc_id, page_num (1), raw_text, ocr, error of images; recognise gives the lines of text of an image's bytes."""
     return _reader(frame, "image", lambda c: [(1, "\n".join(recognise(c)), True)], "page_num int, raw_text string, ocr boolean", [("page_num", pa.int32()), ("raw_text", pa.string()), ("ocr", pa.bool_())])
 
 
@@ -190,5 +249,49 @@ def prefer_recognised(pages: DataFrame) -> DataFrame:
 
 
 def archived(frame: DataFrame, ending: str = ".pdf") -> DataFrame:
-    """doc_id (the archive), name, content, error of the files in archives."""
-    return _reader(frame, "zip", lambda c: unzip(c, ending), "name string, content binary", [("name", pa.string()), ("content", pa.binary())])
+    """doc_id (the archive), name, content, error of the files in archives; one file's bytes at a time."""
+    return _reader(frame, "zip", lambda c: unzip(c, ending), "name string, content binary", [("name", pa.string()), ("content", pa.binary())], rows=1)
+
+
+@dataclass
+class Documents:
+    """pages (doc_id, page_num, raw_text, ocr), tables (doc_id, page_num, table_ord, headers, rows), sheets, and errors (doc_id, error)."""
+
+    pages: DataFrame
+    tables: DataFrame
+    sheets: DataFrame
+    errors: DataFrame
+
+
+def _split_tables(found: DataFrame, clean: Callable[[Column], Column]) -> DataFrame:
+    """Each table of the pages, cleaned, its first row as headers; tables with nothing in them go."""
+    cut = found.select("doc_id", "page_num", F.posexplode("tables").alias("table_ord", "grid")).withColumn("grid", clean(F.col("grid")))
+    headers = F.transform(F.get("grid", F.lit(0)), lambda h: F.coalesce(h, F.lit("")))
+    return cut.where(F.size("grid") > 0).select("doc_id", "page_num", "table_ord", headers.alias("headers"), F.slice("grid", 2, F.size("grid")).alias("rows"))
+
+
+def documents(frame: DataFrame, read_pdf: Callable[[bytes], Iterable[tuple]] | None = None, recognise: Recogniser | None = None) -> Documents:
+    """All files (doc_id, kind, content), read, cleaned and put in the shape that the analysis takes.
+
+    PDF: tables cleaned, a page's tables replaced by the one rebuilt from its lines where that has more labels, tables that go on
+    over a page joined. Word documents: one page, tables cleaned. Images: recognised text, an error row without a recogniser.
+    """
+    pdf = pdf_pages(frame, read_pdf, recognise)
+    word = word_documents(frame)
+    image = image_pages(frame, recognise or _no_recogniser)
+    page = ["doc_id", "page_num", "raw_text", "ocr"]
+    good = F.col("error").isNull()
+    typed = pdf.where(good & ~F.col("ocr"))
+    rebuilt = tables_ops.reconstruct(typed)
+    pdf_tables = tables_ops.merge_across_pages(tables_ops.choose_tables(_split_tables(pdf.where(good), tables_ops.clean_pdf_rows), rebuilt))
+    word_tables = _split_tables(word.where(good), tables_ops.clean_docx_rows)
+    pages = pdf.where(good).select(*page).unionByName(word.where(good).withColumn("ocr", F.lit(False)).select(*page)).unionByName(image.where(good).select(*page))
+    excel = sheets(frame)
+    errors = unread(frame)
+    for part in (pdf, word, image, excel):
+        errors = errors.unionByName(part.where(~good).select("doc_id", "error"))
+    return Documents(pages, pdf_tables.unionByName(word_tables), excel.where(good).drop("error"), errors)
+
+
+def _no_recogniser(content: bytes) -> list[str]:
+    raise RuntimeError("no recogniser for images was given")
