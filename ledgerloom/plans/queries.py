@@ -6,6 +6,8 @@ alike; the operator then runs on that, whole tables always.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +41,6 @@ def _views(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame
 
 def _derived(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
     """The SQL over the named tables, without touching the session's catalog."""
-    import re
-
     return spark.sql(re.sub(rf"\b(FROM|JOIN) ({'|'.join(names)})\b", r"\1 {\2}", sql), **_views(spark, sf_dir, *names))
 
 
@@ -48,7 +48,7 @@ def _query(name: str, sql: str | None = None):
     def register(f):
         QUERIES[name] = f
         if sql is not None:
-            SQL[name] = sql.replace("AS STRING)", "AS VARCHAR)")
+            SQL[name] = re.sub(r"\barray\(", "list_value(", sql.replace("AS STRING)", "AS VARCHAR)"))
         return f
 
     return register
@@ -336,21 +336,6 @@ def restricted_balance(spark, sf_dir):
     return found.select("doc_id", rules.restricted_balance(F.col("t")).alias("balance"))
 
 
-#: Cells in the spellings of annual reports, from order keys.
-CELLS = """SELECT CAST(o_orderkey AS BIGINT) AS id, CASE o_orderkey % 9 WHEN 0 THEN concat('(', CAST(o_orderkey AS STRING), ')') WHEN 1 THEN concat('₹ ', CAST(o_orderkey AS STRING), '.50') WHEN 2 THEN '-' WHEN 3 THEN concat('Rs. ', CAST(o_orderkey AS STRING), ',000') WHEN 4 THEN concat(CAST(o_orderkey AS STRING), ' 12')
- WHEN 5 THEN concat('-', CAST(o_orderkey AS STRING)) WHEN 6 THEN concat('FY', CAST(o_orderkey % 100 AS STRING)) WHEN 7 THEN concat(CAST(o_orderkey AS STRING), '.1.2') ELSE ' NIL ' END AS cell FROM orders"""
-
-
-@_query("parse_indian_number", f"SELECT id, CASE id % 9 WHEN 0 THEN -CAST(id AS DOUBLE) WHEN 1 THEN CAST(id AS DOUBLE) + 0.5 WHEN 3 THEN CAST(id AS DOUBLE) * 1000 WHEN 5 THEN -CAST(id AS DOUBLE) WHEN 6 THEN CAST(id % 100 AS DOUBLE) END AS value FROM ({CELLS})")
-def parse_indian_number(spark, sf_dir):
-    return _derived(spark, sf_dir, CELLS, "orders").select("id", X.parse_indian_number(F.col("cell")).alias("value"))
-
-
-@_query("rate_cell", f"SELECT id, CASE WHEN id % 9 = 6 AND id % 100 <= 30 THEN CAST(id % 100 AS DOUBLE) WHEN id % 9 IN (0, 5) AND id <= 30 THEN -CAST(id AS DOUBLE) WHEN id % 9 = 1 AND id < 30 THEN id + 0.5 WHEN id % 9 = 3 AND id = 0 THEN 0 END AS rate FROM ({CELLS})")
-def rate_cell(spark, sf_dir):
-    return _derived(spark, sf_dir, CELLS, "orders").select("id", X.rate_cell(F.col("cell")).alias("rate"))
-
-
 @_query("format_indian_number", f"SELECT CAST(o_orderkey AS BIGINT) AS id, {_grouped('x')} AS shown FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END * CAST(o_orderkey * 7919 AS DOUBLE) / 2 AS x FROM orders)")
 def format_indian_number(spark, sf_dir):
     x = _derived(spark, sf_dir, "SELECT CAST(o_orderkey AS BIGINT) AS id, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END * CAST(o_orderkey * 7919 AS DOUBLE) / 2 AS x FROM orders", "orders")
@@ -362,16 +347,6 @@ LABELS = """SELECT CAST(p_partkey AS BIGINT) AS id, CASE p_partkey % 6 WHEN 0 TH
  WHEN 4 THEN concat('Inventories [net]  note ', CAST(p_partkey % 40 AS STRING)) ELSE 'Trade recievables :' END AS label FROM part"""
 
 
-@_query("clean_label", f"SELECT id, CASE id % 6 WHEN 0 THEN 'trade receivables' WHEN 1 THEN 'total assets' WHEN 2 THEN 'dues of micro enterprises payable' WHEN 3 THEN 'creditors other than micro' WHEN 4 THEN 'inventories note' ELSE 'trade recievables' END AS clean FROM ({LABELS})")
-def clean_label(spark, sf_dir):
-    return _derived(spark, sf_dir, LABELS, "part").select("id", X.clean_label(F.col("label")).alias("clean"))
-
-
-@_query("note_reference", f"SELECT id, CASE WHEN id % 6 = 4 THEN CAST(id % 40 AS VARCHAR) END AS ref FROM ({LABELS})")
-def note_reference(spark, sf_dir):
-    return _derived(spark, sf_dir, LABELS, "part").select("id", X.note_reference(F.col("label")).alias("ref"))
-
-
 @_query("map_labels", f"SELECT id, CASE id % 6 WHEN 0 THEN 'trade_receivables' WHEN 1 THEN 'total_assets' WHEN 2 THEN 'trade_payables_mse' WHEN 3 THEN 'trade_payables_others' WHEN 4 THEN 'inventories' ELSE 'trade_receivables' END AS canonical_key, CASE WHEN id % 6 < 4 THEN 'exact' ELSE 'fuzzy' END AS method, CAST(CASE WHEN id % 6 < 4 THEN 1 WHEN id % 6 = 4 THEN 0.95 ELSE 0.941176 END AS DOUBLE) AS confidence FROM ({LABELS})")
 def map_labels(spark, sf_dir):
     labels = _derived(spark, sf_dir, LABELS, "part").withColumnRenamed("label", "raw_label")
@@ -483,15 +458,6 @@ def xref_resolved(spark, sf_dir):
     return notes.resolved_texts(found, notes.references(found))
 
 
-_TABLES = """SELECT CAST(l_orderkey AS BIGINT) AS doc_id, CAST(1 AS INT) AS page_num, CAST(l_linenumber AS INT) AS table_ord, array('Particulars', 'Note No.', '2025', '2024') AS headers,
- array(array('Revenue', CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING)), array('12', '1', '2', '3'), array('Costs', '', concat('(', CAST(l_suppkey AS STRING), ')'), '-'), array('', 'x', '1', '2')) AS rows FROM lineitem"""
-
-
-@_query("table_rows_extract", """SELECT CAST(l_orderkey AS BIGINT) AS doc_id, CAST(l_linenumber AS INTEGER) AS table_ord, row_ord, label, current, prior, note_ref FROM lineitem, LATERAL (SELECT 0 AS row_ord, 'Revenue' AS label, CAST(l_partkey AS DOUBLE) AS current, CAST(l_suppkey AS DOUBLE) AS prior, CAST(l_linenumber AS VARCHAR) AS note_ref UNION ALL SELECT 2, 'Costs', -CAST(l_suppkey AS DOUBLE), NULL, NULL)""")
-def table_rows_extract(spark, sf_dir):
-    return tables_ops.read_rows(_derived(spark, sf_dir, _TABLES, "lineitem")).select("doc_id", "table_ord", "row_ord", "label", "current", "prior", "note_ref")
-
-
 _CELL = "SELECT CAST(l_orderkey AS BIGINT) AS doc_id, CAST(0 AS INT) AS sheet_ord, CAST(l_linenumber AS INT) AS row_ord, CAST(l_partkey % 3 AS INT) AS col_ord, max(CAST(l_suppkey AS BIGINT)) AS value FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey % 3"
 
 
@@ -510,49 +476,6 @@ def multipage_merge(spark, sf_dir):
     return tables_ops.merge_across_pages(_derived(spark, sf_dir, _PAGED, "conversations")).select("doc_id", "page_num", F.size("rows").alias("n_rows"))
 
 
-_RECORD_TABLES = {
-    "contingent_liabilities": (["Particulars", "2023-24", "Addition", "2024-25"], [["Income tax demand", "100", "50", "{a}"], ["GST demand", "10", "0", "{b}"], ["Guarantee", "1", "1", "7"], ["Total", "{a}", "50", "{b}"]]),
-    "csr_details": (["Particulars", "Amount"], [["Amount required to be spent", "{a}"], ["Amount spent", "30"], ["Amount unspent", "{b}"]]),
-    "msmed_disclosure": (["Particulars", "2025", "2024"], [["Principal", "{a}", "40"], ["Interest accrued", "{b}", "1"], ["Further interest", "1", "0"]]),
-    "actuarial_assumptions": (["Assumption", "2025", "2024"], [["Discount rate", "6.8%", "{b}"], ["Salary growth", "5%", "5%"]]),
-    "company_ratios": (["Ratio", "2025", "2024", "Variance"], [["Current Ratio", "{a}", "{b}", "10%", "better sales"]]),
-    "trade_receivables_ageing": (["Particulars", "Not due", "Less than 6 months", "1-2 years", "Total"], [["Undisputed", "{a}", "2", "3", "{b}"], ["Total", "{a}", "2", "3", "{b}"]]),
-    "trade_payables_ageing": (["Particulars", "Less than 6 months", "1-2 years", "Total"], [["Micro", "{a}", "2", "{b}"], ["Others", "1", "1", "{a}"]]),
-    "cwip_ageing": (["Project", "Less than 1 year", "1-2 years", "2-3 years", "More than 3 years", "Total"], [["Plant A", "{a}", "0", "0", "40", "45"], ["Total", "5", "0", "0", "40", "{b}"]]),
-}
-_A, _B = "o_orderkey % 70 + 1", "o_orderkey % 29"
-_RECORD_SQL = {
-    "contingent_liabilities": f"{_A} AS income_tax, {_B} AS gst, 7 AS others, {_B} AS total, {_A} AS total_prior",
-    "csr_details": f"{_A} AS obligation, 30 AS amount_spent, {_B} AS amount_unspent",
-    "msmed_disclosure": f"{_A} AS principal_unpaid, {_B} AS interest_accrued_unpaid, 1 AS interest_further_due",
-    "actuarial_assumptions": f"6.8 AS discount_rate_current, {_B} AS discount_rate_prior, 5 AS salary_escalation_current",
-}
-
-
-def _record_query(name: str) -> None:
-    fields = [x.split(" AS ") for x in _RECORD_SQL.get(name, "").split(", ")] if name in _RECORD_SQL else []
-    sql = "SELECT CAST(o_orderkey AS BIGINT) AS doc_id, " + ", ".join(f"CAST({v} AS DOUBLE) AS {n}" for v, n in fields) + " FROM orders" if fields else None
-
-    @_query(f"record_{name}", sql)
-    def query(spark, sf_dir):
-        headers, rows = _RECORD_TABLES[name]
-        o = _views(spark, sf_dir, "orders")["orders"]
-        cell = {"{a}": (F.col("o_orderkey") % 70 + 1).cast("string"), "{b}": (F.col("o_orderkey") % 29).cast("string")}
-        grid = F.array(*(F.array(*(cell.get(c, F.lit(c)) for c in r)) for r in rows))
-        tables = o.select(F.col("o_orderkey").cast("long").alias("doc_id"), F.array(*map(F.lit, headers)).alias("headers"), grid.alias("rows"))
-        read = records.read_record(name, tables)
-        return read.select("doc_id", *(F.col(f"{name}.{n}").alias(n) for _, n in fields)) if fields else read.select("doc_id", name)
-
-
-for _name in _RECORD_TABLES:
-    _record_query(_name)
-
-
-@_query("unpivot_cwip", f"SELECT CAST(o_orderkey AS BIGINT) AS doc_id, b AS age_bucket, CAST(CASE WHEN b = 'less_than_1_year' THEN {_A} ELSE 40 END AS DOUBLE) AS amount FROM orders, (VALUES ('less_than_1_year'), ('more_than_3_years')) v(b)")
-def unpivot_cwip(spark, sf_dir):
-    return QUERIES["record_cwip_ageing"](spark, sf_dir).select("doc_id", F.inline("cwip_ageing.projects")).select("doc_id", "age_bucket", "amount")
-
-
 _KNN = """WITH q AS (SELECT vec_id AS query, embedding AS v FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query, e.vec_id AS chunk_index, round(list_sum(list_transform(range(1, 65), lambda i: (CAST(e.embedding[i] AS DOUBLE) - CAST(q.v[i] AS DOUBLE)) * (CAST(e.embedding[i] AS DOUBLE) - CAST(q.v[i] AS DOUBLE)))), 5) AS d FROM embeddings e, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, chunk_index) AS rank FROM s) SELECT query, chunk_index, CAST(rank AS INTEGER) AS rank, round(1 - d, 5) AS score FROM r WHERE rank <= 3"""
 
@@ -668,15 +591,6 @@ def safe_div(spark, sf_dir):
     return _views(spark, sf_dir, "orders")["orders"].select(F.col("o_orderkey").cast("long").alias("id"), F.round(X.safe_div(F.col("o_totalprice"), (F.col("o_orderkey") % 5).cast("double")), 4).alias("q"))
 
 
-_HEADED = "SELECT CAST(o_orderkey AS BIGINT) AS id, array('Particulars', concat('31 March ', CAST(2015 + o_orderkey % 9 AS STRING)), concat('Year ', CAST(2015 + o_orderkey % 7 AS STRING)), CASE WHEN o_orderkey % 2 = 0 THEN 'Total' ELSE 'x' END) AS headers FROM orders"
-
-
-@_query("header_columns", "SELECT CAST(o_orderkey AS BIGINT) AS id, CAST(CASE WHEN o_orderkey % 9 > o_orderkey % 7 THEN 1 WHEN o_orderkey % 9 < o_orderkey % 7 THEN 2 END AS INTEGER) AS current_col, CAST(CASE WHEN o_orderkey % 9 > o_orderkey % 7 THEN 2 WHEN o_orderkey % 9 < o_orderkey % 7 THEN 1 END AS INTEGER) AS prior_col, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 3 END AS INTEGER) AS total_col FROM orders")
-def header_columns(spark, sf_dir):
-    found = _derived(spark, sf_dir, _HEADED, "orders").withColumn("y", X.year_columns(F.col("headers")))
-    return found.select("id", F.col("y.current_col"), F.col("y.prior_col"), X.total_column(F.col("headers")).alias("total_col"))
-
-
 @_query("best_by_cosine", """WITH p AS (SELECT a.vec_id AS query, b.vec_id AS candidate, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, candidate) AS n FROM p) SELECT query, candidate, cosine FROM r WHERE n = 1 AND cosine > 0.3""")
 def best_by_cosine(spark, sf_dir):
@@ -696,3 +610,6 @@ def chosen_tables(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return movements_by_nation(spark, sf_dir)
+
+
+from . import cell_queries  # noqa: E402, F401  registers more
