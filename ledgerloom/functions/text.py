@@ -110,11 +110,14 @@ def company_name(x: Column) -> Column:
     return F.aggregate(fit, F.lit(None).cast("string"), lambda best, s: F.when(best.isNull() | (F.length(s) > F.length(best)), s).otherwise(best))
 
 
+#: A number whose leading digit extraction cut off.
+SPLIT_DIGIT = r"^(\d{1,2})(?U:\s)+([\d,]+\.?\d*|\([\d,]+\.?\d*\))$"
+
+
 def recover_split_digit(x: Column) -> Column:
-    """A leading digit that extraction cut off: "6 6,152.58" is 66152.58."""
-    pattern = r"^(\d{1,2})(?U:\s)+([\d,]+\.?\d*|\([\d,]+\.?\d*\))$"
+    """A leading digit that extraction cut off: "6 6,152.58" is 66152.58; null for other cells."""
     text = strip(x)
-    return F.when(text.rlike(pattern), parse_indian_number(F.regexp_replace(text, pattern, "$1$2")))
+    return parse_indian_number(F.regexp_replace(F.when(text.rlike(SPLIT_DIGIT), text), SPLIT_DIGIT, "$1$2"))
 
 
 def is_value_token(x: Column) -> Column:

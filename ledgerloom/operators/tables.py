@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, fix_reversed, label_fill, note_reference, otherwise_null, parse_indian_number, parse_text_line, recover_split_digit, strip
+from ..functions.text import SPLIT_DIGIT, blank, fix_reversed, label_fill, note_reference, otherwise_null, parse_indian_number, parse_text_line, strip
 
 
 def _drop_blank_and_repeats(rows: Column) -> Column:
@@ -84,27 +84,53 @@ def note_columns(headers: Column) -> Column:
     return F.filter(F.transform(headers, lambda h, i: F.when(fits(h), i)), lambda i: i.isNotNull())
 
 
-#: Cells after the label that are read by compiled columns; wider rows take a slower way, with the same result.
-WIDTH = 6
+#: Cells after the label that are read by compiled columns; wider rows take a slower way of their own, with the same result.
+WIDTH = 4
+
+
+DIGIT = "[0-9०-९]"
+
+
+def _with_digit(cell: Column) -> Column:
+    """The cell if it holds a digit, else null: what follows is then skipped."""
+    return F.when(cell.rlike(DIGIT), cell)
 
 
 def _value(cell: Column) -> Column:
-    return F.coalesce(parse_indian_number(cell), recover_split_digit(cell))
+    """The cell's number, with a leading digit that extraction cut off put back: such a cell is two tokens and would be none."""
+    return parse_indian_number(F.regexp_replace(strip(_with_digit(cell)), SPLIT_DIGIT, "$1$2"))
+
+
+def _reference(cell: Column) -> Column:
+    """The note that a text names; texts that cannot name one are not searched."""
+    return note_reference(F.when(cell.contains(")") | F.lower(cell).contains("note"), cell))
 
 
 def _short_reference(cell: Column, value: Column) -> Column:
     """A short cell that is a reference and no number."""
-    return F.when(value.isNull() & (F.length(strip(cell)) <= 6), note_reference(cell))
+    return F.when(value.isNull() & (F.length(strip(cell)) <= 6), _reference(cell))
+
 
+def _wide(read: DataFrame) -> DataFrame:
+    """Rows of any width with current, prior and the first reference beside the label, by lambdas over the cells."""
+    value = lambda c, i: F.when((i > 0) & ~F.array_contains("notes", i), _value(c))
+    valued = read.withColumn("read", F.transform("cells", lambda c, i: F.struct(i.alias("i"), c.alias("c"), value(c, i).alias("v"))))
+    numbers = F.filter(F.transform("read", lambda x: x["v"]), lambda v: v.isNotNull())
+    own = lambda x: F.when(F.array_contains("notes", x["i"]), otherwise_null(strip(x["c"]))).otherwise(_short_reference(x["c"], x["v"]))
+    refs = F.filter(F.transform(F.filter("read", lambda x: x["i"] > 0), own), lambda r: r.isNotNull())
+    return valued.withColumns({"numbers": numbers, "refs": refs}).withColumns({"current": F.get("numbers", F.lit(0)), "prior": F.get("numbers", F.lit(1)), "ref": F.get("refs", F.lit(0))})
 
-def _wide(cells: Column, notes: Column) -> tuple[Column, Column]:
-    """Numbers and references of a row of any width."""
-    value = lambda c, i: F.when((i > 0) & ~F.array_contains(notes, i), _value(c))
-    read = F.transform(cells, lambda c, i: F.struct(i.alias("i"), c.alias("c"), value(c, i).alias("v")))
-    numbers = F.filter(F.transform(read, lambda x: x["v"]), lambda v: v.isNotNull())
-    noted = lambda x: F.array_contains(notes, x["i"])
-    refs = F.transform(F.filter(read, lambda x: x["i"] > 0), lambda x: F.when(noted(x), otherwise_null(strip(x["c"]))).otherwise(_short_reference(x["c"], x["v"])))
-    return numbers, F.filter(refs, lambda r: r.isNotNull())
+
+def _narrow(read: DataFrame) -> DataFrame:
+    """Rows of up to WIDTH cells beside the label, by compiled columns: the values first, so that each cell is parsed once."""
+    at = range(1, WIDTH + 1)
+    noted = {i: F.coalesce(F.array_contains("notes", F.lit(i)), F.lit(False)) for i in at}
+    cell = {i: F.get("cells", F.lit(i)) for i in at}
+    valued = read.withColumns({f"v{i}": _value(F.when(~noted[i], cell[i])) for i in at})
+    first = F.coalesce(*(F.when(F.col(f"v{i}").isNotNull(), i) for i in at))
+    second = F.coalesce(*(F.when(first < i, F.col(f"v{i}")) for i in at[1:]))
+    refs = (F.when(noted[i], otherwise_null(strip(cell[i]))).otherwise(_short_reference(cell[i], F.col(f"v{i}"))) for i in at)
+    return valued.withColumns({"current": F.coalesce(*(F.col(f"v{i}") for i in at)), "prior": second, "ref": F.coalesce(*refs)})
 
 
 def read_rows(tables: DataFrame) -> DataFrame:
@@ -115,23 +141,12 @@ def read_rows(tables: DataFrame) -> DataFrame:
     """
     keys = [c for c in tables.columns if c not in ("headers", "rows")]
     cells = tables.withColumn("notes", note_columns(F.col("headers"))).select(*keys, "notes", F.posexplode("rows").alias("row_ord", "cells"))
-    at = range(1, WIDTH + 1)
-    noted = {i: F.coalesce(F.array_contains("notes", F.lit(i)), F.lit(False)) for i in at}
-    cell = {i: F.get("cells", F.lit(i)) for i in at}
     label = strip(F.get("cells", F.lit(0)))
-    # Two steps, so that each cell is parsed once: the values, then what is chosen from them.
-    read = cells.withColumns({"label": label, "is_number": parse_indian_number(label).isNotNull(), **{f"v{i}": _value(F.when(~noted[i], cell[i])) for i in at}})
-    kept = read.where((F.length("label") >= 3) & ~F.col("is_number"))
-    first = F.coalesce(*(F.when(F.col(f"v{i}").isNotNull(), i) for i in at))
-    second = F.coalesce(*(F.when(first < i, F.col(f"v{i}")) for i in at[1:]))
-    refs = [F.when(noted[i], otherwise_null(strip(cell[i]))).otherwise(_short_reference(cell[i], F.col(f"v{i}"))) for i in at]
-    numbers, more = _wide(F.col("cells"), F.col("notes"))
+    is_number = F.col("label").rlike(DIGIT) & parse_indian_number(F.col("label")).isNotNull()  # few labels hold digits
+    named = lambda df: df.withColumn("label", label).where((F.length("label") >= 3) & ~is_number)
+    out = [*keys, "row_ord", "label", F.coalesce(_reference(F.col("label")), F.col("ref")).alias("note_ref"), "current", "prior"]
     wide = F.size("cells") > WIDTH + 1
-    found = kept.withColumns({
-        "current": F.when(wide, F.get(numbers, F.lit(0))).otherwise(F.coalesce(*(F.col(f"v{i}") for i in at))), "prior": F.when(wide, F.get(numbers, F.lit(1))).otherwise(second),
-        "note_ref": F.coalesce(note_reference(F.col("label")), F.when(wide, F.get(more, F.lit(0))).otherwise(F.coalesce(*refs))),
-    })
-    return found.select(*keys, "row_ord", "label", "note_ref", "current", "prior")
+    return _narrow(named(cells.where(~wide))).select(*out).unionByName(_wide(named(cells.where(wide))).select(*out))
 
 
 def fill_merged(cells: DataFrame, ranges: DataFrame) -> DataFrame:
