@@ -245,16 +245,6 @@ def observation_order(spark, sf_dir):
     return seen.groupBy("doc_id").agg(F.max("number").cast("long").alias("n"), F.coalesce(F.max(F.when(F.col("rating") == "High", F.col("number"))), F.lit(0)).cast("long").alias("last_high"))
 
 
-@_query("observations")
-def observations(spark, sf_dir):
-    return _observed(spark, sf_dir)
-
-
-@_query("observation_markdown")
-def observation_markdown(spark, sf_dir):
-    return report.markdown(_observed(spark, sf_dir))
-
-
 @_query("flags_json")
 def flags_json(spark, sf_dir):
     return report.flags_json(_flags(spark, sf_dir))
@@ -284,27 +274,6 @@ def movement_chart_top12(spark, sf_dir):
     return report.movement_chart(_moves(spark, sf_dir)).select("doc_id", "key", F.round("pct_change", 6).alias("pct_change"), "rank")
 
 
-@_query("ratio_chart")
-def ratio_chart(spark, sf_dir):
-    return report.ratio_chart(analytics.ratios(analytics.best_items(_items(spark, sf_dir))))
-
-
-@_query("movement_table")
-def movement_table(spark, sf_dir):
-    return report.movement_table(_moves(spark, sf_dir))
-
-
-@_query("ratio_table")
-def ratio_table(spark, sf_dir):
-    return report.ratio_table(analytics.ratios(analytics.best_items(_items(spark, sf_dir))))
-
-
-@_query("reports")
-def reports(spark, sf_dir):
-    best = analytics.best_items(_items(spark, sf_dir))
-    return report.reports(_observed(spark, sf_dir), analytics.movements(best), analytics.ratios(best), F.lit("2025-03-31 00:00:00").cast("timestamp"))
-
-
 #: Consistency facts and texts, a document for each order of a customer's hundredth.
 CHECKS = """SELECT CAST(o_orderkey AS BIGINT) AS doc_id, CAST(o_orderkey % 50 AS DOUBLE) AS a, CASE WHEN o_orderkey % 6 <> 2 THEN CAST(o_orderkey % 53 AS DOUBLE) END AS b,
  concat('Report ', o_orderpriority, CASE o_orderkey % 8 WHEN 0 THEN ' Cash  Flow Statement for 31 March 2025 and 31 March 2025' WHEN 1 THEN ' cash flow statement 31 March 2025, 31 March 2024' WHEN 2 THEN ' Emphasis of Matter we draw' WHEN 3 THEN ' Material Uncertainty related to going concern'
@@ -330,12 +299,6 @@ def consistency_flags(spark, sf_dir):
     return rules.consistency_flags(_checks(spark, sf_dir)).select("doc_id", "flag_id", "severity")
 
 
-@_query("restricted_balance")
-def restricted_balance(spark, sf_dir):
-    found = _derived(spark, sf_dir, "SELECT o_orderkey AS doc_id, concat('Balance restricted for CSR: ', CAST(o_orderkey % 900 AS STRING), ' lakh') AS t FROM orders", "orders")
-    return found.select("doc_id", rules.restricted_balance(F.col("t")).alias("balance"))
-
-
 @_query("format_indian_number", f"SELECT CAST(o_orderkey AS BIGINT) AS id, {_grouped('x')} AS shown FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END * CAST(o_orderkey * 7919 AS DOUBLE) / 2 AS x FROM orders)")
 def format_indian_number(spark, sf_dir):
     x = _derived(spark, sf_dir, "SELECT CAST(o_orderkey AS BIGINT) AS id, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END * CAST(o_orderkey * 7919 AS DOUBLE) / 2 AS x FROM orders", "orders")
@@ -410,12 +373,6 @@ def word_chunks_375_75(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(pages_ops.word_chunks(F.coalesce("text", F.lit("")))).alias("chunk_index", "chunk")).withColumn("chunk", F.md5("chunk"))
 
 
-@_query("chunk_index")
-def chunk_index(spark, sf_dir):
-    docs = _views(spark, sf_dir, "documents")["documents"]
-    return pages_ops.chunk_index(docs.select(F.col("source").alias("source_filename"), F.col("doc_id").alias("page_number"), "text")).withColumn("text", F.md5("text"))
-
-
 _NOTES = """SELECT CAST(o_custkey AS BIGINT) AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS block_ord, CAST(o_orderkey % 3 AS STRING) AS note_id, concat('Note ', CAST(o_orderkey AS STRING)) AS full_id, concat('title ', CAST(o_orderkey AS STRING)) AS title,
  concat('text ', CAST(o_orderkey AS STRING)) AS raw_text, CAST(o_orderkey % 7 AS INT) AS page_start, CAST(o_orderkey % 7 + o_orderkey % 2 AS INT) AS page_end FROM orders"""
 
@@ -514,29 +471,11 @@ def unmapped_labels(spark, sf_dir):
     return mapping.unmapped_labels(items)
 
 
-@_query("chart_of_accounts")
-def chart_of_accounts(spark, sf_dir):
-    return variants_frame(spark)
-
-
 @_query("pdf_type", f"SELECT doc_id, CASE WHEN count(*) FILTER (WHERE length(raw_text) > 50) >= 3 THEN 'typed' ELSE 'scanned' END AS pdf_type FROM ({_PAGES}) WHERE page_num <= 5 GROUP BY doc_id")
 def pdf_type(spark, sf_dir):
     return pages_ops.is_typed(_pages(spark, sf_dir))
 
 
-@_query("rebuilt_tables")
-def rebuilt_tables(spark, sf_dir):
-    lines = "SELECT CAST(l_orderkey AS BIGINT) AS doc_id, CAST(1 AS INT) AS page_num, array_join(collect_list(concat('Line item ', CAST(l_linenumber AS STRING), 'a 1,', CAST(100 + l_linenumber AS STRING), ' 2,345')), '\n') AS raw_text FROM lineitem GROUP BY l_orderkey"
-    return tables_ops.reconstruct(_derived(spark, sf_dir, lines, "lineitem"))
-
-
-@_query("text_extracts")
-def text_extracts(spark, sf_dir):
-    docs = _views(spark, sf_dir, "documents")["documents"]
-    t = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", X.company_name(t).alias("company"), X.period(t).alias("period"), X.word_score(t).alias("score"), X.sheet_type(F.col("source"), t).alias("sheet_type"), X.standard_name(F.concat(F.lit("Ind AS 116 - "), "source", F.lit(".pdf"))).alias("standard"), X.format_note_refs(F.array(F.lit("7f"), F.lit("14a"))).alias("notes"))
-
-
 @_query("word_reports")
 def word_reports(spark, sf_dir):
     best = analytics.best_items(_items(spark, sf_dir))
@@ -600,16 +539,8 @@ def best_by_cosine(spark, sf_dir):
     return retrieval.best_by_cosine(e.select(F.col("vec_id").alias("query"), "embedding"), candidates, 0.3)
 
 
-@_query("chosen_tables")
-def chosen_tables(spark, sf_dir):
-    lines = "SELECT CAST(l_orderkey AS BIGINT) AS doc_id, CAST(1 AS INT) AS page_num, array_join(collect_list(concat('Line item ', CAST(l_linenumber AS STRING), 'a 1,', CAST(100 + l_linenumber AS STRING), ' 2,345')), '\n') AS raw_text FROM lineitem GROUP BY l_orderkey"
-    rebuilt = tables_ops.reconstruct(_derived(spark, sf_dir, lines, "lineitem"))
-    there = _derived(spark, sf_dir, "SELECT CAST(o_orderkey AS BIGINT) AS doc_id, CAST(1 AS INT) AS page_num, CAST(0 AS INT) AS table_ord, array('a') AS headers, array(array(CASE WHEN o_orderkey % 2 = 0 THEN 'x' ELSE '' END)) AS rows FROM orders", "orders")
-    return tables_ops.choose_tables(there, rebuilt)
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return movements_by_nation(spark, sf_dir)
 
 
-from . import cell_queries  # noqa: E402, F401  registers more
+from . import cell_queries, filing_queries  # noqa: E402, F401  register more
