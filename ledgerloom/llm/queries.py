@@ -81,6 +81,27 @@ QUERIES = {
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_TEMPLATES = ", ".join(
+    f"({i}, '{label}', {base}, {most}, '{text.replace(chr(39), chr(39) * 2)}')"
+    for i, (text, label, base, most) in enumerate(
+        [(t, n, "true", license_scan.PHRASE_GRAM) for t, n in license_scan.PHRASES.items()] + [(t, n, "false", license_scan.NOTICE_GRAM) for t, n in license_scan.NOTICES.items()]
+    )
+)
+_LICENSES = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM documents),
+tw AS (SELECT id, label, base, most, regexp_extract_all(lower(body), '{_ALNUM}') AS w FROM (VALUES {_TEMPLATES}) v(id, label, base, most, body)),
+t AS (SELECT id, label, base, w, least(most, len(w)) AS k FROM tw),
+tg AS (SELECT id, k, place, array_to_string(list_slice(w, place, place + k - 1), ' ') AS gram FROM (SELECT id, k, w, unnest(range(1, len(w) - k + 2)) AS place FROM t)),
+dg AS (SELECT rid, k, pos, array_to_string(list_slice(w, pos, pos + k - 1), ' ') AS gram FROM (SELECT rid, k, w, unnest(range(1, len(w) - k + 2)) AS pos FROM d, (SELECT DISTINCT k FROM t) WHERE len(w) >= k)),
+hits AS (SELECT rid, id, pos - place AS diagonal, pos, place FROM dg JOIN tg USING (k, gram)),
+lines AS (SELECT rid, id, diagonal, CASE WHEN base OR diagonal - lag(diagonal) OVER (PARTITION BY rid, id ORDER BY diagonal) > {license_scan.SLACK} THEN 1 ELSE 0 END AS far FROM (SELECT DISTINCT rid, id, diagonal FROM hits) JOIN t USING (id)),
+clusters AS (SELECT rid, id, diagonal, sum(far) OVER (PARTITION BY rid, id ORDER BY diagonal) AS cluster FROM lines),
+spans AS (SELECT rid, id, cluster, count(DISTINCT place) AS n, min(pos) AS low, max(pos) AS high FROM hits JOIN clusters USING (rid, id, diagonal) GROUP BY ALL),
+held AS (SELECT rid, label, base, low - 1 AS place, n / (len(w) - k + 1) AS cover FROM spans JOIN t USING (id) WHERE CASE WHEN base THEN n = len(w) - k + 1 ELSE n / (len(w) - k + 1) >= {license_scan.COVER} AND high + k - low <= {license_scan.STRETCH} * len(w) END)
+SELECT any_value(doc_id) AS doc_id, CAST(any_value(len(w)) AS BIGINT) AS n_words, count(*) FILTER (WHERE base) AS n_base, min(place) FILTER (WHERE base) AS first_word, max(place) FILTER (WHERE base) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(cover), 0) AS score
+FROM d LEFT JOIN held USING (rid) GROUP BY rid"""
+
 SQL = {
     "op2_substring_dedup": """
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
@@ -137,4 +158,5 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT dw.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op9_license_scan": _LICENSES,
 }
