@@ -33,9 +33,9 @@ from .pretokens import Pretokens
 from .store import Scratch, fresh, prepare
 
 #: Ids of distinct words that a worker keeps; beyond it starts anew.
-MAX_IDS = 4_000_000
+MAX_IDS = 1_500_000
 #: Words that may travel to the texts, most bytes of a word of the table, words of one index, and words a task counts before it passes them on.
-MAX_SHIPPED, LONG, INDEXED, HELD = 1 << 18, 64, 50_000, 200_000
+MAX_SHIPPED, LONG, INDEXED, HELD = 1 << 18, 64, 20_000, 100_000
 
 
 class Ranks:

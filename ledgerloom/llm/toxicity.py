@@ -60,7 +60,7 @@ class Model:
         for w, n in words.items():
             own = known.get(w)
             if own is None:
-                if len(known) > 500_000:
+                if len(known) > 200_000:
                     known.clear()
                 own = known[w] = tuple(index[f] for f in features_of(w) if f in index)
             for i in own:
