@@ -10,7 +10,8 @@ from ..functions import text as X
 from ..functions.vocabulary import chart, variants_frame
 from ..operators import analytics, mapping, narrate, notes, pages as pages_ops, records, report, retrieval, rules, tables as tables_ops
 from ..sources import readers
-from .queries import _BEST, _COVERED, _FLAGS, _KEYS, _MOVES, _ONE, _PAGES, _SMALL, FACTS, SQL, _derived, _flags, _found_notes, _grouped, _items, _moves, _mv, _observed, _pages, _query, _ratio_sql, _views
+from . import analysis
+from .queries import CHECKS, _BEST, _COVERED, _FLAGS, _KEYS, _MOVES, _ONE, _PAGES, _SMALL, FACTS, SQL, _checks, _derived, _flags, _found_notes, _grouped, _items, _moves, _mv, _observed, _pages, _query, _ratio_sql, _views
 
 _quote = lambda s: "'" + s.replace("'", "''") + "'"
 
@@ -324,3 +325,83 @@ def knn_in_blocks(spark, sf_dir):
     e = _views(spark, sf_dir, "embeddings")["embeddings"]
     found = retrieval.nearest(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "embedding"), e.select(F.col("vec_id").alias("chunk_index"), "embedding"), block=3)
     return found.select("query", "chunk_index", "rank", F.round("score", 5).alias("score"))
+
+
+_CONSISTENT = {
+    "XNOTE_CSR_BANK_MISMATCH": ("abs(a - b) > 1", {"csr_note_unspent": "a", "bank_note_restricted": "b", "difference": "abs(a - b)"}),
+    "XNOTE_LEASE_ROU_MISMATCH": ("a <> 0 AND b > 0 AND abs(a - b) / nullif(b, 0) * 100 > 15", {"rou_additions": "b", "lease_liability": "a", "diff_pct": "(abs(a - b) / nullif(b, 0) * 100)"}),
+    "TAX_RECONCILIATION_ERROR": ("abs(a + b + 1 - 60) > 1", {"computed_total": "(a + b + 1)", "disclosed_total": "60.0", "difference": "abs(a + b + 1 - 60)"}),
+    "CASHFLOW_HEADER_ERROR": ("len(years) >= 2 AND len(list_distinct(years)) = 1", {"dates_found": "years[1]"}),
+    "MULTI_ENTITY_DOCUMENT": ("len(cins) > 1", {"count": "CAST(len(cins) AS VARCHAR)", "distinct_cins": "array_to_string(cins, ', ')"}),
+    "AUDIT_TRAIL_LAPSE": (r"regexp_matches(trail, '(?i)\bexcept\b|not\s+(?:been\s+)?(?:enabled|operational|operat\w*)\b|\bdisabled\b')", {"excerpt": "trail"}),
+    "AUDITOR_EMPHASIS_PARAGRAPH": ("emphasis <> ''", {"paragraph_type": "CASE WHEN emphasis ILIKE 'material%' THEN 'Material Uncertainty Related to Going Concern' ELSE 'Emphasis of Matter' END", "excerpt": "emphasis"}),
+}
+_READ = rf"""WITH f AS ({CHECKS}), x AS (SELECT *, regexp_extract_all(regexp_extract(full_text, '(?is)cash\s+flow\s+statement.*'), '31\s+March\s+(\d{{4}})', 1) AS years, regexp_extract(full_text, '(?is)audit\s+trail.*') AS trail,
+ coalesce(nullif(regexp_extract(full_text, '(?is)material\s+uncertainty\s+related\s+to\s+going\s+concern.*'), ''), regexp_extract(full_text, '(?is)emphasis\s+of\s+matter.*')) AS emphasis,
+ CASE WHEN full_text LIKE '%related party%' THEN list_slice(regexp_extract_all(full_text, '[LU]\d{{5}}[A-Z]{{2}}\d{{4}}[A-Z]{{3}}\d{{6}}'), 1, 1) ELSE regexp_extract_all(full_text, '[LU]\d{{5}}[A-Z]{{2}}\d{{4}}[A-Z]{{3}}\d{{6}}') END AS cins FROM f)"""
+_SLOTS |= {"joined": lambda x: x, "first": lambda x: x}
+
+
+@_query("consistency_observations", f"{_READ} " + " UNION ALL ".join(f"SELECT doc_id, '{i}' AS flag_id, {_filled(narrate.TEMPLATES[i][0], e)} AS observation, {_filled(narrate.TEMPLATES[i][1], e)} AS recommendation FROM x WHERE {when}" for i, (when, e) in _CONSISTENT.items()))
+def consistency_observations(spark, sf_dir):
+    """The texts of the flags across notes and over whole documents, read from the documents' texts."""
+    return narrate.templated(rules.consistency_flags(_checks(spark, sf_dir))).select("doc_id", "flag_id", "observation", "recommendation")
+
+
+_TAX_ROWS = "SELECT CAST(l_orderkey AS BIGINT) AS doc_id, CASE l_partkey % 3 WHEN 0 THEN '28' WHEN 1 THEN '5' ELSE '14b' END AS note_id, CAST(l_partkey AS INT) AS page_num, CAST(l_suppkey AS INT) AS table_ord, CAST(l_linenumber AS INT) AS row_ord, CASE l_linenumber % 6 WHEN 0 THEN 'Current tax' WHEN 1 THEN 'Deferred tax charge' WHEN 2 THEN 'Total tax expense' WHEN 3 THEN 'Additions' WHEN 4 THEN 'Total' ELSE 'Tax of earlier years' END AS label, CASE WHEN l_suppkey % 4 <> 0 THEN CAST(l_suppkey AS DOUBLE) END AS current FROM lineitem"
+_TAX_NOTES = "SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS doc_id, n.note_id, n.note_ord, n.title, CASE WHEN l_orderkey % 2 = 0 THEN n.body ELSE '' END AS raw_text FROM lineitem, (SELECT '28' AS note_id, 1 AS note_ord, 'Income Tax' AS title, 'x' AS body UNION ALL SELECT '5', 2, 'Right-of-use assets', 'y' UNION ALL SELECT '14b', 3, 'Other', 'Lease liabilities and restricted 1,250 lakh') n"
+_PICK = lambda note, word, name: f"(list(current ORDER BY page_num, table_ord, row_ord, current NULLS FIRST) FILTER (WHERE note_id = '{note}' AND lower(label) LIKE '%{word}%'))[1] AS {name}"
+
+
+@_query(
+    "consistency_facts",
+    f"""WITH r AS ({_TAX_ROWS}), v AS (SELECT doc_id, {_PICK('28', 'current tax', 'tax_current')}, {_PICK('28', 'earlier year', 'tax_prior')}, {_PICK('28', 'deferred tax', 'tax_deferred')}, {_PICK('28', 'total tax expense', 'tax_total')}, {_PICK('5', 'addition', 'rou_additions')}, {_PICK('14b', 'total', 'lease')} FROM (SELECT DISTINCT ON (doc_id, note_id, page_num, table_ord, row_ord, label) * FROM r ORDER BY current NULLS FIRST) u GROUP BY doc_id)
+SELECT doc_id, tax_current, tax_prior, tax_deferred, tax_total, rou_additions, CASE WHEN doc_id % 2 = 0 THEN lease END AS lease_total, CASE WHEN doc_id % 2 = 0 THEN CAST(1250 AS DOUBLE) END AS restricted_balance FROM v""",
+)
+def consistency_facts(spark, sf_dir):
+    """Rows and notes that the checks across notes compare."""
+    rows = _derived(spark, sf_dir, _TAX_ROWS, "lineitem").groupBy("doc_id", "note_id", "page_num", "table_ord", "row_ord", "label").agg(F.min_by(F.struct("current"), F.struct("current")).alias("c")).select("*", "c.current")
+    found = _derived(spark, sf_dir, _TAX_NOTES, "lineitem")
+    texts = found.select("doc_id").distinct()
+    facts = analysis.consistency_facts(found, rows, texts, texts.withColumn("csr", F.lit(None).cast("string")))
+    return facts.select("doc_id", "tax_current", "tax_prior", "tax_deferred", "tax_total", "rou_additions", "lease_total", "restricted_balance")
+
+
+_TOKEN_LINES = "SELECT CAST(o_orderkey AS BIGINT) AS id, CASE o_orderkey % 9 WHEN 0 THEN CAST(o_orderkey AS STRING) WHEN 1 THEN concat('(', CAST(o_orderkey AS STRING), ',000.5)') WHEN 2 THEN '–' WHEN 3 THEN 'Nil' WHEN 4 THEN concat(CAST(o_orderkey % 150 AS STRING), 'a') WHEN 5 THEN concat('-', CAST(o_orderkey % 200 AS STRING)) WHEN 6 THEN 'word' WHEN 7 THEN '12' ELSE '1.2.3' END AS token FROM orders"
+_IS_VALUE = r"(regexp_matches(token, '^\(?-?[\d,]+(\.\d+)?\)?$|^[-–—]$|^(?i:nil)$') AND NOT regexp_matches(token, '^-?\d{1,2}$'))"
+
+
+@_query("line_tokens", rf"SELECT id, {_IS_VALUE} AS is_value, regexp_matches(token, '^\d{{1,3}}[a-zA-Z]?$') AND NOT {_IS_VALUE} AS is_note FROM ({_TOKEN_LINES}) x")
+def line_tokens(spark, sf_dir):
+    t = F.col("token")
+    return _derived(spark, sf_dir, _TOKEN_LINES, "orders").select("id", X.is_value_token(t).alias("is_value"), X.is_note_token(t).alias("is_note"))
+
+
+_IDS = "SELECT CAST(o_orderkey AS BIGINT) AS id, CASE o_orderkey % 3 WHEN 0 THEN array(concat(CAST(o_orderkey % 40 AS STRING), 'f')) WHEN 1 THEN array(CAST(o_orderkey % 40 AS STRING), '14a', 'x1') ELSE array_compact(array(CAST(NULL AS STRING))) END AS ids FROM orders"
+
+
+@_query("note_ref_format", r"SELECT CAST(o_orderkey AS BIGINT) AS id, CASE o_orderkey % 3 WHEN 0 THEN 'Note ' || (o_orderkey % 40) || '(f)' WHEN 1 THEN 'Notes ' || (o_orderkey % 40) || ', 14(a), x1' ELSE '' END AS shown FROM orders")
+def note_ref_format(spark, sf_dir):
+    return _derived(spark, sf_dir, _IDS, "orders").select("id", X.format_note_refs(F.col("ids")).alias("shown"))
+
+
+_ANSWERS = """SELECT CAST(o_orderkey AS BIGINT) AS id, concat(CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN '```json\n' WHEN 2 THEN 'Here it is: ' ELSE '  ' END, chr(123), '"observation": "Cash fell to ', CAST(o_orderkey AS STRING), '", "n": ', CAST(o_orderkey AS STRING), chr(125), CASE o_orderkey % 4 WHEN 1 THEN '\n```' WHEN 2 THEN ' as asked.' ELSE ' ' END) AS raw FROM orders"""
+
+
+@_query("json_answers", rf"WITH x AS (SELECT id, regexp_extract(raw, '(?s)\{{.*\}}') AS j FROM ({_ANSWERS}) r) SELECT id, json_extract_string(j, '$.observation') AS observation, CAST(json_extract(j, '$.n') AS BIGINT) AS n FROM x")
+def json_answers(spark, sf_dir):
+    return _derived(spark, sf_dir, _ANSWERS, "orders").select("id", X.json_response(F.col("raw"), "observation string, n bigint").alias("a")).select("id", "a.observation", "a.n")
+
+
+#: Documents of one page with an opening and three notes, the last in two parts.
+_NOTE_PAGES = """SELECT CAST(o_orderkey AS BIGINT) AS doc_id, CAST(1 AS INT) AS page_num, concat('Balance sheet\nNote 99: not yet\nNotes to the Standalone Financial Statements', '\nNote 1: Cash of ', CAST(o_orderkey AS STRING), '\nbody ', o_orderpriority, '\nNote 2 (a): Tax\nas told', '\nNote 10: Claims\nnone', '\nNote 2 [A]: Tax again\nmore of ', CAST(o_custkey AS STRING)) AS raw_text FROM orders"""
+
+
+@_query(
+    "notes_of_text",
+    rf"""WITH p AS ({_NOTE_PAGES}), b AS (SELECT doc_id, unnest(list_slice(string_split(raw_text, chr(10) || 'Note '), 3, 100)) AS part, generate_subscripts(list_slice(string_split(raw_text, chr(10) || 'Note '), 3, 100), 1) AS n FROM p),
+h AS (SELECT doc_id, n, part, regexp_extract(part, '^(\d+)', 1) AS number, lower(regexp_extract(part, '^\d+\s*[\(\[]([a-zA-Z])[\)\]]', 1)) AS letter, regexp_extract(part, ':\s*([^\n]*)', 1) AS title FROM b)
+SELECT doc_id, number || letter AS note_id, arg_min('Note ' || number || CASE WHEN letter <> '' THEN '(' || letter || ')' ELSE '' END, n) AS full_id, arg_min(title, n) AS title, string_agg(chr(10) || 'Note ' || part, chr(10) ORDER BY n) AS raw_text, 1 AS page_start, 1 AS page_end FROM h GROUP BY doc_id, number, letter""",
+)
+def notes_of_text(spark, sf_dir):
+    return notes.notes(_derived(spark, sf_dir, _NOTE_PAGES, "orders")).select("doc_id", "note_id", "full_id", "title", "raw_text", "page_start", "page_end")
