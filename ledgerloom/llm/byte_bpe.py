@@ -58,60 +58,73 @@ class Ranks:
         self.lengths = np.array([len(t) for t in by_rank], np.int64)
         self.offsets = np.concatenate(([0], np.cumsum(self.lengths)))[:-1]
         self.pool = np.frombuffer(b"".join(by_rank), np.uint8)
-        self.byte_rank = [self.ranks[bytes((b,))] for b in range(256)]
-
-
-def replay(words: list[bytes], table: Ranks) -> list[list[int]]:
-    """Ids of each word."""
-    pairs, byte_rank = table.pairs, table.byte_rank
-    token: list[int] = [-1]
-    begins = []
-    for w in words:
-        begins.append(len(token))
-        token += [byte_rank[b] for b in w]
-        token.append(-1)
-    n = len(token)
+        self.byte_rank = np.array([self.ranks[bytes((b,))] for b in range(256)], np.int64)
+        self.pair_keys = np.array(sorted(self.pairs), np.int64)
+        self.pair_ranks = np.array([self.pairs[k] for k in self.pair_keys.tolist()], np.int64)
+
+    def indexed(self, token: np.ndarray) -> dict[int, list[int]]:
+        """From a rank to the positions whose pair of neighbours merges to it, in order; negative tokens are borders."""
+        at = np.flatnonzero((token[:-1] >= 0) & (token[1:] >= 0))
+        keys = token[at] << 20 | token[at + 1]
+        found = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        hit = self.pair_keys[found] == keys
+        at, ranks = at[hit], self.pair_ranks[found[hit]]
+        if not len(at):
+            return {}
+        order = np.argsort(ranks, kind="stable")
+        at, ranks = at[order], ranks[order]
+        firsts = np.flatnonzero(np.diff(ranks, prepend=-1))
+        listed, ends = at.tolist(), np.append(firsts[1:], len(at)).tolist()
+        return {r: listed[a:b] for r, a, b in zip(ranks[firsts].tolist(), firsts.tolist(), ends, strict=True)}
+
+
+def replay(words: list[bytes], table: Ranks) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words, one after the other, and the number of ids of each."""
+    pairs, sizes = table.pairs, np.array([len(w) for w in words], np.int64)
+    begins = 1 + np.cumsum(sizes + 1) - (sizes + 1)
+    laid = np.full(1 + int((sizes + 1).sum()), -1, np.int64)  # a border before each word, and one at the end
+    laid[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(words)), sizes) + 1] = table.byte_rank[np.frombuffer(b"".join(words), np.uint8)]
+    index, token, n = table.indexed(laid), laid.tolist(), len(laid)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    index: dict[int, list[int]] = {}
-    for p in range(1, n - 1):
-        a, b = token[p], token[p + 1]
-        if a >= 0 and b >= 0:
-            rank = pairs.get(a << 20 | b)
-            if rank is not None:
-                index.setdefault(rank, []).append(p)
     heap = list(index)
     heapq.heapify(heap)
-    redo: set[int] = set()
+    merged, redo = pairs.get, set()
+
+    def seen(new: int, at: int) -> None:
+        """A pair that a merge has made: its position goes to its rank's list."""
+        if new < rank:  # it should have come before this rank's later positions
+            redo.add(at)
+        if new in index:
+            index[new].append(at)
+        else:
+            index[new] = [at]
+            heapq.heappush(heap, new)
+
     while heap:
         rank = heapq.heappop(heap)
+        high = rank << 20
         for p in sorted(index.pop(rank)):
             a, q = token[p], after[p]
             if a < 0 or q >= n:
                 continue
             b = token[q]
-            if b < 0 or pairs.get(a << 20 | b) != rank:
+            if b < 0 or merged(a << 20 | b) != rank:
                 continue
             token[p], token[q] = rank, -2
             r = after[p] = after[q]
             before[r] = p
             left, c = before[p], token[r]
-            for at, key in ((left, token[left] << 20 | rank if token[left] >= 0 else -1), (p, rank << 20 | c if c >= 0 else -1)):
-                new = pairs.get(key)
-                if new is not None:
-                    if new < rank:  # a pair that should have come before this rank's later positions
-                        redo.add(at)
-                    if new in index:
-                        index[new].append(at)
-                    else:
-                        index[new] = [at]
-                        heapq.heappush(heap, new)
-    out = []
-    for w, start in zip(words, begins, strict=True):
-        out.append([t for t in token[start : start + len(w)] if t >= 0])
+            if (a := token[left]) >= 0 and (new := merged(a << 20 | rank)) is not None:
+                seen(new, left)
+            if c >= 0 and (new := merged(high | c)) is not None:
+                seen(new, p)
+    kept = np.array(token, np.int64)
     if redo:
         for k in {int(np.searchsorted(begins, at, side="right")) - 1 for at in redo}:
-            out[k] = _one_by_one([byte_rank[b] for b in words[k]], pairs)
-    return out
+            ids = _one_by_one([int(table.byte_rank[b]) for b in words[k]], pairs)
+            kept[begins[k] : begins[k] + sizes[k]] = ids + [-2] * (int(sizes[k]) - len(ids))
+    live = kept >= 0
+    return kept[live].astype(np.uint32), np.add.reduceat(np.append(live, False).astype(np.int64), begins) if len(words) else np.zeros(0, np.int64)
 
 
 def _one_by_one(parts: list[int], pairs: dict[int, int]) -> list[int]:
@@ -174,11 +187,11 @@ class Codec:
         self.known.update(zip(words, range(at, at + len(words)), strict=True))
 
     def _learn(self, words: list[bytes]) -> None:
-        ranks = self.table.ranks
-        whole = [ranks.get(w) for w in words]
-        hard = iter(replay([w for w, r in zip(words, whole, strict=True) if r is None], self.table))
-        ids = [next(hard) if r is None else [r] for r in whole]
-        self._store(words, np.array([t for x in ids for t in x], np.uint32), np.array([len(x) for x in ids], np.int64))
+        whole = [self.table.ranks.get(w, -1) for w in words]
+        easy = [(w, r) for w, r in zip(words, whole, strict=True) if r >= 0]
+        self._store([w for w, _ in easy], np.array([r for _, r in easy], np.uint32), np.ones(len(easy), np.int64))
+        hard = [w for w, r in zip(words, whole, strict=True) if r < 0]
+        self._store(hard, *replay(hard, self.table))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -241,8 +254,10 @@ def replayed(words: DataFrame, ranks: str) -> DataFrame:
 
     def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        ids = replay(column(batch, "word").to_pylist(), codec(ranks).table)
-        return pa.RecordBatch.from_arrays([column(batch, "word"), column(batch, "n"), pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary())], ["word", "n", "ids"])
+        flat, sizes = replay(column(batch, "word").to_pylist(), codec(ranks).table)
+        packed, ends = flat.astype("<u4").tobytes(), np.cumsum(sizes * 4)
+        ids = [packed[a:b] for a, b in zip((ends - sizes * 4).tolist(), ends.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([column(batch, "word"), column(batch, "n"), pa.array(ids, pa.binary())], ["word", "n", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
