@@ -1,7 +1,7 @@
 """Text and number functions of disclosure tables as column expressions.
 
 Cells are read by plain chains of string functions, which Spark compiles and whose common parts it evaluates once. Lambdas over
-arrays, which it interprets, are kept to functions of headers and of texts.
+arrays, which it interprets, serve headers, lines of text, and the few tables that hold a record.
 """
 
 from __future__ import annotations

@@ -14,11 +14,12 @@ RATIO_NAMES = {"current_ratio": "Current Ratio", "quick_ratio": "Quick Ratio", "
 
 
 def summary(observed: DataFrame) -> DataFrame:
-    """doc_id, rating, count and areas for all three ratings of each document."""
-    ratings = F.array(*(F.struct(F.lit(i).alias("rating_ord"), F.lit(r).alias("rating")) for i, r in enumerate(RATINGS)))
-    every = observed.select("doc_id").distinct().select("doc_id", F.inline(ratings))
-    found = observed.groupBy("doc_id", "rating").agg(F.count("*").alias("count"), F.array_join(F.array_sort(F.collect_set("area")), ", ").alias("areas"))
-    return every.join(found, ["doc_id", "rating"], "left").select("doc_id", "rating", "rating_ord", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("areas", F.lit("-")).alias("areas"))
+    """doc_id, rating, count and areas for all three ratings of each document, in one aggregation."""
+    hit = lambda r: F.col("rating") == r
+    counts = [F.count_if(hit(r)).alias(f"n{i}") for i, r in enumerate(RATINGS)]
+    areas = [F.array_join(F.array_sort(F.collect_set(F.when(hit(r), F.col("area")))), ", ").alias(f"a{i}") for i, r in enumerate(RATINGS)]
+    told = (F.struct(F.lit(r).alias("rating"), F.lit(i).alias("rating_ord"), F.col(f"n{i}").alias("count"), F.when(F.col(f"n{i}") > 0, F.col(f"a{i}")).otherwise("-").alias("areas")) for i, r in enumerate(RATINGS))
+    return observed.groupBy("doc_id").agg(*counts, *areas).select("doc_id", F.inline(F.array(*told)))
 
 
 def risk_chart(counted: DataFrame) -> DataFrame:

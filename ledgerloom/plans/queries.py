@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.vocabulary import DISPLAY, variants_frame
-from ..operators import analytics, mapping, narrate, notes, pages as pages_ops, records, report, retrieval, rules, tables as tables_ops
+from ..functions.vocabulary import DISPLAY
+from ..operators import analytics, mapping, narrate, notes, pages as pages_ops, report, retrieval, rules, tables as tables_ops
 from ..sources import writers
 
 QUERIES: dict = {}
