@@ -35,24 +35,51 @@ def let(x: Column, body) -> Column:
     return F.get(F.transform(F.array(x), body), F.lit(0))
 
 
-def parse_indian_number(x: Column) -> Column:
-    """A table cell as a double, or null: lakh commas, currency marks, parentheses or a minus for negatives.
+DIGIT = "[0-9०-९]"
+_WRAPPED = r"(?s)^\((.*)\)$"
 
-    One chain without conditions but the sign: what is no number is left with characters, or with nothing, that the cast refuses.
-    """
+
+def _unmarked(x: Column) -> Column:
     bare = strip(x)
     for mark in CURRENCY:
         bare = F.replace(bare, F.lit(mark), F.lit(""))
-    bare = strip(bare)
-    open_ = F.regexp_replace(bare, r"(?s)^\((.*)\)$", "$1")
-    inner = strip(open_)
+    return strip(bare)
+
+
+def _figure(inner: Column) -> Column:
+    """The figure of a cell without marks and parentheses, its sign apart; what is none is left with characters, or with nothing, that
+    the cast refuses. White space inside marks several values in one cell: it becomes a letter that stays, all others go."""
     body = strip(F.replace(F.regexp_replace(inner, "^-", ""), F.lit(","), F.lit("")))
-    # White space inside marks several values in one cell: it becomes a letter that stays, all others go.
     joined = F.translate(body, "०१२३४५६७८९" + WHITE, "0123456789" + "\ue000" * len(WHITE))
-    value = F.regexp_replace(joined, "[^0-9.\\-\ue000]", "").try_cast("double")
+    return F.regexp_replace(joined, "[^0-9.\\-\ue000]", "").try_cast("double")
+
+
+def parse_indian_number(x: Column) -> Column:
+    """A table cell as a double, or null: lakh commas, currency marks, parentheses or a minus for negatives.
+
+    One chain without conditions but the sign, for columns, where Spark evaluates common parts once.
+    """
+    bare = _unmarked(x)
+    open_ = F.regexp_replace(bare, _WRAPPED, "$1")
+    inner = strip(open_)
+    value = _figure(inner)
     return F.when((bare != open_) | inner.startswith("-"), -F.abs(value)).otherwise(value)
 
 
+def is_number(x: Column) -> Column:
+    """Whether a cell is a number; its sign is not looked for."""
+    return _figure(strip(F.regexp_replace(_unmarked(x), _WRAPPED, "$1"))).isNotNull()
+
+
+def parse_in_lambda(x: Column) -> Column:
+    """parse_indian_number for the inside of lambdas, where Spark evaluates each mention of a part anew."""
+    parts = lambda bare: F.struct(bare.alias("bare"), strip(F.regexp_replace(bare, _WRAPPED, "$1")).alias("inner"))
+    wrapped = lambda p: p["bare"].startswith("(") & p["bare"].endswith(")") & (F.length(p["bare"]) > 1)
+    signed = lambda p: F.struct((wrapped(p) | p["inner"].startswith("-")).alias("negative"), _figure(p["inner"]).alias("value"))
+    value = lambda q: F.when(q["negative"], -F.abs(q["value"])).otherwise(q["value"])
+    return F.when(x.rlike(DIGIT), let(let(let(_unmarked(x), parts), signed), value))
+
+
 def format_indian_number(x: Column, decimals: int = 0) -> Column:
     """1,76,020: the last three digits, then pairs; whole numbers round half to even; "-" stays before what rounds to 0."""
     size = F.abs(x)
@@ -204,8 +231,7 @@ def safe_div(a: Column, b: Column) -> Column:
 
 
 def rate_cell(x: Column) -> Column:
-    value = parse_indian_number(x)
-    return F.when(F.abs(value) <= 30, value)
+    return let(parse_in_lambda(x), lambda v: F.when(F.abs(v) <= 30, v))
 
 
 def format_note_refs(ids: Column) -> Column:

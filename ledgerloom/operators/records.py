@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.similarity import partial_ratio
-from ..functions.text import any_of, blank, first_header, let, parse_indian_number, rate_cell, strip, total_column, year_columns
+from ..functions.text import any_of, blank, first_header, let, parse_in_lambda, rate_cell, strip, total_column, year_columns
 from .tables import is_empty_table
 
 
@@ -45,7 +45,7 @@ def contingent() -> Column:
     kind = lambda x: F.when(x.contains("income tax"), "income_tax").when(x.contains("service tax"), "service_tax").when(x.contains("gst"), "gst").when(x.contains("total"), "total").when(x != "", "others")
 
     def read(at: Column) -> Column:
-        return F.struct(_classed(rows, kind, lambda r: parse_indian_number(_cell(r, at["current_col"]))).alias("now"), _classed(rows, kind, lambda r: parse_indian_number(_cell(r, at["prior_col"]))).alias("before"))
+        return F.struct(_classed(rows, kind, lambda r: parse_in_lambda(_cell(r, at["current_col"]))).alias("now"), _classed(rows, kind, lambda r: parse_in_lambda(_cell(r, at["prior_col"]))).alias("before"))
 
     def fields(both: Column) -> Column:
         others = F.filter(F.transform(F.filter(both["now"], lambda x: x["kind"] == "others"), lambda x: x["value"]), lambda v: v.isNotNull() & (v != 0))
@@ -65,7 +65,7 @@ def _amount_column() -> Column:
 
 def csr() -> Column:
     kind = lambda x: F.when(any_of(x, ("amount required", "obligation", "2%")), "obligation").when(x.contains("spent") & ~x.contains("unspent"), "amount_spent").when(x.contains("unspent"), "amount_unspent").when(any_of(x, ("carried forward", "carry forward")), "carry")
-    rows = let(_amount_column(), lambda at: F.transform(F.col("rows"), lambda r: F.struct(kind(_label(r)).alias("kind"), F.get(r, F.lit(0)).alias("label"), parse_indian_number(_cell(r, at)).alias("value"))))
+    rows = let(_amount_column(), lambda at: F.transform(F.col("rows"), lambda r: F.struct(kind(_label(r)).alias("kind"), F.get(r, F.lit(0)).alias("label"), parse_in_lambda(_cell(r, at)).alias("value"))))
 
     def fields(read: Column) -> Column:
         carried = F.transform(F.filter(read, lambda x: x["kind"] == "carry"), lambda x: F.struct(x["label"].alias("label"), x["value"].alias("amount")))
@@ -79,7 +79,7 @@ _MSMED = ("principal_unpaid", "interest_unpaid", "interest_accrued_unpaid", "int
 
 def msmed() -> Column:
     kind = lambda x: F.when(x.contains("principal"), "principal_unpaid").when(x.contains("accrued") & ~x.contains("further"), "interest_accrued_unpaid").when(x.contains("further"), "interest_further_due").when(x.contains("interest"), "interest_unpaid")
-    rows = let(_amount_column(), lambda at: _classed(F.col("rows"), kind, lambda r: parse_indian_number(_cell(r, at))))
+    rows = let(_amount_column(), lambda at: _classed(F.col("rows"), kind, lambda r: parse_in_lambda(_cell(r, at))))
     return let(let(rows, lambda read: F.struct(*(_last(read, k).alias(k) for k in _MSMED))), lambda f: F.when(F.coalesce(*(f[k] for k in _MSMED)).isNotNull(), f))
 
 
@@ -99,15 +99,15 @@ def actuarial() -> Column:
 def disclosed_ratios() -> Column:
     headers, rows = F.col("headers"), F.col("rows")
     hits = F.filter(F.transform(headers, lambda h, i: F.when(F.lower(F.coalesce(h, F.lit(""))).contains("varian"), i)), lambda i: i.isNotNull())
-    at = lambda r, i: F.when(F.size(headers) > i, parse_indian_number(F.get(r, F.lit(i))))
+    at = lambda r, i: F.when(F.size(headers) > i, parse_in_lambda(F.get(r, F.lit(i))))
 
     def reason(r: Column, v: Column) -> Column:
         tail = F.slice(r, v + 2, F.greatest(F.size(r) - v - 1, F.lit(0)))
-        words = F.filter(tail, lambda c: (F.coalesce(c, F.lit("")) != "") & (F.coalesce(parse_indian_number(c), F.lit(0.0)) == 0))
+        words = F.filter(tail, lambda c: (F.coalesce(c, F.lit("")) != "") & (F.coalesce(parse_in_lambda(c), F.lit(0.0)) == 0))
         return F.when(v.isNotNull(), let(words, lambda w: F.when(F.size(w) > 0, F.array_join(w, " "))))
 
     named = F.filter(rows, lambda r: ~F.coalesce(blank(F.get(r, F.lit(0))), F.lit(True)))
-    entry = lambda r, v: F.struct(strip(F.get(r, F.lit(0))).alias("name"), at(r, 1).alias("current"), at(r, 2).alias("prior"), parse_indian_number(F.get(r, v)).alias("variance_pct"), reason(r, v).alias("reason_for_variance"))
+    entry = lambda r, v: F.struct(strip(F.get(r, F.lit(0))).alias("name"), at(r, 1).alias("current"), at(r, 2).alias("prior"), parse_in_lambda(F.get(r, v)).alias("variance_pct"), reason(r, v).alias("reason_for_variance"))
     return let(F.try_element_at(hits, F.lit(-1)), lambda v: let(F.transform(named, lambda r: entry(r, v)), lambda out: F.when(F.size(out) > 0, out)))
 
 
@@ -156,14 +156,14 @@ def with_buckets(tables: DataFrame, buckets: dict[str, list[str]], compat: bool
 
 def _ageing(rows: Column) -> list[Column]:
     """Each bucket: the last row with a value."""
-    values = lambda b: F.filter(F.transform(rows, lambda r: parse_indian_number(F.get(r, F.col("cols")[b]))), lambda v: v.isNotNull())
+    values = lambda b: F.filter(F.transform(rows, lambda r: parse_in_lambda(F.get(r, F.col("cols")[b]))), lambda v: v.isNotNull())
     return [F.when(F.col("cols")[b].isNotNull(), F.try_element_at(values(b), F.lit(-1))).alias(b) for b in AGEING]
 
 
 def receivables_ageing() -> Column:
     rows, total = F.col("rows"), total_column(F.col("headers"))
     kind = lambda x: F.when(any_of(x, ("doubtful", "allowance", "expected credit loss")), "allowance").when(x.contains("net"), "net").when(x.contains("total") | (x == ""), "gross")
-    read = F.filter(_classed(rows, kind, lambda r: parse_indian_number(F.get(r, total))), lambda x: total.isNotNull())
+    read = F.filter(_classed(rows, kind, lambda r: parse_in_lambda(F.get(r, total))), lambda x: total.isNotNull())
     gross = F.filter(read, lambda x: x.kind.eqNullSafe("gross") & x.value.isNotNull())
     return F.when(F.size("cols") >= 2, F.struct(*_ageing(rows), F.try_element_at(gross, F.lit(-1))["value"].alias("total_gross"), _last(read, "allowance").alias("allowance_doubtful"), _last(read, "net").alias("net_total")))
 
@@ -171,7 +171,7 @@ def receivables_ageing() -> Column:
 def payables_ageing() -> Column:
     rows, total = F.col("rows"), total_column(F.col("headers"))
     kind = lambda x: F.when(any_of(x, ("micro", "small", "mse")), "mse").when(x.contains("other"), "others").when(x.contains("total"), "total")
-    read = _classed(rows, kind, lambda r: F.when(total.isNotNull(), parse_indian_number(F.get(r, total))))
+    read = _classed(rows, kind, lambda r: F.when(total.isNotNull(), parse_in_lambda(F.get(r, total))))
     return F.when(F.size("cols") >= 2, F.struct(*_ageing(rows), *(_last(read, k).alias(f"total_{k}" if k != "total" else k) for k in ("mse", "others", "total"))))
 
 
@@ -181,9 +181,9 @@ def cwip_ageing() -> Column:
     named = F.transform(rows, lambda r: F.struct(F.when(~F.coalesce(blank(F.get(r, F.lit(0))), F.lit(True)), strip(F.get(r, F.lit(0)))).alias("name"), r.alias("cells")))
     is_total = lambda x: F.coalesce(F.lower(x["name"]).contains("total"), F.lit(False))
     entries = F.array_sort(F.map_entries("cols"), lambda a, b: a.value - b.value)
-    cells = F.flatten(F.transform(F.filter(named, lambda x: ~is_total(x)), lambda x: F.transform(entries, lambda e: F.struct(x["name"].alias("project_name"), e.key.alias("age_bucket"), parse_indian_number(F.get(x.cells, e.value)).alias("amount")))))
+    cells = F.flatten(F.transform(F.filter(named, lambda x: ~is_total(x)), lambda x: F.transform(entries, lambda e: F.struct(x["name"].alias("project_name"), e.key.alias("age_bucket"), parse_in_lambda(F.get(x.cells, e.value)).alias("amount")))))
     projects = F.filter(cells, lambda p: p.amount != 0)
-    totals = F.transform(F.filter(named, is_total), lambda x: F.struct(parse_indian_number(F.get(x.cells, total)).alias("v")))
+    totals = F.transform(F.filter(named, is_total), lambda x: F.struct(parse_in_lambda(F.get(x.cells, total)).alias("v")))
     return F.when(F.size("cols") > 0, F.struct(projects.alias("projects"), F.when(total.isNotNull(), F.try_element_at(totals, F.lit(-1))["v"]).alias("total")))
 
 

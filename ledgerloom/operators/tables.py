@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SPLIT_DIGIT, blank, fix_reversed, label_fill, note_reference, otherwise_null, parse_indian_number, parse_text_line, strip
+from ..functions.text import DIGIT, SPLIT_DIGIT, blank, fix_reversed, is_number, label_fill, note_reference, otherwise_null, parse_indian_number, parse_text_line, strip
 
 
 def _drop_blank_and_repeats(rows: Column) -> Column:
@@ -88,9 +88,6 @@ def note_columns(headers: Column) -> Column:
 WIDTH = 4
 
 
-DIGIT = "[0-9०-९]"
-
-
 def _with_digit(cell: Column) -> Column:
     """The cell if it holds a digit, else null: what follows is then skipped."""
     return F.when(cell.rlike(DIGIT), cell)
@@ -142,8 +139,8 @@ def read_rows(tables: DataFrame) -> DataFrame:
     keys = [c for c in tables.columns if c not in ("headers", "rows")]
     cells = tables.withColumn("notes", note_columns(F.col("headers"))).select(*keys, "notes", F.posexplode("rows").alias("row_ord", "cells"))
     label = strip(F.get("cells", F.lit(0)))
-    is_number = F.col("label").rlike(DIGIT) & parse_indian_number(F.col("label")).isNotNull()  # few labels hold digits
-    named = lambda df: df.withColumn("label", label).where((F.length("label") >= 3) & ~is_number)
+    number = F.col("label").rlike(DIGIT) & is_number(F.col("label"))  # few labels hold digits
+    named = lambda df: df.withColumn("label", label).where((F.length("label") >= 3) & ~number)
     out = [*keys, "row_ord", "label", F.coalesce(_reference(F.col("label")), F.col("ref")).alias("note_ref"), "current", "prior"]
     wide = F.size("cells") > WIDTH + 1
     return _narrow(named(cells.where(~wide))).select(*out).unionByName(_wide(named(cells.where(wide))).select(*out))
