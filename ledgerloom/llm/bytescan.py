@@ -35,10 +35,13 @@ def _alphanumeric() -> np.ndarray:
 
 #: Words of the class ``[^\x20\x09-\x0D]+``, and of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` with A-Z lower-cased.
 SPACED, ALNUM = "spaced", "alnum"
+#: Words of the first class with A-Z lower-cased.
+LOWERED = "lowered"
 #: Bytes that belong to such words.
-_IN_WORD = {SPACED: _space_separated(), ALNUM: _alphanumeric()}
+_IN_WORD = {SPACED: _space_separated(), LOWERED: _space_separated(), ALNUM: _alphanumeric()}
 #: bytes.translate table that lower-cases A-Z and blanks what is not in an ALNUM word.
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if _IN_WORD[ALNUM][c] else 0x20 for c in range(256))
+LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -76,7 +79,7 @@ class Words:
         raw = [b"" if t is None else t.encode() for t in texts]
         joined = b"\n".join(raw) + b"\n"
         self.raw = raw
-        self.bytes = joined.translate(FOLD) if kind == ALNUM else joined
+        self.bytes = joined.translate(FOLD) if kind == ALNUM else joined.translate(LOWER) if kind == LOWERED else joined
         self.buffer = np.frombuffer(self.bytes, np.uint8)
         inside = np.zeros(len(self.buffer) + 2, np.int8)
         inside[1:-1] = _IN_WORD[kind][self.buffer]
