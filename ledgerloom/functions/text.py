@@ -204,7 +204,7 @@ def normalize_ref(x: Column) -> Column:
 
 
 #: Phrases of a sheet's content, in the order tried.
-_SHEET_PHRASES = (
+SHEET_PHRASES = (
     ("cash_flow", ("cash flow from operating", "cash flow from investing", "cash flow from financing", "net increase/(decrease) in cash")),
     ("balance_sheet", ("balance sheet", "total equity and liabilities")),
     ("pnl", ("profit and loss", "statement of profit", "revenue from operations", "total income")),
@@ -221,7 +221,7 @@ def any_of(x: Column, needles) -> Column:
 def sheet_type(name: Column, content: Column) -> Column:
     low = F.lower(name)
     kind = F.when(low.contains("balance"), "balance_sheet").when(any_of(low, ("profit", "loss", "p&l", "pnl")), "pnl").when(low.contains("cash"), "cash_flow")
-    for value, needles in _SHEET_PHRASES:
+    for value, needles in SHEET_PHRASES:
         kind = kind.when(any_of(F.lower(content), needles), value)
     return kind.otherwise("unknown")
 

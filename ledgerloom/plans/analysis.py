@@ -105,7 +105,8 @@ def analyze(
     pages: DataFrame, tables: DataFrame, sheets: DataFrame | None = None, cited: DataFrame | None = None, generated_at=None, compat: bool = False, embed=None,
     *, out: Analysis | None = None, encode: mapping.Encoder | None = None, index: DataFrame | None = None, generate: narrate.Generator | None = None, templates: bool = True, addendum: bool = True, instances: int | None = None,
 ) -> Analysis:
-    """out: an analysis to go on with. pages: doc_id, page_num, raw_text. tables: doc_id, page_num, table_ord, headers, rows. sheets: doc_id, sheet_ord, sheet_type, headers, rows.
+    """out: an analysis to go on with. pages: doc_id, page_num, raw_text. tables: doc_id, page_num, table_ord, headers, rows. sheets: doc_id, sheet_ord, sheet_type, headers, rows, and
+    row_from where a sheet's rows come in parts.
 
     encode: an encoder of texts; it turns on the embedding step of the mapping and, with index (the standards' passages), retrieval.
     cited: query and citation (narrate.citations), instead of retrieval. generate: a text generator (narrate.observations).
@@ -122,9 +123,11 @@ def analyze(
     face = pages_ops.uncovered_pages(tables.select("doc_id", "page_num").distinct(), found)
     read = tables_ops.read_rows(tables.join(face, ["doc_id", "page_num"], "left_semi")).withColumns({"source": F.lit(0), "sheet_type": F.lit(None).cast("string")})
     if sheets is not None:
-        typed = mapping.face_sheets(sheets).withColumnsRenamed({"sheet_ord": "page_num"}).withColumn("table_ord", F.lit(0))
-        more = tables_ops.read_rows(typed.select("doc_id", "page_num", "table_ord", "sheet_type", "headers", "rows")).withColumn("source", F.lit(1))
-        read = read.unionByName(more)
+        typed = mapping.face_sheets(sheets.select("doc_id", "sheet_ord", "sheet_type").distinct())
+        parts = sheets if "row_from" in sheets.columns else sheets.withColumn("row_from", F.lit(0))
+        own = parts.drop("sheet_type").join(typed, ["doc_id", "sheet_ord"]).withColumnRenamed("sheet_ord", "page_num").withColumn("table_ord", F.lit(0))
+        more = tables_ops.read_rows(own.select("doc_id", "page_num", "table_ord", "sheet_type", "row_from", "headers", "rows"))
+        read = read.unionByName(more.withColumns({"row_ord": F.col("row_ord") + F.col("row_from"), "source": F.lit(1)}).drop("row_from"))
     if embed is None and encode is not None:
         embed = mapping.embedding_step(spark, encode)
     rows = out.keep("rows", read)
@@ -166,12 +169,12 @@ def analyze_files(files: DataFrame, read_pdf=None, recognise: readers.Recogniser
     """The analysis of files (doc_id the path, kind, content; ``readers.files`` or a batch of ``streaming.ingest.file_stream``).
 
     filing: from a path to the filing it belongs to; without it the path less its ending, so that a workbook goes with the report of the
-    same name. Files that cannot be read are in ``errors``. options: as for ``analyze``.
+    same name. Each file is read once, each page once; what cannot be read is in ``errors``. options: as for ``analyze``.
     """
     filing = filing or (lambda path: F.regexp_replace(path, r"\.[^./\\]*$", ""))
-    read = readers.documents(files, read_pdf, recognise)
-    own = lambda df: df.withColumn("doc_id", filing(F.col("doc_id")))
     out = Analysis(files.sparkSession)
+    read = readers.documents(files, read_pdf, recognise, out.keep)
+    own = lambda df: df.withColumn("doc_id", filing(F.col("doc_id")))
     pages, tables, sheets = (out.keep(n, own(df)) for n, df in (("pages", read.pages), ("tables", read.tables), ("sheets", read.sheets)))
     out.relations["errors"] = read.errors
     return analyze(pages, tables, sheets, out=out, **options)

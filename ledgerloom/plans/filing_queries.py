@@ -207,7 +207,7 @@ def chosen_tables(spark, sf_dir):
 
 
 _SCORE = " + ".join(f"CAST(contains(lower(replace(t, chr(0), '')), '{w}') AS INTEGER)" for w in dict.fromkeys(w[:5] for w in X._WORDS))
-_CONTENT = " ".join(f"WHEN {' OR '.join(f'contains(lower(t), {_quote(n)})' for n in needles)} THEN '{kind}'" for kind, needles in X._SHEET_PHRASES)
+_CONTENT = " ".join(f"WHEN {' OR '.join(f'contains(lower(t), {_quote(n)})' for n in needles)} THEN '{kind}'" for kind, needles in X.SHEET_PHRASES)
 #: Documents under a title page.
 _TITLED = """SELECT doc_id, source, concat(CASE doc_id % 5 WHEN 0 THEN 'ACME WIDGETS INDIA LIMITED' WHEN 1 THEN 'Acme Limited' WHEN 2 THEN 'SHORT LTD' WHEN 3 THEN 'THE OTHER TRADING COMPANY LTD' ELSE 'Profit and Loss' END, '\n', CASE doc_id % 3 WHEN 0 THEN 'for the year ended 31 March 2025' WHEN 1 THEN 'Period  end 1 April 2024 ' ELSE 'March 31, 2025' END, '\n', coalesce(text, '')) AS t FROM documents"""
 

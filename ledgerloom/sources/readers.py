@@ -1,12 +1,10 @@
-"""Document readers over Spark's binaryFile source: spreadsheets and word documents by the standard library, archives,
-PDF by pdfplumber (or a reader passed in) and images by a recogniser passed in. One task reads one file at a time; a file that cannot be
-read, or whose ending is not known, gives an error row, never a failed job."""
+"""Document readers over Spark's binaryFile source: spreadsheets (``xlsx``) and word documents by the standard library, archives,
+PDF page by page (``pdf``) and images by a recogniser passed in. A file, sheet or page that cannot be read, and a file that no reader takes, gives an
+error row, never a failed job; what else the file holds is read."""
 
 from __future__ import annotations
 
 import io
-import itertools
-import re
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -16,15 +14,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import sheet_type
+from ..functions.text import SHEET_PHRASES, sheet_type
 from ..operators import tables as tables_ops
+from . import pdf, xlsx
+from .pdf import PAGE, PerWorker, Plumber, Recogniser
 
 #: File endings and how they are read.
 KINDS = {".pdf": "pdf", ".docx": "docx", ".png": "image", ".jpg": "image", ".jpeg": "image", ".xlsx": "xlsx", ".zip": "zip"}
-#: Columns that a merged title spreads to beyond the used area at most, and cells up to which short rows are padded to the longest.
-MERGED_WIDTH, MAX_PADDED = 16, 1 << 20
-_S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -41,78 +37,11 @@ def file_kind(path: Column) -> Column:
     return case
 
 
-def _column_number(reference: str) -> int:
-    n = 0
-    for c in re.match(r"[A-Z]+", reference)[0]:
-        n = 26 * n + ord(c) - 64
-    return n - 1
-
-
-def _text(node) -> str:
-    return "".join(t.text or "" for t in node.iter(f"{_S}t"))
-
-
 def read_xlsx(content: bytes) -> list[dict]:
-    """Sheets: name, rows, merged ranges (0-based, inclusive) and comments."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = set(z.namelist())
-        tree = lambda name: ElementTree.fromstring(z.read(name))
-        shared = [_text(si) for si in tree("xl/sharedStrings.xml").iter(f"{_S}si")] if "xl/sharedStrings.xml" in names else []
-        links = {r.get("Id"): r.get("Target") for r in tree("xl/_rels/workbook.xml.rels")}
-        out = []
-        for sheet in tree("xl/workbook.xml").iter(f"{_S}sheet"):
-            target = links[sheet.get(f"{_R}id")].lstrip("/")
-            path = target if target.startswith("xl/") else f"xl/{target}"
-            root = tree(path)
-            cells: dict[tuple[int, int], str] = {}
-            for c in root.iter(f"{_S}c"):
-                ref = c.get("r")
-                value = _cell_value(c, shared)
-                if value is not None:
-                    cells[int(re.sub(r"\D", "", ref)) - 1, _column_number(ref)] = value
-            merged = []
-            height, width = (max((x[i] for x in cells), default=-1) + 1 for i in (0, 1))
-            for m in root.iter(f"{_S}mergeCell"):
-                a, _, b = m.get("ref").partition(":")
-                top, bottom = ((int(re.sub(r"\D", "", x)) - 1, _column_number(x)) for x in (a, b or a))
-                merged.append((*top, *bottom))
-            used = [(top, left, min(bottom, max(height - 1, top)), min(right, max(width - 1, left + MERGED_WIDTH))) for top, left, bottom, right in merged if (top, left) in cells]
-            for top, left, bottom, right in used:
-                for r in sorted({top, *(r for r, _ in cells if top <= r <= bottom)}) if bottom - top > len(cells) else range(top, bottom + 1):
-                    for k in range(left, right + 1):
-                        cells[r, k] = cells[top, left]
-            by_row: dict[int, dict[int, str]] = {}
-            for (r, k), value in cells.items():
-                by_row.setdefault(r, {})[k] = value
-            # The first row is the header even if it is empty; other empty rows say nothing and may be a million.
-            rows = [[by_row.get(r, {}).get(k) for k in range(max(by_row.get(r, {}), default=-1) + 1)] for r in sorted({0, *by_row})] if cells else []
-            longest = max(map(len, rows), default=0)
-            rows = [[*r, *[None] * (longest - len(r))] for r in rows] if longest * len(rows) <= MAX_PADDED else rows
-            out.append({"name": sheet.get("name"), "rows": rows, "merged": merged, "comments": _comments(z, path, names)})
-        return out
-
-
-def _cell_value(c, shared: list[str]) -> str | None:
-    v = c.find(f"{_S}v")
-    if c.get("t") == "inlineStr":
-        return _text(c)
-    if v is None or v.text is None:
-        return None
-    return shared[int(v.text)] if c.get("t") == "s" else v.text
-
-
-def _comments(z: zipfile.ZipFile, path: str, names: set[str]) -> list[tuple[str, str, str]]:
-    folder, _, base = path.rpartition("/")
-    rels = f"{folder}/_rels/{base}.rels"
-    out = []
-    if rels in names:
-        for r in ElementTree.fromstring(z.read(rels)):
-            if r.get("Type", "").endswith("/comments"):
-                target = "xl/" + r.get("Target").replace("../", "").removeprefix("/xl/")
-                root = ElementTree.fromstring(z.read(target))
-                authors = [a.text or "" for a in root.iter(f"{_S}author")]
-                out += [(c.get("ref"), _text(c), authors[int(c.get("authorId", 0))] if authors else "") for c in root.iter(f"{_S}comment")]
-    return out
+    """Sheets, whole: name, rows, merged ranges (0-based, inclusive), comments, and the values of commented cells."""
+    with xlsx.Workbook(content) as book:
+        found = [book.sheet(i) for i in range(len(book.paths))]
+        return [{"name": x.name, "rows": list(x.rows), "merged": x.merged, "comments": x.comments, "commented": x.commented} for x in found]
 
 
 def read_docx(content: bytes) -> tuple[str, list[list[list[str]]]]:
@@ -137,12 +66,20 @@ def unzip(content: bytes, ending: str = ".pdf") -> Iterator[tuple[str, bytes]]:
                 yield n, z.read(n)
 
 
-#: Rows of one file that are handed on together.
-ROWS = 64
+#: Rows of one file that are handed on together, and bytes of files that reach a Python worker at once.
+ROWS, BATCH_BYTES = 64, "64m"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Bounds the files that a worker gets in one batch, where the session leaves that open."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark._jsparkSession.sessionState().conf().contains(name):
+        spark.conf.set(name, BATCH_BYTES)
 
 
 def _reader(frame: DataFrame, kind: str, read: Callable[[bytes], Iterable[tuple]], schema: str, fields: list[tuple[str, pa.DataType]], rows: int = ROWS) -> DataFrame:
     """doc_id, the fields of each row read, and error. A file that breaks off gives the rows read till then and an error row."""
+    prepare(frame.sparkSession)
 
     def packed(doc_id: str, part: list[tuple], error: str | None) -> pa.RecordBatch:
         columns = [pa.array([r[i] for r in part], t) for i, (_, t) in enumerate(fields)]
@@ -152,35 +89,93 @@ def _reader(frame: DataFrame, kind: str, read: Callable[[bytes], Iterable[tuple]
         for batch in batches:
             for i in range(batch.num_rows):  # one file's bytes at a time
                 doc_id, content = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                held: list[tuple] = []
                 try:
-                    source = iter(read(content))
-                    while part := list(itertools.islice(source, rows)):
-                        yield packed(doc_id, part, None)
+                    for row in read(content):
+                        held.append(row)
+                        if len(held) == rows:
+                            yield packed(doc_id, held, None)
+                            held = []
+                    yield packed(doc_id, held, None)
                 except Exception as e:  # a broken file is data, not a failure of the job
+                    yield packed(doc_id, held, None)
                     yield packed(doc_id, [(None,) * len(fields)], f"{type(e).__name__}: {e}")
 
     return frame.where(F.col("kind") == kind).select("doc_id", "content").mapInArrow(run, f"doc_id string, {schema}, error string")
 
 
 def unread(frame: DataFrame) -> DataFrame:
-    """doc_id, error of files whose ending no reader takes."""
+    """doc_id, error of files that ``documents`` does not read: those of other endings, and archives."""
     name = F.regexp_extract("doc_id", r"(\.[^./\\]*)$", 1)
-    return frame.where(F.col("kind").isNull()).select("doc_id", F.concat(F.lit("Unsupported file type: "), F.lower(name)).alias("error"))
+    return frame.where(F.col("kind").isNull() | (F.col("kind") == "zip")).select("doc_id", F.concat(F.lit("Unsupported file type: "), F.lower(name)).alias("error"))
 
 
 _GRID = pa.list_(pa.list_(pa.string()))
+_COMMENT = pa.struct([("cell_ref", pa.string()), ("value", pa.string()), ("author", pa.string())])
+#: Fields of what the spreadsheet reader hands on: parts of a sheet's rows, then a row (part null) of what is known at its end.
+_SHEET = [("sheet_ord", pa.int32()), ("part", pa.int32()), ("row_from", pa.int32()), ("headers", pa.list_(pa.string())), ("rows", _GRID), ("sheet_name", pa.string()), ("marks", pa.string()), ("comments", pa.list_(_COMMENT)), ("commented", pa.map_(pa.string(), pa.string())), ("failed", pa.string())]
+_SHEET_SQL = "sheet_ord int, part int, row_from int, headers array<string>, rows array<array<string>>, sheet_name string, marks string, comments array<struct<cell_ref:string,value:string,author:string>>, commented map<string,string>, failed string"
+
+
+def _sheet_parts(content: bytes) -> Iterator[tuple]:
+    """A sheet that breaks off keeps what was read of it, and the sheets after it are read."""
+    phrases = [p for _, own in SHEET_PHRASES for p in own]
+    with xlsx.Workbook(content) as book:
+        for i, (name, _) in enumerate(book.paths):
+            headers, part, seen, kept, failed, sheet = None, 0, 0, [], None, None
+            marks = xlsx.Phrases(phrases)
+            try:
+                sheet = book.sheet(i)
+                for row in sheet.rows:
+                    marks.see(row)
+                    if headers is None:
+                        headers = row
+                        continue
+                    kept.append(row)
+                    if len(kept) == xlsx.PART:
+                        yield i, part, seen, headers, kept, None, None, None, None, None
+                        part, seen, kept = part + 1, seen + len(kept), []
+            except Exception as e:  # a broken sheet is data, not a failure of the job
+                failed = f"sheet {name}: {type(e).__name__}: {e}"
+            if kept:
+                yield i, part, seen, headers, kept, None, None, None, None, None
+            comments = [dict(zip(("cell_ref", "value", "author"), c, strict=True)) for c in sheet.comments] if sheet else []
+            yield i, None, None, headers, None, name, " ".join(marks.found), comments, list(sheet.commented.items()) if sheet else [], failed
+
+
+def sheet_parts(frame: DataFrame) -> DataFrame:
+    """What the spreadsheet reader hands on: rows of sheets in parts of some thousand, and what is known at a sheet's end. Memory is bounded by a part."""
+    return _reader(frame, "xlsx", _sheet_parts, _SHEET_SQL, _SHEET, rows=1)
+
+
+def sheets_of(parts: DataFrame) -> DataFrame:
+    """doc_id, sheet_ord, sheet_name, sheet_type, headers (the first row), row_from, rows, comments, commented: a row for each part of a sheet's rows.
+
+    row_from: the number of the part's first row. comments: cell, text and author; commented: the commented cells' values. Sheets are typed by their whole text.
+    """
+    good = parts.where(F.col("error").isNull() & F.col("sheet_ord").isNotNull())
+    ends = good.where(F.col("part").isNull()).select("doc_id", "sheet_ord", "sheet_name", sheet_type(F.col("sheet_name"), F.col("marks")).alias("sheet_type"), F.col("headers").alias("own_headers"), "comments", "commented")
+    rows = good.where(F.col("part").isNotNull()).select("doc_id", "sheet_ord", "row_from", "rows")
+    empty = F.array().cast("array<array<string>>")
+    return ends.join(rows, ["doc_id", "sheet_ord"], "left").select("doc_id", "sheet_ord", "sheet_name", "sheet_type", F.coalesce("own_headers", F.array().cast("array<string>")).alias("headers"), F.coalesce("row_from", F.lit(0)).alias("row_from"), F.coalesce("rows", empty).alias("rows"), "comments", "commented")
 
 
-def sheets(frame: DataFrame) -> DataFrame:
-    """doc_id, sheet_ord, sheet_name, sheet_type, headers (the first row), rows, comments, error of spreadsheets."""
-    comment = pa.list_(pa.struct([("cell_ref", pa.string()), ("value", pa.string()), ("author", pa.string())]))
+def sheet_errors(parts: DataFrame) -> DataFrame:
+    """doc_id, error of workbooks and of single sheets."""
+    return parts.select("doc_id", F.coalesce("error", "failed").alias("error")).where(F.col("error").isNotNull())
 
-    def read(content: bytes) -> list[tuple]:
-        return [(i, s["name"], s["rows"], [dict(zip(("cell_ref", "value", "author"), c, strict=True)) for c in s["comments"]]) for i, s in enumerate(read_xlsx(content))]
 
-    raw = _reader(frame, "xlsx", read, "sheet_ord int, sheet_name string, grid array<array<string>>, comments array<struct<cell_ref:string,value:string,author:string>>", [("sheet_ord", pa.int32()), ("sheet_name", pa.string()), ("grid", _GRID), ("comments", comment)])
-    sample = F.array_join(F.flatten("grid"), " ")  # the whole sheet: a title may be missing, and line items tell as well
-    return raw.select("doc_id", "sheet_ord", "sheet_name", sheet_type(F.col("sheet_name"), F.coalesce(sample, F.lit(""))).alias("sheet_type"), F.get("grid", F.lit(0)).alias("headers"), F.slice("grid", 2, F.greatest(F.size("grid"), F.lit(1))).alias("rows"), "comments", "error")
+def sheets(frame: DataFrame) -> DataFrame:
+    """doc_id, sheet_ord, sheet_name, sheet_type, headers (the first row), rows, comments, commented, error of spreadsheets: each sheet a row.
+
+    A workbook that cannot be read is a row with an error. Sheets of very many rows are better taken in parts (``sheets_of``).
+    """
+    parts = sheet_parts(frame)
+    found = sheets_of(parts)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("row_from", "rows"))), lambda p: p["rows"])
+    keys = ["doc_id", "sheet_ord", "sheet_name", "sheet_type", "headers"]
+    whole = found.groupBy("doc_id", "sheet_ord").agg(*(F.first(c).alias(c) for c in keys[2:]), F.flatten(listed).alias("rows"), F.first("comments").alias("comments"), F.first("commented").alias("commented"))
+    return whole.withColumn("error", F.lit(None).cast("string")).unionByName(sheet_errors(parts), allowMissingColumns=True)
 
 
 def word_documents(frame: DataFrame) -> DataFrame:
@@ -188,52 +183,22 @@ def word_documents(frame: DataFrame) -> DataFrame:
     return _reader(frame, "docx", lambda c: [(1, *read_docx(c))], "page_num int, raw_text string, tables array<array<array<string>>>", [("page_num", pa.int32()), ("raw_text", pa.string()), ("tables", pa.list_(_GRID))])
 
 
-#: Characters under which a page with images is read by the recogniser, pages looked at for a PDF's kind, and how many of them need text.
-BLANK, SAMPLED, TYPED_CHARS, TYPED_PAGES = 30, 5, 50, 3
-PAGE = "page_num int, raw_text string, tables array<array<array<string>>>, ocr boolean"
-Recogniser = Callable[[object], list[str]]
-
-
 def pdf_pages(frame: DataFrame, read: Callable[[bytes], Iterable[tuple[int, str, list, bool]]] | None = None, recognise: Recogniser | None = None) -> DataFrame:
     """doc_id, page_num, raw_text, tables, ocr, error of PDF files.
 
-    read: gives (page number, text, tables, whether by OCR) of each page; pdfplumber if it is installed, else an error row.
+    read: a ``plumber``, whose files are read page by page over all tasks, or a function that gives (page number, text, tables, whether by OCR) of
+    each page of one file, in one task. Without it pages are read by pdfplumber; where that is not installed each file is an error row.
     """
-    return _reader(frame, "pdf", read or plumber(recognise), PAGE, [("page_num", pa.int32()), ("raw_text", pa.string()), ("tables", pa.list_(_GRID)), ("ocr", pa.bool_())])
+    reader = read or plumber(recognise)
+    if isinstance(reader, Plumber):
+        prepare(frame.sparkSession)
+        return pdf.pages(frame.where(F.col("kind") == "pdf"), reader)
+    return _reader(frame, "pdf", reader, PAGE, pdf.FIELDS[:-1])
 
 
-def plumber(recognise: Recogniser | None = None, opened: Callable[[bytes], object] | None = None) -> Callable[[bytes], Iterator[tuple]]:
-    """A reader of PDF pages. recognise: gives the lines of text of a page's picture; opened: stands in for pdfplumber.open.
-
-    A file with too little text on its first pages is scanned: its pages are pictures, read one at a time, without tables. In a typed file
-    a page that is nearly blank and holds images is read as a picture too, and the longer text stays.
-    """
-
-    def read(content: bytes) -> Iterator[tuple]:
-        with (opened or _plumber)(content) as pdf:
-            text = lambda page: page.extract_text(x_tolerance=3, y_tolerance=3) or ""
-            picture = lambda page: "\n".join(recognise(page.to_image(resolution=200).original))
-            typed = sum(len(text(p)) > TYPED_CHARS for p in pdf.pages[:SAMPLED]) >= TYPED_PAGES
-            for i, page in enumerate(pdf.pages, 1):
-                if not typed and recognise:
-                    yield i, picture(page), [], True
-                    continue
-                by = lambda how, page=page: page.extract_tables({"vertical_strategy": how, "horizontal_strategy": how})
-                found = by("lines") or by("text")
-                own, ocr = text(page), False
-                if recognise and len(own.strip()) < BLANK and page.images:
-                    seen = picture(page)
-                    if len(seen.strip()) > len(own.strip()):
-                        own, ocr = seen, True
-                yield i, own, found or [], ocr
-
-    return read
-
-
-def _plumber(content: bytes):
-    import pdfplumber
-
-    return pdfplumber.open(io.BytesIO(content))
+def plumber(recognise: Recogniser | None = None, opened: Callable[[bytes], object] | None = None) -> Plumber:
+    """A reader of PDF pages. recognise: gives the lines of text of a page's picture (``PerWorker`` for one that is dear to build); opened: stands in for pdfplumber.open."""
+    return Plumber(recognise, opened)
 
 
 def image_pages(frame: DataFrame, recognise: Recogniser) -> DataFrame:
@@ -255,7 +220,7 @@ def archived(frame: DataFrame, ending: str = ".pdf") -> DataFrame:
 
 @dataclass
 class Documents:
-    """pages (doc_id, page_num, raw_text, ocr), tables (doc_id, page_num, table_ord, headers, rows), sheets, and errors (doc_id, error)."""
+    """pages (doc_id, page_num, raw_text, ocr), tables (doc_id, page_num, table_ord, headers, rows), sheets (``sheets_of``), and errors (doc_id, error)."""
 
     pages: DataFrame
     tables: DataFrame
@@ -270,27 +235,30 @@ def _split_tables(found: DataFrame, clean: Callable[[Column], Column]) -> DataFr
     return cut.where(F.size("grid") > 0).select("doc_id", "page_num", "table_ord", headers.alias("headers"), F.slice("grid", 2, F.size("grid")).alias("rows"))
 
 
-def documents(frame: DataFrame, read_pdf: Callable[[bytes], Iterable[tuple]] | None = None, recognise: Recogniser | None = None) -> Documents:
+def documents(frame: DataFrame, read_pdf: Callable[[bytes], Iterable[tuple]] | None = None, recognise: Recogniser | None = None, keep: Callable[[str, DataFrame], DataFrame] | None = None) -> Documents:
     """All files (doc_id, kind, content), read, cleaned and put in the shape that the analysis takes.
 
     PDF: tables cleaned, a page's tables replaced by the one rebuilt from its lines where that has more labels, tables that go on
     over a page joined. Word documents: one page, tables cleaned. Images: recognised text, an error row without a recogniser.
+
+    keep: writes what the readers give and gives it back as a table; without it each use of a result reads the files again.
     """
-    pdf = pdf_pages(frame, read_pdf, recognise)
-    word = word_documents(frame)
-    image = image_pages(frame, recognise or _no_recogniser)
+    keep = keep or (lambda name, df: df)
+    found = keep("read_pdf", pdf_pages(frame, read_pdf, recognise))
+    word = keep("read_word", word_documents(frame))
+    image = keep("read_images", image_pages(frame, recognise or _no_recogniser))
+    parts = keep("read_sheets", sheet_parts(frame))
     page = ["doc_id", "page_num", "raw_text", "ocr"]
     good = F.col("error").isNull()
-    typed = pdf.where(good & ~F.col("ocr"))
+    typed = found.where(good & ~F.col("ocr"))
     rebuilt = tables_ops.reconstruct(typed)
-    pdf_tables = tables_ops.merge_across_pages(tables_ops.choose_tables(_split_tables(pdf.where(good), tables_ops.clean_pdf_rows), rebuilt))
+    pdf_tables = tables_ops.merge_across_pages(tables_ops.choose_tables(_split_tables(found.where(good), tables_ops.clean_pdf_rows), rebuilt))
     word_tables = _split_tables(word.where(good), tables_ops.clean_docx_rows)
-    pages = pdf.where(good).select(*page).unionByName(word.where(good).withColumn("ocr", F.lit(False)).select(*page)).unionByName(image.where(good).select(*page))
-    excel = sheets(frame)
-    errors = unread(frame)
-    for part in (pdf, word, image, excel):
+    pages = found.where(good).select(*page).unionByName(word.where(good).withColumn("ocr", F.lit(False)).select(*page)).unionByName(image.where(good).select(*page))
+    errors = unread(frame).unionByName(sheet_errors(parts))
+    for part in (found, word, image):
         errors = errors.unionByName(part.where(~good).select("doc_id", "error"))
-    return Documents(pages, pdf_tables.unionByName(word_tables), excel.where(good).drop("error"), errors)
+    return Documents(pages, pdf_tables.unionByName(word_tables), sheets_of(parts), errors)
 
 
 def _no_recogniser(content: bytes) -> list[str]:
