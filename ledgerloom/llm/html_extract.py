@@ -10,13 +10,18 @@ goes, below LEAST_INSIDE), elements that are navigation, footers, scripts and th
 elements that only a word of their class or id names, are doubtful: they go, unless they hold an article, or TEXT_SHARE of the text
 that importance leaves of the page (of the article, if there is one).
 
-From each page go the branches of low importance: blocks whose weighted importance is below LEAST, and outside articles whole branches
+A block's own text decides whether the statistics speak of it at all: sibling blocks of equal name share a node, so a node may be low because some of its
+texts repeat, while others stand on one page alone. A block whose text is not repeated counts as important, whatever its node. Repeated means shown by MIN_PAGES
+articles of the host, not pages: pages are taken for copies of one article if the blocks that a set of pages shares are as many as those of any
+other set (``page_groups``), so an article published under several titles or dates keeps its paragraphs, and so do the other pages of its host.
+
+From each page go the branches of low importance: repeated blocks whose weighted importance is below LEAST, and outside articles whole branches
 whose text has a mean importance below LEAST_BRANCH, with the odd line in them that differs. What is left are the page's text blocks. A page never
 loses all its blocks to the statistics.
 
-Statistics are counts per (host, node, fingerprint) over the distinct pages of a host (pages of the same text count once, else
+Statistics are counts per (host, node, fingerprint) and per (host, node, block's text) over the distinct pages of a host (pages of the same text count once, else
 copies would look like boilerplate), aggregated before the shuffle and spread over all pages, so a host with a third of all
-pages is no hot spot; only the nodes' importance travels back to the pages.
+pages is no hot spot; only the nodes' importance and the keys of repeated blocks travel back to the pages.
 
 Defined cases: null or empty html gives an empty text of 0 characters; a null url, or one without a host, belongs to the host
 ''; nodes seen on fewer than MIN_PAGES distinct pages of a host have no statistics and
@@ -41,6 +46,7 @@ from pyspark.sql import types as T
 
 from .bytescan import column, groups, texts_of
 from .decontaminate import Shipped
+from .pairing import spread_join
 from .store import Scratch, prepare
 
 #: Pages that a node's statistics need, weight of presentation in importance, least importance of what stays.
@@ -51,7 +57,7 @@ LEAST_INSIDE, LEAST_BRANCH = 0.2, 0.2
 DEPTH = 512
 #: Share of a page's text with which a doubtful element is no noise.
 TEXT_SHARE = 0.5
-#: Nodes that may be broadcast (12 bytes each; about 150 in the driver while they are sorted).
+#: Nodes, and repeated blocks, that may be broadcast (12 and 8 bytes each; about 150 in the driver while they are sorted).
 MAX_BROADCAST_NODES = 1 << 20
 
 #: HTML's void elements, elements whose content is no markup, and elements that stand as blocks.
@@ -220,6 +226,11 @@ def node_key(host: str, key: int) -> int:
     return xxhash.xxh3_64_intdigest(f"{host}\0{key}".encode()) - (1 << 63)
 
 
+def block_key(host: str, key: int, text: str) -> int:
+    """A text at a node of the host's style tree."""
+    return xxhash.xxh3_64_intdigest(f"{host}\0{key}\0{text}".encode()) - (1 << 63)
+
+
 def _low_branches(page: Page, heard: list[tuple[Element, str, float | None]]) -> set[Element]:
     """Elements outside articles, with all that is in them, of whose text nearly all repeats on the host's pages."""
     size: dict[Element, list[float]] = {}
@@ -240,9 +251,10 @@ def _low_branches(page: Page, heard: list[tuple[Element, str, float | None]]) ->
     return low
 
 
-def main_text(page: Page, weight) -> str:
-    """weight(key): the importance that the site's statistics give the node, None if they have none."""
-    heard = [(e, text, weight(e.key)) for e, text in page.blocks if not e.noise]
+def main_text(page: Page, weight, repeated=lambda key, text: True) -> str:
+    """weight(key): the importance that the site's statistics give the node, None if they have none; repeated(key, text): whether a text repeats there."""
+    weighed = lambda w, key, text: w if w is None or repeated(key, text) else max(w, 1.0)
+    heard = [(e, text, weighed(weight(e.key), e.key, text)) for e, text in page.blocks if not e.noise]
     low = _low_branches(page, heard) if any(w is not None for *_, w in heard) else ()
     stays = lambda e, w: e not in low and (w is None or w >= (LEAST_INSIDE if e.content else LEAST))
     kept = [b for b in heard if stays(b[0], b[2])] or heard
@@ -279,6 +291,43 @@ def fingerprints(page: Page) -> dict[int, dict[int, int]]:
     return {kind: {key: xxhash.xxh3_64_intdigest("\n".join(values).encode()) - (1 << 63) for key, values in found.items()} for kind, found in ((0, looks), (1, reads))}
 
 
+def page_number(page: Page) -> int:
+    """The same for pages of the same text."""
+    return xxhash.xxh3_64_intdigest("\0".join(text for e, text in page.blocks if not e.noise).encode()) - (1 << 63)
+
+
+def page_groups(blocks: DataFrame) -> DataFrame:
+    """page, article of distinct (page, block): pages that are copies of one article have the same one.
+
+    Each block stands for the set of pages that show it. A page belongs to the set that most of its blocks stand for, the set of more pages if
+    several are as many: to a set of its own if it is unlike all others, to the set of its copies if it is one.
+    """
+    sets = blocks.groupBy("block").agg(F.struct(F.count("page").alias("pages"), F.sum(F.col("page").cast("decimal(20,0)")).alias("sum")).alias("shown"))
+    met = spread_join(blocks, sets, "block", F.col("page"))
+    votes = met.groupBy("page", "shown").agg(F.count("block").alias("n"))
+    return votes.groupBy("page").agg(F.max_by("shown", F.struct("n", "shown")).alias("article"))
+
+
+def repeated_blocks(own: DataFrame, scratch: Scratch) -> DataFrame:
+    """block keys of the texts that MIN_PAGES articles or more show at a node of their host."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in groups(batches, "html"):
+            blocks, numbers = [], []
+            for url, source in zip(texts_of(batch, "url"), texts_of(batch, "html"), strict=True):
+                page, host = Page(source), host_of(url)
+                found = {block_key(host, e.key, text) for e, text in page.blocks if not e.noise}
+                blocks += found
+                numbers += [page_number(page) ^ node_key(host, 0)] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(blocks, pa.int64())], ["page", "block"])
+
+    blocks = scratch.write(own.mapInArrow(cut, "page long, block long").distinct())
+    often = blocks.groupBy("block").agg(F.count("page").alias("n")).where(F.col("n") >= MIN_PAGES).select("block", F.lit(True).alias("often"))
+    shown = spread_join(blocks, often, "block", F.col("page")).where("often").drop("often")
+    articles = shown.join(page_groups(blocks), "page").select("block", "article").distinct()
+    return articles.groupBy("block").agg(F.count("article").alias("n")).where(F.col("n") >= MIN_PAGES).select("block")
+
+
 def node_counts(own: DataFrame) -> DataFrame:
     """node, kind (0 presentation, 1 content) and fingerprint of each node of each distinct page, counted."""
 
@@ -287,7 +336,7 @@ def node_counts(own: DataFrame) -> DataFrame:
             nodes, kinds, prints, numbers = [], [], [], []
             for url, source in zip(texts_of(batch, "url"), texts_of(batch, "html"), strict=True):
                 page, host = Page(source), host_of(url)
-                number = xxhash.xxh3_64_intdigest("\0".join(text for e, text in page.blocks if not e.noise).encode()) - (1 << 63)
+                number = page_number(page)
                 for kind, found in fingerprints(page).items():
                     nodes += [node_key(host, key) for key in found]
                     kinds += [kind] * len(found)
@@ -317,46 +366,59 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
     own = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     scratch = Scratch(spark)
     known = scratch.write(importance(own).select("node", "importance"))
+    often = scratch.write(repeated_blocks(own, scratch))
     schema = T.StructType([own.schema["page_id"], T.StructField("url", T.StringType()), T.StructField("text", T.StringType())])
-    if known.count() <= max_broadcast_nodes:
+    if known.count() + often.count() <= max_broadcast_nodes:
         table = np.array(sorted((r.node, r.importance) for r in known.toLocalIterator()), [("node", np.int64), ("importance", np.float32)])
-        shipped = Shipped(spark.sparkContext.broadcast(table))
+        shipped = Shipped(spark.sparkContext.broadcast((table, np.sort(np.array([r.block for r in often.toLocalIterator()], np.int64)))))
 
         def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            nodes, values = np.ascontiguousarray(shipped.value["node"]), shipped.value["importance"]
+            nodes, values, blocks = np.ascontiguousarray(shipped.value[0]["node"]), shipped.value[0]["importance"], shipped.value[1]
 
             def weight(host: str, node: int) -> float | None:
                 key = node_key(host, node)
                 at = int(np.searchsorted(nodes, key))
                 return float(values[at]) if at < len(nodes) and int(nodes[at]) == key else None
 
+            def repeated(host: str, node: int, text: str) -> bool:
+                key = block_key(host, node, text)
+                at = int(np.searchsorted(blocks, key))
+                return at < len(blocks) and int(blocks[at]) == key
+
             for batch in groups(batches, "html"):
-                texts = [main_text(Page(source), lambda node, host=host_of(u): weight(host, node)) for u, source in zip(texts_of(batch, "url"), texts_of(batch, "html"), strict=True)]
+                rows = zip(texts_of(batch, "url"), texts_of(batch, "html"), strict=True)
+                texts = [main_text(Page(source), lambda node, host=host_of(u): weight(host, node), lambda node, text, host=host_of(u): repeated(host, node, text)) for u, source in rows]
                 yield pa.RecordBatch.from_arrays([column(batch, "page_id"), column(batch, "url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
         return own.mapInArrow(prune, schema)
 
-    # Too many nodes to broadcast: each page's nodes meet them in a join keyed by the node, spread over all pages by a salt.
+    # Too many to broadcast: each page's nodes and blocks meet them in a join keyed by the node or block, spread over all pages by a salt.
     numbered = scratch.write(own.withColumn("row", F.monotonically_increasing_id()))
 
     def heard_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups(batches, "html"):
             rows, nodes = [], []
             for row, u, source in zip(texts_of(batch, "row"), texts_of(batch, "url"), texts_of(batch, "html"), strict=True):
-                own_nodes = {node_key(host_of(u), e.key) for e, _ in Page(source).blocks if not e.noise}
+                host = host_of(u)
+                heard = [(e.key, text) for e, text in Page(source).blocks if not e.noise]
+                own_nodes = {node_key(host, key) for key, _ in heard} | {block_key(host, key, text) for key, text in heard}
                 nodes += own_nodes
                 rows += [row] * len(own_nodes)
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(nodes, pa.int64())], ["row", "node"])
 
     salts = 16
     salted = numbered.mapInArrow(heard_nodes, "row long, node long").withColumn("salt", F.pmod("row", F.lit(salts)))
-    spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
+    both = known.unionByName(often.select(F.col("block").alias("node"), F.lit(None).cast("double").alias("importance")))
+    spread = both.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
     found = salted.join(spread, ["node", "salt"]).groupBy("row").agg(F.collect_set(F.struct("node", "importance")).alias("weights"))
 
     def prune_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups(batches, "html"):
             rows = zip(texts_of(batch, "url"), texts_of(batch, "html"), texts_of(batch, "weights"), strict=True)
-            texts = [main_text(Page(source), lambda node, host=host_of(u), found={x["node"]: float(np.float32(x["importance"])) for x in weights or ()}: found.get(node_key(host, node))) for u, source, weights in rows]
+            texts = []
+            for u, source, weights in rows:
+                host, found, blocks = host_of(u), {x["node"]: float(np.float32(x["importance"])) for x in weights or () if x["importance"] is not None}, {x["node"] for x in weights or () if x["importance"] is None}
+                texts.append(main_text(Page(source), lambda node, h=host, f=found: f.get(node_key(h, node)), lambda node, text, h=host, b=blocks: block_key(h, node, text) in b))
             yield pa.RecordBatch.from_arrays([column(batch, "page_id"), column(batch, "url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return numbered.join(found, "row", "left").mapInArrow(prune_joined, schema)
