@@ -13,7 +13,7 @@ A pair at the threshold is found with probability RECALL or more at any number o
 nearer pairs are found far more surely.
 
 Defined cases: a vector that is null, empty, zero, or has null or non-finite components links with nothing and is its own
-component; vectors of different lengths never link; equal vectors are linked, repeated rows included; a null id is carried along
+component; very large and very small vectors are scaled by a power of two before they are squared, which changes no cosine; vectors of different lengths never link; equal vectors are linked, repeated rows included; a null id is carried along
 but is no component's name while others have one; an empty table gives an empty result; other columns are not read.
 """
 
@@ -183,9 +183,14 @@ def cosine_at_least(threshold: float) -> pairing.Linked:
     return linked
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """The vectors with largest components from a half to one: times a power of two, so no digit is lost and no square over- or underflows."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
+
+
 def _vectors(batch: pa.RecordBatch, name: str) -> np.ndarray:
     flat = np.asarray(column(batch, name).flatten(), np.float64)
-    return flat.reshape(batch.num_rows, -1)
+    return scaled(flat.reshape(batch.num_rows, -1))
 
 
 def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
@@ -212,7 +217,7 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([np.array(x, np.float64).tobytes() for x in column(batch, "v").to_pylist()], pa.binary())], ["node", "component", "size", "weight", "payload"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([scaled(np.array([x], np.float64)).tobytes() for x in column(batch, "v").to_pylist()], pa.binary())], ["node", "component", "size", "weight", "payload"])
 
         return rows.mapInArrow(pack, "node long, component long, size long, weight long, payload binary")
 
@@ -229,7 +234,7 @@ def _candidates(classes: DataFrame, n: int, threshold: float, sample: int, scrat
     """u, v edges between codes that are near in some table; classes: node and v, all of one length."""
     spark = classes.sparkSession
     chosen = classes.orderBy("node").limit(sample).select("v").toArrow().column("v").combine_chunks()  # nodes are hashes
-    learned = np.asarray(chosen.flatten(), np.float64).reshape(len(chosen), -1)
+    learned = scaled(np.asarray(chosen.flatten(), np.float64).reshape(len(chosen), -1))
     rotation = Rotation(learned)
     flips = flipped(rotation, threshold_pairs(learned, threshold))
     masks, radius = table_masks(n, rotation.bits, flips), radius_of(flips)
