@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.similarity import weighted_ratio
+from ..functions.similarity_join import Variants
 from ..functions.text import clean_label
 from ..functions.vocabulary import STATEMENT, chart, lookup, variants_frame
 from .retrieval import best_by_cosine
@@ -54,9 +55,10 @@ def fuzzy_scores(labels: DataFrame) -> DataFrame:
     variants = [(key, v) for _, key, vs in chart() for v in vs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, fixed = np.array([k for k, _ in variants], object), Variants([v for _, v in variants])
         for batch in batches:
-            found = [_best_variant(x, variants) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["label", "fuzzy_key", "score"])
+            best, score = fixed.best(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys[best], pa.string()), pa.array(score)], ["label", "fuzzy_key", "score"])
 
     return labels.select("label").mapInArrow(run, "label string, fuzzy_key string, score double")
 

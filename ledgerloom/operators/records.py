@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.similarity import partial_ratio
+from ..functions.similarity_join import partial_matrix
 from ..functions.text import any_of, blank, first_header, let, parse_in_lambda, rate_cell, strip, total_column, year_columns
 from .tables import is_empty_table
 
@@ -120,34 +121,44 @@ CWIP_AGEING = {"less_than_1_year": ["less than 1 year"], "1_to_2_years": ["1-2 y
 BUCKET_SCORE = 70
 
 
-def match_buckets(headers: list[str | None], buckets: dict[str, list[str]]) -> dict[str, int]:
-    """Column of each bucket: the best header by partial ratio above the bound, the first of equals."""
+def match_buckets(scores: dict[str, dict[str, float]], headers: list[str | None], buckets: dict[str, list[str]]) -> dict[str, int]:
+    """Column of each bucket: the best header by partial ratio above the bound, the first of equals. scores: of each header with each bucket."""
     out = {}
-    for bucket, names in buckets.items():
-        scored = [(max(partial_ratio(h.lower(), n) for n in names), -i) for i, h in enumerate(headers) if h]
-        best = max(scored, default=(0.0, 0))
+    for bucket in buckets:
+        best = max(((scores[h][bucket], -i) for i, h in enumerate(headers) if h), default=(0.0, 0))
         if best[0] > BUCKET_SCORE:
             out[bucket] = -best[1]
     return out
 
 
-def match_buckets_in_turn(headers: list[str | None], buckets: dict[str, list[str]]) -> dict[str, int]:
+def match_buckets_in_turn(scores: dict[str, dict[str, float]], headers: list[str | None], buckets: dict[str, list[str]]) -> dict[str, int]:
     """Column of each bucket: its first header above the bound; a later bucket takes a column over."""
     owner: dict[int, str] = {}
-    for bucket, names in buckets.items():
-        at = next((i for i, h in enumerate(headers) if h and any(partial_ratio(h.lower(), n) > BUCKET_SCORE for n in names)), None)
+    for bucket in buckets:
+        at = next((i for i, h in enumerate(headers) if h and scores[h][bucket] > BUCKET_SCORE), None)
         if at is not None:
             owner[at] = bucket
     return {bucket: at for at, bucket in owner.items()}
 
 
+def bucket_scores(headers: list[str], buckets: dict[str, list[str]]) -> dict[str, dict[str, float]]:
+    """For each header its best partial ratio with the spellings of each bucket."""
+    names = [n for own in buckets.values() for n in own]
+    found = partial_matrix([h.lower() for h in headers], names)
+    at = np.cumsum([0, *(len(own) for own in buckets.values())])[:-1]
+    best = np.maximum.reduceat(found, at, axis=1) if headers else found
+    return {h: dict(zip(buckets, row, strict=True)) for h, row in zip(headers, best.tolist(), strict=True)}
+
+
 def with_buckets(tables: DataFrame, buckets: dict[str, list[str]], compat: bool = False) -> DataFrame:
     """The tables with cols, a map from bucket to column, matched once per distinct header row."""
     match = match_buckets_in_turn if compat else match_buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [list(match(h or [], buckets).items()) for h in batch.column(0).to_pylist()]
+            rows = batch.column(0).to_pylist()
+            scores = bucket_scores(sorted({h for row in rows for h in row or () if h}), buckets)
+            found = [list(match(scores, row or [], buckets).items()) for row in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.map_(pa.string(), pa.int32()))], ["headers", "cols"])
 
     schema = T.StructType([tables.schema["headers"], T.StructField("cols", T.MapType(T.StringType(), T.IntegerType()))])
