@@ -1,22 +1,28 @@
 """Nearest passages of a standards corpus, and its incremental index.
 
-Queries are few (one per rule), passages many: queries are broadcast, and Spark's group limit keeps the k best
-a query and task before the shuffle, so passages times queries are never exchanged. More queries than MAX_QUERIES go in blocks of
-about that size, each block against all passages; likewise candidates.
+Queries are few (one per rule), passages many: the queries' vectors travel to the passages, whose batches meet them in one matrix product, and of each query
+only what can be among its k best leaves the task; Spark's group limit merges that before the shuffle, so passages times queries are never exchanged and no
+pair of them is a row. More queries than MAX_QUERIES go in blocks of about that size, each block against all passages; likewise candidates.
+Rows without a vector, with a null in it, or of another length than the other side's, are near nothing.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .pages import chunk_index
 
 #: Queries, or candidates, of one block, which is broadcast.
 MAX_QUERIES = 10_000
+#: Products of a batch that are held at once.
+CELLS = 1 << 22
 
 
 def in_blocks(rows: DataFrame, by: str, block: int) -> list[DataFrame]:
@@ -26,12 +32,55 @@ def in_blocks(rows: DataFrame, by: str, block: int) -> list[DataFrame]:
     return [rows] if n <= 1 else [rows.where(F.pmod(F.xxhash64(by), F.lit(2 * n)) == k) for k in range(2 * n)]
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v)
+def usable(embedding: str = "embedding") -> Column:
+    return F.coalesce(F.forall(embedding, lambda x: x.isNotNull()), F.lit(False))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
+class Fixed:
+    """The side that travels: its columns without the vector, and its vectors by length."""
+
+    def __init__(self, rows: DataFrame):
+        table = rows.where(usable()).toArrow().combine_chunks()
+        self.columns = table.drop_columns(["embedding"])
+        vectors = table.column("embedding").combine_chunks()
+        sizes = np.asarray(vectors.value_lengths()) if len(vectors) else np.zeros(0, np.int64)
+        self.places = {int(d): np.flatnonzero(sizes == d) for d in np.unique(sizes)}
+        self.vectors = {d: matrix(vectors.take(pa.array(at)), d) for d, at in self.places.items()}
+
+
+def matrix(vectors: pa.Array, d: int) -> np.ndarray:
+    return np.asarray(vectors.flatten(), np.float64).reshape(len(vectors), d)
+
+
+def met(rows: DataFrame, fixed: DataFrame, choose: Callable[[], Callable], value: str) -> DataFrame:
+    """Rows (without their embedding) beside rows of the fixed side, and the exact value of each pair that ``choose`` keeps.
+
+    choose: makes, for each task, a function of the fixed places and vectors and a batch's vectors that gives the kept pairs (batch row, fixed row) and values.
+    """
+    shipped = rows.sparkSession.sparkContext.broadcast(Fixed(fixed))
+    keys = [c for c in rows.columns if c != "embedding"]
+    fields = [f for f in fixed.schema.fields if f.name != "embedding"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        side, kept = shipped.value, choose()
+        step = max(1, CELLS // max(1, sum(map(len, side.places.values()))))
+        for whole in batches:
+            for begin in range(0, whole.num_rows, step):
+                batch = whole.slice(begin, step)
+                vectors = batch.column(batch.schema.get_field_index("embedding"))
+                sizes = np.asarray(vectors.value_lengths())
+                for d in np.unique(sizes).tolist():
+                    if d not in side.places:
+                        continue
+                    at = np.flatnonzero(sizes == d)
+                    x, y, values = kept(side.places[d], side.vectors[d], matrix(vectors.take(pa.array(at)), d))
+                    left, right = batch.take(pa.array(at[x])), side.columns.take(pa.array(side.places[d][y])).combine_chunks()
+                    own = [left.column(left.schema.get_field_index(c)) for c in keys]
+                    other = [right.column(f.name).combine_chunks() if len(x) else pa.array([], right.column(f.name).type) for f in fields]
+                    yield pa.RecordBatch.from_arrays([*own, *other, pa.array(values, pa.float64())], [*keys, *(f.name for f in fields), value])
+
+    schema = T.StructType([*(rows.schema[c] for c in keys), *fields, T.StructField(value, T.DoubleType())])
+    return rows.where(usable()).mapInArrow(run, schema)
 
 
 def nearest(queries: DataFrame, passages: DataFrame, k: int = 3, tie: str = "chunk_index", digits: int = 5, block: int = MAX_QUERIES) -> DataFrame:
@@ -41,20 +90,42 @@ def nearest(queries: DataFrame, passages: DataFrame, k: int = 3, tie: str = "chu
 
 
 def _nearest(queries: DataFrame, passages: DataFrame, k: int, tie: str, digits: int) -> DataFrame:
-    pairs = passages.join(F.broadcast(queries.select("query", F.col("embedding").alias("__q"))))
-    scored = pairs.withColumn("distance", F.round(squared_distance(F.col("embedding"), F.col("__q")), digits)).drop("__q", "embedding")
-    order = [F.col("distance"), F.col(tie)]
-    near = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("rank") <= k)
+    slack = 2 * 10.0**-digits  # distances that may round alike
+
+    def choose() -> Callable:
+        kth: dict[int, np.ndarray] = {}  # by length: the k-th smallest distance of each query in the task so far
+        smallest: dict[int, np.ndarray] = {}
+
+        def kept(places: np.ndarray, own: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            d = x.shape[1]
+            by_product = (x * x).sum(axis=1)[:, None] + (own * own).sum(axis=1)[None, :] - 2 * (x @ own.T)
+            held = np.vstack([smallest.get(d, np.zeros((0, len(own)))), by_product])
+            smallest[d] = np.partition(held, k - 1, axis=0)[:k] if len(held) > k else held
+            kth[d] = smallest[d].max(axis=0) if len(held) >= k else np.full(len(own), np.inf)
+            room = slack + 1e-9 * (1 + np.abs(kth[d]))
+            i, j = np.nonzero(by_product <= (kth[d] + np.where(np.isfinite(kth[d]), room, 0))[None, :])
+            return i, j, np.concatenate([np.zeros(0), *(((x[i[at : at + 4096]] - own[j[at : at + 4096]]) ** 2).sum(axis=1) for at in range(0, len(i), 4096))])
+
+        return kept
+
+    scored = met(passages, queries, choose, "distance").withColumn("distance", F.round("distance", digits))
+    near = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", tie))).where(F.col("rank") <= k)
     return near.withColumn("score", F.lit(1.0) - F.col("distance")).drop("distance")
 
 
 def best_by_cosine(queries: DataFrame, candidates: DataFrame, threshold: float, block: int = MAX_QUERIES) -> DataFrame:
     """The candidate of greatest cosine (unit vectors) of each query, if above the threshold; the first of equals."""
-    bests = []
-    for part in in_blocks(candidates.select("candidate", "ord", "embedding"), "ord", block):
-        pairs = queries.join(F.broadcast(part.select("candidate", "ord", F.col("embedding").alias("__c"))))
-        bests.append(pairs.select("query", "candidate", "ord", F.round(dot(F.col("embedding"), F.col("__c")), 6).alias("cosine")))
-    scored = functools.reduce(DataFrame.unionByName, bests)
+
+    def choose() -> Callable:
+        def kept(places: np.ndarray, own: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            products = x @ own.T
+            i, j = np.nonzero(products >= np.maximum(products.max(axis=1), threshold)[:, None] - 2e-6)  # what may round alike
+            return i, j, products[i, j]
+
+        return kept
+
+    parts = in_blocks(candidates.select("candidate", "ord", "embedding"), "ord", block)
+    scored = functools.reduce(DataFrame.unionByName, [met(queries.select("query", "embedding"), part, choose, "cosine") for part in parts]).withColumn("cosine", F.round("cosine", 6))
     best = scored.groupBy("query").agg(F.max_by(F.struct("candidate", "cosine"), F.struct(F.col("cosine"), -F.col("ord"))).alias("b"))
     return best.select("query", "b.*").where(F.col("cosine") > threshold)
 
