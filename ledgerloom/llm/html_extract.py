@@ -12,8 +12,9 @@ that importance leaves of the page (of the article, if there is one).
 
 A block's own text decides whether the statistics speak of it at all: sibling blocks of equal name share a node, so a node may be low because some of its
 texts repeat, while others stand on one page alone. A block whose text is not repeated counts as important, whatever its node. Repeated means shown by MIN_PAGES
-articles of the host, not pages: pages are taken for copies of one article if the blocks that a set of pages shares are as many as those of any
-other set (``page_groups``), so an article published under several titles or dates keeps its paragraphs, and so do the other pages of its host.
+articles of the host, not pages: pages are taken for copies of one article if they share more blocks with one another than each has for itself
+(``page_groups``), so an article published under several titles or dates keeps its paragraphs, and so do the other pages of its host. An article of so few
+paragraphs that each copy has as many blocks of its own is not told from boilerplate.
 
 From each page go the branches of low importance: repeated blocks whose weighted importance is below LEAST, and outside articles whole branches
 whose text has a mean importance below LEAST_BRANCH, with the odd line in them that differs. What is left are the page's text blocks. A page never
@@ -279,7 +280,7 @@ def main_text(page: Page, weight, repeated=lambda key, text: True) -> str:
 
 
 def fingerprints(page: Page) -> dict[int, dict[int, int]]:
-    """For kind 0 (presentation) and 1 (content): the fingerprint of each node of the page that is not noise."""
+    """For LOOKS (presentation) and READS (content): the fingerprint of each node of the page that is not noise."""
     looks: dict[int, list] = {}
     reads: dict[int, list] = {}
     for e in page.elements:
@@ -288,72 +289,68 @@ def fingerprints(page: Page) -> dict[int, dict[int, int]]:
     for e, text in page.blocks:
         if not e.noise:
             reads.setdefault(e.key, []).append(text)
-    return {kind: {key: xxhash.xxh3_64_intdigest("\n".join(values).encode()) - (1 << 63) for key, values in found.items()} for kind, found in ((0, looks), (1, reads))}
+    return {kind: {key: xxhash.xxh3_64_intdigest("\n".join(values).encode()) - (1 << 63) for key, values in found.items()} for kind, found in ((LOOKS, looks), (READS, reads))}
 
 
-def page_number(page: Page) -> int:
-    """The same for pages of the same text."""
-    return xxhash.xxh3_64_intdigest("\0".join(text for e, text in page.blocks if not e.noise).encode()) - (1 << 63)
+def page_groups(blocks: DataFrame, shared: DataFrame) -> DataFrame:
+    """page, article of the pages that share blocks: copies of one article have the same one.
 
-
-def page_groups(blocks: DataFrame) -> DataFrame:
-    """page, article of distinct (page, block): pages that are copies of one article have the same one.
-
-    Each block stands for the set of pages that show it. A page belongs to the set that most of its blocks stand for, the set of more pages if
-    several are as many: to a set of its own if it is unlike all others, to the set of its copies if it is one.
+    blocks: distinct (page, block); shared: those that several pages show, with the set of these pages (its size and sum). A page belongs to the set that most of
+    its shared blocks stand for, the set of more pages if several are as many, but to itself alone if as many blocks are its own.
     """
-    sets = blocks.groupBy("block").agg(F.struct(F.count("page").alias("pages"), F.sum(F.col("page").cast("decimal(20,0)")).alias("sum")).alias("shown"))
-    met = spread_join(blocks, sets, "block", F.col("page"))
-    votes = met.groupBy("page", "shown").agg(F.count("block").alias("n"))
-    return votes.groupBy("page").agg(F.max_by("shown", F.struct("n", "shown")).alias("article"))
+    votes = shared.groupBy("page", "shown").agg(F.count("block").alias("n"))
+    best = votes.groupBy("page").agg(F.max(F.struct("n", "shown")).alias("most"), F.sum("n").alias("shared"))
+    alone = F.struct(F.lit(1).cast("long").alias("pages"), F.col("page").cast("decimal(38,0)").alias("sum"))
+    own = blocks.groupBy("page").agg(F.count("block").alias("n"))
+    return best.join(own, "page").select("page", F.when(F.col("most.n") > F.col("n") - F.col("shared"), F.col("most.shown")).otherwise(alone).alias("article"))
 
 
-def repeated_blocks(own: DataFrame, scratch: Scratch) -> DataFrame:
+def repeated_blocks(own: DataFrame, scratch: Scratch, merged: DataFrame | None = None, max_broadcast: int = MAX_BROADCAST_NODES) -> DataFrame:
     """block keys of the texts that MIN_PAGES articles or more show at a node of their host."""
+    blocks = (merge(own) if merged is None else merged).where(F.col("kind") == BLOCKS).select("page", F.col("node").alias("block"))
+    sets = blocks.groupBy("block").agg(F.count("page").alias("pages"), F.sum(F.col("page").cast("decimal(20,0)")).cast("decimal(38,0)").alias("sum")).where("pages > 1")
+    sets = scratch.write(sets.select("block", F.struct("pages", "sum").alias("shown")))
+    met = blocks.join(F.broadcast(sets), "block") if sets.count() <= max_broadcast // 4 else spread_join(blocks, sets, "block", F.col("page")).where(F.col("shown").isNotNull())
+    shared = scratch.write(met.select("page", "block", "shown"))
+    often = shared.where(F.col("shown.pages") >= MIN_PAGES).join(page_groups(blocks, shared), "page").select("block", "article").distinct()
+    return often.groupBy("block").agg(F.count("article").alias("n")).where(F.col("n") >= MIN_PAGES).select("block")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in groups(batches, "html"):
-            blocks, numbers = [], []
-            for url, source in zip(texts_of(batch, "url"), texts_of(batch, "html"), strict=True):
-                page, host = Page(source), host_of(url)
-                found = {block_key(host, e.key, text) for e, text in page.blocks if not e.noise}
-                blocks += found
-                numbers += [page_number(page) ^ node_key(host, 0)] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(blocks, pa.int64())], ["page", "block"])
 
-    blocks = scratch.write(own.mapInArrow(cut, "page long, block long").distinct())
-    often = blocks.groupBy("block").agg(F.count("page").alias("n")).where(F.col("n") >= MIN_PAGES).select("block", F.lit(True).alias("often"))
-    shown = spread_join(blocks, often, "block", F.col("page")).where("often").drop("often")
-    articles = shown.join(page_groups(blocks), "page").select("block", "article").distinct()
-    return articles.groupBy("block").agg(F.count("article").alias("n")).where(F.col("n") >= MIN_PAGES).select("block")
+#: Kinds of what pages show: presentations and contents of nodes, and texts at nodes.
+LOOKS, READS, BLOCKS = 0, 1, 2
 
 
-def node_counts(own: DataFrame) -> DataFrame:
-    """node, kind (0 presentation, 1 content) and fingerprint of each node of each distinct page, counted."""
+def merge(own: DataFrame) -> DataFrame:
+    """node (for BLOCKS, the block's key), kind, page and print (a fingerprint of what the page shows there) of each distinct page, once."""
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups(batches, "html"):
             nodes, kinds, prints, numbers = [], [], [], []
             for url, source in zip(texts_of(batch, "url"), texts_of(batch, "html"), strict=True):
                 page, host = Page(source), host_of(url)
-                number = page_number(page)
-                for kind, found in fingerprints(page).items():
-                    nodes += [node_key(host, key) for key in found]
-                    kinds += [kind] * len(found)
-                    prints += found.values()
-                    numbers += [number] * len(found)
+                number = xxhash.xxh3_64_intdigest("\0".join([host, *(text for e, text in page.blocks if not e.noise)]).encode()) - (1 << 63)
+                found = fingerprints(page)
+                for kind, own_prints in found.items():
+                    nodes += [node_key(host, key) for key in own_prints]
+                    kinds += [kind] * len(own_prints)
+                    prints += own_prints.values()
+                blocks = {block_key(host, e.key, text) for e, text in page.blocks if not e.noise}
+                nodes += blocks
+                kinds += [BLOCKS] * len(blocks)
+                prints += [0] * len(blocks)
+                numbers += [number] * (len(nodes) - len(numbers))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(kinds, pa.int32()), pa.array(prints, pa.int64()), pa.array(numbers, pa.int64())], ["node", "kind", "print", "page"])
 
-    distinct = own.mapInArrow(merge, "node long, kind int, print long, page long").groupBy("node", "kind", "page").agg(F.min("print").alias("print"))
-    return distinct.groupBy("node", "kind", "print").count()
+    return own.mapInArrow(show, "node long, kind int, print long, page long").groupBy("node", "kind", "page").agg(F.min("print").alias("print"))
 
 
-def importance(own: DataFrame) -> DataFrame:
-    """node, pages, importance: entropies of content and presentation, each over its greatest value."""
+def importance(own: DataFrame, merged: DataFrame | None = None) -> DataFrame:
+    """node, pages, importance: entropies of content and presentation, each over its greatest value. merged: what ``merge`` gives, where it is kept."""
     c = F.col("count").cast("double")
     share = lambda n, s: 1 - s / (n * F.log(n))  # entropy / log(n)
     pick = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x).otherwise(0.0))
-    sums = node_counts(own).groupBy("node").agg(pick(0, c).alias("looks"), pick(0, c * F.log(c)).alias("looks_log"), pick(1, c).alias("pages"), pick(1, c * F.log(c)).alias("pages_log"))
+    counts = (merge(own) if merged is None else merged).where(F.col("kind") != BLOCKS).groupBy("node", "kind", "print").count()
+    sums = counts.groupBy("node").agg(pick(0, c).alias("looks"), pick(0, c * F.log(c)).alias("looks_log"), pick(1, c).alias("pages"), pick(1, c * F.log(c)).alias("pages_log"))
     kept = sums.where(F.col("pages") >= MIN_PAGES)
     looks = F.when(F.col("looks") >= MIN_PAGES, share(F.col("looks"), F.col("looks_log"))).otherwise(F.lit(1.0))
     return kept.select("node", "pages", ((1 - PRESENTATION) * share(F.col("pages"), F.col("pages_log")) + PRESENTATION * looks).alias("importance"))
@@ -365,8 +362,9 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
     prepare(spark)
     own = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     scratch = Scratch(spark)
-    known = scratch.write(importance(own).select("node", "importance"))
-    often = scratch.write(repeated_blocks(own, scratch))
+    merged = scratch.write(merge(own))
+    known = scratch.write(importance(own, merged).select("node", "importance"))
+    often = scratch.write(repeated_blocks(own, scratch, merged, max_broadcast_nodes))
     schema = T.StructType([own.schema["page_id"], T.StructField("url", T.StringType()), T.StructField("text", T.StringType())])
     if known.count() + often.count() <= max_broadcast_nodes:
         table = np.array(sorted((r.node, r.importance) for r in known.toLocalIterator()), [("node", np.int64), ("importance", np.float32)])

@@ -41,7 +41,10 @@ def brute_repeated(rows):
     article = {}
     for number, blocks in blocks_of.items():
         votes = Counter(frozenset(shown[b]) for b in blocks)
-        if votes:
+        alone = votes.pop(frozenset([number]), 0)
+        if alone and alone >= max(votes.values(), default=0):
+            article[number] = {number}
+        elif votes:
             most = max(votes.values())
             largest = max(len(s) for s, n in votes.items() if n == most)
             article[number] = {s for s, n in votes.items() if n == most and len(s) == largest}
@@ -56,7 +59,8 @@ def test_repeated_blocks_equal_brute_force(spark):
         pages.append((i, f"https://s{i % 2}.example/{i}", page(f"Title {i}", [*story, "All rights reserved by us."][: rng.randrange(2, 7)])))
     pages += pages[:10] + [(None, None, None), (900, "", "")]
     own = spark.createDataFrame(pages, "page_id long, url string, html string")
-    got = {r.block for r in h.repeated_blocks(own, h.Scratch(spark)).collect()}
+    got, spread = ({r.block for r in h.repeated_blocks(own, h.Scratch(spark), max_broadcast=bound).collect()} for bound in (h.MAX_BROADCAST_NODES, 0))
+    assert got == spread
     shown, article = brute_repeated([p[1:] for p in pages])
     assert all(len(a) == 1 for a in article.values())  # no tie between sets of one size, which only their sums would settle
     wanted = {b for b, numbers in shown.items() if len({next(iter(article[n])) for n in numbers}) >= h.MIN_PAGES}
