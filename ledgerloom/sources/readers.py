@@ -218,6 +218,30 @@ def archived(frame: DataFrame, ending: str = ".pdf") -> DataFrame:
     return _reader(frame, "zip", lambda c: unzip(c, ending), "name string, content binary", [("name", pa.string()), ("content", pa.binary())], rows=1)
 
 
+def archive_members(frame: DataFrame, ending: str = ".pdf") -> DataFrame:
+    """doc_id (the archive), name, content, error of the files of one ending in archives. A broken archive is a row with an error, a broken member too."""
+    prepare(frame.sparkSession)
+
+    def packed(doc_id: str, name: str | None, content: bytes | None, error: str | None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([doc_id]), pa.array([name], pa.string()), pa.array([content], pa.binary()), pa.array([error], pa.string())], ["doc_id", "name", "content", "error"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                doc_id, content = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        for name in sorted(n for n in z.namelist() if n.lower().endswith(ending)):
+                            try:
+                                yield packed(doc_id, name, z.read(name), None)
+                            except Exception as e:  # a broken member is data, not a failure of the job
+                                yield packed(doc_id, name, None, f"{type(e).__name__}: {e}")
+                except Exception as e:
+                    yield packed(doc_id, None, None, f"{type(e).__name__}: {e}")
+
+    return frame.where(F.col("kind") == "zip").select("doc_id", "content").mapInArrow(run, "doc_id string, name string, content binary, error string")
+
+
 @dataclass
 class Documents:
     """pages (doc_id, page_num, raw_text, ocr), tables (doc_id, page_num, table_ord, headers, rows), sheets (``sheets_of``), and errors (doc_id, error)."""
