@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import retrieval
 from ..sources import readers
+from ..sources.index_table import IndexTable
+from .analysis import shared_folder
+from .corpus import build_standards
 from .queries import _query
 
 _NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
@@ -96,3 +102,64 @@ def pdf_pages(spark, sf_dir):
     files = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("pdf").alias("kind"), F.encode("text", "UTF-8").alias("content"))
     found = readers.pdf_pages(files, readers.plumber(opened=_File))
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), "page_num", F.sha2(F.encode("raw_text", "UTF-8"), 256).alias("text_sha256"))
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+
+
+@_query("index_table_upserts", "SELECT source AS source_filename, doc_id AS chunk_index, CASE WHEN lang = 'es' THEN 'new ' ELSE 'old ' END || coalesce(CAST(length(text) AS VARCHAR), 'none') AS text FROM documents")
+def index_table_upserts(spark, sf_dir):
+    """Three upserts of an index: all documents, those of one language anew, and the same once more."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    chunk = lambda d, mark: d.select(F.col("source").alias("source_filename"), F.col("doc_id").alias("chunk_index"), F.concat(F.lit(mark), F.coalesce(F.length("text").cast("string"), F.lit("none"))).alias("text"))
+    table = IndexTable(spark, _folder(spark))
+    table.upsert(chunk(docs, "old "))
+    for _ in range(2):
+        table.upsert(chunk(docs.where("lang = 'es'"), "new "))
+    return table.read()
+
+
+@_query("incremental_skip_by_name", "SELECT DISTINCT source || '-' || lang AS source_filename FROM documents WHERE lang <> 'es'")
+def incremental_skip_by_name(spark, sf_dir):
+    names = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat_ws("-", "source", "lang").alias("source_filename"), "lang").distinct()
+    return retrieval.not_indexed(names.select("source_filename"), names.where("lang = 'es'"))
+
+
+#: Documents of an archive.
+_MEMBERS = 20
+
+
+def _archives(docs: DataFrame) -> DataFrame:
+    """Archives of some documents each, a member a document; of each a second member that is no text of a page file."""
+    listed = docs.groupBy(F.floor(F.col("doc_id") / _MEMBERS).alias("archive")).agg(F.collect_list(F.struct("doc_id", "text")).alias("members"))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for archive, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w") as z:
+                    for m in members:
+                        z.writestr(f"in/{m['doc_id']}.pdf", m["text"])
+                    z.writestr("read.me", "no file of pages")
+                yield pa.RecordBatch.from_arrays([pa.array([f"{archive}.zip"]), pa.array(["zip"]), pa.array([out.getvalue()], pa.binary())], ["doc_id", "kind", "content"])
+
+    return listed.mapInArrow(made, "doc_id string, kind string, content binary")
+
+
+def _letters(texts: list[str]) -> np.ndarray:
+    """An encoder that stands in for a model: counts of some letters."""
+    return np.array([[1 + t.count(c) for c in "aeiou"] for t in texts], float)
+
+
+@_query("standards_corpus", r"""WITH p AS (SELECT doc_id, p, array_to_string(list_filter(regexp_split_to_array(substr(text, (p - 1) * 400 + 1, 400), '[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x <> ''), ' ') AS t
+ FROM (SELECT doc_id, text, unnest(range(1, (length(text) + 399) // 400 + 1)) AS p FROM documents WHERE length(text) > 0))
+SELECT doc_id || '.pdf' AS source_filename, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS INTEGER) AS chunk_index, CAST(p AS INTEGER) AS page_number, sha256(t) AS text_sha256 FROM p WHERE t <> ''""")
+def standards_corpus(spark, sf_dir):
+    """Archives to index in two runs, the second with a third of the documents more; pages are short, so each is a chunk."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.length("text") > 0)
+    table = IndexTable(spark, _folder(spark))
+    for part in (docs.where("lang <> 'es'"), docs):
+        _, _, run = build_standards(_archives(part), table, _letters, readers.plumber(opened=_File))
+        run.release()
+    return table.read().select("source_filename", F.col("chunk_index").cast("int").alias("chunk_index"), "page_number", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
