@@ -141,26 +141,77 @@ def graph_counts(found: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(edges.groupBy("doc_id").agg(F.count("*").alias("edges")), "doc_id", "left").fillna(0, ["edges"])
 
 
-def resolved_texts(found: DataFrame, edges: DataFrame) -> DataFrame:
-    """A note with what it refers to, two steps deep, in depth-first order, each note once.
+def depth_first(root: str, edges: list[dict], depth: int) -> list[tuple[str, str | None]]:
+    """(note, note it was met from) in the order of a walk from the root, each note once. edges: src, dst, in the order of their mentions.
 
-    A note met at depth two before it is reached at depth one is not expanded again.
+    A note met first at the last depth is not gone on from, even if a later branch would meet it nearer to the root.
     """
-    step = edges.select("doc_id", "src", "dst", "edge_ord")
-    one = step.select("doc_id", F.col("src").alias("root"), F.col("dst").alias("node"), F.col("src").alias("via"), F.col("edge_ord").alias("o1"), F.lit(None).cast(step.schema["edge_ord"].dataType).alias("o2"), F.lit(1).alias("depth"))
-    two = one.drop("o2", "via", "depth").withColumnRenamed("node", "mid").join(step.withColumnsRenamed({"src": "mid", "dst": "node", "edge_ord": "o2"}), ["doc_id", "mid"]).where(F.col("node") != F.col("root"))
-    # A middle note that an earlier branch has already shown at depth two is not expanded.
-    seen_first = Window.partitionBy("doc_id", "root", "node").orderBy("o1", F.col("o2").asc_nulls_first())
-    both = one.unionByName(two.select("doc_id", "root", "node", F.col("mid").alias("via"), "o1", "o2", F.lit(2).alias("depth")))
-    firsts = both.withColumn("n", F.row_number().over(seen_first)).where(F.col("n") == 1).drop("n")
-    live = firsts.where(F.col("depth") == 1).select("doc_id", "root", F.col("node").alias("via"))
-    reached = firsts.where(F.col("depth") == 1).unionByName(firsts.where(F.col("depth") == 2).join(live, ["doc_id", "root", "via"], "left_semi").select(*firsts.columns))
-    told = reached.join(found.select("doc_id", F.col("note_id").alias("node"), "full_id", "raw_text"), ["doc_id", "node"])
-    piece = F.concat(F.lit("=== "), "full_id", F.lit(" (referenced by Note "), "via", F.lit(") ===\n"), "raw_text")
-    parts = told.groupBy("doc_id", F.col("root").alias("note_id")).agg(F.array_sort(F.collect_list(F.struct("o1", F.coalesce(F.col("o2"), F.struct(F.lit(-1).alias("src_ord"), F.lit(-1).alias("style"), F.lit(-1).alias("pos"))).alias("o2"), piece.alias("piece")))).alias("parts"))
-    joined = found.join(parts, ["doc_id", "note_id"], "left")
-    own = F.concat(F.lit("=== "), "full_id", F.lit(" ===\n"), "raw_text")
-    return joined.select("doc_id", "note_id", F.array_join(F.concat(F.array(own), F.coalesce(F.transform("parts", lambda p: p.piece), F.array().cast("array<string>"))), "\n\n").alias("resolved"))
+    ahead: dict[str, list[str]] = {}
+    for e in edges:
+        ahead.setdefault(e["src"], []).append(e["dst"])
+    seen, out = {root}, [(root, None)]
+    walk = [(root, iter(ahead.get(root, ())))] if depth > 0 else []
+    while walk:
+        node, rest = walk[-1]
+        met = next((n for n in rest if n not in seen), None)
+        if met is None:
+            walk.pop()
+            continue
+        seen.add(met)
+        out.append((met, node))
+        if len(walk) < depth:
+            walk.append((met, iter(ahead.get(met, ()))))
+    return out
+
+
+def walks(roots: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
+    """doc_id, root, place, node, via of the notes met from each root (doc_id, root) within ``depth`` steps, in depth-first order.
+
+    The edges that a walk can use are gathered frontier by frontier, from the roots alone; the walk itself is over one root's edges, those of one filing at most.
+    """
+    step = edges.select("doc_id", F.col("src").alias("node"), "dst", "edge_ord")
+    seen = frontier = roots.select("doc_id", "root", F.col("root").alias("node")).distinct()
+    used = None
+    for k in range(depth):
+        ahead = frontier.join(step, ["doc_id", "node"])
+        used = ahead if used is None else used.unionByName(ahead)
+        if k + 1 < depth:
+            frontier = ahead.select("doc_id", "root", F.col("dst").alias("node")).distinct().join(seen, ["doc_id", "root", "node"], "left_anti")
+            seen = seen.unionByName(frontier)
+    start = roots.select("doc_id", "root").distinct()
+    if used is None:
+        listed = start.withColumn("edges", F.array().cast("array<struct<src:string,dst:string>>"))
+    else:
+        own = F.transform(F.array_sort(F.collect_list(F.struct("edge_ord", "node", "dst"))), lambda e: F.struct(e["node"].alias("src"), e["dst"].alias("dst")))
+        listed = start.join(used.groupBy("doc_id", "root").agg(own.alias("edges")), ["doc_id", "root"], "left")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, places, rows = [], [], []
+            for i, (root, own) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                found = depth_first(root, own or [], depth)
+                at += [i] * len(found)
+                places += range(len(found))
+                rows += found
+            taken = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), pa.array(places, pa.int32()), *(pa.array([r[i] for r in rows], pa.string()) for i in (0, 1))], ["doc_id", "root", "place", "node", "via"])
+
+    return listed.mapInArrow(walk, f"doc_id {roots.schema['doc_id'].dataType.simpleString()}, root string, place int, node string, via string")
+
+
+def resolved_texts(found: DataFrame, edges: DataFrame, roots: DataFrame | None = None, depth: int = 2) -> DataFrame:
+    """Notes with what they refer to, ``depth`` steps deep, in depth-first order, each note once; of the roots (doc_id, note_id) alone if they are given."""
+    known = found.select("doc_id", F.col("note_id").alias("root"))
+    wanted = known if roots is None else known.join(roots.select("doc_id", F.col("note_id").alias("root")).distinct(), ["doc_id", "root"], "left_semi")
+    told = walks(wanted, edges, depth).join(found.select("doc_id", F.col("note_id").alias("node"), "full_id", "raw_text"), ["doc_id", "node"])
+    piece = F.concat(F.lit("=== "), "full_id", F.coalesce(F.concat(F.lit(" (referenced by Note "), "via", F.lit(")")), F.lit("")), F.lit(" ===\n"), "raw_text")
+    parts = F.array_sort(F.collect_list(F.struct("place", piece.alias("piece"))))
+    return told.groupBy("doc_id", F.col("root").alias("note_id")).agg(F.array_join(F.transform(parts, lambda p: p["piece"]), "\n\n").alias("resolved"))
+
+
+def first_notes(flags: DataFrame) -> DataFrame:
+    """doc_id, note_id of the notes whose text some flag asks for."""
+    return flags.select("doc_id", normalize_ref(F.get("note_ids", F.lit(0))).alias("note_id")).where(F.col("note_id").isNotNull()).distinct()
 
 
 def flag_notes(flags: DataFrame, resolved: DataFrame) -> DataFrame:

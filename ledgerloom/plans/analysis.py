@@ -103,14 +103,14 @@ def passages_of(retrieved: DataFrame) -> DataFrame:
 
 def analyze(
     pages: DataFrame, tables: DataFrame, sheets: DataFrame | None = None, cited: DataFrame | None = None, generated_at=None, compat: bool = False, embed=None,
-    *, out: Analysis | None = None, encode: mapping.Encoder | None = None, index: DataFrame | None = None, generate: narrate.Generator | None = None, templates: bool = True, addendum: bool = True, instances: int | None = None,
+    *, out: Analysis | None = None, encode: mapping.Encoder | None = None, index: DataFrame | None = None, generate: narrate.Generator | None = None, templates: bool = True, addendum: bool = True, instances: int | None = None, note_depth: int = 2,
 ) -> Analysis:
     """out: an analysis to go on with. pages: doc_id, page_num, raw_text. tables: doc_id, page_num, table_ord, headers, rows. sheets: doc_id, sheet_ord, sheet_type, headers, rows, and
     row_from where a sheet's rows come in parts.
 
     encode: an encoder of texts; it turns on the embedding step of the mapping and, with index (the standards' passages), retrieval.
     cited: query and citation (narrate.citations), instead of retrieval. generate: a text generator (narrate.observations).
-    compat reproduces the first-match reading of work-in-progress ageing.
+    note_depth: steps from a flag's note to the notes whose texts are told with it. compat reproduces the first-match reading of work-in-progress ageing.
     """
     spark = pages.sparkSession
     out = out or Analysis(spark)
@@ -118,7 +118,6 @@ def analyze(
     found = out.keep("notes", notes.notes(pages))
     note_tables = out.keep("note_tables", notes.note_tables(found, tables).drop("note_ord"))
     edges = out.keep("references", notes.references(found))
-    resolved = out.keep("resolved", notes.resolved_texts(found, edges))
 
     face = pages_ops.uncovered_pages(tables.select("doc_id", "page_num").distinct(), found)
     read = tables_ops.read_rows(tables.join(face, ["doc_id", "page_num"], "left_semi")).withColumns({"source": F.lit(0), "sheet_type": F.lit(None).cast("string")})
@@ -153,6 +152,7 @@ def analyze(
         cited = narrate.citations(retrieved)
         if generate is not None:
             told = told.join(F.broadcast(passages_of(retrieved)), told.standard_query == F.col("query"), "left").drop("query")
+    resolved = out.keep("resolved", notes.resolved_texts(found, edges, notes.first_notes(flags), note_depth))
     out.relations["flag_notes"] = notes.flag_notes(flags, resolved)
     if generate is not None:
         told = notes.flag_notes(told, resolved)
