@@ -38,6 +38,9 @@ def _workbook(rows: list[dict], mac: bool) -> bytes:
         z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
         z.writestr("xl/styles.xml", _STYLES)
         z.writestr("xl/sharedStrings.xml", f"<sst {_NS}>" + "".join(f"<si><t>Status {s}</t></si>" for s in statuses) + "</sst>")
+        noted = "".join(f'<comment ref="D{i}" authorId="0"><text><t>Order </t><t>{r["number"]}</t></text></comment>' for i, r in enumerate(rows, 2) if r["done"])
+        z.writestr("xl/worksheets/_rels/sheet1.xml.rels", '<Relationships><Relationship Id="c" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/comments" Target="../comments1.xml"/></Relationships>')
+        z.writestr("xl/comments1.xml", f"<comments {_NS}><authors><author>Clerk</author></authors><commentList>{noted}</commentList></comments>")
         z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {_NS}><sheetData>{''.join(cells)}</sheetData></worksheet>")
     return out.getvalue()
 
@@ -68,6 +71,15 @@ def workbook_cells(spark, sf_dir):
     )
 
 
+@_query("workbook_comments", """WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + 1 AS line FROM orders)
+SELECT CAST(o_custkey AS BIGINT) AS customer, 'D' || line AS cell_ref, 'Order ' || o_orderkey AS comment, 'Clerk' AS author, o_totalprice AS price FROM o WHERE o_orderstatus = 'F'""")
+def workbook_comments(spark, sf_dir):
+    """Comments with the values of the cells that they are at."""
+    sheets = readers.sheets(_workbooks(spark, sf_dir)).where(F.col("error").isNull())
+    found = sheets.select(F.col("doc_id").cast("long").alias("customer"), "commented", F.inline("comments"))
+    return found.select("customer", "cell_ref", F.col("value").alias("comment"), "author", X.parse_indian_number(F.col("commented")[F.col("cell_ref")]).alias("price"))
+
+
 class _Page:
     images = ()
 

@@ -543,4 +543,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return movements_by_nation(spark, sf_dir)
 
 
-from . import cell_queries, file_queries, filing_queries  # noqa: E402, F401  register more
+from . import cell_queries, file_queries, filing_queries, note_queries  # noqa: E402, F401  register more
