@@ -151,7 +151,7 @@ def analyze(
         retrieved = out.keep("retrieved", retrieve(flags, index, encode))
         cited = narrate.citations(retrieved)
         if generate is not None:
-            told = told.join(F.broadcast(passages_of(retrieved)), told.standard_query == F.col("query"), "left").drop("query")
+            told = told.join(passages_of(retrieved), told.standard_query == F.col("query"), "left").drop("query")
     resolved = out.keep("resolved", notes.resolved_texts(found, edges, notes.first_notes(flags), note_depth))
     out.relations["flag_notes"] = notes.flag_notes(flags, resolved)
     if generate is not None:
