@@ -220,6 +220,11 @@ class Codec:
         ids = ids.astype(np.int64)
         return _gather(self.table.pool, self.table.offsets[ids], self.table.lengths[ids]).tobytes()
 
+    def decoded(self, ids: np.ndarray) -> bytes | None:
+        """None where an id is no token's."""
+        lengths = self.table.lengths
+        return self.decode(ids) if not len(ids) or (int(ids.max()) < len(lengths) and lengths[ids.astype(np.int64)].all()) else None
+
 
 _codecs: dict[str, tuple[int | None, Codec]] = {}
 
@@ -318,12 +323,13 @@ def encode(docs: DataFrame, ranks: str, *, doc_id: str = "doc_id", text: str = "
 
 
 def decode(encoded: DataFrame, ranks: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """The rows with the bytes of their packed ids added as ``out`` (underscores added until the name is free); null ids stay null."""
+    """The rows with the bytes of their packed ids added as ``out`` (underscores added until the name is free). Null ids, ids that the
+    vocabulary does not have and bytes that are no whole ids give null."""
     out = fresh(encoded.columns, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [None if x is None else codec(ranks).decode(np.frombuffer(x, "<u4")) for x in texts_of(batch, ids)]
+            made = [None if x is None or len(x) % 4 else codec(ranks).decoded(np.frombuffer(x, "<u4")) for x in texts_of(batch, ids)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, out])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(out, T.BinaryType())]))
