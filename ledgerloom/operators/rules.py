@@ -135,14 +135,6 @@ _CIN = r"(?U:\b[LUu]\d{5}[A-Za-z]{2}\d{4}[A-Za-z]{3}\d{6}\b)"
 _AUDIT_EXCEPTION = r"(?iU)\bexcept\b|not\s+(?:been\s+)?(?:enabled|operational|operat\w*)\b|(?:did|does)\s+not\s+(?:have|maintain|use)\b|\bdisabled\b|\bdiscontinued\b"
 
 
-def _starts(text: Column, pattern: str) -> Column:
-    """1-based places of all matches, by splitting before each of them; one running sum of the parts' lengths."""
-    parts = F.split(text, f"(?={pattern})")
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("places"))
-    ends = F.aggregate(parts, start, lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.concat(a["places"], F.array(a["at"])).alias("places")), lambda a: a["places"])
-    return F.filter(ends, lambda p: F.substring(text, p, 400).rlike(f"^(?:{pattern})"))
-
-
 def audit_trail_excerpt(text: Column) -> Column:
     """280 characters, white space collapsed, from the first "audit trail" whose next 400 characters tell of an exception."""
     windows = F.regexp_extract_all(text, F.lit(r"(?sU)(?=(?i:audit\s+trail))(?=(.{1,400}))"), 1)
@@ -150,10 +142,20 @@ def audit_trail_excerpt(text: Column) -> Column:
     return strip(F.regexp_replace(F.substring(hit, 1, 280), r"(?U)\s+", " "))
 
 
+#: A company number and the 300 characters before it, or all of a text's first characters before it. The number is looked for first, as looking back is dear, and
+#: dearer the more lengths it may have: the second is for the head of a text alone.
+_CIN_AND_BEFORE, _CIN_IN_HEAD = (rf"(?s)(?={_CIN})(?<=({back}))({_CIN})" for back in (".{300}", r"\A.{0,299}"))
+
+
 def distinct_cins(text: Column) -> Column:
-    """Company numbers that are not named within 300 characters after talk of related parties."""
-    places = F.filter(_starts(text, _CIN), lambda p: ~F.substring(text, F.greatest(p - 300, F.lit(1)), F.least(p - 1, F.lit(300))).rlike(r"(?iU)arm'?s\s+length|related\s+part(?:y|ies)"))
-    return F.array_sort(F.array_distinct(F.transform(places, lambda p: F.upper(F.substring(text, p, 21)))))
+    """Company numbers that are not named within 300 characters after talk of related parties; linear in the text."""
+
+    def named(part: Column, pattern: str) -> Column:
+        before, number = (F.regexp_extract_all(part, F.lit(pattern), k) for k in (1, 2))
+        return F.filter(F.arrays_zip(before.alias("before"), number.alias("number")), lambda x: ~x["before"].rlike(r"(?iU)arm'?s\s+length|related\s+part(?:y|ies)"))
+
+    found = F.concat(named(F.substring(text, 1, 322), _CIN_IN_HEAD), named(text, _CIN_AND_BEFORE))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.upper(x["number"]))))
 
 
 _UNCERTAINTY, _EMPHASIS = r"(?iU)material\s+uncertainty\s+related\s+to\s+going\s+concern", r"(?iU)emphasis\s+of\s+matter"
