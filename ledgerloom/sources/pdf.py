@@ -17,7 +17,6 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Characters under which a page with images is read by the recogniser, pages looked at for a file's kind, and how many of them need text.
 BLANK, SAMPLED, TYPED_CHARS, TYPED_PAGES = 30, 5, 50, 3
