@@ -104,10 +104,19 @@ def _reader(frame: DataFrame, kind: str, read: Callable[[bytes], Iterable[tuple]
     return frame.where(F.col("kind") == kind).select("doc_id", "content").mapInArrow(run, f"doc_id string, {schema}, error string")
 
 
+def unsupported(frame: DataFrame) -> DataFrame:
+    """doc_id, error of files whose ending no reader takes."""
+    return _refused(frame.where(F.col("kind").isNull()))
+
+
 def unread(frame: DataFrame) -> DataFrame:
     """doc_id, error of files that ``documents`` does not read: those of other endings, and archives."""
+    return unsupported(frame).unionByName(_refused(frame.where(F.col("kind") == "zip")))
+
+
+def _refused(frame: DataFrame) -> DataFrame:
     name = F.regexp_extract("doc_id", r"(\.[^./\\]*)$", 1)
-    return frame.where(F.col("kind").isNull() | (F.col("kind") == "zip")).select("doc_id", F.concat(F.lit("Unsupported file type: "), F.lower(name)).alias("error"))
+    return frame.select("doc_id", F.concat(F.lit("Unsupported file type: "), F.lower(name)).alias("error"))
 
 
 _GRID = pa.list_(pa.list_(pa.string()))
