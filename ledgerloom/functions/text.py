@@ -188,14 +188,25 @@ _WORDS = (
 ).split()
 
 
+def _folded(x: Column) -> Column:
+    return F.lower(F.translate(x, "\0", ""))
+
+
 def word_score(x: Column) -> Column:
-    text = F.lower(F.translate(x, "\0", ""))
-    return sum((text.contains(w).cast("int") for w in dict.fromkeys(w[:5] for w in _WORDS)), F.lit(0))
+    return _words_in(_folded(x))
+
+
+_STEMS = tuple(dict.fromkeys(w[:5] for w in _WORDS))
+
+
+def _words_in(text: Column) -> Column:
+    return sum((text.contains(w).cast("int") for w in _STEMS), F.lit(0))
 
 
 def fix_reversed(x: Column) -> Column:
     """Lines that read more like words backwards are turned round; their order stays."""
-    turn = lambda line: F.when(word_score(F.reverse(line)) > word_score(line), F.reverse(line)).otherwise(line)
+    better = lambda back, line: back.rlike("|".join(_STEMS)) & (_words_in(back) > let(_folded(line), _words_in))
+    turn = lambda line: let(F.reverse(line), lambda back: F.when(let(_folded(back), lambda b: better(b, line)), back).otherwise(line))
     return F.array_join(F.transform(F.split(x, "\n", -1), turn), "\n")
 
 

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import DIGIT, SPLIT_DIGIT, blank, fix_reversed, is_number, label_fill, note_reference, otherwise_null, parse_indian_number, parse_text_line, strip
+from ..functions.text import DIGIT, SPLIT_DIGIT, blank, fix_reversed, is_number, label_fill, let, note_reference, otherwise_null, parse_indian_number, parse_text_line, strip
 
 
 def _drop_blank_and_repeats(rows: Column) -> Column:
     """Without blank rows, and without later rows equal to a first row that is not blank."""
     full = lambda r: F.exists(r, lambda c: ~F.coalesce(blank(c), F.lit(True)))
-    first = F.get(rows, F.lit(0))
-    return F.filter(rows, lambda r, i: full(r) & ((i == 0) | ~(full(first) & r.eqNullSafe(first))))
+    headed = lambda rs: let(F.get(rs, F.lit(0)), lambda first: F.struct(rs.alias("rows"), first.alias("first"), full(first).alias("full")))
+    kept = lambda t: F.filter(t["rows"], lambda r, i: full(r) & ((i == 0) | ~(t["full"] & r.eqNullSafe(t["first"]))))
+    return let(let(rows, headed), kept)
 
 
 def clean_pdf_rows(rows: Column) -> Column:
