@@ -2,7 +2,8 @@
 
 Queries are few (one per rule), passages many: the queries' vectors travel to the passages, whose batches meet them in one matrix product, and of each query
 only what can be among its k best leaves the task; Spark's group limit merges that before the shuffle, so passages times queries are never exchanged and no
-pair of them is a row. More queries than MAX_QUERIES go in blocks of about that size, each block against all passages; likewise candidates.
+pair of them is a row. More queries than MAX_QUERIES go in parts of about that size, each part against all passages; likewise candidates. Within a task the queries
+that travelled are met block by block, so small blocks cost no reading of the passages anew.
 Rows without a vector, with a null in it, or of another length than the other side's, are near nothing.
 """
 
@@ -52,18 +53,19 @@ def matrix(vectors: pa.Array, d: int) -> np.ndarray:
     return np.asarray(vectors.flatten(), np.float64).reshape(len(vectors), d)
 
 
-def met(rows: DataFrame, fixed: DataFrame, choose: Callable[[], Callable], value: str) -> DataFrame:
+def met(rows: DataFrame, fixed: DataFrame, choose: Callable[[], Callable], value: str, block: int = MAX_QUERIES) -> DataFrame:
     """Rows (without their embedding) beside rows of the fixed side, and the exact value of each pair that ``choose`` keeps.
 
-    choose: makes, for each task, a function of the fixed places and vectors and a batch's vectors that gives the kept pairs (batch row, fixed row) and values.
+    choose: makes, for each task and block of the fixed side, a function of its places and vectors and a batch's vectors that gives the kept pairs (batch row, place
+    in the block) and values.
     """
     shipped = rows.sparkSession.sparkContext.broadcast(Fixed(fixed))
     keys = [c for c in rows.columns if c != "embedding"]
     fields = [f for f in fixed.schema.fields if f.name != "embedding"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side, kept = shipped.value, choose()
-        step = max(1, CELLS // max(1, sum(map(len, side.places.values()))))
+        side, kept = shipped.value, {}
+        step = max(1, CELLS // max(1, min(block, sum(map(len, side.places.values())))))
         for whole in batches:
             for begin in range(0, whole.num_rows, step):
                 batch = whole.slice(begin, step)
@@ -73,11 +75,19 @@ def met(rows: DataFrame, fixed: DataFrame, choose: Callable[[], Callable], value
                     if d not in side.places:
                         continue
                     at = np.flatnonzero(sizes == d)
-                    x, y, values = kept(side.places[d], side.vectors[d], matrix(vectors.take(pa.array(at)), d))
-                    left, right = batch.take(pa.array(at[x])), side.columns.take(pa.array(side.places[d][y])).combine_chunks()
-                    own = [left.column(left.schema.get_field_index(c)) for c in keys]
-                    other = [right.column(f.name).combine_chunks() if len(x) else pa.array([], right.column(f.name).type) for f in fields]
-                    yield pa.RecordBatch.from_arrays([*own, *other, pa.array(values, pa.float64())], [*keys, *(f.name for f in fields), value])
+                    own, places, found = matrix(vectors.take(pa.array(at)), d), side.places[d], []
+                    for low in range(0, len(places), block):
+                        part = slice(low, low + block)
+                        x, y, values = kept.setdefault((d, low), choose())(places[part], side.vectors[d][part], own)
+                        if len(x):
+                            found.append((x, y + low, values))
+                    if not found:
+                        continue
+                    x, y, values = map(np.concatenate, zip(*found, strict=True))
+                    left, right = batch.take(pa.array(at[x])), side.columns.take(pa.array(places[y])).combine_chunks()
+                    mine = [left.column(left.schema.get_field_index(c)) for c in keys]
+                    other = [right.column(f.name).combine_chunks() for f in fields]
+                    yield pa.RecordBatch.from_arrays([*mine, *other, pa.array(values, pa.float64())], [*keys, *(f.name for f in fields), value])
 
     schema = T.StructType([*(rows.schema[c] for c in keys), *fields, T.StructField(value, T.DoubleType())])
     return rows.where(usable()).mapInArrow(run, schema)
@@ -85,11 +95,11 @@ def met(rows: DataFrame, fixed: DataFrame, choose: Callable[[], Callable], value
 
 def nearest(queries: DataFrame, passages: DataFrame, k: int = 3, tie: str = "chunk_index", digits: int = 5, block: int = MAX_QUERIES) -> DataFrame:
     """query, rank, score (1 - squared distance) and the passage's columns; equal rounded distances go by ``tie``."""
-    found = [_nearest(part, passages, k, tie, digits) for part in in_blocks(queries.select("query", "embedding"), "query", block)]
+    found = [_nearest(part, passages, k, tie, digits, block) for part in in_blocks(queries.select("query", "embedding"), "query", MAX_QUERIES)]
     return functools.reduce(DataFrame.unionByName, found)
 
 
-def _nearest(queries: DataFrame, passages: DataFrame, k: int, tie: str, digits: int) -> DataFrame:
+def _nearest(queries: DataFrame, passages: DataFrame, k: int, tie: str, digits: int, block: int) -> DataFrame:
     slack = 2 * 10.0**-digits  # distances that may round alike
 
     def choose() -> Callable:
@@ -108,7 +118,7 @@ def _nearest(queries: DataFrame, passages: DataFrame, k: int, tie: str, digits:
 
         return kept
 
-    scored = met(passages, queries, choose, "distance").withColumn("distance", F.round("distance", digits))
+    scored = met(passages, queries, choose, "distance", block).withColumn("distance", F.round("distance", digits))
     near = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", tie))).where(F.col("rank") <= k)
     return near.withColumn("score", F.lit(1.0) - F.col("distance")).drop("distance")
 

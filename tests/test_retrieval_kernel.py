@@ -67,3 +67,10 @@ def test_no_pairs_in_the_plan_and_time(spark):
     print(f"{took:.2f} s against {slow:.2f} s by expressions")
     assert {q: got[q, 1] for q in wanted} == wanted
     p.unpersist()
+
+
+def test_small_blocks_of_queries_read_the_passages_once(spark):
+    p = frame(spark, [(i, [float(i), 1.0]) for i in range(50)], "chunk_index")
+    found = retrieval.nearest(frame(spark, [(i, [i + 0.25, 1.0]) for i in range(40)], "query"), p, k=1, block=3)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert [(r.query, r.chunk_index) for r in found.orderBy("query").collect()] == [(i, i) for i in range(40)]
