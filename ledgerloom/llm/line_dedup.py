@@ -38,6 +38,8 @@ MIN_CELLS, MAX_CELLS = 1 << 14, 1 << 22
 SEGMENT = 1 << 12
 #: Digests to drop that may be broadcast (about 180 bytes each in a worker).
 MAX_BROADCAST_KEYS = 1 << 18
+#: Bytes of text that are split into lines, and handed back, at once.
+STRIP_BYTES = 2 << 20
 _STRIP = b" \t\n\x0b\x0c\r"
 
 
@@ -123,7 +125,7 @@ def _suspects(docs: DataFrame, shipped: Shipped, min_chars: int) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = np.frombuffer(shipped.value, np.uint64)
-        for batch in groups(batches, "text"):
+        for batch in groups(batches, "text", STRIP_BYTES):
             keys, rows = [], []
             for row, t in enumerate(texts_of(batch, "text")):
                 own = {k for _, k in keys_of(_lines(t), min_chars)}
@@ -171,21 +173,26 @@ def with_kept_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     A name that the documents have already, in whatever case, gets underscores until it is free (store.fresh, in turn).
     """
+    return _stripped(docs, doc_id, text, min_chars, min_docs, free_names(docs, names), max_broadcast_keys, [])
+
+
+def _stripped(docs: DataFrame, doc_id: str, text: str, min_chars: int, min_docs: int, names: tuple[str, str, str], max_broadcast_keys: int, without: list[str]) -> DataFrame:
+    """with_kept_lines, the documents' columns ``without`` left out before rows come back from the workers."""
     spark = docs.sparkSession
-    names = free_names(docs, names)
     scratch = Scratch(spark)
     table = repeated_lines(docs, doc_id=doc_id, text=text, min_chars=min_chars, min_docs=min_docs, scratch=scratch)
     fields = [T.StructField(n, k) for n, k in zip(names, (T.StringType(), T.LongType(), T.LongType()), strict=True)]
+    schema = T.StructType([*(f for f in docs.schema.fields if f.name not in without), *fields])
     if table.count() <= max_broadcast_keys:
         shipped = Shipped(spark.sparkContext.broadcast({bytes(r.key): r.keeper for r in table.toLocalIterator()}))
 
         def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keepers, missing = shipped.value, object()
-            for batch in groups(batches, text):
+            for batch in groups(batches, text, STRIP_BYTES):
                 ids = texts_of(batch, doc_id)
-                yield _appended(batch, [_kept(t, i, lambda k, own: keepers.get(k, missing) not in (missing, own), min_chars) for t, i in zip(texts_of(batch, text), ids, strict=True)], names)
+                yield _appended(batch.drop_columns(without), [_kept(t, i, lambda k, own: keepers.get(k, missing) not in (missing, own), min_chars) for t, i in zip(texts_of(batch, text), ids, strict=True)], names)
 
-        return docs.mapInArrow(strip, T.StructType([*docs.schema.fields, *fields]))
+        return docs.mapInArrow(strip, schema)
 
     # Too many digests to broadcast: each row's own digests meet them in a join, and come back to the row by a key of its content.
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -194,12 +201,12 @@ def with_kept_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     rows = docs.withColumn(row, F.xxhash64(F.col(doc_id), F.col(text))).join(lost.withColumnsRenamed({"row": row, "keys": mark}), row, "left").drop(row)
 
     def strip_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in groups(batches, text):
+        for batch in groups(batches, text, STRIP_BYTES):
             sets = [set(x or ()) for x in texts_of(batch, mark)]
             done = [_kept(t, None, lambda k, _, gone=gone: k in gone, min_chars) for t, gone in zip(texts_of(batch, text), sets, strict=True)]
-            yield _appended(batch.drop_columns([mark]), done, names)
+            yield _appended(batch.drop_columns([mark, *without]), done, names)
 
-    return rows.mapInArrow(strip_joined, T.StructType([*docs.schema.fields, *fields]))
+    return rows.mapInArrow(strip_joined, schema)
 
 
 def _digests(own: DataFrame, min_chars: int) -> DataFrame:
@@ -221,4 +228,4 @@ def _appended(batch: pa.RecordBatch, done: list[tuple[str, int, int]], names: tu
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5, max_broadcast_keys: int = MAX_BROADCAST_KEYS) -> DataFrame:
     """Per document: doc_id, kept_text, n_lines (before dropping), n_dropped."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return with_kept_lines(own, min_chars=min_chars, min_docs=min_docs, max_broadcast_keys=max_broadcast_keys).select("doc_id", "kept_text", "n_lines", "n_dropped")
+    return _stripped(own, "doc_id", "text", min_chars, min_docs, ("kept_text", "n_lines", "n_dropped"), max_broadcast_keys, ["text"])
