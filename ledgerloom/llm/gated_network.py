@@ -16,7 +16,7 @@ import numpy as np
 #: Size of the state; words of a class; rows that words beyond the frequent ones are hashed to as inputs; steps of a window in training and in scoring.
 STATE, CLASS, BUCKETS, WINDOW, SCORE_WINDOW = 32, 64, 64, 32, 128
 #: Texts that run side by side in training and in scoring; rate of learning.
-LANES, SCORE_LANES, RATE = 64, 256, 0.1
+LANES, SCORE_LANES, RATE = 256, 256, 0.1
 #: Size of logits whose exponentials neither overflow nor vanish.
 CALM = 60.0
 

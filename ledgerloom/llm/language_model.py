@@ -5,9 +5,9 @@ The most frequent words (NETWORK_WORDS) have an output of their own in the netwo
 of the network's class of all others, times its share in that class with one added to each count, so the model is a distribution
 over the V + 1 outcomes of the base (all known words, and one for any unknown).
 
-Training reads all training documents and takes one in TRAIN_EVERY of their pieces (PIECE words, by hash), so it grows with the corpus and is alike at
-every size. Pieces are dealt to shards of SHARD pieces; in each of ROUNDS rounds every shard goes on from the shared parameters, by truncated backpropagation over
-windows of a piece, and the shards' parameters are averaged by their words, summed in the tasks before the shuffle. The driver holds one set of parameters (2 MB).
+Training takes all words of all training documents, each once: texts are cut into pieces (PIECE words), dealt by hash to ROUNDS rounds, and those of a round to
+shards of SHARD pieces. In each round every shard goes on from the shared parameters, by truncated backpropagation over windows of a piece, and the shards'
+parameters are averaged by their words, summed in the tasks before the shuffle. The driver holds one set of parameters (2 MB).
 
 A document is scored whole, the state carried across its windows to its end. Counts of the SHIPPED most frequent words travel to the documents; of the
 others each document sends its distinct ones to meet the counts in a join, so no vocabulary is held whole anywhere.
@@ -44,8 +44,8 @@ FOLDS, HELD_OUT = 7, 2
 NETWORK_WORDS, SHIPPED = 4095, 131_072
 #: Bytes beyond which a word's key is a digest, which no word's UTF-8 equals as its first byte is none.
 LONG, DIGEST = 64, b"\xff"
-#: Words of a piece; one piece in so many is trained on; pieces of a shard; rounds; chunks that parameters are averaged in.
-PIECE, TRAIN_EVERY, SHARD, ROUNDS, CHUNKS = 256, 12, 4096, 3, 32
+#: Words of a piece; pieces of a shard; rounds that the pieces are dealt to; chunks that parameters are averaged in.
+PIECE, SHARD, ROUNDS, CHUNKS = 256, 8192, 3, 32
 #: Bytes of text that are scored side by side.
 SCORE_BYTES = 4 << 20
 
@@ -130,42 +130,35 @@ def lexicon(docs: DataFrame, counts: DataFrame, network_words: int, shipped: int
     return Lexicon(pairs, docs.count(), totals.n, totals.v, network_words)
 
 
-def pieces(docs: DataFrame, lexicon: Shipped, every: int, piece: int) -> DataFrame:
-    """seed, ids of the pieces that are trained on: the input before the piece (-1 at a text's start), then its words' numbers."""
+def pieces(docs: DataFrame, lexicon: Shipped, piece: int) -> DataFrame:
+    """seed, ids of all pieces of the texts: the input before the piece (-1 at a text's start), then its words' numbers."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = lexicon.value
         for batch in groups(batches, "text"):
             words = Words(texts_of(batch, "text"), LOWERED)
-            seeds, spans, ended = [], [], []
+            _, numbers, *_ = lex.ranked(words)
+            numbers, seeds, found = numbers.astype(np.int32), [], []
             for doc, low, high in zip(texts_of(batch, "id"), words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True):
                 own = mix(np.arange((high - low) // piece + 1, dtype=np.uint64) + (np.uint64(zlib.crc32((doc or "").encode())) << np.uint64(32)))
-                for k in np.flatnonzero(own % np.uint64(every) == 0).tolist():
-                    at, stop = low + k * piece, min(low + (k + 1) * piece, high + 1)  # the end counts as one more word
-                    seeds.append(int(own[k] >> np.uint64(1)))
-                    spans.append((max(at - 1, low), min(stop, high), k > 0))
-                    ended.append(stop > high)
-            places = np.concatenate([np.arange(a, b) for a, b, _ in spans]) if spans else np.zeros(0, np.int64)
-            (_, numbers, *_), at, found = lex.ranked(words, places), 0, []
-            for (a, b, later), end in zip(spans, ended, strict=True):
-                found += [[] if later else [-1], numbers[at : at + b - a], [0] if end else []]
-                at += b - a
-            lengths = [b - a + (not later) + end for (a, b, later), end in zip(spans, ended, strict=True)]
-            flat = np.concatenate(found) if found else np.zeros(0)
-            offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(seeds, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))], ["seed", "ids"])
+                seeds += (own >> np.uint64(1)).tolist()
+                text = np.concatenate(([-1], numbers[low:high], [0])).astype(np.int32)  # the end counts as one more word
+                found += [text[at : at + piece + 1] for at in range(0, high - low + 1, piece)]
+            flat = np.concatenate(found) if found else np.zeros(0, np.int32)
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(seeds, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["seed", "ids"])
 
     return docs.mapInArrow(cut, "seed long, ids array<int>")
 
 
 def train(found: DataFrame, net: Network, rounds: int, shard: int, rate: float = RATE) -> Network:
-    """The network after rounds of training over all pieces (seed, ids)."""
+    """The network after training over all pieces (seed, ids), each in one of the rounds."""
     n = found.count()
     if not n:
         return net
     spark = found.sparkSession
-    shards = -(-n // shard)
-    dealt = found.withColumn("shard", F.pmod(F.xxhash64("seed"), F.lit(shards)))
+    shards = -(-n // (shard * max(rounds, 1)))
+    dealt = found.withColumns({"round": F.pmod(F.col("seed"), F.lit(max(rounds, 1))), "shard": F.pmod(F.xxhash64("seed"), F.lit(shards))})
     for r in range(rounds):
         begun = Shipped(spark.sparkContext.broadcast(net))
 
@@ -192,9 +185,10 @@ def train(found: DataFrame, net: Network, rounds: int, shard: int, rate: float =
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([s.tobytes() for s, _ in held.values()], pa.binary()), pa.array([w for _, w in held.values()], pa.int64())], ["chunk", "total", "weight"])
 
         schema = "chunk int, total binary, weight long"
-        sums = dealt.repartition("shard").sortWithinPartitions("shard", "seed", "ids").mapInArrow(learn, schema)
+        sums = dealt.where(F.col("round") == r).select("seed", "ids", "shard").repartition("shard").sortWithinPartitions("shard", "seed", "ids").mapInArrow(learn, schema)
         met = sorted(sums.repartition("chunk").mapInArrow(merge, schema).collect(), key=lambda x: x.chunk)  # CHUNKS rows, one set of parameters
-        net = Network(net.words, net.state).unpack(np.concatenate([np.frombuffer(x.total) / x.weight for x in met]))
+        if met:  # a round of a few pieces may have none
+            net = Network(net.words, net.state).unpack(np.concatenate([np.frombuffer(x.total) / x.weight for x in met]))
         begun.broadcast.unpersist()
     return net
 
@@ -205,7 +199,7 @@ def _chunked(total: np.ndarray, weight: int) -> pa.RecordBatch:
 
 
 def score(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", network_words: int = NETWORK_WORDS, shipped: int = SHIPPED, every: int = TRAIN_EVERY, piece: int = PIECE, shard: int = SHARD, rounds: int = ROUNDS, score_bytes: int = SCORE_BYTES
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", network_words: int = NETWORK_WORDS, shipped: int = SHIPPED, piece: int = PIECE, shard: int = SHARD, rounds: int = ROUNDS, score_bytes: int = SCORE_BYTES
 ) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the text by counts and by the model)."""
     spark = docs.sparkSession
@@ -217,7 +211,7 @@ def score(
     lex = lexicon(learnt, counts, network_words, shipped)
     words = Shipped(spark.sparkContext.broadcast(lex))
     net = Network.begun(np.concatenate(([lex.texts], lex.counts[: lex.own])), lex.rest)
-    net = train(scratch.write(pieces(learnt, words, every, piece)), net, rounds, shard)
+    net = train(scratch.write(pieces(learnt, words, piece)), net, rounds, shard)
     model = Shipped(spark.sparkContext.broadcast(net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
