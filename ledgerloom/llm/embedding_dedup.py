@@ -230,10 +230,18 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
+def _least(classes: DataFrame, n: int, sample: int) -> DataFrame:
+    """The ``sample`` rows of smallest node. Nodes are hashes, so a range of them that holds twice as many is known beforehand: the task that
+    orders them does not get a whole sample from each task."""
+    last = min(2**63 - 1, -(2**63) + 2**65 * sample // max(n, 1))
+    within = classes.where(F.col("node") <= F.lit(last))
+    return (within if last < 2**63 - 1 and within.count() >= sample else classes).orderBy("node").limit(sample)
+
+
 def _candidates(classes: DataFrame, n: int, threshold: float, sample: int, scratch: Scratch) -> DataFrame:
     """u, v edges between codes that are near in some table; classes: node and v, all of one length."""
     spark = classes.sparkSession
-    chosen = classes.orderBy("node").limit(sample).select("v").toArrow().column("v").combine_chunks()  # nodes are hashes
+    chosen = _least(classes, n, sample).select("v").toArrow().column("v").combine_chunks()
     learned = scaled(np.asarray(chosen.flatten(), np.float64).reshape(len(chosen), -1))
     rotation = Rotation(learned)
     flips = flipped(rotation, threshold_pairs(learned, threshold))
@@ -248,7 +256,5 @@ def _candidates(classes: DataFrame, n: int, threshold: float, sample: int, scrat
             yield pa.RecordBatch.from_arrays([column(batch, "node"), pa.array(packed(codes, unit), pa.binary()), pa.array(np.stack(keys, axis=1).tolist(), pa.list_(pa.int64()))], ["node", "payload", "keys"])
 
     coded = scratch.write(classes.mapInArrow(code, "node long, payload binary, keys array<long>"))
-    tables = coded.select("node", F.explode("keys").alias("bucket"))
-    met = tables.groupBy("bucket").agg(F.count("node").alias("size")).where(F.col("size") > 1)
-    rows = tables.join(met, "bucket").join(coded.select("node", "payload"), "node")
+    rows = pairing.met_members(coded.select("node", F.explode("keys").alias("bucket")), coded.select("node", "payload"))
     return scratch.write(pairing.bucket_edges(rows, near_codes(radius, threshold), "uint8", BUCKET_BLOCK))

@@ -184,9 +184,7 @@ def _judged(docs: DataFrame, doc_id: str, text: str, threshold: float, tolerance
     nameless = first.where(F.col("doc_id").isNull()).select("node")
     headed = worded.join(first, ["node", "doc_id"], "left_semi").unionByName(worded.where(F.col("doc_id").isNull()).join(nameless, "node", "left_semi"))
     heads = scratch.write(headed.dropDuplicates(["node"]))
-    bands = heads.select("node", F.explode("bands").alias("bucket"))
-    met = bands.groupBy("bucket").agg(F.count("node").alias("size")).where(F.col("size") > 1)
-    rows = bands.join(met, "bucket").join(heads.select("node", "payload"), "node")
+    rows = pairing.met_members(heads.select("node", F.explode("bands").alias("bucket")), heads.select("node", "payload"))
     edges = pairing.bucket_edges(rows, pruner(threshold, tolerance), "uint16", BUCKET_BLOCK)
 
     def with_shingles(members: DataFrame) -> DataFrame:

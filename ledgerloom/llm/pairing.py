@@ -62,6 +62,16 @@ def in_blocks(rows: DataFrame, group: str, size: str, item: str, block: int) ->
     return dealt.repartition(group, "low", "high").sortWithinPartitions(group, "low", "high")
 
 
+def met_members(members: DataFrame, payloads: DataFrame) -> DataFrame:
+    """bucket, size, node and payload of the members (node, bucket) of buckets of two or more.
+
+    The members are unfolded rows, whose number a plan does not see: their size is that of the folded table, so a join left to the planner
+    would broadcast all of them.
+    """
+    met = members.groupBy("bucket").agg(F.count("node").alias("size")).where(F.col("size") > 1)
+    return members.join(met.hint("merge"), "bucket").join(payloads.hint("merge"), "node")
+
+
 Similar = Callable[[np.ndarray, int, np.ndarray], np.ndarray]
 
 
@@ -164,7 +174,10 @@ def linked_nodes(nodes: DataFrame, edges: DataFrame, payload: Callable[[DataFram
 
 
 def spread_join(rows: DataFrame, classes: DataFrame, key: str, spread_by: Column, salts: int = 16) -> DataFrame:
-    """rows left-joined to one row a class, with each class's rows dealt over ``salts`` tasks."""
+    """rows left-joined to one row a class, with each class's rows dealt over ``salts`` tasks.
+
+    Never a broadcast: plans take the copies for one row a class, a sixteenth of what the driver would hold.
+    """
     dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     copies = classes.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copies, [key, "__salt"], "left").drop("__salt")
+    return dealt.join(copies.hint("merge"), [key, "__salt"], "left").drop("__salt")
