@@ -45,6 +45,10 @@ def _workbook(rows: list[dict], mac: bool) -> bytes:
     return out.getvalue()
 
 
+#: Workbooks that are handed on together.
+_TOGETHER = 256
+
+
 def _workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A workbook for each customer's orders; odd customers' use the older epoch."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -53,8 +57,10 @@ def _workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for customer, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([str(customer)]), pa.array(["xlsx"]), pa.array([_workbook(rows, customer % 2 == 1)], pa.binary())], ["doc_id", "kind", "content"])
+            for at in range(0, batch.num_rows, _TOGETHER):
+                customers, listed = (c.slice(at, _TOGETHER).to_pylist() for c in batch.columns)
+                books = [_workbook(rows, customer % 2 == 1) for customer, rows in zip(customers, listed, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(map(str, customers), pa.string()), pa.array(["xlsx"] * len(books)), pa.array(books, pa.binary())], ["doc_id", "kind", "content"])
 
     return listed.mapInArrow(made, "doc_id string, kind string, content binary")
 

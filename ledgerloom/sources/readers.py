@@ -5,6 +5,8 @@ error row, never a failed job; what else the file holds is read."""
 from __future__ import annotations
 
 import io
+import pickle
+import tempfile
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -77,29 +79,55 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_BYTES)
 
 
-def _reader(frame: DataFrame, kind: str, read: Callable[[bytes], Iterable[tuple]], schema: str, fields: list[tuple[str, pa.DataType]], rows: int = ROWS) -> DataFrame:
-    """doc_id, the fields of each row read, and error. A file that breaks off gives the rows read till then and an error row."""
+def _reader(frame: DataFrame, kind: str, read: Callable[[bytes], Iterable[tuple]], schema: str, fields: list[tuple[str, pa.DataType]], rows: int = ROWS, weigh: Callable[[tuple], int] | None = None) -> DataFrame:
+    """doc_id, the fields of each row read, and error. A file that breaks off gives the rows read till then and an error row.
+
+    Rows are handed on a file at a time, ``rows`` of them at most; with ``weigh``, rows of several files together, up to ``rows`` in weight.
+    """
     prepare(frame.sparkSession)
 
-    def packed(doc_id: str, part: list[tuple], error: str | None) -> pa.RecordBatch:
-        columns = [pa.array([r[i] for r in part], t) for i, (_, t) in enumerate(fields)]
-        return pa.RecordBatch.from_arrays([pa.array([doc_id] * len(part), pa.string()), *columns, pa.array([error] * len(part), pa.string())], ["doc_id", *(n for n, _ in fields), "error"])
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        """held: doc_id, row and error."""
+        columns = [pa.array([r[i] for _, r, _ in held], t) for i, (_, t) in enumerate(fields)]
+        return pa.RecordBatch.from_arrays([pa.array([d for d, *_ in held], pa.string()), *columns, pa.array([e for *_, e in held], pa.string())], ["doc_id", *(n for n, _ in fields), "error"])
+
+    def given(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """A row that does not fit the fields is its file's error."""
+        if not held:
+            return
+        try:
+            yield packed(held)
+        except Exception:
+            for doc_id, row, error in held:
+                try:
+                    yield packed([(doc_id, row, error)])
+                except Exception as e:
+                    yield packed([(doc_id, (None,) * len(fields), f"{type(e).__name__}: {e}")])
+
+    def each(content: bytes) -> Iterator[tuple]:
+        yield from read(content)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        weight = 0
         for batch in batches:
             for i in range(batch.num_rows):  # one file's bytes at a time
                 doc_id, content = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                held: list[tuple] = []
-                try:
-                    for row in read(content):
-                        held.append(row)
-                        if len(held) == rows:
-                            yield packed(doc_id, held, None)
-                            held = []
-                    yield packed(doc_id, held, None)
-                except Exception as e:  # a broken file is data, not a failure of the job
-                    yield packed(doc_id, held, None)
-                    yield packed(doc_id, [(None,) * len(fields)], f"{type(e).__name__}: {e}")
+                found = each(content)
+                while True:
+                    try:
+                        row, error = next(found, None), None
+                    except Exception as e:  # a broken file is data, not a failure of the job
+                        row, error = (None,) * len(fields), f"{type(e).__name__}: {e}"
+                    if row is not None:
+                        held.append((doc_id, row, error))
+                        weight += weigh(row) if weigh and not error else 1
+                    if weight >= rows or (row is None and not weigh):
+                        yield from given(held)
+                        held, weight = [], 0
+                    if row is None or error:
+                        break
+        yield from given(held)
 
     return frame.where(F.col("kind") == kind).select("doc_id", "content").mapInArrow(run, f"doc_id string, {schema}, error string")
 
@@ -121,17 +149,17 @@ def _refused(frame: DataFrame) -> DataFrame:
 
 _GRID = pa.list_(pa.list_(pa.string()))
 _COMMENT = pa.struct([("cell_ref", pa.string()), ("value", pa.string()), ("author", pa.string())])
-#: Fields of what the spreadsheet reader hands on: parts of a sheet's rows, then a row (part null) of what is known at its end.
+#: Fields of what the spreadsheet reader hands on: parts of a sheet's rows, each with what is known at the sheet's end; part is null of a sheet without rows.
 _SHEET = [("sheet_ord", pa.int32()), ("part", pa.int32()), ("row_from", pa.int32()), ("headers", pa.list_(pa.string())), ("rows", _GRID), ("sheet_name", pa.string()), ("marks", pa.string()), ("comments", pa.list_(_COMMENT)), ("commented", pa.map_(pa.string(), pa.string())), ("failed", pa.string())]
 _SHEET_SQL = "sheet_ord int, part int, row_from int, headers array<string>, rows array<array<string>>, sheet_name string, marks string, comments array<struct<cell_ref:string,value:string,author:string>>, commented map<string,string>, failed string"
 
 
 def _sheet_parts(content: bytes) -> Iterator[tuple]:
-    """A sheet that breaks off keeps what was read of it, and the sheets after it are read."""
+    """A sheet that breaks off keeps what was read of it, and the sheets after it are read. Parts wait for the sheet's end in a file."""
     phrases = [p for _, own in SHEET_PHRASES for p in own]
     with xlsx.Workbook(content) as book:
         for i, (name, _) in enumerate(book.paths):
-            headers, part, seen, kept, failed, sheet = None, 0, 0, [], None, None
+            headers, seen, kept, failed, sheet, waiting, n = None, 0, [], None, None, None, 0
             marks = xlsx.Phrases(phrases)
             try:
                 sheet = book.sheet(i)
@@ -142,31 +170,38 @@ def _sheet_parts(content: bytes) -> Iterator[tuple]:
                         continue
                     kept.append(row)
                     if len(kept) == xlsx.PART:
-                        yield i, part, seen, headers, kept, None, None, None, None, None
-                        part, seen, kept = part + 1, seen + len(kept), []
+                        waiting, n = waiting or tempfile.TemporaryFile(), n + 1
+                        pickle.dump((seen, kept), waiting)
+                        seen, kept = seen + len(kept), []
             except Exception as e:  # a broken sheet is data, not a failure of the job
                 failed = f"sheet {name}: {type(e).__name__}: {e}"
-            if kept:
-                yield i, part, seen, headers, kept, None, None, None, None, None
             comments = [dict(zip(("cell_ref", "value", "author"), c, strict=True)) for c in sheet.comments] if sheet else []
-            yield i, None, None, headers, None, name, " ".join(marks.found), comments, list(sheet.commented.items()) if sheet else [], failed
+            end = (name, " ".join(marks.found), comments, list(sheet.commented.items()) if sheet else [])
+            if waiting:
+                with waiting:
+                    waiting.seek(0)
+                    for part in range(n):
+                        at, rows = pickle.load(waiting)
+                        yield i, part, at, headers, rows, *end, None if part or kept else failed
+            if kept or not n:
+                yield i, n if kept else None, seen if kept else None, headers, kept or None, *end, failed
 
 
 def sheet_parts(frame: DataFrame) -> DataFrame:
-    """What the spreadsheet reader hands on: rows of sheets in parts of some thousand, and what is known at a sheet's end. Memory is bounded by a part."""
-    return _reader(frame, "xlsx", _sheet_parts, _SHEET_SQL, _SHEET, rows=1)
+    """What the spreadsheet reader hands on: rows of sheets in parts of some thousand, each with what is known at its sheet's end. Memory is bounded by a part."""
+    weigh = lambda row: 1 + len(row[4] or ()) + len(row[7])
+    return _reader(frame, "xlsx", _sheet_parts, _SHEET_SQL, _SHEET, rows=xlsx.PART, weigh=weigh)
 
 
 def sheets_of(parts: DataFrame) -> DataFrame:
     """doc_id, sheet_ord, sheet_name, sheet_type, headers (the first row), row_from, rows, comments, commented: a row for each part of a sheet's rows.
 
     row_from: the number of the part's first row. comments: cell, text and author; commented: the commented cells' values. Sheets are typed by their whole text.
+    One pass over the parts, without a join: workbooks are not read again.
     """
     good = parts.where(F.col("error").isNull() & F.col("sheet_ord").isNotNull())
-    ends = good.where(F.col("part").isNull()).select("doc_id", "sheet_ord", "sheet_name", sheet_type(F.col("sheet_name"), F.col("marks")).alias("sheet_type"), F.col("headers").alias("own_headers"), "comments", "commented")
-    rows = good.where(F.col("part").isNotNull()).select("doc_id", "sheet_ord", "row_from", "rows")
     empty = F.array().cast("array<array<string>>")
-    return ends.join(rows, ["doc_id", "sheet_ord"], "left").select("doc_id", "sheet_ord", "sheet_name", "sheet_type", F.coalesce("own_headers", F.array().cast("array<string>")).alias("headers"), F.coalesce("row_from", F.lit(0)).alias("row_from"), F.coalesce("rows", empty).alias("rows"), "comments", "commented")
+    return good.select("doc_id", "sheet_ord", "sheet_name", sheet_type(F.col("sheet_name"), F.col("marks")).alias("sheet_type"), F.coalesce("headers", F.array().cast("array<string>")).alias("headers"), F.coalesce("row_from", F.lit(0)).alias("row_from"), F.coalesce("rows", empty).alias("rows"), "comments", "commented")
 
 
 def sheet_errors(parts: DataFrame) -> DataFrame:
