@@ -33,20 +33,24 @@ def is_empty_table(headers: Column, rows: Column) -> Column:
 def reconstruct(pages: DataFrame) -> DataFrame:
     """One table a page from its text lines: at least five value lines and a quarter of all lines."""
     lines = F.filter(F.transform(F.split("raw_text", r"\R|[\x1c-\x1e]"), strip), lambda s: s != "")
-    parsed = F.filter(F.transform(lines, parse_text_line), lambda x: x.isNotNull())
-    rows = F.transform(parsed, lambda x: F.array(x["label"], x["note_ref"], x["first"], x["second"]))
-    found = pages.select("doc_id", "page_num", F.size(lines).alias("n_lines"), rows.alias("rows"))
+    parsed = lambda ls: F.filter(F.transform(ls, parse_text_line), lambda x: x.isNotNull())
+    rows = lambda ls: F.transform(parsed(ls), lambda x: F.array(x["label"], x["note_ref"], x["first"], x["second"]))
+    # Unfolded from an array of one: a filter of plain columns would be pushed down with the whole parsing in it, for each use anew.
+    found = pages.select("doc_id", "page_num", F.inline(F.array(let(lines, lambda ls: F.struct(F.size(ls).alias("n_lines"), rows(ls).alias("rows"))))))
     fits = (F.size("rows") >= 5) & (F.size("rows") / F.col("n_lines") >= 0.25)
     return found.where(fits).select("doc_id", "page_num", F.array(*map(F.lit, ("Particulars", "Note", "Current", "Prior"))).alias("headers"), "rows")
 
 
 def choose_tables(tables: DataFrame, rebuilt: DataFrame) -> DataFrame:
     """A page's tables, or its rebuilt one where none is there or all have under half their labels and it has more."""
-    page = ["doc_id", "page_num"]
-    best = tables.groupBy(*page).agg(F.max(label_fill(F.col("rows"))).alias("fill"))
-    better = rebuilt.join(best, page, "left").where(F.col("fill").isNull() | ((F.col("fill") < 0.5) & (label_fill(F.col("rows")) > F.col("fill")))).drop("fill")
-    kept = tables.join(better.select(*page), page, "left_anti")
-    return kept.unionByName(better.withColumn("table_ord", F.lit(0)).select(*tables.columns))
+    page = Window.partitionBy("doc_id", "page_num")
+    known = F.col("doc_id").isNotNull() & F.col("page_num").isNotNull()  # an unknown page's tables and rebuilt ones are not of one page
+    side = lambda df, new: df.select(*tables.columns, label_fill(F.col("rows")).alias("__own"), F.lit(new).alias("__new"))
+    both = side(tables, False).unionByName(side(rebuilt.withColumn("table_ord", F.lit(0)), True))
+    judged = both.withColumn("__fill", F.when(known, F.max(F.when(~F.col("__new"), F.col("__own"))).over(page)))
+    better = F.col("__new") & (F.col("__fill").isNull() | F.coalesce((F.col("__fill") < 0.5) & (F.col("__own") > F.col("__fill")), F.lit(False)))
+    told = judged.withColumn("__better", better).withColumn("__replaced", known & F.bool_or("__better").over(page))
+    return told.where(F.col("__better") | (~F.col("__new") & ~F.col("__replaced"))).select(*tables.columns)
 
 
 def merge_across_pages(tables: DataFrame) -> DataFrame:
