@@ -169,7 +169,8 @@ def walks(roots: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
 
     The edges that a walk can use are gathered frontier by frontier, from the roots alone; the walk itself is over one root's edges, those of one filing at most.
     """
-    step = edges.select("doc_id", F.col("src").alias("node"), "dst", "edge_ord")
+    # Kept edges and notes are small as files and large in memory, many times so; a join left to the planner would broadcast them.
+    step = edges.select("doc_id", F.col("src").alias("node"), "dst", "edge_ord").hint("merge")
     seen = frontier = roots.select("doc_id", "root", F.col("root").alias("node")).distinct()
     used = None
     for k in range(depth):
@@ -203,7 +204,7 @@ def resolved_texts(found: DataFrame, edges: DataFrame, roots: DataFrame | None =
     """Notes with what they refer to, ``depth`` steps deep, in depth-first order, each note once; of the roots (doc_id, note_id) alone if they are given."""
     known = found.select("doc_id", F.col("note_id").alias("root"))
     wanted = known if roots is None else known.join(roots.select("doc_id", F.col("note_id").alias("root")).distinct(), ["doc_id", "root"], "left_semi")
-    told = walks(wanted, edges, depth).join(found.select("doc_id", F.col("note_id").alias("node"), "full_id", "raw_text"), ["doc_id", "node"])
+    told = walks(wanted, edges, depth).join(found.select("doc_id", F.col("note_id").alias("node"), "full_id", "raw_text").hint("merge"), ["doc_id", "node"])
     piece = F.concat(F.lit("=== "), "full_id", F.coalesce(F.concat(F.lit(" (referenced by Note "), "via", F.lit(")")), F.lit("")), F.lit(" ===\n"), "raw_text")
     parts = F.array_sort(F.collect_list(F.struct("place", piece.alias("piece"))))
     return told.groupBy("doc_id", F.col("root").alias("note_id")).agg(F.array_join(F.transform(parts, lambda p: p["piece"]), "\n\n").alias("resolved"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import mapping, notes
+from .analysis import Analysis
 from .queries import _derived, _query
 
 #: Line items, numbered within their order.
@@ -51,10 +52,12 @@ SELECT a.doc_id, a.note_id, '=== ' || a.full_id || ' ===' || chr(10) || a.raw_te
  || CASE WHEN c.note_id IS NULL OR b.dst IN (a.note_id, b.note_id) THEN '' ELSE chr(10) || chr(10) || '=== ' || c.full_id || ' (referenced by Note ' || b.note_id || ') ===' || chr(10) || c.raw_text END END AS resolved
 FROM own a LEFT JOIN r b ON b.doc_id = a.doc_id AND b.note_id = a.dst LEFT JOIN r c ON c.doc_id = a.doc_id AND c.note_id = b.dst""")
 def note_walks(spark, sf_dir):
-    """Two steps from the notes that a condition names, as flags do."""
-    found = _linked_notes(spark, sf_dir)
+    """Two steps from the notes that a condition names, as flags do; notes and references are kept, as the analysis keeps them, not found anew in each step."""
+    run = Analysis(spark)
+    found = run.keep("notes", _linked_notes(spark, sf_dir))
+    edges = run.keep("references", notes.references(found))
     named = _derived(spark, sf_dir, f"SELECT * FROM {_LINES}", "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("string").alias("note_id"))
-    return notes.resolved_texts(found, notes.references(found), named)
+    return notes.resolved_texts(found, edges, named)
 
 
 _LABEL = """SELECT DISTINCT CASE WHEN p_size < 12 THEN concat('Total ', CAST(p_size * 100 AS STRING)) WHEN p_size < 24 THEN concat(' (', p_brand, ') [', p_type, '] ') WHEN p_size < 36 THEN concat('Inventories (', p_name, '): ') ELSE concat('Trade receivables  ', CAST(p_size AS STRING), ',000') END AS raw_label FROM part"""
