@@ -24,6 +24,8 @@ INLINE_HEADER = r"(?<=\S)\s+(?:Note|NOTE)\s+(\d+)\s*(?:[\(\[]\s*([a-zA-Z])\s*[\)
 DECIMAL_HEADER = r"^(\d{1,2}\.\d{1,2})()\.?\s+([A-Z][^\n]*?)(?=\s+\d{1,2}\.\d{1,2}\.?\s+[A-Z]|$)"
 OPENING = r"Notes\s+to\s+(?:\S+\s+){0,5}?(?:Financial\s+Statements?|Accounts)"
 REFERENCES = (r"refer\s+note\s+no\.?\s*(\d+(?:\s*[\(\[]\s*[a-zA-Z]\s*[\)\]])?)", r"\(see\s+note\s+(\d+)\)", r"as\s+per\s+note\s+(\d+)", r"\(refer\s+note\s+(\d+)\)", r"note\s+no\.?\s*(\d+)\s+for\s+further")
+#: What a text must hold, whatever its case, for each style of reference; other styles are not searched for.
+LEADS = ("refer", "see", "per", "(refer", "further")
 SENTENCE_END = r"(?<=[.!?])\s+"
 
 _STYLES = [regex.compile(p, regex.M) for p in (LINE_HEADER, INLINE_HEADER, DECIMAL_HEADER)]
@@ -99,7 +101,8 @@ def sentence_around(text: str, starts: list[int], sentences: list[str], at: int)
 
 def find_references(text: str) -> list[tuple[int, int, str, str]]:
     """(style, position among the style's matches, reference, sentence around it)."""
-    found = [(k, n, m[1], m.start()) for k, style in enumerate(_REFERENCES) for n, m in enumerate(style.finditer(text))]
+    folded = text.casefold()
+    found = [(k, n, m[1], m.start()) for k, (style, lead) in enumerate(zip(_REFERENCES, LEADS, strict=True)) if lead in folded for n, m in enumerate(style.finditer(text))]
     if not found:
         return []
     sentences, starts, at = _SENTENCE_END.split(text), [], 0
