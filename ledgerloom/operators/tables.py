@@ -151,10 +151,22 @@ def read_rows(tables: DataFrame) -> DataFrame:
     return _narrow(named(cells.where(~wide))).select(*out).unionByName(_wide(named(cells.where(wide))).select(*out))
 
 
+#: Rows of a sheet, as a power of two, whose merged ranges meet the cells together.
+BLOCK = 3
+
+
 def fill_merged(cells: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Cells of a merged range take its top left value. Both sides carry the sheet's key, and ranges unfold to their cells, so it is an equi join."""
+    """Cells of a merged range take its top left value, the largest where ranges overlap.
+
+    Both sides carry the sheet's key and blocks of its rows, so it is an equi join; a range unfolds to blocks, not to cells, and only if its top left cell has a value.
+    """
     sheet = ["doc_id", "sheet_ord"]
-    tops = ranges.join(cells.withColumnsRenamed({"row_ord": "min_row", "col_ord": "min_col", "value": "top"}), [*sheet, "min_row", "min_col"], "left")
-    spread = tops.select(*sheet, F.explode(F.sequence("min_row", "max_row")).alias("row_ord"), "min_col", "max_col", "top").select(*sheet, "row_ord", F.explode(F.sequence("min_col", "max_col")).alias("col_ord"), "top")
-    one = spread.groupBy(*sheet, "row_ord", "col_ord").agg(F.max("top").alias("top"))
-    return cells.join(one, [*sheet, "row_ord", "col_ord"], "left").withColumn("value", F.coalesce("top", "value")).drop("top")
+    held = cells.where(F.col("value").isNotNull()).withColumnsRenamed({"row_ord": "min_row", "col_ord": "min_col", "value": "top"})
+    tops = ranges.join(held, [*sheet, "min_row", "min_col"])
+    spans = {f"{end}_{of}": of_two(f"min_{of}", f"max_{of}") for of in ("row", "col") for end, of_two in (("low", F.least), ("high", F.greatest))}
+    blocks = tops.withColumns(spans).select(*sheet, F.struct(*spans, "top").alias("span"), F.explode(F.sequence(F.shiftright("low_row", BLOCK), F.shiftright("high_row", BLOCK))).alias("__block"))
+    listed = blocks.groupBy(*sheet, "__block").agg(F.collect_list("span").alias("__spans"))
+    holds = lambda s: F.col("row_ord").between(s["low_row"], s["high_row"]) & F.col("col_ord").between(s["low_col"], s["high_col"])
+    top = F.when(F.col("__spans").isNotNull(), F.array_max(F.transform(F.filter("__spans", holds), lambda s: s["top"])))
+    met = cells.withColumn("__block", F.shiftright("row_ord", BLOCK)).join(listed, [*sheet, "__block"], "left")
+    return met.withColumn("value", F.coalesce(top, "value")).select(*cells.columns)
