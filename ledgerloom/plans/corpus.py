@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import mapping, retrieval
 from ..operators.pages import chunk_index
-from ..sources import readers
+from ..sources import pdf, readers
 from ..sources.index_table import IndexTable
 from .analysis import Analysis, shared_folder
 
@@ -24,17 +24,19 @@ def build_standards(files: DataFrame, table: IndexTable, encode: mapping.Encoder
     page is a row of the errors and stops nothing.
     """
     run = Analysis(files.sparkSession, f"{shared_folder(files.sparkSession)}/corpus-{uuid.uuid4().hex}")
-    members = run.keep("members", readers.archive_members(files))
-    inside = members.where(F.col("error").isNull()).select(F.concat_ws("/", "doc_id", "name").alias("doc_id"), F.lit("pdf").alias("kind"), "content")
-    found = files.where(F.col("kind") == "pdf").select("doc_id", "kind", "content").unionByName(inside).withColumn("source_filename", F.element_at(F.split("doc_id", "[/\\\\]"), -1))
-    names = found.select("doc_id", "source_filename").groupBy("source_filename").agg(F.min("doc_id").alias("doc_id"))
+    members = run.keep("members", readers.archive_members(files, beside="pdf"))
+    file_name = F.element_at(F.split("doc_id", "[/\\\\]"), -1)
+    found = members.where(F.col("error").isNull()).select(F.concat_ws("/", "doc_id", "name").alias("doc_id"), F.lit("pdf").alias("kind"), "content")
+    names = found.groupBy(file_name.alias("source_filename")).agg(F.min("doc_id").alias("doc_id"))
     index = table.read()
     if index is not None:
         names = retrieval.not_indexed(names, index)
-    new = run.keep("new_files", found.join(names.select("doc_id"), "doc_id", "left_semi"))
-    pages = run.keep("pages", readers.pdf_pages(new, read_pdf, recognise))
-    good = pages.where(F.col("error").isNull()).join(new.select("doc_id", "source_filename"), "doc_id")
-    chunks = chunk_index(good.select("source_filename", F.col("page_num").alias("page_number"), F.col("raw_text").alias("text")))
+    new = run.keep("new_files", names)
+    # Dealt as the pages' reader deals them, so that the files' bytes are shuffled once.
+    unread = found.repartition(pdf.dealt(files.sparkSession), "doc_id").join(new.select("doc_id"), "doc_id", "left_semi")
+    pages = run.relations["pages"] = readers.pdf_pages(unread, read_pdf, recognise, run.keep)
+    good = pages.where(F.col("error").isNull())
+    chunks = chunk_index(good.select(file_name.alias("source_filename"), F.col("page_num").alias("page_number"), F.col("raw_text").alias("text")))
     version = table.upsert(mapping.encoded(chunks, "text", encode))
     lost = members.where(F.col("error").isNotNull()).select(F.concat_ws("/", "doc_id", "name").alias("doc_id"), "error")
     other = readers.unread(files.where(F.col("kind").isNull() | ~F.col("kind").isin("pdf", "zip")).withColumn("kind", F.lit(None).cast("string")))

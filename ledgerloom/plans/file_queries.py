@@ -149,20 +149,19 @@ _MEMBERS = 20
 
 
 def _archives(docs: DataFrame) -> DataFrame:
-    """Archives of some documents each, a member a document; of each a second member that is no text of a page file."""
-    listed = docs.groupBy(F.floor(F.col("doc_id") / _MEMBERS).alias("archive")).agg(F.collect_list(F.struct("doc_id", "text")).alias("members"))
+    """Archives of some documents each, as they come, a member a document; of each a second member that is no text of a page file."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for archive, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out = io.BytesIO()
+            for at in range(0, batch.num_rows, _MEMBERS):
+                members, out = batch.slice(at, _MEMBERS).to_pylist(), io.BytesIO()
                 with zipfile.ZipFile(out, "w") as z:
                     for m in members:
                         z.writestr(f"in/{m['doc_id']}.pdf", m["text"])
                     z.writestr("read.me", "no file of pages")
-                yield pa.RecordBatch.from_arrays([pa.array([f"{archive}.zip"]), pa.array(["zip"]), pa.array([out.getvalue()], pa.binary())], ["doc_id", "kind", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array([f"{members[0]['doc_id']}.zip"]), pa.array(["zip"]), pa.array([out.getvalue()], pa.binary())], ["doc_id", "kind", "content"])
 
-    return listed.mapInArrow(made, "doc_id string, kind string, content binary")
+    return docs.select("doc_id", "text").mapInArrow(made, "doc_id string, kind string, content binary")
 
 
 def _letters(texts: list[str]) -> np.ndarray:

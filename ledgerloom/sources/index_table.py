@@ -1,7 +1,7 @@
-"""An index of chunks as a table of versions: an upsert rewrites the buckets that it touches, and readers see one version.
+"""An index of chunks as a table of versions: an upsert adds to buckets or rewrites those where it replaces chunks, and readers see one version.
 
-Chunks lie in buckets by hash of their file's name. Each version is a manifest, a small file that names the folder of every bucket; an upsert writes the touched
-buckets into folders of its own and then puts the next manifest in place by one rename. Until that a reader, and a later run after a kill, finds
+Chunks lie in buckets by hash of their file's name. Each version is a manifest, a small file that names the folders of every bucket; an upsert writes its chunks, by bucket, into
+a folder of its own beside them, and anew only buckets where it replaces chunks or that lie in many folders. Then it puts the next manifest in place by one rename. Until that a reader, and a later run after a kill, finds
 the old version; two writers cannot both put the same manifest in place, the second one fails and may try again.
 """
 
@@ -16,8 +16,13 @@ from pyspark.sql import types as T
 
 from ..operators.retrieval import upsert
 
-#: Buckets of a new table.
-BUCKETS = 64
+#: Buckets of a new table; folders of a bucket from which on an upsert writes it anew.
+BUCKETS, FOLDERS = 64, 8
+
+
+def _listed(folders: str | list[str]) -> list[str]:
+    """A bucket's folders; manifests of older tables name one."""
+    return [folders] if isinstance(folders, str) else folders
 
 
 class IndexTable:
@@ -55,32 +60,37 @@ class IndexTable:
         if found["schema"] is None:
             return None
         schema = T.StructType.fromJson(found["schema"])
-        folders = [f"{self.root}/{f}" for b, f in found["folders"].items() if only is None or int(b) in only]
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+        return self._rows(schema, [f for b, own in found["folders"].items() if only is None or int(b) in only for f in _listed(own)])
+
+    def _rows(self, schema: T.StructType, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*(f"{self.root}/{f}" for f in folders)) if folders else self.spark.createDataFrame([], schema)
 
     def upsert(self, chunks: DataFrame) -> int:
         """Puts chunks (source_filename, chunk_index, more) in place of those of the same file and number; the new version's number."""
         before = self.manifest()
-        n = before["buckets"]
+        n, key = before["buckets"], ["source_filename", "chunk_index"]
+        schema = T.StructType.fromJson(before["schema"]) if before["schema"] else chunks.schema
         bucket = F.pmod(F.xxhash64("source_filename"), F.lit(n)).cast("int")
         folder = f"data/{uuid.uuid4().hex}"
-        new = f"{self.root}/{folder}/new"
-        # Written once: the chunks may come from an encoder, and they are read twice.
-        chunks.withColumn("__bucket", bucket).write.parquet(new)
-        made = self.spark.read.schema(T.StructType([*chunks.schema.fields, T.StructField("__bucket", T.IntegerType())])).parquet(new)
-        touched = sorted(r[0] for r in made.select("__bucket").distinct().collect())  # at most all buckets
-        if not touched:
+        dealt = lambda df, over, to: df.withColumn("__bucket", bucket).repartition(over, "__bucket").write.option("compression", "zstd").partitionBy("__bucket").parquet(f"{self.root}/{folder}/{to}")
+        self.fs.mkdirs(self._path(folder))
+        # Written once, where most of it stays: the chunks may come from an encoder.
+        dealt(chunks.select(*schema.names), n, "rows")
+        at = {int(x.split("=")[1]): f"{folder}/rows/{x}" for x in self._listed(f"{folder}/rows") if x.startswith("__bucket=")}
+        if not at:
             self._delete(folder)
             return before["version"]
-        made = made.drop("__bucket")
-        schema = T.StructType.fromJson(before["schema"]) if before["schema"] else chunks.schema
-        old = self.read(before["version"], touched) if before["version"] else None
-        empty = self.spark.createDataFrame([], schema)
+        own = {b: _listed(before["folders"].get(str(b), [])) for b in at}
+        keys = self._rows(schema, [*at.values(), *(f for old in own.values() for f in old)]).select(*key)
         # Chunks repeated in one upsert count once, too.
-        both = upsert(empty if old is None else old, made.select(*schema.names)).withColumn("__bucket", bucket)
-        both.repartition(len(touched), "__bucket").write.partitionBy("__bucket").parquet(f"{self.root}/{folder}/rows")
-        self._delete(f"{folder}/new")
-        folders = before["folders"] | {str(b): f"{folder}/rows/__bucket={b}" for b in touched}
+        twice = keys.groupBy(*key).count().where("count > 1").select(bucket.alias("b")).distinct()
+        anew = sorted({r.b for r in twice.collect()} | {b for b, old in own.items() if len(old) >= FOLDERS})  # at most all buckets
+        if anew:
+            both = upsert(self._rows(schema, [f for b in anew for f in own[b]]), self._rows(schema, [at[b] for b in anew]))
+            dealt(both, len(anew), "anew")
+            for b in anew:
+                self._delete(at[b])
+        folders = before["folders"] | {str(b): [f"{folder}/anew/__bucket={b}"] if b in anew else [*own[b], x] for b, x in at.items()}
         self._commit({"version": before["version"] + 1, "buckets": n, "schema": json.loads(schema.json()), "folders": folders})
         return before["version"] + 1
 
@@ -104,7 +114,7 @@ class IndexTable:
         kept = [self.manifest(v) for v in range(max(1, last - keep + 1), last + 1)]
         for v in range(1, last - keep + 1):
             self._delete(f"manifests/{v:010d}.json")
-        named = {"/".join(f.split("/")[:2]) for m in kept for f in m["folders"].values()}
+        named = {"/".join(f.split("/")[:2]) for m in kept for own in m["folders"].values() for f in _listed(own)}
         gone = [f"data/{n}" for n in self._listed("data") if f"data/{n}" not in named]
         for name in gone:
             self._delete(name)

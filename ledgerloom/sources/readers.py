@@ -227,17 +227,19 @@ def word_documents(frame: DataFrame) -> DataFrame:
     return _reader(frame, "docx", lambda c: [(1, *read_docx(c))], "page_num int, raw_text string, tables array<array<array<string>>>", [("page_num", pa.int32()), ("raw_text", pa.string()), ("tables", pa.list_(_GRID))])
 
 
-def pdf_pages(frame: DataFrame, read: Callable[[bytes], Iterable[tuple[int, str, list, bool]]] | None = None, recognise: Recogniser | None = None) -> DataFrame:
+def pdf_pages(frame: DataFrame, read: Callable[[bytes], Iterable[tuple[int, str, list, bool]]] | None = None, recognise: Recogniser | None = None, keep: Callable[[str, DataFrame], DataFrame] | None = None) -> DataFrame:
     """doc_id, page_num, raw_text, tables, ocr, error of PDF files.
 
     read: a ``plumber``, whose files are read page by page over all tasks, or a function that gives (page number, text, tables, whether by OCR) of
     each page of one file, in one task. Without it pages are read by pdfplumber; where that is not installed each file is an error row.
+    keep: writes pages as they are read and gives them back as tables.
     """
     reader = read or plumber(recognise)
     if isinstance(reader, Plumber):
         prepare(frame.sparkSession)
-        return pdf.pages(frame.where(F.col("kind") == "pdf"), reader)
-    return _reader(frame, "pdf", reader, PAGE, pdf.FIELDS[:-1])
+        return pdf.pages(frame.where(F.col("kind") == "pdf"), reader, keep=keep)
+    found = _reader(frame, "pdf", reader, PAGE, pdf.FIELDS[:-1])
+    return keep("begun_pages", found) if keep else found
 
 
 def plumber(recognise: Recogniser | None = None, opened: Callable[[bytes], object] | None = None) -> Plumber:
@@ -262,8 +264,11 @@ def archived(frame: DataFrame, ending: str = ".pdf") -> DataFrame:
     return _reader(frame, "zip", lambda c: unzip(c, ending), "name string, content binary", [("name", pa.string()), ("content", pa.binary())], rows=1)
 
 
-def archive_members(frame: DataFrame, ending: str = ".pdf") -> DataFrame:
-    """doc_id (the archive), name, content, error of the files of one ending in archives. A broken archive is a row with an error, a broken member too."""
+def archive_members(frame: DataFrame, ending: str = ".pdf", beside: str | None = None) -> DataFrame:
+    """doc_id (the archive), name, content, error of the files of one ending in archives. A broken archive is a row with an error, a broken member too.
+
+    beside: files of this kind come out as they are, without a name, so that the files are read once for both.
+    """
     prepare(frame.sparkSession)
 
     def packed(doc_id: str, name: str | None, content: bytes | None, error: str | None) -> pa.RecordBatch:
@@ -273,6 +278,9 @@ def archive_members(frame: DataFrame, ending: str = ".pdf") -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 doc_id, content = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                if batch.column(2)[i].as_py() != "zip":
+                    yield packed(doc_id, None, content, None)
+                    continue
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
                         for name in sorted(n for n in z.namelist() if n.lower().endswith(ending)):
@@ -283,7 +291,7 @@ def archive_members(frame: DataFrame, ending: str = ".pdf") -> DataFrame:
                 except Exception as e:
                     yield packed(doc_id, None, None, f"{type(e).__name__}: {e}")
 
-    return frame.where(F.col("kind") == "zip").select("doc_id", "content").mapInArrow(run, "doc_id string, name string, content binary, error string")
+    return frame.where(F.col("kind").isin("zip", *([beside] if beside else []))).select("doc_id", "content", "kind").mapInArrow(run, "doc_id string, name string, content binary, error string")
 
 
 @dataclass
