@@ -36,6 +36,8 @@ def let(x: Column, body) -> Column:
 
 
 DIGIT = "[0-9०-९]"
+#: A cell that is a figure as it stands.
+PLAIN = r"^[0-9]+(?:\.[0-9]+)?\z"
 _WRAPPED = r"(?s)^\((.*)\)$"
 
 
@@ -77,7 +79,7 @@ def parse_in_lambda(x: Column) -> Column:
     wrapped = lambda p: p["bare"].startswith("(") & p["bare"].endswith(")") & (F.length(p["bare"]) > 1)
     signed = lambda p: F.struct((wrapped(p) | p["inner"].startswith("-")).alias("negative"), _figure(p["inner"]).alias("value"))
     value = lambda q: F.when(q["negative"], -F.abs(q["value"])).otherwise(q["value"])
-    return F.when(x.rlike(DIGIT), let(let(let(_unmarked(x), parts), signed), value))
+    return F.when(x.rlike(PLAIN), x.cast("double")).when(x.rlike(DIGIT), let(let(let(_unmarked(x), parts), signed), value))
 
 
 def format_indian_number(x: Column, decimals: int = 0) -> Column:

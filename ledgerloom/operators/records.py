@@ -27,11 +27,11 @@ def _label(row: Column) -> Column:
 
 
 def _classed(rows: Column, classify: Callable[[Column], Column], value: Callable[[Column], Column]) -> Column:
-    return F.transform(rows, lambda r: F.struct(classify(_label(r)).alias("kind"), value(r).alias("value")))
+    return F.transform(rows, lambda r: F.struct(let(_label(r), classify).alias("kind"), value(r).alias("value")))
 
 
 def _last(classed: Column, kind: str) -> Column:
-    fit = F.filter(classed, lambda x: x.kind == kind)
+    fit = F.filter(classed, lambda x: x["kind"] == kind)
     return F.try_element_at(fit, F.lit(-1))["value"]
 
 
@@ -46,17 +46,18 @@ def contingent() -> Column:
     kind = lambda x: F.when(x.contains("income tax"), "income_tax").when(x.contains("service tax"), "service_tax").when(x.contains("gst"), "gst").when(x.contains("total"), "total").when(x != "", "others")
 
     def read(at: Column) -> Column:
-        return F.struct(_classed(rows, kind, lambda r: parse_in_lambda(_cell(r, at["current_col"]))).alias("now"), _classed(rows, kind, lambda r: parse_in_lambda(_cell(r, at["prior_col"]))).alias("before"))
+        return _classed(rows, kind, lambda r: F.struct(parse_in_lambda(_cell(r, at["current_col"])).alias("now"), r.alias("cells"), at["prior_col"].alias("prior_col")))
 
-    def fields(both: Column) -> Column:
-        others = F.filter(F.transform(F.filter(both["now"], lambda x: x["kind"] == "others"), lambda x: x["value"]), lambda v: v.isNotNull() & (v != 0))
+    def fields(read: Column) -> Column:
+        others = F.filter(F.transform(F.filter(read, lambda x: x["kind"] == "others"), lambda x: x["value"]["now"]), lambda v: v.isNotNull() & (v != 0))
         summed = let(others, lambda o: F.when(F.size(o) > 0, F.aggregate(o, F.lit(0.0), lambda a, v: a + v)))
-        parts = [_last(both["now"], k).alias(k) for k in ("income_tax", "service_tax", "gst")]
-        return F.struct(*parts, summed.alias("others"), _last(both["now"], "total").alias("total"), _last(both["before"], "total").alias("total_prior"))
+        parts = [_last(read, k)["now"].alias(k) for k in ("income_tax", "service_tax", "gst")]
+        before = let(_last(read, "total"), lambda x: parse_in_lambda(_cell(x["cells"], x["prior_col"])))  # of the one row that is asked for
+        return F.struct(*parts, summed.alias("others"), _last(read, "total")["now"].alias("total"), before.alias("total_prior"))
 
     some = lambda f: F.coalesce(f["income_tax"], f["service_tax"], f["gst"], f["total"], f["others"]).isNotNull()
     labels = F.array_join(F.transform(rows, _label), " ")
-    return F.when(any_of(labels, _CONTINGENT_WORDS), let(let(let(columns, read), fields), lambda f: F.when(some(f), f)))
+    return F.when(let(labels, lambda x: any_of(x, _CONTINGENT_WORDS)), let(let(let(columns, read), fields), lambda f: F.when(some(f), f)))
 
 
 def _amount_column() -> Column:
@@ -167,23 +168,29 @@ def with_buckets(tables: DataFrame, buckets: dict[str, list[str]], compat: bool
 
 def _ageing(rows: Column) -> list[Column]:
     """Each bucket: the last row with a value."""
-    values = lambda b: F.filter(F.transform(rows, lambda r: parse_in_lambda(F.get(r, F.col("cols")[b]))), lambda v: v.isNotNull())
-    return [F.when(F.col("cols")[b].isNotNull(), F.try_element_at(values(b), F.lit(-1))).alias(b) for b in AGEING]
+    values = lambda at: F.filter(F.transform(rows, lambda r: parse_in_lambda(F.get(r, at))), lambda v: v.isNotNull())
+    return [let(F.col("cols")[b], lambda at: F.when(at.isNotNull(), F.try_element_at(values(at), F.lit(-1)))).alias(b) for b in AGEING]
+
+
+def _totals(kind: Callable[[Column], Column]) -> Column:
+    """kind and value in the column of totals of each row; null without such a column. The headers are searched once, not for each row."""
+    return let(total_column(F.col("headers")), lambda at: F.when(at.isNotNull(), _classed(F.col("rows"), kind, lambda r: parse_in_lambda(F.get(r, at)))))
 
 
 def receivables_ageing() -> Column:
-    rows, total = F.col("rows"), total_column(F.col("headers"))
     kind = lambda x: F.when(any_of(x, ("doubtful", "allowance", "expected credit loss")), "allowance").when(x.contains("net"), "net").when(x.contains("total") | (x == ""), "gross")
-    read = F.filter(_classed(rows, kind, lambda r: parse_in_lambda(F.get(r, total))), lambda x: total.isNotNull())
-    gross = F.filter(read, lambda x: x.kind.eqNullSafe("gross") & x.value.isNotNull())
-    return F.when(F.size("cols") >= 2, F.struct(*_ageing(rows), F.try_element_at(gross, F.lit(-1))["value"].alias("total_gross"), _last(read, "allowance").alias("allowance_doubtful"), _last(read, "net").alias("net_total")))
+
+    def fields(read: Column) -> Column:
+        gross = F.filter(read, lambda x: x["kind"].eqNullSafe("gross") & x["value"].isNotNull())
+        return F.struct(*_ageing(F.col("rows")), F.try_element_at(gross, F.lit(-1))["value"].alias("total_gross"), _last(read, "allowance").alias("allowance_doubtful"), _last(read, "net").alias("net_total"))
+
+    return F.when(F.size("cols") >= 2, let(_totals(kind), fields))
 
 
 def payables_ageing() -> Column:
-    rows, total = F.col("rows"), total_column(F.col("headers"))
     kind = lambda x: F.when(any_of(x, ("micro", "small", "mse")), "mse").when(x.contains("other"), "others").when(x.contains("total"), "total")
-    read = _classed(rows, kind, lambda r: F.when(total.isNotNull(), parse_in_lambda(F.get(r, total))))
-    return F.when(F.size("cols") >= 2, F.struct(*_ageing(rows), *(_last(read, k).alias(f"total_{k}" if k != "total" else k) for k in ("mse", "others", "total"))))
+    fields = lambda read: F.struct(*_ageing(F.col("rows")), *(_last(read, k).alias(f"total_{k}" if k != "total" else k) for k in ("mse", "others", "total")))
+    return F.when(F.size("cols") >= 2, let(_totals(kind), fields))
 
 
 def cwip_ageing() -> Column:
