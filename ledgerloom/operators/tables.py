@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import DIGIT, SPLIT_DIGIT, blank, fix_reversed, is_number, label_fill, let, note_reference, otherwise_null, parse_indian_number, parse_text_line, strip
+from ..functions.figures import figures
+from ..functions.text import DIGIT, blank, fix_reversed, is_number, label_fill, let, note_reference, otherwise_null, parse_text_line, strip
 
 
 def _drop_blank_and_repeats(rows: Column) -> Column:
@@ -89,20 +96,6 @@ def note_columns(headers: Column) -> Column:
     return F.filter(F.transform(headers, lambda h, i: F.when(fits(h), i)), lambda i: i.isNotNull())
 
 
-#: Cells after the label that are read by compiled columns; wider rows take a slower way of their own, with the same result.
-WIDTH = 4
-
-
-def _with_digit(cell: Column) -> Column:
-    """The cell if it holds a digit, else null: what follows is then skipped."""
-    return F.when(cell.rlike(DIGIT), cell)
-
-
-def _value(cell: Column) -> Column:
-    """The cell's number, with a leading digit that extraction cut off put back: such a cell is two tokens and would be none."""
-    return parse_indian_number(F.regexp_replace(strip(_with_digit(cell)), SPLIT_DIGIT, "$1$2"))
-
-
 def _reference(cell: Column) -> Column:
     """The note that a text names; texts that cannot name one are not searched."""
     return note_reference(F.when(cell.contains(")") | F.lower(cell).contains("note"), cell))
@@ -113,26 +106,27 @@ def _short_reference(cell: Column, value: Column) -> Column:
     return F.when(value.isNull() & (F.length(strip(cell)) <= 6), _reference(cell))
 
 
-def _wide(read: DataFrame) -> DataFrame:
-    """Rows of any width with current, prior and the first reference beside the label, by lambdas over the cells."""
-    value = lambda c, i: F.when((i > 0) & ~F.array_contains("notes", i), _value(c))
-    valued = read.withColumn("read", F.transform("cells", lambda c, i: F.struct(i.alias("i"), c.alias("c"), value(c, i).alias("v"))))
-    numbers = F.filter(F.transform("read", lambda x: x["v"]), lambda v: v.isNotNull())
-    own = lambda x: F.when(F.array_contains("notes", x["i"]), otherwise_null(strip(x["c"]))).otherwise(_short_reference(x["c"], x["v"]))
-    refs = F.filter(F.transform(F.filter("read", lambda x: x["i"] > 0), own), lambda r: r.isNotNull())
-    return valued.withColumns({"numbers": numbers, "refs": refs}).withColumns({"current": F.get("numbers", F.lit(0)), "prior": F.get("numbers", F.lit(1)), "ref": F.get("refs", F.lit(0))})
+def _relisted(shape: pa.Array, values: pa.Array) -> pa.Array:
+    """The values in lists of the lengths of other lists, null where those are."""
+    lengths = pc.fill_null(pc.list_value_length(shape), 0).to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), values, mask=shape.is_null())
+
+
+def _with_values(tables: DataFrame) -> DataFrame:
+    """The tables with the number of each cell (``values``), a leading digit that extraction cut off put back. Distinct cells of a batch are parsed once."""
+    own = tables.sparkSession._jsparkSession.sessionState().conf()
+    if not own.contains("spark.sql.execution.arrow.maxBytesPerBatch"):
+        tables.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(batch.schema.get_field_index("rows"))
+            cells = rows.flatten()
+            distinct = cells.flatten().dictionary_encode()
+            found = figures(distinct.dictionary).take(distinct.indices)
+            yield pa.RecordBatch.from_arrays([*batch.columns, _relisted(rows, _relisted(cells, found))], [*batch.schema.names, "values"])
 
-def _narrow(read: DataFrame) -> DataFrame:
-    """Rows of up to WIDTH cells beside the label, by compiled columns: the values first, so that each cell is parsed once."""
-    at = range(1, WIDTH + 1)
-    noted = {i: F.coalesce(F.array_contains("notes", F.lit(i)), F.lit(False)) for i in at}
-    cell = {i: F.get("cells", F.lit(i)) for i in at}
-    valued = read.withColumns({f"v{i}": _value(F.when(~noted[i], cell[i])) for i in at})
-    first = F.coalesce(*(F.when(F.col(f"v{i}").isNotNull(), i) for i in at))
-    second = F.coalesce(*(F.when(first < i, F.col(f"v{i}")) for i in at[1:]))
-    refs = (F.when(noted[i], otherwise_null(strip(cell[i]))).otherwise(_short_reference(cell[i], F.col(f"v{i}"))) for i in at)
-    return valued.withColumns({"current": F.coalesce(*(F.col(f"v{i}") for i in at)), "prior": second, "ref": F.coalesce(*refs)})
+    return tables.mapInArrow(run, T.StructType([*tables.schema.fields, T.StructField("values", T.ArrayType(T.ArrayType(T.DoubleType())))]))
 
 
 def read_rows(tables: DataFrame) -> DataFrame:
@@ -142,13 +136,18 @@ def read_rows(tables: DataFrame) -> DataFrame:
     column or a short cell gives.
     """
     keys = [c for c in tables.columns if c not in ("headers", "rows")]
-    cells = tables.withColumn("notes", note_columns(F.col("headers"))).select(*keys, "notes", F.posexplode("rows").alias("row_ord", "cells"))
-    label = strip(F.get("cells", F.lit(0)))
+    valued = _with_values(tables.select(*keys, "rows", note_columns(F.col("headers")).alias("notes")))
+    rows = valued.select(*keys, "notes", F.posexplode(F.arrays_zip("rows", "values")).alias("row_ord", "row"))
+    cells = rows.select(*keys, "notes", "row_ord", F.col("row.rows").alias("cells"), F.col("row.values").alias("values"), strip(F.get("row.rows", F.lit(0))).alias("label"))
     number = F.col("label").rlike(DIGIT) & is_number(F.col("label"))  # few labels hold digits
-    named = lambda df: df.withColumn("label", label).where((F.length("label") >= 3) & ~number)
-    out = [*keys, "row_ord", "label", F.coalesce(_reference(F.col("label")), F.col("ref")).alias("note_ref"), "current", "prior"]
-    wide = F.size("cells") > WIDTH + 1
-    return _narrow(named(cells.where(~wide))).select(*out).unionByName(_wide(named(cells.where(wide))).select(*out))
+    named = cells.where((F.length("label") >= 3) & ~number)
+    noted = lambda i: F.coalesce(F.array_contains("notes", i), F.lit(False))
+    numbers = F.filter(F.transform("values", lambda v, i: F.when((i > 0) & ~noted(i), v)), lambda v: v.isNotNull())
+    own = lambda c, i: F.when(i > 0, F.when(noted(i), otherwise_null(strip(c))).otherwise(_short_reference(c, F.get("values", i))))
+    ref = F.get(F.filter(F.transform("cells", own), lambda r: r.isNotNull()), F.lit(0))
+    read = named.withColumns({"numbers": numbers, "own": _reference(F.col("label"))})
+    note_ref = F.when(F.col("own").isNotNull(), F.col("own")).otherwise(ref)
+    return read.select(*keys, "row_ord", "label", note_ref.alias("note_ref"), F.get("numbers", F.lit(0)).alias("current"), F.get("numbers", F.lit(1)).alias("prior"))
 
 
 #: Rows of a sheet, as a power of two, whose merged ranges meet the cells together.
