@@ -20,6 +20,8 @@ from ..functions.vocabulary import STATEMENT, chart, lookup, variants_frame
 from .retrieval import best_by_cosine
 
 FUZZY, FUZZY_LEAST, COSINE = 90.0, 60.0, 0.82
+#: Parts that the rows of one label are dealt to where they meet its key.
+PARTS = 1024
 
 
 def override(label: Column) -> Column:
@@ -69,10 +71,12 @@ def map_labels(labels: DataFrame, embed: Callable[[DataFrame], DataFrame] | None
     embed: adds embedding_key and cosine to labels between the two similarity bounds; without a model that step is off.
     """
     spark = labels.sparkSession
-    cleaned = labels.select("raw_label").distinct().withColumn("label", clean_label(F.col("raw_label")))
+    # Unfolded from an array of one: filters of plain columns would go below the distinct step and be evaluated for each row.
+    wording = F.struct(clean_label(F.col("raw_label")).alias("label"), override(F.col("raw_label")).alias("override_key"))
+    cleaned = labels.select("raw_label").distinct().select("raw_label", F.inline(F.array(wording)))
     dim = F.broadcast(variants_frame(spark).select(F.col("variant").alias("label"), F.col("key").alias("exact_key")))
     refused = F.col("label").isin("", "total")
-    known = cleaned.join(dim, "label", "left").withColumns({"refused": refused, "override_key": override(F.col("raw_label"))})
+    known = cleaned.join(dim, "label", "left").withColumn("refused", refused)
     open_labels = known.where(~F.col("refused") & F.col("override_key").isNull() & F.col("exact_key").isNull()).select("label").distinct()
     fuzzy = fuzzy_scores(open_labels)
     if embed is not None:
@@ -107,10 +111,14 @@ def structural_total(items: DataFrame, table: list[str], order: str = "row_ord")
 
 
 def map_items(rows: DataFrame, table: list[str], embed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Read rows (doc_id, the table's keys, row_ord, sheet_type, label, current, prior, note_ref) as numbered line items."""
-    named = rows.withColumnsRenamed({"label": "raw_label", "current": "current_value", "prior": "prior_value"})
+    """Read rows (doc_id, the table's keys, row_ord, sheet_type, label, current, prior, note_ref) as numbered line items.
+
+    One label may stand in most rows: these meet its key by label and part, and a label's key goes only to the parts that it has.
+    """
+    named = rows.withColumnsRenamed({"label": "raw_label", "current": "current_value", "prior": "prior_value"}).withColumn("__part", F.pmod(F.xxhash64(*table, "row_ord"), F.lit(PARTS)))
     found = map_labels(named, embed).drop("label").withColumn("unresolved", F.col("method") == "unknown")
-    mapped = structural_total(guard_statement(named.join(found, "raw_label")), table)
+    parts = named.select("raw_label", "__part").distinct().join(found, "raw_label")
+    mapped = structural_total(guard_statement(named.join(parts, ["raw_label", "__part"]).drop("__part")), table)
     order = Window.partitionBy("doc_id").orderBy(*[c for c in table if c != "doc_id"], "row_ord")
     return mapped.withColumn("item_idx", F.row_number().over(order) - 1)
 
