@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -17,30 +18,22 @@ import numpy as np
 STATE, CLASS, BUCKETS, WINDOW, SCORE_WINDOW = 32, 64, 64, 32, 128
 #: Texts that run side by side in training and in scoring; rate of learning.
 LANES, SCORE_LANES, RATE = 256, 256, 0.1
+#: Lanes in scoring that are run though a long text leaves some empty.
+LEAST_LANES = 64
+#: Words whose outputs are held at once, so that they stay in a processor's cache.
+BLOCK = 2048
 #: Size of logits whose exponentials neither overflow nor vanish.
 CALM = 60.0
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place; exponentials that overflow give 0, as they should."""
-    np.negative(x, out=x)
+def exponentials(x: np.ndarray, calm: bool = False) -> tuple[np.ndarray, np.ndarray | float]:
+    """In place, of the rows less their largest values; the rows' sums, and those values. calm: no row's largest value is beyond CALM either way, and nothing is taken off."""
+    most: np.ndarray | float = 0.0
+    if not calm:
+        most = x.max(axis=1)
+        x -= most[:, None]
     np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
-
-
-def softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
-
-
-def log_sum(x: np.ndarray, calm: bool = False) -> np.ndarray:
-    """Logarithms of the rows' sums of exponentials; x is lost. calm: no row's largest value is beyond CALM either way."""
-    if calm:
-        return np.log(np.exp(x, out=x).sum(axis=1))
-    most = x.max(axis=1)
-    x -= most[:, None]
-    return most + np.log(np.exp(x, out=x).sum(axis=1))
+    return x @ np.ones(x.shape[1], x.dtype), most
 
 
 class Network:
@@ -91,35 +84,116 @@ class Network:
     def class_of(self, words: np.ndarray) -> np.ndarray:
         return np.where(words < self.words, words // CLASS, self.classes)
 
-    def step(self, given: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
-        """New state, then gates, candidate and recurrent part, from the inputs' rows and the last state."""
-        s = self.state
-        a = state @ self.recur
-        with np.errstate(over="ignore"):
-            gates = sigmoid(given[:, : 2 * s] + a[:, : 2 * s])
-        new = gates[:, :s] * a[:, 2 * s :]
-        new += given[:, 2 * s :]
+    def unfolded(self, given: np.ndarray) -> np.ndarray:
+        """The inputs' rows of steps by lanes, by part: both gates, their sign turned, and the candidate."""
+        rows = np.take(self.inputs, given.ravel(), axis=0).reshape(*given.shape, 3, self.state)
+        out = np.ascontiguousarray(np.moveaxis(rows, 2, 0))
+        np.negative(out[:2], out=out[:2])
+        return out
+
+    def turned(self) -> np.ndarray:
+        """``recur`` by part, as ``unfolded``."""
+        out = np.ascontiguousarray(self.recur.reshape(self.state, 3, self.state).transpose(1, 0, 2))
+        np.negative(out[:2], out=out[:2])
+        return out
+
+    @staticmethod
+    def step(given: np.ndarray, state: np.ndarray, turned: np.ndarray, part: np.ndarray, gates: np.ndarray, new: np.ndarray, after: np.ndarray) -> None:
+        """Fills recurrent parts, gates, candidate and new state from the inputs' rows (``unfolded``) and the last state."""
+        np.matmul(state, turned, out=part)
+        np.add(given[:2], part[:2], out=gates)
+        with np.errstate(over="ignore"):  # an exponential that overflows gives 0, as it should
+            np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        np.multiply(gates[0], part[2], out=new)
+        new += given[2]
         np.tanh(new, out=new)
-        after = state - new
-        after *= gates[:, s:]
+        np.subtract(state, new, out=after)
+        after *= gates[1]
         after += new
-        return after, gates, new, a
+
+    def _biased(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of classes, and of words by class, that take the biases as those of one more component."""
+        return np.vstack((self.to_class, self.class_bias)), np.concatenate((self.to_word, self.word_bias[:, :, None]), axis=2)
+
+    def _by_class(self, states: np.ndarray, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The places ``at`` in order of their words' classes: places, classes, numbers within the class, limits of the classes, states with one more component that is 1."""
+        kind = self.class_of(words[at]).astype(np.min_scalar_type(self.classes))
+        order = np.argsort(kind, kind="stable")
+        at, kind = at[order], kind[order].astype(np.int64)
+        given = np.ones((len(at), states.shape[1] + 1), states.dtype)
+        given[:, :-1] = np.take(states, at, axis=0)
+        return at, kind, words[at] - kind * CLASS, np.searchsorted(kind, np.arange(self.classes + 1)).tolist(), given
+
+    @staticmethod
+    def _blocks(kind: np.ndarray, limits: list[int]) -> Iterator[tuple[int, int, int, list[tuple[int, int, int]]]]:
+        """Blocks of places in order of classes: low, high, the end of those whose word has an output of its own, and the classes among these with their limits."""
+        for low in range(0, len(kind), BLOCK):
+            high = min(low + BLOCK, len(kind))
+            stop = max(low, min(high, limits[-1]))
+            own = range(int(kind[low]), int(kind[stop - 1]) + 1) if stop > low else ()
+            yield low, high, stop, [(c, max(limits[c], low), min(limits[c + 1], stop)) for c in own if limits[c] < limits[c + 1]]
 
     def log_probabilities(self, states: np.ndarray, words: np.ndarray, calm: bool = False) -> np.ndarray:
         """Natural logarithms of the probabilities of words (for words without an output of their own, of their class) after states."""
-        kind = self.class_of(words)
-        logits = states @ self.to_class + self.class_bias
-        out = logits[np.arange(len(words)), kind]
-        out -= log_sum(logits, calm)
-        order = np.argsort(kind, kind="stable")
-        limits = np.searchsorted(kind[order], np.arange(self.classes + 1))
-        for c in np.flatnonzero(np.diff(limits)):
-            at = order[limits[c] : limits[c + 1]]
-            own = states[at] @ self.to_word[c].T + self.word_bias[c]
-            chosen = own[np.arange(len(at)), words[at] - c * CLASS]
-            out[at] += chosen - log_sum(own, calm)
+        at, kind, place, limits, given = self._by_class(states, words, np.arange(len(words)))
+        to_class, to_word = self._biased()
+        found = np.empty(len(at), states.dtype)
+        for low, high, stop, classes in self._blocks(kind, limits):
+            x = given[low:high] @ to_class
+            chosen = x[np.arange(high - low), kind[low:high]]
+            sums, most = exponentials(x, calm)
+            found[low:high] = chosen - most - np.log(sums)
+            if classes:
+                x = np.empty((stop - low, CLASS), states.dtype)
+                for c, a, b in classes:
+                    np.matmul(given[a:b], to_word[c].T, out=x[a - low : b - low])
+                chosen = x[np.arange(stop - low), place[low:stop]]
+                sums, most = exponentials(x, calm)
+                found[low:stop] += chosen - most - np.log(sums)
+        out = np.empty_like(found)
+        out[at] = found
         return out
 
+    def _output_gradients(self, states: np.ndarray, words: np.ndarray, at: np.ndarray) -> tuple[float, dict, np.ndarray]:
+        """Loss a word at the places, gradients of the outputs' parameters, and of all states."""
+        scale, s, calm = states.dtype.type(1 / max(len(at), 1)), self.state, self.calm()
+        at, kind, place, limits, given = self._by_class(states, words, at)
+        to_class, to_word = self._biased()
+        by_class, by_word = np.zeros_like(to_class), np.zeros((self.classes, CLASS, s + 1), states.dtype)
+        back, loss, seen = np.empty((len(at), s), states.dtype), 0.0, []
+
+        def errors(x: np.ndarray, wanted: np.ndarray) -> float:
+            """Turns logits to errors; the loss."""
+            rows = np.arange(len(x))
+            chosen = x[rows, wanted]
+            sums, most = exponentials(x, calm)
+            x *= (scale / sums)[:, None]
+            x[rows, wanted] -= scale
+            return float((np.log(sums) + most - chosen).sum())
+
+        for low, high, stop, classes in self._blocks(kind, limits):
+            own = given[low:high]
+            x = own @ to_class
+            loss += errors(x, kind[low:high])
+            by_class += own.T @ x
+            np.matmul(x, self.to_class.T, out=back[low:high])
+            x = np.empty((stop - low, CLASS), states.dtype)
+            for c, a, b in classes:
+                np.matmul(given[a:b], to_word[c].T, out=x[a - low : b - low])
+            loss += errors(x, place[low:stop])
+            for c, a, b in classes:
+                part = x[a - low : b - low]
+                by_word[c] += part.T @ given[a:b]
+                back[a:b] += part @ self.to_word[c]
+            seen += [c for c, *_ in classes]
+        by_state = np.zeros_like(states)
+        by_state[at] = back
+        seen = sorted(set(seen))
+        out = {"to_class": by_class[:-1], "class_bias": by_class[-1], "to_word": {c: by_word[c, :, :s] for c in seen}, "word_bias": {c: by_word[c, :, s] for c in seen}}
+        return loss / max(len(at), 1), out, by_state
+
     def gradients(self, given: np.ndarray, words: np.ndarray, real: np.ndarray, state: np.ndarray) -> tuple[float, dict, np.ndarray]:
         """Loss a word, gradients and the state after a window; given (inputs), words and real (not padding) are steps by lanes.
 
@@ -127,51 +201,53 @@ class Network:
         """
         steps, lanes = given.shape
         s = self.state
-        before, gates, new, a, after = [], [], [], [], []
-        rows = self.inputs[given]
+        rows, turned = self.unfolded(given), self.turned()
+        part, gates, new, states = np.empty_like(rows), np.empty_like(rows[:2]), np.empty_like(rows[0]), np.empty((steps + 1, lanes, s), rows.dtype)
+        states[0] = state
         for t in range(steps):
-            before.append(state)
-            state, g, n, r = self.step(rows[t], state)
-            gates.append(g), new.append(n), a.append(r), after.append(state)
-        at = np.flatnonzero(real.ravel())
-        hidden, target = np.concatenate(after)[at], words.ravel()[at]
-        kind, scale = self.class_of(target), np.float32(1 / max(len(at), 1))
-        p = softmax(hidden @ self.to_class + self.class_bias)
-        loss = -float(np.log(np.maximum(p[np.arange(len(at)), kind], 1e-30)).sum())
-        p[np.arange(len(at)), kind] -= 1
-        p *= scale
-        out = {"to_class": hidden.T @ p, "class_bias": p.sum(axis=0), "to_word": {}, "word_bias": {}}
-        back = p @ self.to_class.T
-        order = np.argsort(kind, kind="stable")
-        limits = np.searchsorted(kind[order], np.arange(self.classes + 1))
-        for c in np.flatnonzero(np.diff(limits)):
-            own = order[limits[c] : limits[c + 1]]
-            h, place = hidden[own], target[own] - c * CLASS
-            q = softmax(h @ self.to_word[c].T + self.word_bias[c])
-            loss -= float(np.log(np.maximum(q[np.arange(len(own)), place], 1e-30)).sum())
-            q[np.arange(len(own)), place] -= 1
-            q *= scale
-            out["to_word"][int(c)], out["word_bias"][int(c)] = q.T @ h, q.sum(axis=0)
-            back[own] += q @ self.to_word[c]
-        by_state = np.zeros((steps * lanes, s), np.float32)
-        by_state[at] = back
+            self.step(rows[:, t], states[t], turned, part[:, t], gates[:, t], new[t], states[t + 1])
+        loss, out, by_state = self._output_gradients(states[1:].reshape(-1, s), words.ravel(), np.flatnonzero(real.ravel()))
         by_state = by_state.reshape(steps, lanes, s)
-        carry, pre, rec = np.zeros((lanes, s), np.float32), np.zeros((steps, lanes, 3 * s), np.float32), np.zeros((steps, lanes, 3 * s), np.float32)
+        rec, by_new = part, rows[2]  # gradients of the recurrent parts, and of the candidate, take the place of what they came from
+        back, carry = np.ascontiguousarray(self.recur.reshape(s, 3, s).transpose(1, 2, 0)), np.zeros((lanes, s), rows.dtype)
+        met, rest, slope = np.empty((3, lanes, s), rows.dtype), np.empty_like(carry), np.empty_like(carry)
         for t in range(steps - 1, -1, -1):
-            d = by_state[t] + carry
-            r, z, n = gates[t][:, :s], gates[t][:, s:], new[t]
-            by_new = d * (1 - z) * (1 - n * n)
-            pre[t, :, :s] = by_new * a[t][:, 2 * s :] * r * (1 - r)
-            pre[t, :, s : 2 * s] = d * (before[t] - n) * z * (1 - z)
-            pre[t, :, 2 * s :] = by_new
-            rec[t, :, : 2 * s] = pre[t, :, : 2 * s]
-            rec[t, :, 2 * s :] = by_new * r
-            carry = d * z + rec[t] @ self.recur.T
-        out["recur"] = np.concatenate(before).T @ rec.reshape(-1, 3 * s)
-        flat, order = given.ravel(), np.argsort(given.ravel(), kind="stable")
-        used, first = np.unique(flat[order], return_index=True)
-        out["inputs"] = (used, np.add.reduceat(pre.reshape(-1, 3 * s)[order], first, axis=0))
-        return loss / max(len(at), 1), out, state
+            d, reset, update = by_state[t], gates[0, t], gates[1, t]
+            d += carry
+            np.subtract(1, update, out=rest)
+            rest *= d
+            np.multiply(new[t], new[t], out=slope)
+            np.subtract(1, slope, out=slope)
+            np.multiply(slope, rest, out=by_new[t])
+            np.subtract(1, reset, out=slope)
+            slope *= reset
+            slope *= part[2, t]
+            np.multiply(slope, by_new[t], out=rec[0, t])
+            np.subtract(states[t], new[t], out=slope)
+            slope *= update
+            np.multiply(slope, rest, out=rec[1, t])
+            np.multiply(by_new[t], reset, out=rec[2, t])
+            np.matmul(rec[:, t], back, out=met)
+            np.multiply(d, update, out=carry)
+            for k in range(3):
+                carry += met[k]
+        flat = states[:-1].reshape(-1, s).T
+        out["recur"] = np.concatenate([flat @ rec[k].reshape(-1, s) for k in range(3)], axis=1)
+        out["inputs"] = summed(given.ravel(), np.concatenate([x.reshape(-1, s) for x in (rec[0], rec[1], by_new)], axis=1), len(self.inputs))
+        return loss, out, states[-1]
+
+
+def summed(keys: np.ndarray, rows: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys (below the limit), and the sums of their rows; those of one row are not summed."""
+    order = np.argsort(keys.astype(np.min_scalar_type(limit)), kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    sizes = np.diff(np.append(starts, len(keys)))
+    lone = sizes == 1
+    several = ~np.repeat(lone, sizes)
+    met = sizes[~lone]
+    sums = np.add.reduceat(np.take(rows, order[several], axis=0), np.cumsum(met) - met, axis=0) if len(met) else rows[:0]
+    return np.concatenate((keys[starts[lone]], keys[starts[~lone]])), np.concatenate((np.take(rows, order[starts[lone]], axis=0), sums))
 
 
 class Learner:
@@ -211,8 +287,8 @@ class Learner:
                     self._move(name, ..., found[name])
                 self._move("inputs", *found["inputs"])
                 for name in ("to_word", "word_bias"):
-                    for c, gradient in found[name].items():
-                        self._move(name, c, gradient)
+                    if found[name]:
+                        self._move(name, list(found[name]), np.stack(list(found[name].values())))
         return total, n
 
 
@@ -224,7 +300,10 @@ def text_scores(net: Network, words: np.ndarray, limits: np.ndarray, lanes: int
     sizes = np.diff(limits)
     out = np.zeros(len(sizes))
     order = np.argsort(-sizes, kind="stable")
-    lanes = max(1, min(lanes, len(sizes)))
+    # As many lanes as are full until the longest text ends, and steps that make windows of like size.
+    fit = int(sizes.sum()) // max(int(sizes.max(initial=0)), 1)
+    lanes = max(1, min(lanes, len(sizes), max(fit, LEAST_LANES)))
+    window *= max(1, SCORE_LANES // lanes)
     loads, dealt = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)]
     for i in order:
         load, k = heapq.heappop(loads)
@@ -235,7 +314,7 @@ def text_scores(net: Network, words: np.ndarray, limits: np.ndarray, lanes: int
     of = [np.repeat(own, sizes[own]) for own in dealt]
     places = [np.concatenate([np.arange(limits[i], limits[i + 1]) for i in own]) for own in dealt]
     state = np.zeros((len(dealt), net.state), np.float32)
-    firsts, calm = limits[:-1], net.calm()
+    firsts, calm, turned = limits[:-1], net.calm(), net.turned()
     for at in range(0, int(length.max(initial=0)), window):
         width = np.minimum(length - at, window)
         live = int((width > 0).sum())
@@ -245,13 +324,15 @@ def text_scores(net: Network, words: np.ndarray, limits: np.ndarray, lanes: int
             w = int(width[k])
             place[:w, k], text[:w, k], real[:w, k] = places[k][at : at + w], of[k][at : at + w], True
         first = firsts[text] == place
-        given = net.inputs[np.where(first, net.start, words[np.maximum(place - 1, 0)])]
+        given = net.unfolded(np.where(first, net.start, words[np.maximum(place - 1, 0)]))
         states, now = np.empty((*place.shape, net.state), np.float32), state[:live]
+        part, gates, new = np.empty_like(given[:, 0]), np.empty_like(given[:2, 0]), np.empty_like(given[0, 0])
+        begun = first.any(axis=1).tolist()
         for t in range(len(place)):
-            if first[t].any():
+            if begun[t]:
                 now = np.where(first[t][:, None], np.float32(0), now)
-            now = net.step(given[t], now)[0]
-            states[t] = now
+            net.step(given[:, t], now, turned, part, gates, new, states[t])
+            now = states[t]
         state[:live] = now
         out += np.bincount(text[real], net.log_probabilities(states[real], words[place[real]], calm), len(sizes))
     return out

@@ -54,14 +54,23 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
 
 
+def numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes in order of their first places, each place's number among them, and the first places."""
+    coded = pa.array(hashes, pa.uint64()).dictionary_encode()
+    of = coded.indices.to_numpy().astype(np.int64)
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(of), prepend=-1))
+    return coded.dictionary.to_numpy(), of, first
+
+
 class Distinct:
     """The distinct words of a group of texts, or of those at some places: hash and number of each, and for each word in order ``of``, its distinct word."""
 
-    def __init__(self, words: Words, at: np.ndarray | None = None):
-        hashes, starts, ends = words.hashes(), words.starts, words.ends
+    def __init__(self, words: Words, at: np.ndarray | None = None, hashes: np.ndarray | None = None):
+        hashes, starts, ends = words.hashes() if hashes is None else hashes, words.starts, words.ends
         if at is not None:
             hashes, starts, ends = hashes[at], starts[at], ends[at]
-        self.hashes, first, self.of, self.counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        self.hashes, self.of, first = numbered(hashes)
+        self.counts = np.bincount(self.of, minlength=len(first))
         self.buffer, self.starts, self.ends = words.bytes, starts[first], ends[first]
         self.long = np.flatnonzero(self.ends - self.starts > LONG)
 
@@ -101,16 +110,17 @@ class Lexicon:
     def ranked(self, words: Words, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, Distinct]:
         """Of the words at some places, or all: rank (-1 where the count is not here), the network's number, and the places
         without a rank among them with their distinct words."""
-        hashes = words.hashes() if places is None else words.hashes()[places]
+        every = words.hashes()
+        hashes, of, _ = numbered(every if places is None else every[places])
         at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
-        rank = np.where(self.hashes[at] == hashes, self.ranks[at], -1) if len(self.hashes) else np.full(len(hashes), -1)
+        rank = (np.where(self.hashes[at] == hashes, self.ranks[at], -1) if len(self.hashes) else np.full(len(hashes), -1))[of]
         apart = np.flatnonzero(rank < 0)
-        d = Distinct(words, apart if places is None else places[apart])
+        d = Distinct(words, apart if places is None else places[apart], every)
         if len(d.long):
             found = np.full(len(d.hashes), -1)
             found[d.long] = [self.long.get(k, -1) for k in d.keys(d.long)]
             rank[apart] = found[d.of]
-        numbers = np.where((rank >= 0) & (rank < self.own), rank + 1, self.own + 1 + (hashes % np.uint64(BUCKETS)).astype(np.int64))
+        numbers = np.where((rank >= 0) & (rank < self.own), rank + 1, self.own + 1 + (hashes % np.uint64(BUCKETS)).astype(np.int64)[of])
         return rank, numbers, apart, d
 
 
